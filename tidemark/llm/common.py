@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of every contract here, [\x20\x09-\x0D].
@@ -53,3 +53,19 @@ def word_count(c: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread_rank(df: DataFrame, parts: list[str], spread: Column, order: list[str], out: str, buckets: int = 1024, amount: Column | None = None) -> DataFrame:
+    """``out``: running count (or running sum of ``amount``), this row included, within ``parts``.
+
+    The same numbers as one ordered window over each of ``parts``, by bucket of ``spread`` and then by
+    ``order``, but no task orders more than a bucket: buckets are summed first, and each starts where
+    the ones before it end. ``df`` must be materialized, for it is read twice.
+    """
+    amount = F.lit(1).cast("long") if amount is None else amount
+    rows = df.withColumns({"_tm_b": F.pmod(spread, F.lit(buckets)).cast("int"), "_tm_a": amount})
+    keys = [*parts, "_tm_b"]
+    before = Window.partitionBy(*parts).orderBy("_tm_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*keys).agg(F.sum("_tm_a").alias("_tm_s")).select(*keys, F.coalesce(F.sum("_tm_s").over(before), F.lit(0)).alias("_tm_s"))
+    within = F.sum("_tm_a").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_tm_n", within).join(starts, keys).withColumn(out, F.col("_tm_s") + F.col("_tm_n")).drop("_tm_b", "_tm_a", "_tm_s", "_tm_n")
