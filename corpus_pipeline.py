@@ -5,25 +5,51 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import lines, mixing
+from tidemark.llm import lines, mixing, near, packing, quality
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or lie far from their language and source go."""
+    return quality.quality_filter(docs).select(*COLUMNS)
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that five documents or more share stay only in the document of the largest id."""
-    return lines.line_dedup(docs).select(*COLUMNS)
+    return _documents(lines.line_dedup(docs))
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares 80 % of its five-word shingles stays."""
+    return near.near_filter(docs, words=5, percent=80).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as its source's share of the mix gives it."""
-    return mixing.mix(docs).select(*COLUMNS)
+    return _documents(mixing.mix(docs))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens and their places in windows of 2048."""
+    return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("dedup_lines", dedup_lines), ("mix_sources", mix_sources)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("filter_quality", filter_quality),
+    ("dedup_lines", dedup_lines),
+    ("dedup_near", dedup_near),
+    ("mix_sources", mix_sources),
+    ("pack_windows", pack_windows),
+]
 
-#: Robust estimates, MinHash and packing are not expressible in SQL.
+#: SQL can't express the robust estimates of the first stage, nor MinHash and packing.
 ORACLE_SQL = None
 
 

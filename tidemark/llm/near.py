@@ -90,14 +90,20 @@ def tables(nodes: DataFrame) -> DataFrame:
     return pairs.select("node", "n", F.xxhash64("i", "j", "x", "y").alias("key"))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, *, words: int, percent: int) -> DataFrame:
-    """Those (x, y) whose full shingle sets meet 100 * intersection >= percent * union."""
+def shingle_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """(rid, shingles) of the needed documents, the set as bytes of sorted 64-bit hashes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
             found = [shingle(text).tobytes() for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.large_binary()).cast(pa.binary())], names=["rid", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rid", "shingles"])
+
+    return docs.join(small(needed), "rid", "left_semi").select("rid", "text").mapInArrow(sets, "rid long, shingles binary")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, *, words: int, percent: int) -> DataFrame:
+    """Those (x, y) whose full shingle sets meet 100 * intersection >= percent * union."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,11 +115,41 @@ def confirm(pairs: DataFrame, docs: DataFrame, *, words: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(hits, pa.bool_()))
 
     needed = materialize(pairs.select(F.explode(F.array("x", "y")).alias("rid")).distinct())
-    full = materialize(docs.join(small(needed), "rid", "left_semi").select("rid", "text").mapInArrow(sets, "rid long, shingles binary"))
+    full = materialize(shingle_sets(docs, needed, words))
     first, second = full.toDF("x", "s"), full.toDF("y", "t")
     return pairs.select("x", "y").join(first, "x").join(second, "y").select("x", "y", "s", "t").mapInArrow(compare, "x long, y long").distinct()
 
 
+def private_shingles(docs: DataFrame, nodes: DataFrame, words: int, flush: int = 1 << 21) -> DataFrame:
+    """(node, u): how many of a node's shingles no other of the ``nodes`` has; nodes that have none are left out.
+
+    Shingles are counted per task before they are shuffled.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, owners, size = [], [], 0
+
+        def totals() -> pa.RecordBatch:
+            values, first, n = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_index=True, return_counts=True)
+            owner = np.concatenate(owners or [np.zeros(0, np.int64)])[first]
+            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n), pa.array(owner)], names=["shingle", "n", "node"])
+
+        for batch in batches:
+            for rid, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = np.frombuffer(value.as_buffer(), np.uint64)
+                held.append(s)
+                owners.append(np.full(len(s), rid))
+                size += len(s)
+                if size > flush:
+                    yield totals()
+                    held, owners, size = [], [], 0
+        yield totals()
+
+    counted = shingle_sets(docs, nodes, words).mapInArrow(count, "shingle long, n long, node long")
+    own = counted.groupBy("shingle").agg(F.sum("n").alias("n"), F.min("node").alias("node")).where("n = 1")
+    return own.groupBy("node").agg(F.count("*").alias("u"))
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, label) for every node of an edge, label the smallest node it is connected with: alternating large and small stars."""
     state = None
@@ -133,7 +169,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return labels.union(edges.select("y", "y").distinct())
 
 
-def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, miss: float = 1e-4, star_rounds: int = 3) -> DataFrame:
+def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 times the intersection of their shingle sets is at least ``percent``
@@ -141,11 +177,12 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     document of fewer than ``words`` words is one shingle; one without words is linked with nothing.
 
     Equal sets are collapsed first. The others meet in tables whose keys combine one key of each of
-    two collections of minhashes; a pair at the threshold is missed with probability ``miss``. Every
-    pair of a table is settled without emitting all of them: documents are compared with a pivot of
-    their table, and what that connects needs no more comparisons among itself. Tables whose members are not
-    all connected get another pivot, ``star_rounds`` in all, and then the pairs between what is still
-    apart: every link between two components has been looked at.
+    two collections of minhashes; a pair at the threshold is missed with probability ``miss``. A table
+    is settled without emitting all its pairs: its members are compared with a pivot, and what that
+    connects needs no comparisons among itself. Where members stay apart, their shingles that no
+    other such member has are counted. These bound what two members can share, and the member
+    with the least share of them is the next pivot. At last, pairs that are still apart and that the bound
+    allows are all compared, so every link between two components has been looked at.
 
     Null text: no words. Null ids: linked like others; component_id is null if no document with an
     id is in reach, and they are kept then. Rows that share an id are one document, linked by any of its
@@ -163,37 +200,43 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     rows = tables(nodes)
     shared = materialize(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"))
     members = materialize(rows.join(small(shared), "key", "left_semi").select("key", "node", "n"))
-    apart, tested, links = members.withColumn("label", F.col("node")), None, None
-    near_size = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    for turn in range(star_rounds + 1):
-        if turn < star_rounds:
-            # the largest set has most in common with the others of a table; later rounds vary
-            order: Column = F.struct("n", F.xxhash64("node")) if not turn else F.xxhash64("node", F.lit(turn))
-            pivots = materialize(apart.groupBy("key").agg(F.max_by(F.struct("node", "n", "label"), order).alias("p")))
-            met = apart.join(pivots, "key").where((F.col("label") != F.col("p.label")) & near_size(F.col("n"), F.col("p.n")))
-            pairs = met.select(F.least("node", "p.node").alias("x"), F.greatest("node", "p.node").alias("y"))
+    links = labels = tested = None
+    apart = members.select("key", "node", "n", F.col("node").alias("label"), F.lit(0).alias("u"))
+
+    def can_link(a, b):
+        """What a and b share is at most what each of them has not to itself."""
+        both = F.least(a["n"] - a["u"], b["n"] - b["u"])
+        return (100 * both >= percent * (a["n"] + b["n"] - both)) & (a["label"] != b["label"])
+
+    for turn in ("any", "central", "rest"):
+        one = {c: F.col(c) for c in apart.columns}
+        two = {c: F.col(f"{c}2") for c in apart.columns}
+        if turn == "rest":
+            # members that no class of their table can link with are settled; the others meet in pairs
+            kinds = apart.groupBy("key", "n", "u").agg(F.min("label").alias("low"), F.max("label").alias("high")).select(F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("u").alias("u2"), "low", "high")
+            other = F.when(F.col("low") == F.col("label"), F.col("high")).otherwise(F.col("low"))
+            left = materialize(apart.join(kinds, (F.col("key") == F.col("key2")) & can_link(one, two | {"label": other}), "left_semi"))
+            met = left.join(left.toDF(*[f"{c}2" for c in left.columns]), F.col("key") == F.col("key2")).where(F.col("node") < F.col("node2"))
         else:
-            other = apart.toDF("key", "node2", "n2", "label2")
-            met = apart.join(other, "key").where((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & near_size(F.col("n"), F.col("n2")))
-            pairs = met.select(F.col("node").alias("x"), F.col("node2").alias("y"))
-        pairs = pairs.where("x <> y").distinct()
+            order: Column = F.xxhash64("node") if turn == "any" else F.struct((F.col("n") - F.col("u")) / F.col("n"), F.xxhash64("node"))
+            pivots = materialize(apart.groupBy("key").agg(F.max_by(F.struct(*apart.columns), order).alias("p"))).select("p.*")
+            met = apart.join(pivots.toDF(*[f"{c}2" for c in apart.columns]), F.col("key") == F.col("key2"))
+        pairs = met.where(can_link(one, two)).select(F.least("node", "node2").alias("x"), F.greatest("node", "node2").alias("y")).distinct()
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"))
         if not pairs.isEmpty():
             found = materialize(confirm(pairs, read, words=words, percent=percent))
             links = found if links is None else links.union(found)
             tested = pairs if tested is None else tested.union(pairs)
-        elif turn == star_rounds:
-            break
-        if links is None:
-            labels = None
+            labels = materialize(components(links))
+        if turn == "rest" or labels is None:
             continue
-        labels = materialize(components(links))
-        if turn < star_rounds:
-            named = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-            split = materialize(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"))
-            apart = materialize(named.join(small(split), "key", "left_semi").select("key", "node", "n", "label"))
-            if apart.isEmpty():
-                break
+        named = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+        split = materialize(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"))
+        apart = materialize(named.join(small(split), "key", "left_semi"))
+        if apart.isEmpty():
+            break
+        own = materialize(private_shingles(read, materialize(apart.select(F.col("node").alias("rid")).distinct()), words))
+        apart = materialize(apart.join(small(own), "node", "left").select("key", "node", "n", "label", F.coalesce("u", F.lit(0)).alias("u")))
 
     homes = nodes.select("d1", "d2", "node")
     if links is not None:
@@ -202,3 +245,9 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     label = F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("rid"))
     component = F.when(label < STAND_IN, label)
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_filter(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of ``docs`` that :func:`link` keeps, one document of each component, all columns as they are."""
+    kept = link(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col(id_col).alias("_tm_id"))
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_tm_id")), "left_semi")
