@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, WS_RUN, bind, materialize, small, text_of, word_count
+from .common import WS, WS_RUN, materialize, small, text_of, word_count
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -18,38 +18,35 @@ SCALE = 1000  # statistics are kept as integers of 1/1000, so that sums are exac
 STEPS_PER_OCTAVE = 64
 
 
-def _repeat_words(text: Column) -> Column:
-    """Words that lie in a WINDOW-word window found twice or more."""
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    def covered(pos):
-        return F.aggregate(F.transform(pos, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(pos, i + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, b: a + b)
 
-    def neighbours(pairs):
-        same = F.filter(pairs, lambda x, i: F.coalesce(F.get(pairs, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(pairs, i + 1)["h"] == x["h"], F.lit(False)))
-        return bind(F.array_sort(F.transform(same, lambda x: x["i"])), covered)
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """Replaces the column ``text`` (not null) by the base statistics.
 
-    def count(h):
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(bind(F.array_sort(F.transform(h, lambda v, i: F.struct(v.alias("h"), i.alias("i")))), neighbours))
-
-    def windows(w):
-        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(WINDOW))))
-        return F.when(F.size(w) <= WINDOW, 0).otherwise(bind(hashes, count))
-
-    words = F.split(F.btrim(text, F.lit(WS)), WS_RUN, -1)
-    return bind(F.transform(words, lambda w: F.xxhash64(w)), windows)
-
-
-def statistics(text: Column) -> dict[str, Column]:
-    """The base statistics of a text as columns; null counts as empty."""
-    worded = F.filter(F.split(text, "\n", -1), lambda line: F.length(F.btrim(line, F.lit(WS))) > 0)
-    n_words = word_count(text)
-    return {
-        "n_words": n_words,
-        "word_chars": F.length(F.translate(text, WS, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": bind(worded, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long"),
-        "n_repeat_words": _repeat_words(text).cast("long"),
-    }
+    Words in repeated windows are found in steps, a column each: hashes of the words, of the windows,
+    the windows in order of their hashes (only where two are equal), places of those that have a
+    neighbour of the same hash, and the words that these places cover.
+    """
+    text = F.col("text")
+    lines = F.filter(F.split(text, "\n", -1), lambda line: F.length(F.btrim(line, F.lit(WS))) > 0)
+    words = docs.withColumns(
+        {
+            "n_words": word_count(text),
+            "word_chars": F.length(F.translate(text, WS, "")).cast("long"),
+            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "_tm_lines": lines,
+            "_tm_w": F.transform(F.split(F.btrim(text, F.lit(WS)), WS_RUN, -1), lambda w: F.xxhash64(w)),
+        }
+    ).drop("text")
+    windows = F.transform(F.sequence(F.lit(1), F.size("_tm_w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_tm_w", i, F.lit(WINDOW))))
+    steps = words.withColumns({"n_dup_lines": (F.size("_tm_lines") - F.size(F.array_distinct("_tm_lines"))).cast("long"), "_tm_h": F.when(F.size("_tm_w") > WINDOW, windows)}).drop("_tm_lines", "_tm_w")
+    ordered = F.sort_array(F.transform("_tm_h", lambda v, i: F.struct(v.alias("h"), i.alias("i"))))
+    steps = steps.withColumn("_tm_p", F.when(F.size(F.array_distinct("_tm_h")) < F.size("_tm_h"), ordered)).drop("_tm_h")
+    beside = lambda x, i: F.coalesce(F.get("_tm_p", i)["h"] == x["h"], F.lit(False))
+    steps = steps.withColumn("_tm_i", F.sort_array(F.transform(F.filter("_tm_p", lambda x, i: beside(x, i - 1) | beside(x, i + 1)), lambda x: x["i"]))).drop("_tm_p")
+    covered = F.transform("_tm_i", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_tm_i", i + 1) - p, F.lit(WINDOW))))
+    return steps.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda x, y: x + y), F.lit(0)).cast("long")).drop("_tm_i")
 
 
 def vector() -> list[Column]:
@@ -138,9 +135,9 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     Null text: empty, so it fails. Null language or source: a group of its own. Null ids and repeated
     rows: documents like others. Empty table: empty result.
     """
-    names = list(statistics(F.lit("")))
     text = text_of(text_col)
-    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.coalesce(F.concat(F.lit("="), F.col(lang_col)), F.lit("")).alias("lang_key"), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("source_key"), *[c.alias(k) for k, c in statistics(text).items()])
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
+    read = with_statistics(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), key(lang_col).alias("lang_key"), key(source_col).alias("source_key"), text.alias("text")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     stats = materialize(read.select("*", failed.alias("base_failed"), *[c.alias(f"x{i}") for i, c in enumerate(vector())]))
 
@@ -152,7 +149,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     homed = stats.join(small(pools), ["lang_key", "source_key"], "left").drop("lang_key", "source_key").withColumnsRenamed({"lang_pool": "lang_key", "source_pool": "source_key"})
     params = estimate(homed.where("NOT base_failed AND lang_key IS NOT NULL"))
     judged = homed.join(small(params), ["lang_key", "source_key"], "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance2()))
-    return judged.select("id", "mark", *names, "base_failed", "distance2", (~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= chi2_quantile(1 - tail))).alias("kept"))
+    return judged.select("id", "mark", *STATISTICS, "base_failed", "distance2", (~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= chi2_quantile(1 - tail))).alias("kept"))
 
 
 def quality_filter(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
