@@ -61,4 +61,15 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op3_exact_dedup": OP3, "op4_mixing": OP4, "op5_chat_formatting": OP5}
+OP7 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS MATERIALIZED (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT s.doc_id, len(s.sh) AS n_shingles, min(r.y) AS component_id, s.doc_id = min(r.y) AS kept FROM s JOIN r ON r.x = s.doc_id GROUP BY s.doc_id, s.sh
+"""
+
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op3_exact_dedup": OP3, "op4_mixing": OP4, "op5_chat_formatting": OP5, "op7_minhash_near_dedup": OP7}
