@@ -427,10 +427,10 @@ def rank_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT DISTINCT ts::DATE AS day FROM events), n AS (SELECT day, row_number() OVER (ORDER BY day) AS i, count(*) OVER () AS n FROM d)
-SELECT day, CASE WHEN i <= greatest(1, floor(n * 0.6)) THEN 'train' WHEN i <= greatest(1, floor(n * 0.6)) + greatest(1, floor(n * 0.2)) THEN 'validation' ELSE 'test' END AS split FROM n""")
+SELECT day::VARCHAR AS day, CASE WHEN i <= greatest(1, floor(n * 0.6)) THEN 'train' WHEN i <= greatest(1, floor(n * 0.6)) + greatest(1, floor(n * 0.2)) THEN 'validation' ELSE 'test' END AS split FROM n""")
 def day_split(spark: SparkSession, sf: str) -> DataFrame:
     days = table(spark, sf, "events").select(F.to_date("ts").alias("day"))
-    return research.day_split(days)
+    return research.day_split(days).withColumn("day", F.col("day").cast("string"))
 
 
 @query()

@@ -113,7 +113,12 @@ def depth_levels(normalized: DataFrame, specs: DataFrame) -> DataFrame:
 
     get = lambda k: F.get_json_object("payload_json", f"$.{k}")
     sides = {"bid": F.coalesce(get("bids"), get("b")), "ask": F.coalesce(get("asks"), get("a"))}
-    tagged = F.flatten(F.array(*[F.transform(F.coalesce(F.from_json(v, "array<array<string>>"), F.array().cast("array<array<string>>")), lambda p, i, s=s: F.struct(F.lit(s).alias("side"), i.alias("pos"), p[0].cast("decimal(28,10)").alias("price"), p[1].cast("decimal(28,10)").alias("qty"))) for s, v in sides.items()]))
+
+    def pairs(side: str) -> Column:
+        found = F.coalesce(F.from_json(sides[side], "array<array<string>>"), F.array().cast("array<array<string>>"))
+        return F.transform(found, lambda p, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), p[0].cast("decimal(28,10)").alias("price"), p[1].cast("decimal(28,10)").alias("qty")))
+
+    tagged = F.concat(pairs("bid"), pairs("ask"))
     rows = normalized.where(F.col("event_kind").isin("snapshot", "depthUpdate")).select(
         "symbol", "event_kind", F.col("recv_monotonic_ns").alias("ns"), F.coalesce("recv_seq", "source_row_seq").alias("seq"),
         get("U").cast("long").alias("first_id"), F.coalesce(get("u"), get("lastUpdateId")).cast("long").alias("last_id"), F.coalesce(get("pu"), get("U")).cast("long").alias("previous_id"), F.explode(tagged).alias("l"),
