@@ -135,3 +135,33 @@ def test_results_do_not_depend_on_row_order_or_partitions(spark):
     f = fill_rows(spark, SF)
     a = sorted(map(tuple, fills.position(f).collect()))
     assert a == sorted(map(tuple, fills.position(f.repartition(7).orderBy(F.rand(3))).collect()))
+
+
+def test_crc32c_and_latency_draws(spark):
+    from tidemark.functions import hashing
+
+    df = spark.createDataFrame([(0, "123456789"), (1, ""), (2, None), (3, "a" * 100)], "i long, s string")
+    assert [r.c for r in df.select("i", hashing.crc32c(F.col("s")).alias("c")).orderBy("i").collect()] == [0xE3069283, 0, None, hashing_reference("a" * 100)]
+    draws = hashing.latency_draws(spark.range(1000), "id", seed=3, samples_us=[1, 2, 3], tail_us=99, tail_per_million=100_000)
+    a = {r.id: r.latency_us for r in draws.collect()}
+    b = {r.id: r.latency_us for r in hashing.latency_draws(spark.range(1000).repartition(5), "id", seed=3, samples_us=[1, 2, 3], tail_us=99, tail_per_million=100_000).collect()}
+    assert a == b and set(a.values()) == {1, 2, 3, 99} and 50 < sum(v == 99 for v in a.values()) < 160
+
+
+def hashing_reference(text):
+    crc = 0xFFFFFFFF
+    for byte in text.encode():
+        crc ^= byte
+        for _ in range(8):
+            crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
+    return crc ^ 0xFFFFFFFF
+
+
+def test_reservations_hold_the_limit(spark):
+    from tidemark.operators import ledger
+    from tidemark.plans import catalogue
+
+    rows = [(1, 1, 1, "reserve", 1, 8), (1, 2, 2, "reserve", 2, 5), (1, 3, 3, "fill", 1, -3), (1, 4, 4, "release", 1, 0), (1, 5, 5, "reserve", 2, 7), (1, 6, 6, "fill", 3, 1), (2, 1, 7, "release", 1, 0)]
+    out = ledger.reservations(spark.createDataFrame(rows, "symbol long, ns long, seq long, action string, order_id long, lots long"), 10)
+    assert [tuple(r) for r in out.orderBy("seq").select("accepted", "reserved", "inventory").collect()] == [(True, 8, 0), (False, 8, 0), (True, 5, -3), (True, 0, -3), (True, 7, -3), (False, 7, -3), (False, 0, 0)]
+    assert all(r.reserved + abs(r.inventory) <= 12 for r in catalogue.reservation_ledger(spark, SF).collect())

@@ -100,6 +100,7 @@ def test_bundles_are_audited(spark, tmp_path):
     assert [tuple(r) for r in bundle.cells(df).orderBy("i").collect()] == [("1", "a", "[1,2]"), ("2", "", "[]")]
     assert {tuple(r) for r in bundle.counted(df, ["i"]).collect()} == {(1, 1), (2, 1), (None, 2)}
     bundle.write_csv(df, str(tmp_path / "csv"))
+    assert sorted(map(tuple, tape.read_audit(spark, str(tmp_path / "csv"), "i long, s string, l array<long>").collect())) == [(1, "a", [1, 2]), (2, None, [])]
     bundle.write_jsonl(df, str(tmp_path / "json"), "gzip")
     bundle.discard(df)
     assert bundle.digest(df) == bundle.digest(df.repartition(3))

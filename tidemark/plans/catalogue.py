@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import hashing, ticks
 from ..functions import options as opt
-from ..functions import ticks
-from ..operators import audit, book, fills, research
+from ..operators import audit, book, fills, ledger, research
 from ..operators.asof import asof
 from ..operators.ordered import chunk_of, previous, running
 from ..streaming import windows
@@ -490,3 +490,86 @@ def decision_clock(spark: SparkSession, sf: str) -> DataFrame:
     span = t.groupBy("symbol").agg((F.floor(F.min("ns") / day) + 1).alias("low"), F.floor(F.max("ns") / day).alias("high")).where("low <= high")
     due = span.select("symbol", F.explode(F.sequence("low", "high")).alias("day")).select("symbol", (F.col("day") * day).alias("due"))
     return asof(due, t.where("kind = 'view'"), ["symbol"], F.col("due"), F.col("ns"), ["tick"])
+
+
+# -- traces, schedules and ledgers
+
+
+@query("SELECT seq, row_number() OVER (ORDER BY ns, seq) - 1 AS position FROM t")
+def resequence(spark: SparkSession, sf: str) -> DataFrame:
+    out = running(tape(spark, sf), [], chunk_of("ns"), ["ns", "seq"], {"position": ("sum", F.lit(1).cast("long"))}, before=True)
+    return out.select("seq", "position")
+
+
+@query("""SELECT count(*) AS records, count(*) FILTER (kind = 'signup') AS arrivals, count(*) FILTER (kind = 'purchase') AS fills, count(*) FILTER (kind = 'error') AS rejects, count(*) FILTER (kind = 'purchase' AND k % 3 = 0) AS first_fills,
+  max(lots) FILTER (kind = 'purchase') AS max_ahead, sum(lots) FILTER (kind = 'purchase')::BIGINT AS sum_ahead FROM t""")
+def trace_recount(spark: SparkSession, sf: str) -> DataFrame:
+    is_ = lambda kind: F.col("kind") == kind
+    ahead = F.when(is_("purchase"), F.col("lots"))
+    return tape(spark, sf).agg(F.count("*").alias("records"), F.count_if(is_("signup")).alias("arrivals"), F.count_if(is_("purchase")).alias("fills"), F.count_if(is_("error")).alias("rejects"), F.count_if(is_("purchase") & (F.col("k") % 3 == 0)).alias("first_fills"), F.max(ahead).alias("max_ahead"), F.sum(ahead).alias("sum_ahead"))
+
+
+@query("SELECT count(*) AS rows, count(seq) AS seq, count(CASE WHEN k < 90 THEN k END) AS k, count(CASE WHEN k < 90 THEN k END) = count(*) AS complete FROM f")
+def provenance_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.coverage(fill_rows(spark, sf).select("seq", F.when(F.col("k") < 90, F.col("k")).alias("k")), ["seq", "k"])
+
+
+@query("""WITH v AS (SELECT symbol, bool_or(kind = 'signup') AS book, bool_and(tick > 0) AS clock, true AS capture, bool_or(kind = 'purchase') AS trade, symbol % 2 = 0 AS trade_required, count(DISTINCT kind) AS streams, count(*) FILTER (kind = 'error' AND k < 20) AS invalidations FROM t GROUP BY symbol)
+SELECT symbol, book AND clock AND capture AND (trade OR NOT trade_required) AS execution_valid, book AND clock AND capture AND (trade OR NOT trade_required) AND streams > 0 AND invalidations = 0 AS claim_ready FROM v""")
+def claim_gate(spark: SparkSession, sf: str) -> DataFrame:
+    is_ = lambda kind: F.col("kind") == kind
+    v = tape(spark, sf).groupBy("symbol").agg(F.bool_or(is_("signup")).alias("book"), F.bool_and(F.col("tick") > 0).alias("clock"), F.bool_and(F.lit(True)).alias("capture"), F.bool_or(is_("purchase")).alias("trade"), F.countDistinct("kind").alias("streams"), F.count_if(is_("error") & (F.col("k") < 20)).alias("invalidations"))
+    return audit.claims(v.withColumn("trade_required", F.col("symbol") % 2 == 0)).select("symbol", "execution_valid", "claim_ready")
+
+
+@query("SELECT kind AS name, count(*) AS runs, count(DISTINCT k % 2) = 1 AS deterministic FROM t WHERE k % 10 = 2 OR kind = 'view' GROUP BY kind")
+def determinism(spark: SparkSession, sf: str) -> DataFrame:
+    t = tape(spark, sf).where("k % 10 = 2 OR kind = 'view'")
+    return audit.deterministic(t.select(F.col("kind").alias("name"), (F.col("k") % 2).alias("digest")))
+
+
+@query("""WITH d AS (SELECT *, tick - lag(tick) OVER (PARTITION BY symbol ORDER BY ns, seq) AS drift FROM f)
+SELECT CASE WHEN drift >= 0 THEN 'up' ELSE 'down' END AS direction, count(*) AS fills, round(count(*) FILTER (k < 50) / count(*)::DOUBLE, 9) AS adverse_rate FROM d WHERE drift IS NOT NULL GROUP BY 1""")
+def adverse_drift(spark: SparkSession, sf: str) -> DataFrame:
+    d = previous(fill_rows(spark, sf), ["symbol"], chunk_of("ns", 24 * HOUR), ["ns", "seq"], {"p": F.col("tick")}).where("p IS NOT NULL")
+    return d.groupBy(F.when(F.col("tick") >= F.col("p"), "up").otherwise("down").alias("direction")).agg(F.count("*").alias("fills"), F.round(F.avg((F.col("k") < 50).cast("double")), 9).alias("adverse_rate"))
+
+
+@query("SELECT seq, list_distinct(['e' || (k % 5), 'e' || (seq % 5), 'e' || (k % 5)])::VARCHAR[] IS NOT NULL AS linked, len(list_distinct(['e' || (k % 5), 'e' || (seq % 5), 'e' || (k % 5)])) AS n, 'e' || (k % 5) || CASE WHEN k % 5 <> seq % 5 THEN ',e' || (seq % 5) ELSE '' END AS evidence FROM f")
+def combined_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    e = lambda c: F.concat(F.lit("e"), (F.col(c) % 5).cast("string"))
+    ids = F.array_distinct(F.concat(F.array(e("k"), e("seq")), F.array(e("k"))))
+    return fill_rows(spark, sf).select("seq", ids.isNotNull().alias("linked"), F.size(ids).cast("long").alias("n"), F.array_join(ids, ",").alias("evidence"))
+
+
+@query("""WITH a AS (SELECT symbol, ns + 3600000000000 AS due_ns, seq, seq // 3 AS action_id FROM t WHERE kind = 'view'), c AS (SELECT symbol, seq // 3 AS action_id, min(ns) AS cancel_ns FROM t WHERE kind = 'error' GROUP BY ALL)
+SELECT a.symbol, a.seq, a.action_id, row_number() OVER (PARTITION BY a.symbol ORDER BY due_ns, a.seq) AS position FROM a LEFT JOIN c ON a.symbol = c.symbol AND a.action_id = c.action_id WHERE cancel_ns IS NULL OR cancel_ns > due_ns""")
+def scheduled_actions(spark: SparkSession, sf: str) -> DataFrame:
+    t = tape(spark, sf).withColumn("action_id", F.floor(F.col("seq") / 3))
+    actions = t.where("kind = 'view'").select("symbol", (F.col("ns") + HOUR).alias("due_ns"), "seq", "action_id")
+    return ledger.scheduled(actions, t.where("kind = 'error'").select("symbol", "action_id", "ns")).select("symbol", "seq", "action_id", "position")
+
+
+@query()
+def reservation_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    action = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "reserve", "view", "reserve", "click", "release", "purchase", "fill")]), F.col("kind"))
+    events = tape(spark, sf).where("kind <> 'error'").select("symbol", "ns", "seq", action.alias("action"), (F.col("k") % 4).alias("order_id"), F.when(F.col("kind") == "purchase", ticks.signed_lots(F.col("lots") % 3 + 1, F.col("side") == "ask")).otherwise(F.col("lots")).alias("lots"))
+    return ledger.reservations(events, 12)
+
+
+@query()
+def checksums(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select(F.col("event_id").alias("seq"), hashing.crc32c(F.col("props")).alias("crc32c"), F.sha2(F.col("props").cast("binary"), 256).alias("sha256"))
+
+
+@query()
+def latency(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = hashing.latency_draws(fill_rows(spark, sf).select("symbol", "seq"), "seq", seed=11, samples_us=[100, 200, 400, 800], tail_us=50_000, tail_per_million=20_000)
+    return drawn.groupBy("latency_us").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'depth' ELSE 'trade' END AS source, l_suppkey AS symbol, l_quantity::BIGINT AS lots FROM lineitem)
+SELECT source, symbol, sum(lots)::BIGINT AS observed, count(*) AS n FROM s GROUP BY CUBE (source, symbol)""")
+def level_cube(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "lineitem").select(F.when(F.col("l_returnflag") == "R", "depth").otherwise("trade").alias("source"), F.col("l_suppkey").alias("symbol"), F.col("l_quantity").cast("long").alias("lots"))
+    return s.cube("source", "symbol").agg(F.sum("lots").alias("observed"), F.count("*").alias("n"))

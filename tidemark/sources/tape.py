@@ -176,3 +176,13 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     if wrong:
         raise ValueError(f"segments with another hash than the manifest's: {sorted(wrong)}")
     return manifest, read_segments(spark, [f"{folder}/{n}" for n in names])
+
+
+def read_audit(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An audit CSV with typed columns: nested ones from JSON cells, empty cells as null."""
+    from pyspark.sql import types as T
+
+    fields = T._parse_datatype_string(schema).fields
+    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    return raw.select(*[(F.from_json(f.name, f.dataType.simpleString()) if isinstance(f.dataType, nested) else F.col(f.name).try_cast(f.dataType)).alias(f.name) for f in fields])
