@@ -340,6 +340,11 @@ def test_encoder_equals_the_tokenizer(text):
     assert packing.encoder()(text) == ids_of([text])[0][:-1].tolist()
 
 
+def test_encoder_takes_long_runs():
+    for text in (" " * 2_000_000, "\n" * 300_000 + "x", "a" * 300_000):
+        assert packing.encoder()(text) == ids_of([text])[0][:-1].tolist()
+
+
 @pytest.mark.parametrize("table", ["edge", "documents"])
 def test_packing_places_every_id_once(spark, edge, table):
     df = edge if table == "edge" else spark.read.parquet(f"{SF}/documents.parquet")

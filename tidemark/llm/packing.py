@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,16 +19,35 @@ from .common import materialize, spread_rank, text_of
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TOKENS = "id long, tokens long, full array<long>, rest long, bits array<long>"
 END_ID = 1
+LONG_BLANK = 10_000
 
 
-def encoder(path: str | None = None):
-    """Text to ids of the byte-level vocabulary in ``path`` (default: the public one); control strings are ordinary text."""
+def encoder(path: str | None = None) -> Callable[[str], list[int]]:
+    """Text to ids of the byte-level vocabulary in ``path`` (a tokenizer file with its ranks beside it; default: the public one).
+
+    Control strings are ordinary text. Texts with white space runs that are too long for the rank-based
+    encoder's pattern go to the tokenizer itself; ids are the same.
+    """
     import public_tokenizers
     import tiktoken
 
-    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    with open(path.removesuffix(".json") + ".tiktoken", "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    fast = tiktoken.Encoding("byte_bpe_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    blank, slow = re.compile(rf"\s{{{LONG_BLANK}}}"), []
+
+    def encode(text: str) -> list[int]:
+        if len(text) < LONG_BLANK or not blank.search(text):
+            return fast(text)
+        if not slow:
+            from tokenizers import Tokenizer
+
+            slow.append(Tokenizer.from_file(path))
+            slow[0].encode_special_tokens = True
+        return slow[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def bit_sizes(rest: int) -> list[int]:
