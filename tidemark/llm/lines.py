@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, bind, lower_ascii, text_of
+from .common import WS, bind, lower_ascii, materialize, small, text_of
 
 ID, MARK, POS, H1, H2, KEEP, DROPS, COUNT = "_tm_id", "_tm_mark", "_tm_pos", "_tm_h1", "_tm_h2", "_tm_keep", "_tm_drops", "_tm_count"
 
@@ -35,19 +35,20 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     and rows that share the largest id all keep their lines. Empty table: empty result.
 
     Two narrow shuffles of hashes (counted after partial aggregation, so a line of a third of all
-    documents is one row per task) and one of the texts; the join back is a plain equi-join, whose
-    hot keys adaptive execution splits.
+    documents is one row per task) and one of the texts. The common lines are broadcast if they are few;
+    else both sides of the join back are plain exchanges, whose hot keys adaptive execution splits.
     """
     text = text_of(text_col)
     # who a row is, also where ids repeat: the id and a hash of its text
     keyed = docs.select(F.col(id_col).alias(ID), F.xxhash64(text).alias(MARK), _lines(text).alias("lines"))
     per_doc = keyed.select(ID, F.explode(F.array_distinct(F.filter(F.transform("lines", _key), lambda k: F.length(k) >= min_chars))).alias("key"))
-    common = per_doc.select(ID, *_hashes(F.col("key"))).groupBy(H1, H2).agg(F.count("*").alias(COUNT), F.max(ID).alias(KEEP)).where(F.col(COUNT) >= min_docs).select(H1, H2, KEEP)
+    counted = per_doc.select(ID, *_hashes(F.col("key"))).groupBy(H1, H2).agg(F.count("*").alias(COUNT), F.max(ID).alias(KEEP))
+    common = materialize(counted.where(F.col(COUNT) >= min_docs).select(H1, H2, KEEP))
 
     at = keyed.select(ID, MARK, F.posexplode("lines").alias(POS, "line")).select(ID, MARK, POS, _key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     drops = (
         at.select(ID, MARK, POS, *_hashes(F.col("key")))
-        .join(common, [H1, H2])
+        .join(small(common), [H1, H2])
         .where(~F.col(ID).eqNullSafe(F.col(KEEP)))
         .groupBy(ID, MARK)
         .agg(F.array_sort(F.collect_set(POS)).alias(DROPS))
