@@ -44,16 +44,18 @@ def content_sort(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     norm = F.regexp_replace(text_of(text_col), WS_RUN, " ")
     rank = F.coalesce(F.lpad(F.hex(F.col(id_col).cast("long").bitwiseXOR(F.lit(LOWEST))), 16, "0"), F.lit("~"))
-    source = docs.select(F.col(id_col).alias("id"), norm.alias("norm"), rank.alias("rank"))
-    keyed = source.withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256)).withColumn("key", F.concat(F.substring("norm", 1, prefix), F.lit("\x01"), "sha", "rank"))
+
+    def with_keys(rows: DataFrame) -> DataFrame:
+        source = rows.select(F.col(id_col).alias("id"), norm.alias("norm"), rank.alias("rank"))
+        return source.withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256)).withColumn("key", F.concat(F.substring("norm", 1, prefix), F.lit("\x01"), "sha", "rank"))
 
     buckets = buckets_per_partition * shuffle_partitions(docs.sparkSession)
     fraction = min(1.0, buckets * samples_per_bucket / max(1, docs.count()))
-    sample = sorted((r.key for r in keyed.sample(False, fraction, seed).select("key").collect()), key=lambda k: k.encode())
+    sample = sorted((r.key for r in with_keys(docs.select(id_col, text_col).sample(False, fraction, seed)).select("key").collect()), key=lambda k: k.encode())
     cuts = sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)} if sample else (), key=lambda k: k.encode())
 
     order = Window.partitionBy("bucket").orderBy("key")
-    seen = keyed.withColumn("bucket", _bucket(F.col("key"), cuts)).select(
+    seen = with_keys(docs).withColumn("bucket", _bucket(F.col("key"), cuts)).select(
         "*", F.lag("norm").over(order).alias("before"), F.lead("rank").over(order).isNull().alias("last")
     )
     rows = materialize(
