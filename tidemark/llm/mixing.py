@@ -75,11 +75,15 @@ def decide(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     ranked = rows.join(small(plan), F.col("source").eqNullSafe(F.col("source2")) & (F.col("kind") == F.col("kind2"))).drop("source2", "kind2")
     ranked = ranked.withColumn("rank", F.when(F.col("p") > 0, odds / (1 + odds))).withColumn("bucket", F.coalesce(F.least(F.floor(F.col("rank") * BUCKETS), F.lit(BUCKETS - 1)), F.lit(BUCKETS)).cast("int"))
-    filled = ranked.where("p > 0").groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    filled = materialize(filled.select(F.col("source").alias("source2"), F.col("bucket").alias("bucket2"), F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")))
-    ranked = ranked.join(small(filled), F.col("source").eqNullSafe(F.col("source2")) & (F.col("bucket") == F.col("bucket2")), "left")
-    ahead = F.col("before") + F.coalesce(F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("rank", "id", "draw").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    more = F.when(F.col("p") > 0, F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - ahead))).otherwise(0)
+    filled = ranked.where("p > 0").groupBy("source", "bucket", "rest").agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    # a row per source: the bucket in which its words are reached, and the words before it
+    reached = filled.select("source", "bucket", "rest", "words", upto.alias("upto")).where("upto >= rest").groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")), "bucket").alias("at"))
+    reached = materialize(reached.select(F.col("source").alias("source2"), F.col("at.bucket").alias("last"), F.col("at.before").alias("before")))
+    ranked = ranked.join(small(reached), F.col("source").eqNullSafe(F.col("source2")), "left")
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("rank", "id", "draw").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - inside))
+    more = F.when(F.col("p") <= 0, 0).when(F.col("last").isNull() | (F.col("bucket") < F.col("last")), F.col("size")).when(F.col("bucket") > F.col("last"), 0).otherwise(part)
     return ranked.select("id", "draw", "size", "source", "source_size", "target", "whole", (F.col("whole") * F.col("size") + more).cast("long").alias("taken"))
 
 
