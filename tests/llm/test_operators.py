@@ -392,6 +392,9 @@ def test_licenses_on_every_template_and_edge_rows(spark, edge):
         for text in texts:
             found = scanner(f"first line\n{text}\nlast line")
             assert [(n.license, n.differences, n.line) for n in found] == [(name, 0, 1)]
+            words = text.split()
+            half = len(words) // 2
+            assert [n.license for n in scanner("first line\n" + " ".join(words[:half]) + "\n" + " ".join(words[half:]) + "\nlast line")] == [name]
             changed = text.split()
             if len(changed) > 12:
                 changed[8] = "changed"

@@ -75,7 +75,7 @@ def differences(template: Sequence[str], words: Sequence[str]) -> tuple[int, int
 
 
 class Scanner:
-    """Notices of a text: blocks that begin at a line with a cue, ranked by compression, confirmed by wording."""
+    """Notices of a text: blocks that begin at a line with a cue or one before it, ranked by compression, confirmed by wording."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, *, tolerance: float = 0.1, ranked: int = 4) -> None:
         self.tolerance, self.ranked = tolerance, ranked
@@ -100,8 +100,12 @@ class Scanner:
     def __call__(self, text: str) -> list[Notice]:
         lines, found, at = text.split("\n"), [], 0
         for i, line in enumerate(lines):
-            if any(cue in line.lower() for cue in CUES):
-                found += self.match(line, lines[i + 1 : i + 60], i, at)
+            done = found and found[-1].start + found[-1].length > at
+            if not done and any(cue in line.lower() for cue in CUES):
+                here = self.match(line, lines[i + 1 : i + 60], i, at)
+                if not here and i:  # a notice that was broken before its cue
+                    here = self.match(lines[i - 1], lines[i : i + 60], i - 1, at - len(lines[i - 1]) - 1)
+                found += here
             at += len(line) + 1
         return found
 
@@ -127,7 +131,7 @@ class Scanner:
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.1, ranked: int = 4) -> DataFrame:
     """One row per notice: id, line (from 0), start, length (code points), license, differences (words), saved (bytes).
 
-    Lines with a cue begin a block as long as the template needs. Each template, as a raw zstandard
+    Lines with a cue, or else the lines before them, begin a block as long as the template needs. Each template, as a raw zstandard
     dictionary, compresses the block; the ``ranked`` templates that save most are compared with it word by word,
     and the closest one is confirmed if at most ``tolerance`` of its words differ. Cues are looked for in
     the JVM, so only texts that have one reach Python.
