@@ -28,7 +28,7 @@ def reconcile(live: DataFrame, wanted: DataFrame, keys: Sequence[str], value: st
 
 def merge(left: DataFrame, right: DataFrame) -> DataFrame:
     """Lock-step comparison of two traces by row number within the symbol; extras of either side have nulls."""
-    number = F.row_number().over(Window.partitionBy("symbol").orderBy("ns", "seq")).alias("n")
+    number = F.row_number().over(Window.partitionBy("symbol").orderBy("ns", "seq")).cast("long").alias("n")
     a, b = (df.select("symbol", number, F.col("seq").alias(name)) for df, name in ((left, "left_seq"), (right, "right_seq")))
     return a.join(b, ["symbol", "n"], "full_outer")
 

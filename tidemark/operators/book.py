@@ -43,7 +43,7 @@ def best(book_levels: DataFrame) -> DataFrame:
 def top_levels(book_levels: DataFrame, n: int) -> DataFrame:
     """The ``n`` best levels of each side, with their rank: bids from the highest, asks from the lowest."""
     way = F.when(F.col("side") == "bid", -F.col("tick")).otherwise(F.col("tick"))
-    return book_levels.withColumn("rank", F.row_number().over(Window.partitionBy("symbol", "side").orderBy(way))).where(F.col("rank") <= n)
+    return book_levels.withColumn("rank", F.row_number().over(Window.partitionBy("symbol", "side").orderBy(way)).cast("long")).where(F.col("rank") <= n)
 
 
 def queue_ahead(orders: DataFrame) -> DataFrame:

@@ -48,4 +48,4 @@ def scheduled(actions: DataFrame, cancels: DataFrame) -> DataFrame:
     """Actions (symbol, due_ns, seq, action_id) that no cancel takes back before they are due, numbered in their order of execution."""
     taken = cancels.groupBy("symbol", "action_id").agg(F.min("ns").alias("_cancel_ns"))
     live = actions.join(taken, ["symbol", "action_id"], "left").where(F.col("_cancel_ns").isNull() | (F.col("_cancel_ns") > F.col("due_ns"))).drop("_cancel_ns")
-    return live.withColumn("position", F.row_number().over(Window.partitionBy("symbol").orderBy("due_ns", "seq")))
+    return live.withColumn("position", F.row_number().over(Window.partitionBy("symbol").orderBy("due_ns", "seq")).cast("long"))

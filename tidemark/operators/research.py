@@ -22,7 +22,7 @@ def grid(spark: SparkSession, values: Mapping[str, Sequence]) -> DataFrame:
 
 def rank(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Adds ``rank`` 1..n over a sweep's few rows."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def day_split(days: DataFrame, shares: tuple[float, float] = (0.6, 0.2)) -> DataFrame:

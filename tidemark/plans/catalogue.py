@@ -273,7 +273,7 @@ def zero_filled_sources(spark: SparkSession, sf: str) -> DataFrame:
 m AS (SELECT s.symbol, s.step, (r.tick - s.tick) * s.lots AS markout FROM s JOIN n USING (symbol) JOIN s r ON r.symbol = s.symbol AND r.step = least(s.step + 5, n.last))
 SELECT symbol, step, markout::BIGINT AS markout, sum(markout) OVER (PARTITION BY symbol ORDER BY step)::BIGINT AS cumulative FROM m""")
 def step_markouts(spark: SparkSession, sf: str) -> DataFrame:
-    s = fill_rows(spark, sf).withColumn("step", F.row_number().over(Window.partitionBy("symbol").orderBy("ns", "seq")))
+    s = fill_rows(spark, sf).withColumn("step", F.row_number().over(Window.partitionBy("symbol").orderBy("ns", "seq")).cast("long"))
     return research.step_markouts(s, 5)
 
 
