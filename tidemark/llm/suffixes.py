@@ -17,6 +17,7 @@ SHALLOW = 32  # bytes that multikey quicksort looks at before blind tries take o
 WORD = 8  # its characters are words of so many bytes
 CHUNK = 1 << 20
 POS_BITS = 24
+SEGMENT = "core long, kid long, mark long, pos int, low int, high int, hull binary"
 HULL = "kid long, mark long, pos int, low int, high int, core long, h1 long, h2 long"
 
 
@@ -237,48 +238,48 @@ def anchored(docs: DataFrame, length: int, span: int) -> DataFrame:
     return docs.select("kid", "mark", "bytes").mapInArrow(run, HULL)
 
 
-def refine(docs: DataFrame, wanted: DataFrame, length: int, block: int) -> DataFrame:
-    """Anchors cut at multiples of ``block`` offsets; a part's core is what all windows of its block share."""
+def refine(held: DataFrame, length: int, block: int) -> DataFrame:
+    """Anchors of SEGMENT cut at multiples of ``block`` offsets; a part's core is what all windows of its block share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for kid, mark, text, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for spot in spots:
-                    p = spot["pos"]
-                    for b in range(spot["low"] // block * block, spot["high"] + 1, block):
-                        low, high = max(b, spot["low"]), min(b + block - 1, spot["high"])
-                        core = xxhash.xxh3_64_intdigest(text[p - b : p - b - block + 1 + length], seed=b) - 2**63
-                        out.append((kid, mark, p, low, high, core, *hull_hash(text[p - high : p - low + length], high)))
-            yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True)) for row in out], schema=schema)
-
-    names = [c.split()[0] for c in HULL.split(", ")]
-    schema = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.int64()) for c in HULL.split(", ")])
-    return _with_spots(docs, wanted, "pos", "low", "high").mapInArrow(run, HULL)
-
+            for _, kid, mark, pos, low, high, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for b in range(low // block * block, high + 1, block):
+                    lo, hi = max(b, low), min(b + block - 1, high)
+                    core = xxhash.xxh3_64_intdigest(text[high - b : high - b - block + 1 + length], seed=b) - 2**63
+                    cut = text[high - hi : high - lo + length]
+                    out.append((core, kid, mark, pos, lo, hi, cut, *hull_hash(cut, hi)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
-def _with_spots(docs: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
-    spots = wanted.groupBy("kid", "mark").agg(F.collect_list(F.struct(*columns)).alias("spots"))
-    return docs.select("kid", "mark", "bytes").join(spots, ["kid", "mark"]).dropDuplicates(["kid", "mark"])
+    fields = [("core", pa.int64()), ("kid", pa.int64()), ("mark", pa.int64()), ("pos", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("hull", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64())]
+    return held.mapInArrow(run, f"{SEGMENT}, h1 long, h2 long")
 
 
-def sort_cores(docs: DataFrame, hulls: DataFrame, length: int) -> DataFrame:
-    """Spans (kid, mark, start, end) of the windows that two hulls of a core share; ``hulls`` has each hull's first place."""
+def segments(docs: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
+    """SEGMENT of each of ``firsts`` (core, kid, mark, pos, low, high): its hull's bytes are cut from its text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kid, mark, text, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s["core"] for s in spots]), pa.array([kid] * len(spots)), pa.array([mark] * len(spots)), pa.array([s["pos"] for s in spots], pa.int32()), pa.array([s["high"] for s in spots], pa.int32()), pa.array([text[s["pos"] - s["high"] : s["pos"] - s["low"] + length] for s in spots])],
-                    names=["core", "kid", "mark", "pos", "high", "hull"],
-                )
+                column = lambda name, kind: pa.array([s[name] for s in spots], kind)
+                places = [column("pos", pa.int32()), column("low", pa.int32()), column("high", pa.int32())]
+                hulls = pa.array([text[s["pos"] - s["high"] : s["pos"] - s["low"] + length] for s in spots], pa.binary())
+                yield pa.RecordBatch.from_arrays([column("core", pa.int64()), pa.array([kid] * len(spots)), pa.array([mark] * len(spots)), *places, hulls], names=["core", "kid", "mark", "pos", "low", "high", "hull"])
+
+    spots = firsts.groupBy("kid", "mark").agg(F.collect_list(F.struct("core", "pos", "low", "high")).alias("spots"))
+    return docs.select("kid", "mark", "bytes").join(spots, ["kid", "mark"]).dropDuplicates(["kid", "mark"]).mapInArrow(cut, SEGMENT)
+
+
+def sort_cores(held: DataFrame, length: int) -> DataFrame:
+    """Spans (kid, mark, start, end) of the windows that two hulls of a core share."""
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         out: list[tuple[int, int, int, int]] = []
 
         def settle() -> None:
-            for (_, kid, mark, pos, _, _), ranges in zip(group, repeated([(x[5], x[4]) for x in group], length), strict=True):
+            for (_, kid, mark, pos, *_), ranges in zip(group, repeated([(x[6], x[5]) for x in group], length), strict=True):
                 out.extend((kid, mark, pos - high, pos - low + length) for low, high in ranges)
 
         def batch_of() -> pa.RecordBatch:
@@ -296,12 +297,10 @@ def sort_cores(docs: DataFrame, hulls: DataFrame, length: int) -> DataFrame:
             settle()
         yield batch_of()
 
-    segments = _with_spots(docs, hulls, "pos", "low", "high", "core").mapInArrow(cut, "core long, kid long, mark long, pos int, high int, hull binary")
-    grouped = segments.repartition(F.col("core")).sortWithinPartitions("core")
-    return grouped.mapInArrow(spans, "kid long, mark long, start long, end long")
+    return held.repartition(F.col("core")).sortWithinPartitions("core").mapInArrow(spans, "kid long, mark long, start long, end long")
 
 
-def repeated_spans(docs: DataFrame, length: int, most: int = 1024) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, most: int = 8192) -> DataFrame:
     """Spans (kid, mark, start, end), overlapping, that cover exactly the bytes of repeated windows; ``docs`` has kid, mark and bytes.
 
     Equal windows have their least gram at the same place, so they meet under the same core (the
@@ -312,23 +311,25 @@ def repeated_spans(docs: DataFrame, length: int, most: int = 1024) -> DataFrame:
     offsets a core is a whole window. So no task gets more than ``most`` hulls of a core.
     """
     block = 1 << ((2 * length // 3).bit_length() - 1)
+    hull, place = ["core", "h1", "h2"], ["kid", "mark", "pos", "low", "high"]
     shared = materialize(cores(docs, length, block).groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
-    rows = materialize(anchored(docs, length, block).join(shared, "core", "left_semi").select("kid", "mark", "pos", "low", "high", "core", "h1", "h2"))
+    rows = materialize(anchored(docs, length, block).join(shared, "core", "left_semi").select(*place, *hull))
     found: list[DataFrame] = []
-    hull = ["core", "h1", "h2"]
     while True:
-        first = F.min(F.struct("kid", "mark", "pos", "low", "high")).alias("first")
-        hulls = materialize(rows.groupBy(*hull).agg(F.count("*").alias("n"), first))
-        alike = rows.join(materialize(hulls.where("n > 1").select(*hull)), hull, "left_semi")
+        cut = [c for c in rows.columns if c == "hull"]
+        hulls = materialize(rows.groupBy(*hull).agg(F.count("*").alias("n"), F.min(F.struct(*place, *cut)).alias("first")))
+        alike = rows.select(*place, *hull).join(materialize(hulls.where("n > 1").select(*hull)), hull, "left_semi")
         found.append(alike.select("kid", "mark", (F.col("pos") - F.col("high")).cast("long").alias("start"), (F.col("pos") - F.col("low") + length).cast("long").alias("end")))
         counts = materialize(hulls.groupBy("core").agg(F.count("*").alias("hulls")).where("hulls > 1"))
         firsts = hulls.select("core", "first.*")
-        found.append(sort_cores(docs, firsts.join(counts.where(F.col("hulls") <= most).select("core"), "core", "left_semi"), length))
-        many = counts.where(F.col("hulls") > most).select("core")
+        few, many = (counts.where(c).select("core") for c in (F.col("hulls") <= most, F.col("hulls") > most))
+        # past the first round the bytes travel with the rows, and the texts aren't read again
+        held = lambda these: firsts.join(these, "core", "left_semi") if cut else segments(docs, firsts.join(these, "core", "left_semi"), length)  # noqa: B023, E731
+        found.append(sort_cores(held(few).select("core", *place, "hull"), length))
         block //= 2
         if not block or many.isEmpty():
             break
-        rows = materialize(refine(docs, firsts.join(many, "core", "left_semi"), length, block))
+        rows = materialize(refine(held(many).select("core", *place, "hull"), length, block).select(*place, *hull, "hull"))
     spans = found[0]
     for more in found[1:]:
         spans = spans.union(more)
