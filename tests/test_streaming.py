@@ -34,3 +34,14 @@ def test_windows_of_a_stream_equal_the_batch(spark, tmp_path):
     query = plan(stream, "30 days").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, plan(events).collect()))
+
+
+def test_synchronizer_over_a_table(spark):
+    from tidemark.plans import catalogue
+
+    rows = sorted(catalogue.book_sync(spark, SF).collect(), key=lambda r: (r.symbol, r.seq))
+    assert rows and {r.reason for r in rows} >= {"", "no_snapshot", "invalid_ids"}
+    for a, b in zip(rows, rows[1:]):
+        if a.symbol == b.symbol:
+            assert b.gaps - a.gaps == (b.reason in ("gap", "no_bridge", "invalid_ids")) and b.epoch >= a.epoch
+            assert not b.synced or b.applied or b.reason == "stale"

@@ -12,6 +12,7 @@ from ..functions import options as opt
 from ..operators import audit, book, fills, ledger, research
 from ..operators.asof import asof
 from ..operators.ordered import chunk_of, previous, running
+from ..streaming import book as stream_book
 from ..streaming import windows
 from .tape import MINUTE_NS, TAPE_SQL, levels, tape
 from .tape import fills as fill_rows
@@ -573,3 +574,14 @@ SELECT source, symbol, sum(lots)::BIGINT AS observed, count(*) AS n FROM s GROUP
 def level_cube(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "lineitem").select(F.when(F.col("l_returnflag") == "R", "depth").otherwise("trade").alias("source"), F.col("l_suppkey").alias("symbol"), F.col("l_quantity").cast("long").alias("lots"))
     return s.cube("source", "symbol").agg(F.sum("lots").alias("observed"), F.count("*").alias("n"))
+
+
+@query()
+def book_sync(spark: SparkSession, sf: str) -> DataFrame:
+    """Which depth updates apply after which snapshot: the stream's operator over a table."""
+    t = tape(spark, sf).where("kind IN ('signup', 'view', 'click')")
+    before = previous(t, ["symbol"], chunk_of("ns", 24 * HOUR), ["ns", "seq"], {"p": F.col("seq")})
+    kind = F.when(F.col("kind") == "signup", "snapshot").otherwise("depth")
+    first = F.when(F.col("k") % 25 == 3, F.col("seq") + 1).otherwise(F.greatest(F.lit(0), F.col("seq") - 200))
+    updates = before.select("symbol", "seq", kind.alias("kind"), first.alias("first_id"), F.col("seq").alias("last_id"), F.when(F.col("k") % 10 == 1, F.lit(-1)).otherwise(F.coalesce("p", F.lit(-1))).alias("previous_id"))
+    return stream_book.synchronize_table(updates)

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 UPDATES = "symbol string, seq long, kind string, first_id long, last_id long, previous_id long"
 OUTPUT = "symbol string, seq long, epoch long, gaps long, synced boolean, applied boolean, reason string"
+START = (0, 0, -1, -1, False)
 STATE = "epoch long, gaps long, last long, snapshot long, synced boolean"
 
 
@@ -42,7 +43,7 @@ def step(state: tuple, row: Any) -> tuple[tuple, bool, str]:
 
 
 def _run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = state.get if state.exists else (0, 0, -1, -1, False)
+    now = state.get if state.exists else START
     for rows in batches:
         out = []
         for row in rows.sort_values("seq").itertuples(index=False):
@@ -57,6 +58,24 @@ def synchronize(updates: DataFrame) -> DataFrame:
     return updates.groupBy("symbol").applyInPandasWithState(_run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def synchronize_table(updates: DataFrame) -> DataFrame:
+    """The same over a table: each symbol's updates pass in order, a batch at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, now = None, START
+        for rows in batches:
+            out = []
+            for row in rows.itertuples(index=False):
+                if row.symbol != symbol:
+                    symbol, now = row.symbol, START
+                now, applied, reason = step(now, row)
+                out.append((row.symbol, row.seq, now[0], now[1], now[4], applied, reason))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+
+    typed = updates.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in UPDATES.split(", ")])
+    return typed.repartition("symbol").sortWithinPartitions("symbol", "seq").mapInPandas(run, OUTPUT)
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     """All that has arrived, appended to a Parquet table; the checkpoint lets a later call go on from there."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
