@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small, text_of
@@ -114,59 +114,78 @@ def confirm(pairs: DataFrame, docs: DataFrame, *, words: int, percent: int) -> D
                 hits.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(hits, pa.bool_()))
 
-    needed = materialize(pairs.select(F.explode(F.array("x", "y")).alias("rid")).distinct())
+    needed = compact(pairs.select(F.explode(F.array("x", "y")).alias("rid")).distinct())
     full = materialize(shingle_sets(docs, needed, words))
     first, second = full.toDF("x", "s"), full.toDF("y", "t")
     return pairs.select("x", "y").join(first, "x").join(second, "y").select("x", "y", "s", "t").mapInArrow(compare, "x long, y long").distinct()
 
 
-def private_shingles(docs: DataFrame, nodes: DataFrame, words: int, flush: int = 1 << 21) -> DataFrame:
-    """(node, u): how many of a node's shingles no other of the ``nodes`` has; nodes that have none are left out.
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, n, share, prefix) of sets (rid, shingles): the first shingles in the order of how many of the sets have them.
 
-    Shingles are counted per task before they are shuffled.
+    Two sets of that similarity have a shingle in common among their first n - ceil(percent * n / 100) + 1.
+    ``share`` is the mean logarithm of these counts: largest for a text that many others are copies of.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, owners, size = [], [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(1)]
+            for i in range(0, len(found), 256):  # bounded batches, whatever the sets' sizes
+                part = found[i : i + 256]
+                nodes = np.repeat(batch.column(0).to_numpy()[i : i + 256], [len(s) for s in part])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(part))], names=["node", "token"])
 
-        def totals() -> pa.RecordBatch:
-            values, first, n = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_index=True, return_counts=True)
-            owner = np.concatenate(owners or [np.zeros(0, np.int64)])[first]
-            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n), pa.array(owner)], names=["shingle", "n", "node"])
+    rows = sets.mapInArrow(run, "node long, token long")
+    counted = rows.join(rows.groupBy("token").agg(F.count("*").alias("df")), "token")
+    grouped = counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"), F.avg(F.log("df")).alias("share"))
+    n = F.size("tokens")
+    first = F.slice("tokens", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
+    return grouped.select("node", n.cast("long").alias("n"), "share", F.transform(first, lambda t: t["token"]).alias("prefix"))
 
-        for batch in batches:
-            for rid, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = np.frombuffer(value.as_buffer(), np.uint64)
-                held.append(s)
-                owners.append(np.full(len(s), rid))
-                size += len(s)
-                if size > flush:
-                    yield totals()
-                    held, owners, size = [], [], 0
-        yield totals()
 
-    counted = shingle_sets(docs, nodes, words).mapInArrow(count, "shingle long, n long, node long")
-    own = counted.groupBy("shingle").agg(F.sum("n").alias("n"), F.min("node").alias("node")).where("n = 1")
-    return own.groupBy("node").agg(F.count("*").alias("u"))
+def apart_pairs(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of different labels that may link: prefix and positional filter over all of ``nodes``, exact.
+
+    At the first shingle that two sets share, what they share is at most the shorter of what follows in each.
+    Members whose position no class (size, position) of their token can match are settled before pairs are formed.
+    """
+    named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = materialize(named.select(F.posexplode("prefix").alias("pos", "token"), "node", "n", "label").select("token", "node", "n", "pos", "label"))
+
+    def fits(n2, pos2):
+        return (100 + percent) * F.least(F.col("n") - F.col("pos"), n2 - pos2) >= percent * (F.col("n") + n2)
+
+    kinds = rows.groupBy("token", "n", "pos").agg(F.min("label").alias("low"), F.max("label").alias("high")).toDF("token2", "n2", "pos2", "low", "high")
+    other = (F.col("low") != F.col("label")) | (F.col("high") != F.col("label"))
+    left = materialize(rows.join(kinds, (F.col("token") == F.col("token2")) & fits(F.col("n2"), F.col("pos2")) & other, "left_semi"))
+    right = left.toDF(*[f"{c}2" for c in left.columns])
+    met = left.join(right, (F.col("token") == F.col("token2")) & fits(F.col("n2"), F.col("pos2")) & (F.col("label") != F.col("label2")) & (F.col("node") < F.col("node2")))
+    return met.select(F.col("node").alias("x"), F.col("node2").alias("y")).distinct()
+
+
+def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """Materialized, in a partition per ``rows`` rows: small frames don't keep a task and a file for each shuffle partition."""
+    done = materialize(df)
+    return done.coalesce(max(1, min(done.rdd.getNumPartitions(), -(-done.count() // rows))))
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, label) for every node of an edge, label the smallest node it is connected with: alternating large and small stars."""
-    state = None
+    state, edges = None, compact(edges)
+    parts = edges.rdd.getNumPartitions()
     for _ in range(rounds):
         both = edges.select(F.col("x").alias("u"), F.col("y").alias("v")).union(edges.select("y", "x"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
-        down = edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small_star = down.join(least, "u")
-        edges = materialize(small_star.select(F.col("v").alias("x"), F.col("m").alias("y")).union(least.select(F.col("u"), F.col("m"))).where("x <> y").distinct())
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(parts)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
+        small_star = large.join(low, "u").select(F.col("v").alias("x"), F.col("m").alias("y"))
+        edges = materialize(small_star.union(low).where("x <> y").distinct().coalesce(parts))
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")).alias("h")).first()
         if now == state:
             break
         state = now
     labels = edges.select(F.col("x").alias("node"), F.col("y").alias("label"))
-    return labels.union(edges.select("y", "y").distinct())
+    return labels.union(edges.select("y", "y").distinct().coalesce(parts))
 
 
 def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
@@ -179,10 +198,9 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     Equal sets are collapsed first. The others meet in tables whose keys combine one key of each of
     two collections of minhashes; a pair at the threshold is missed with probability ``miss``. A table
     is settled without emitting all its pairs: its members are compared with a pivot, and what that
-    connects needs no comparisons among itself. Where members stay apart, their shingles that no
-    other such member has are counted. These bound what two members can share, and the member
-    with the least share of them is the next pivot. At last, pairs that are still apart and that the bound
-    allows are all compared, so every link between two components has been looked at.
+    connects needs no comparisons among itself. Where members stay apart, the one whose shingles
+    most others have, as a text has that others are copies of, is the next pivot. All that are apart still are joined exactly, by prefix and positional filters over their
+    full sets, so every link between two components has been looked at.
 
     Null text: no words. Null ids: linked like others; component_id is null if no document with an
     id is in reach, and they are kept then. Rows that share an id are one document, linked by any of its
@@ -195,52 +213,44 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     read = read.withColumn("rid", F.coalesce("doc_id", F.pmod(F.xxhash64("text"), F.lit(1 << 61)) + F.lit(STAND_IN)))
     sigs = materialize(signatures(read, words=words, keys=keys))
     sets = sigs.where("n > 0")
-    nodes = sets.groupBy("d1", "d2").agg(F.min("rid").alias("node"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
-
-    rows = tables(nodes)
-    shared = materialize(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"))
-    members = materialize(rows.join(small(shared), "key", "left_semi").select("key", "node", "n"))
-    links = labels = tested = None
-    apart = members.select("key", "node", "n", F.col("node").alias("label"), F.lit(0).alias("u"))
-
-    def can_link(a, b):
-        """What a and b share is at most what each of them has not to itself."""
-        both = F.least(a["n"] - a["u"], b["n"] - b["u"])
-        return (100 * both >= percent * (a["n"] + b["n"] - both)) & (a["label"] != b["label"])
-
-    for turn in ("any", "central", "rest"):
-        one = {c: F.col(c) for c in apart.columns}
-        two = {c: F.col(f"{c}2") for c in apart.columns}
+    nodes = materialize(sets.groupBy("d1", "d2").agg(F.min("rid").alias("node"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")))
+
+    # who shares no key of the first collection is in no table with another
+    singles = nodes.select("node", F.posexplode("a").alias("i", "x")).select("node", F.xxhash64("i", "x").alias("single"))
+    shared = compact(singles.groupBy("single").agg(F.count("*").alias("members")).where("members > 1").select("single"))
+    alive = compact(singles.join(small(shared), "single", "left_semi").select("node").distinct())
+    rows = tables(nodes.join(small(alive), "node", "left_semi"))
+    shared = compact(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"))
+    members = compact(rows.join(small(shared), "key", "left_semi").select("key", "node", "n"))
+    spark = docs.sparkSession
+    links, tested, labels = spark.createDataFrame([], "x long, y long"), spark.createDataFrame([], "x long, y long"), spark.createDataFrame([], "node long, label long")
+    apart = members.select("key", "node", "n", F.col("node").alias("label"), F.lit(0.0).alias("share"))
+    for turn in ("any", "typical", "rest"):
         if turn == "rest":
-            # members that no class of their table can link with are settled; the others meet in pairs
-            kinds = apart.groupBy("key", "n", "u").agg(F.min("label").alias("low"), F.max("label").alias("high")).select(F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("u").alias("u2"), "low", "high")
-            other = F.when(F.col("low") == F.col("label"), F.col("high")).otherwise(F.col("low"))
-            left = materialize(apart.join(kinds, (F.col("key") == F.col("key2")) & can_link(one, two | {"label": other}), "left_semi"))
-            met = left.join(left.toDF(*[f"{c}2" for c in left.columns]), F.col("key") == F.col("key2")).where(F.col("node") < F.col("node2"))
+            pairs = apart_pairs(ordered.join(apart.select("node").distinct(), "node", "left_semi"), labels, percent)
         else:
-            order: Column = F.xxhash64("node") if turn == "any" else F.struct((F.col("n") - F.col("u")) / F.col("n"), F.xxhash64("node"))
-            pivots = materialize(apart.groupBy("key").agg(F.max_by(F.struct(*apart.columns), order).alias("p"))).select("p.*")
-            met = apart.join(pivots.toDF(*[f"{c}2" for c in apart.columns]), F.col("key") == F.col("key2"))
-        pairs = met.where(can_link(one, two)).select(F.least("node", "node2").alias("x"), F.greatest("node", "node2").alias("y")).distinct()
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"))
+            pivots = compact(apart.groupBy("key").agg(F.max_by(F.struct("node", "n", "label"), F.struct("share", F.xxhash64("node"))).alias("p")))
+            near_size = 100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")
+            met = apart.join(pivots, "key").where((F.col("label") != F.col("p.label")) & near_size)
+            pairs = met.select(F.least("node", "p.node").alias("x"), F.greatest("node", "p.node").alias("y")).distinct()
+        pairs = compact(pairs.join(tested, ["x", "y"], "left_anti") if turn != "any" else pairs)
         if not pairs.isEmpty():
-            found = materialize(confirm(pairs, read, words=words, percent=percent))
-            links = found if links is None else links.union(found)
-            tested = pairs if tested is None else tested.union(pairs)
-            labels = materialize(components(links))
-        if turn == "rest" or labels is None:
-            continue
+            links = links.union(compact(confirm(pairs, read, words=words, percent=percent)))
+            tested = tested.union(pairs)
+            labels = compact(components(links))
+        if turn == "rest":
+            break
         named = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        split = materialize(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"))
-        apart = materialize(named.join(small(split), "key", "left_semi"))
+        split = compact(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"))
+        apart = compact(named.join(small(split), "key", "left_semi"))
         if apart.isEmpty():
             break
-        own = materialize(private_shingles(read, materialize(apart.select(F.col("node").alias("rid")).distinct()), words))
-        apart = materialize(apart.join(small(own), "node", "left").select("key", "node", "n", "label", F.coalesce("u", F.lit(0)).alias("u")))
+        if turn == "any":
+            left = compact(apart.select(F.col("node").alias("rid")).distinct())
+            ordered = compact(prefixes(materialize(shingle_sets(read, left, words)), percent))
+        apart = compact(apart.join(ordered.select("node", "share"), "node", "left").select("key", "node", "n", "label", F.coalesce("share", F.lit(0.0)).alias("share")))
 
-    homes = nodes.select("d1", "d2", "node")
-    if links is not None:
-        homes = homes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("node"))
+    homes = nodes.select("d1", "d2", "node").join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("node"))
     out = sigs.select("doc_id", "rid", "n", "d1", "d2").join(homes, ["d1", "d2"], "left")
     label = F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("rid"))
     component = F.when(label < STAND_IN, label)
