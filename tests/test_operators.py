@@ -165,3 +165,36 @@ def test_reservations_hold_the_limit(spark):
     out = ledger.reservations(spark.createDataFrame(rows, "symbol long, ns long, seq long, action string, order_id long, lots long"), 10)
     assert [tuple(r) for r in out.orderBy("seq").select("accepted", "reserved", "inventory").collect()] == [(True, 8, 0), (False, 8, 0), (True, 5, -3), (True, 0, -3), (True, 7, -3), (False, 7, -3), (False, 0, 0)]
     assert all(r.reserved + abs(r.inventory) <= 12 for r in catalogue.reservation_ledger(spark, SF).collect())
+
+
+def test_queue_fills_equal_a_queue(spark):
+    rng = random.Random(9)
+    rows = [(1, "bid", rng.randrange(3), rng.randrange(10**14), i, rng.randrange(1, 6), rng.random() < 0.5) for i in range(200)]
+    df = spark.createDataFrame(rows, "symbol long, side string, tick long, ns long, seq long, lots long, order boolean")
+    found = {r.seq: (r.ahead, r.filled) for r in book.queue_fills(df.where("order").drop("order"), df.where("NOT order").drop("order")).collect()}
+    for tick in range(3):
+        queue, ahead, filled = [], {}, {}
+        for *_, seq, lots, order in sorted((r for r in rows if r[2] == tick), key=lambda r: r[3:5]):
+            if order:
+                ahead[seq], filled[seq] = sum(q[1] for q in queue), 0
+                queue.append([seq, lots])
+                continue
+            while queue and lots:
+                used = min(lots, queue[0][1])
+                filled[queue[0][0]] += used
+                queue[0][1] -= used
+                lots -= used
+                if not queue[0][1]:
+                    queue.pop(0)
+        assert all(found[s] == (ahead[s], filled[s]) for s in ahead)
+
+
+def test_option_books_and_quotes(spark):
+    from tidemark.plans import catalogue
+
+    rows = catalogue.option_quotes(spark, SF).collect()
+    assert rows and all(0.01 <= r.bid < r.ask for r in rows)
+    df = spark.createDataFrame([("a", 2.0, k, 100.0, 100.0, 0.5, 0.0, 0.2) for k in ("call", "put")], "book string, size double, option_type string, spot double, strike double, years double, rate double, vol double")
+    r = options.portfolio(options.with_greeks(df), ["book"]).first()
+    one = options.with_greeks(df).where("option_type = 'call'").first()
+    assert abs(r.gamma - 4 * one.gamma) < 1e-12 and abs(r.delta - 2 * (2 * one.delta - 1)) < 1e-9

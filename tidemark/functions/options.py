@@ -46,3 +46,16 @@ def with_greeks(df: DataFrame, *, spot: str = "spot", strike: str = "strike", ye
             "theta": F.when(~live, 0.0).when(call, decay - r * k * discount * n2).otherwise(decay + r * k * discount * (1 - n2)),
         }
     ).drop("_d1", "_n1", "_n2", "_pdf", "_df")
+
+
+def quotes(fair: Column, delta: Column, vega: Column, book_delta: Column, book_vega: Column, book_gamma: Column, realized_vol: Column, *, delta_weight: float, vega_weight: float, base: float, vol_weight: float, gamma_weight: float, least: float) -> tuple[Column, Column]:
+    """A dealer's bid and ask: fair value less a reservation for the book's risk, half a spread that widens with volatility and gamma; at least a cent each and apart."""
+    reservation = book_delta * delta * delta_weight + book_vega * vega * vega_weight
+    half = F.greatest(F.lit(least), base + realized_vol * vol_weight + F.abs(book_gamma) * gamma_weight)
+    bid = F.greatest(F.lit(0.01), fair - half - reservation)
+    return bid, F.greatest(bid + 0.01, fair + half - reservation)
+
+
+def portfolio(positions: DataFrame, by: list[str], size: str = "size") -> DataFrame:
+    """Sums of positions x Greeks (after :func:`with_greeks`) and of their value, per key."""
+    return positions.groupBy(*by).agg(*[F.sum(F.col(size) * F.col(g)).alias(g) for g in ("delta", "gamma", "vega", "theta")], F.sum(F.col(size) * F.col("fair")).alias("value"))

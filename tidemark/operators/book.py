@@ -51,6 +51,25 @@ def queue_ahead(orders: DataFrame) -> DataFrame:
     return running(orders, ["symbol", "side", "tick"], chunk_of("ns", 24 * 3_600_000_000_000), ["ns", "seq"], {"ahead": ("sum", F.col("lots"))}, before=True)
 
 
+def queue_fills(orders: DataFrame, consumption: DataFrame) -> DataFrame:
+    """Lots of each resting order that its level's consumption takes, first come first served: ``ahead`` at arrival and ``filled``.
+
+    ``orders`` and ``consumption``: symbol, side, tick, ns, seq, lots. What is consumed from an empty queue is lost.
+    The queue is the running sum of arrivals less consumption, reflected at zero by its running minimum;
+    what is consumed after an order's arrival takes the queue before it, then the order.
+    """
+    keys, day, place = ["symbol", "side", "tick"], 24 * 3_600_000_000_000, ["ns", "seq"]
+    mark = lambda df, delta, rest: df.select(*keys, *place, delta.alias("delta"), rest.alias("rest"))
+    events = mark(orders, F.col("lots"), F.col("lots")).unionByName(mark(consumption, -F.col("lots"), F.lit(None).cast("long")))
+    eaten = F.when(F.col("rest").isNull(), -F.col("delta")).otherwise(F.lit(0))
+    free = running(events, keys, chunk_of("ns", day), place, {"free": ("sum", F.col("delta")), "before": ("sum", eaten)})
+    low = running(free, keys, chunk_of("ns", day), place, {"low": ("min", F.col("free"))}, before=True)
+    queue = F.col("free") - F.col("delta") - F.least(F.lit(0), F.coalesce("low", F.lit(0)))
+    total = consumption.groupBy(*keys).agg(F.sum("lots").alias("total"))
+    met = low.where("rest IS NOT NULL").join(total, keys, "left").select(*keys, "seq", F.col("rest").alias("lots"), queue.alias("ahead"), (F.coalesce("total", F.lit(0)) - F.col("before")).alias("later"))
+    return met.select(*keys, "seq", "lots", "ahead", F.greatest(F.lit(0), F.least(F.col("lots"), F.col("later") - F.col("ahead"))).alias("filled"))
+
+
 def sweep(orders: DataFrame, levels: DataFrame, per_side: int = 50) -> DataFrame:
     """Fills (order, level) of takers against a frozen book: each walks the opposite levels from the best to its limit.
 

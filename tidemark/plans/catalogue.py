@@ -143,6 +143,15 @@ def queue_ahead(spark: SparkSession, sf: str) -> DataFrame:
     return book.queue_ahead(levels(spark, sf)).select("symbol", "side", "tick", "seq", "ahead")
 
 
+@query("""WITH e AS (SELECT symbol, side, tick // 500 AS tick, ns, seq, CASE kind WHEN 'view' THEN lots ELSE -lots END AS delta FROM t WHERE kind IN ('view', 'purchase')),
+x AS (SELECT *, sum(delta) OVER w AS free, coalesce(sum(CASE WHEN delta < 0 THEN -delta END) OVER w, 0) AS before, coalesce(sum(CASE WHEN delta < 0 THEN -delta END) OVER (PARTITION BY symbol, side, tick), 0) AS total FROM e WINDOW w AS (PARTITION BY symbol, side, tick ORDER BY ns, seq)),
+q AS (SELECT *, free - delta - least(0, coalesce(min(free) OVER (PARTITION BY symbol, side, tick ORDER BY ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS ahead FROM x)
+SELECT symbol, side, tick, seq, delta AS lots, ahead::BIGINT AS ahead, greatest(0, least(delta, total - before - ahead))::BIGINT AS filled FROM q WHERE delta > 0""")
+def queue_fills(spark: SparkSession, sf: str) -> DataFrame:
+    rest, take = (tape(spark, sf).where(F.col("kind") == kind).withColumn("tick", F.floor(F.col("tick") / 500)).select("symbol", "side", "tick", "ns", "seq", "lots") for kind in ("view", "purchase"))
+    return book.queue_fills(rest, take)
+
+
 @query(f"""WITH {BOOK_SQL}, o AS (SELECT symbol, seq AS order_id, side, CASE side WHEN 'bid' THEN 200 ELSE 0 END AS limit_tick, abs(lots) AS lots FROM f),
 p AS (SELECT symbol, CASE side WHEN 'bid' THEN 'ask' ELSE 'bid' END AS side, tick, lots AS level_lots,
   coalesce(sum(lots) OVER (PARTITION BY symbol, side ORDER BY CASE side WHEN 'bid' THEN -tick ELSE tick END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM b)
@@ -449,6 +458,14 @@ def options_greeks(spark: SparkSession, sf: str) -> DataFrame:
     return opt.with_greeks(priced)
 
 
+@query()
+def option_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    greeks = options_greeks(spark, sf).withColumn("size", F.when(F.col("option_type") == "call", F.col("days") % 4).otherwise(-(F.col("days") % 3)))
+    risk = opt.portfolio(greeks, ["symbol"]).select("symbol", *[F.col(g).alias(f"book_{g}") for g in ("delta", "gamma", "vega")])
+    bid, ask = opt.quotes(*[F.col(c) for c in ("fair", "delta", "vega", "book_delta", "book_vega", "book_gamma", "vol")], delta_weight=0.02, vega_weight=1e-5, base=0.5, vol_weight=2.0, gamma_weight=10.0, least=0.05)
+    return greeks.join(risk, "symbol").select("symbol", "days", "moneyness", "option_type", "fair", bid.alias("bid"), ask.alias("ask"))
+
+
 @query("""WITH c AS (SELECT symbol, k % 3 AS tenor, k % 5 AS strike, sum(lots)::BIGINT AS lots FROM f GROUP BY ALL)
 SELECT tenor, sum(lots) FILTER (strike = 0)::BIGINT AS s0, sum(lots) FILTER (strike = 1)::BIGINT AS s1, sum(lots) FILTER (strike = 2)::BIGINT AS s2, sum(lots) FILTER (strike = 3)::BIGINT AS s3, sum(lots) FILTER (strike = 4)::BIGINT AS s4 FROM c GROUP BY tenor""")
 def options_surface(spark: SparkSession, sf: str) -> DataFrame:
