@@ -94,14 +94,15 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed
     left out. Rows that are equal in id and text get their copies by their ranks among themselves.
     """
     draw = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit(""))))
-    twin = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(1)))  # noqa: E731  equal rows only
-    plan = decide(docs, id_col=id_col, text_col=text_col, seed=seed, **options)
-    plan = plan.select("draw", twin("draw").alias("_tm_twin2"), "size", "whole", (F.col("taken") - F.col("whole") * F.col("size")).alias("_tm_more")).where("whole > 0 OR _tm_more > 0")
-    plan = plan.select(F.col("draw").alias("_tm_draw2"), "_tm_twin2", F.col("size").alias("_tm_size"), F.col("whole").alias("_tm_whole"), "_tm_more")
-    marked = docs.withColumn("_tm_draw", draw).withColumn("_tm_twin", twin("_tm_draw"))
-    joined = marked.join(plan, (F.col("_tm_draw") == F.col("_tm_draw2")) & (F.col("_tm_twin") == F.col("_tm_twin2")))
-    full, part = F.transform(F.sequence(F.lit(1), F.col("_tm_whole") + 1), lambda i: F.when(i <= F.col("_tm_whole"), F.col("_tm_size")).otherwise(F.col("_tm_more"))), F.col("_tm_words")
-    copies = joined.withColumn("_tm_words", F.explode(F.filter(full, lambda n: n > 0)))
+    twin = F.row_number().over(Window.partitionBy("_tm_draw").orderBy(F.lit(1)))  # equal rows only
+    plan = decide(docs, id_col=id_col, text_col=text_col, seed=seed, **options).withColumnRenamed("draw", "_tm_draw")
+    plan = plan.select("_tm_draw", twin.alias("twin"), "size", F.col("whole").cast("int").alias("whole"), (F.col("taken") - F.col("whole") * F.col("size")).alias("more")).where("whole > 0 OR more > 0")
+    plan = plan.groupBy("_tm_draw").agg(F.collect_list(F.struct("twin", "size", "whole", "more")).alias("_tm_shares"))
+    # one shuffle of the texts, by draw: it serves the numbering of equal rows and the join
+    joined = docs.withColumn("_tm_draw", draw).withColumn("_tm_twin", twin).join(plan, "_tm_draw")
+    own = joined.withColumn("_tm_share", F.explode(F.filter("_tm_shares", lambda s: s["twin"] == F.col("_tm_twin"))))
+    parts = F.concat(F.array_repeat("_tm_share.size", F.col("_tm_share.whole")), F.array("_tm_share.more"))
+    copies = own.withColumn("_tm_words", F.explode(F.filter(parts, lambda n: n > 0)))
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0))
-    cut = F.array_join(F.slice(pieces, F.lit(1), part.cast("int")), "")
-    return copies.withColumn(text_col, F.when(part < F.col("_tm_size"), cut).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_tm_words").cast("int")), "")
+    return copies.withColumn(text_col, F.when(F.col("_tm_words") < F.col("_tm_share.size"), cut).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])
