@@ -162,11 +162,11 @@ def taker_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return book.sweep(o, book.book(levels(spark, sf)))
 
 
-@query("""WITH d AS (SELECT * FROM l WHERE lots <= 1), r AS (SELECT symbol, CASE WHEN tick < 2000 THEN 'bid' ELSE 'ask' END AS side, tick // 100 AS tick, ns, seq, lots FROM t WHERE kind = 'purchase')
-SELECT d.symbol, d.side, d.tick, d.seq AS depth_seq, r.seq AS trade_seq, d.ns - r.ns AS age_ns FROM d JOIN r ON d.symbol = r.symbol AND d.side = r.side AND d.tick = r.tick AND d.ns BETWEEN r.ns AND r.ns + 86400000000000""")
+@query("""WITH g AS (SELECT *, coalesce(lag(lots) OVER (PARTITION BY symbol, side, tick ORDER BY ns, seq), 0) AS p FROM l), d AS (SELECT * FROM g WHERE lots < p), r AS (SELECT symbol, CASE WHEN tick < 2000 THEN 'bid' ELSE 'ask' END AS side, tick // 100 AS tick, ns, seq, lots FROM t WHERE kind = 'purchase')
+SELECT d.symbol, d.side, d.tick, d.seq AS depth_seq, r.seq AS trade_seq, d.ns - r.ns AS age_ns FROM d JOIN r ON d.symbol = r.symbol AND d.side = r.side AND d.tick = r.tick AND d.ns BETWEEN r.ns AND r.ns + 864000000000000""")
 def overlap_candidates(spark: SparkSession, sf: str) -> DataFrame:
     trades = tape(spark, sf).where("kind = 'purchase'").select("symbol", F.when(F.col("tick") < 2000, "bid").otherwise("ask").alias("side"), F.floor(F.col("tick") / 100).alias("tick"), "ns", "seq", "lots")
-    met = book.overlap_candidates(levels(spark, sf).where("lots <= 1"), trades, 24 * HOUR)
+    met = book.overlap_candidates(book.level_changes(levels(spark, sf)).where("lots < previous_lots"), trades, 240 * HOUR)
     return met.select("symbol", "side", "tick", "depth_seq", "trade_seq", (F.col("depth_ns") - F.col("trade_ns")).alias("age_ns"))
 
 
@@ -376,13 +376,13 @@ def filled_semi(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", "o_orderstatus").join(returned, "o_orderkey", "left_semi")
 
 
-@query("""WITH live AS (SELECT symbol, side, max(tick) AS tick FROM f GROUP BY ALL), want AS (SELECT symbol, side, min(tick) AS tick FROM t WHERE kind = 'view' AND k < 80 GROUP BY ALL)
-SELECT coalesce(live.symbol, want.symbol) AS symbol, coalesce(live.side, want.side) AS side, CASE WHEN want.tick IS NULL THEN 'cancel' WHEN live.tick IS NULL THEN 'new' WHEN live.tick <> want.tick THEN 'replace' ELSE 'keep' END AS action
-FROM live FULL JOIN want ON live.symbol = want.symbol AND live.side = want.side""")
+@query("""WITH live AS (SELECT symbol, side, abs(lots) AS slot, max(tick) AS tick FROM f GROUP BY ALL), want AS (SELECT symbol, side, lots AS slot, min(tick) AS tick FROM t WHERE kind = 'view' GROUP BY ALL)
+SELECT coalesce(live.symbol, want.symbol) AS symbol, coalesce(live.side, want.side) AS side, coalesce(live.slot, want.slot) AS slot, CASE WHEN want.tick IS NULL THEN 'cancel' WHEN live.tick IS NULL THEN 'new' WHEN live.tick <> want.tick THEN 'replace' ELSE 'keep' END AS action
+FROM live FULL JOIN want ON live.symbol = want.symbol AND live.side = want.side AND live.slot = want.slot""")
 def quote_reconcile(spark: SparkSession, sf: str) -> DataFrame:
-    live = fill_rows(spark, sf).groupBy("symbol", "side").agg(F.max("tick").alias("tick"))
-    want = tape(spark, sf).where("kind = 'view' AND k < 80").groupBy("symbol", "side").agg(F.min("tick").alias("tick"))
-    return audit.reconcile(live, want, ["symbol", "side"], "tick")
+    live = fill_rows(spark, sf).groupBy("symbol", "side", F.abs("lots").alias("slot")).agg(F.max("tick").alias("tick"))
+    want = tape(spark, sf).where("kind = 'view'").groupBy("symbol", "side", F.col("lots").alias("slot")).agg(F.min("tick").alias("tick"))
+    return audit.reconcile(live, want, ["symbol", "side", "slot"], "tick")
 
 
 @query("""WITH a AS (SELECT symbol, seq, row_number() OVER (PARTITION BY symbol ORDER BY ns, seq) AS n FROM t WHERE kind = 'purchase'), b AS (SELECT symbol, seq, row_number() OVER (PARTITION BY symbol ORDER BY ns, seq) AS n FROM t WHERE kind = 'click')
@@ -409,10 +409,10 @@ def canonical_list_hash(spark: SparkSession, sf: str) -> DataFrame:
     return audit.list_hash(fill_rows(spark, sf), ["symbol"], ["ns", "seq"], F.to_json(F.struct("seq", "tick")))
 
 
-@query("""WITH a AS (SELECT DISTINCT symbol FROM t WHERE kind = 'view' AND k < 10), b AS (SELECT DISTINCT symbol FROM t WHERE kind = 'click' AND k < 10)
+@query("""WITH a AS (SELECT DISTINCT symbol, k FROM t WHERE kind = 'view'), b AS (SELECT DISTINCT symbol, k FROM t WHERE kind = 'click')
 SELECT 'union' AS op, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'only_left', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'only_right', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def set_ops(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = (tape(spark, sf).where((F.col("kind") == kind) & (F.col("k") < 10)).select("symbol").distinct() for kind in ("view", "click"))
+    a, b = (tape(spark, sf).where(F.col("kind") == kind).select("symbol", "k").distinct() for kind in ("view", "click"))
     found = {"union": a.union(b).distinct(), "only_left": a.exceptAll(b), "only_right": b.exceptAll(a)}
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(op).alias("op"), "n") for op, df in found.items()]
     return parts[0].union(parts[1]).union(parts[2])
@@ -540,10 +540,10 @@ def claim_gate(spark: SparkSession, sf: str) -> DataFrame:
     return audit.claims(v.withColumn("trade_required", F.col("symbol") % 2 == 0)).select("symbol", "execution_valid", "claim_ready")
 
 
-@query("SELECT kind AS name, count(*) AS runs, count(DISTINCT k % 2) = 1 AS deterministic FROM t WHERE k % 10 = 2 OR kind = 'view' GROUP BY kind")
+@query("SELECT kind AS name, count(*) AS runs, count(DISTINCT CASE kind WHEN 'view' THEN k ELSE 0 END) = 1 AS deterministic FROM t GROUP BY kind")
 def determinism(spark: SparkSession, sf: str) -> DataFrame:
-    t = tape(spark, sf).where("k % 10 = 2 OR kind = 'view'")
-    return audit.deterministic(t.select(F.col("kind").alias("name"), (F.col("k") % 2).alias("digest")))
+    digest = F.when(F.col("kind") == "view", F.col("k")).otherwise(0)
+    return audit.deterministic(tape(spark, sf).select(F.col("kind").alias("name"), digest.alias("digest")))
 
 
 @query("""WITH d AS (SELECT *, tick - lag(tick) OVER (PARTITION BY symbol ORDER BY ns, seq) AS drift FROM f)
