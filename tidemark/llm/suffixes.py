@@ -342,13 +342,15 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     Removes every byte covered by a string of ``length`` bytes that also starts anywhere else in the
     table, the same text included (overlaps count); matches lie within texts and are judged on the input.
 
-    Null text: empty. Texts shorter than ``length``: kept whole. Null ids: documents like others.
+    Null text: empty. Texts shorter than ``length``: kept whole. Ids are integers; null ones (and the
+    lowest 64-bit number, which stands in for them and comes back as null) are documents like others.
     Repeated rows: each other's copies. Empty table: empty result. Long texts are read in overlapping
     slices. Other columns are not read.
     """
     text = text_of(text_col)
-    read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("kid"), F.xxhash64(text).alias("mark"), F.encode(text, "UTF-8").alias("bytes"))
-    spans = repeated_spans(read.select("kid", "mark", "bytes"), length)
+    # spans and result read texts by the same keys and columns, so one shuffle of them serves both
+    read = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("kid"), F.xxhash64(text).alias("mark"), F.encode(text, "UTF-8").alias("bytes"))
+    spans = repeated_spans(read, length)
     spans = spans.groupBy("kid", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,8 +368,8 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
                 removed.append(len(data) - len(kept[-1]))
                 runs.append(n)
             sizes = pa.array([len(k) + r for k, r in zip(kept, removed, strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), sizes, pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], names=["id", "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), sizes, pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], names=["kid", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    joined = read.join(spans, ["kid", "mark"], "left").select("id", "bytes", "spans")
-    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    return joined.mapInArrow(run, f"id {kind}, kept binary, n_bytes long, n_removed long, n_spans long").withColumnRenamed("id", id_col)
+    joined = read.join(spans, ["kid", "mark"], "left").select("kid", "bytes", "spans")
+    out = joined.mapInArrow(run, "kid long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return out.select(F.when(F.col("kid") != LOWEST, F.col("kid")).cast(docs.schema[id_col].dataType).alias(id_col), "kept", "n_bytes", "n_removed", "n_spans")
