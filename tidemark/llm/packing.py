@@ -79,7 +79,7 @@ def token_lengths(docs: DataFrame, *, id_col: str, text_col: str, window: int, p
     return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(run, TOKENS)
 
 
-def combinations(lengths: np.ndarray, window: int, fillers: int = 24) -> list[tuple[int, ...]]:
+def combinations(lengths: np.ndarray, window: int, fillers: int = 64) -> list[tuple[int, ...]]:
     """Shallow combinations of the given lengths (with their counts) that fill a window: all pairs, and triples with one of the ``fillers`` most common lengths."""
     there = set(np.nonzero(lengths)[0].tolist())
     found = {(a, window - a) for a in there if a <= window - a and window - a in there}
