@@ -26,7 +26,7 @@ def collection_size(similarity: float, miss: float) -> int:
 class Shingler:
     """Distinct word shingles of a text as sorted 64-bit hashes; words A-Z lower-cased, cut at ASCII white space."""
 
-    def __init__(self, words: int, cache: int = 1 << 20) -> None:
+    def __init__(self, words: int, cache: int = 1 << 17) -> None:
         self.words, self.cache, self.known = words, cache, {}
 
     def __call__(self, text: str) -> np.ndarray:
@@ -67,8 +67,8 @@ def signatures(docs: DataFrame, *, words: int, keys: int, seed: int = 7) -> Data
         shingle = Shingler(words)
         for batch in batches:
             sizes, digests, sides = [], [], ([], [])
-            for text in batch.column(2).to_pylist():
-                s = shingle(text)
+            for text in batch.column(2):
+                s = shingle(text.as_py())
                 sizes.append(len(s))
                 digests.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8"))
                 least = minhashes(s, factors).reshape(2, keys, BANDS) if len(s) else np.zeros((2, 0, BANDS), np.uint64)
@@ -96,8 +96,10 @@ def shingle_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
-            found = [shingle(text).tobytes() for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rid", "shingles"])
+            for i in range(0, batch.num_rows, 512):  # sets are larger than texts: small batches of them
+                part = batch.slice(i, 512)
+                found = [shingle(text.as_py()).tobytes() for text in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["rid", "shingles"])
 
     return docs.join(small(needed), "rid", "left_semi").select("rid", "text").mapInArrow(sets, "rid long, shingles binary")
 
