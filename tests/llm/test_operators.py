@@ -417,6 +417,17 @@ def test_licenses_equal_a_word_by_word_search(spark, docs):
     assert found == wanted and wanted
 
 
+def test_licenses_are_found_anywhere_in_a_long_line():
+    scanner, rng = licenses.Scanner(), random.Random(5)
+    plain = ["the", "river", "free", "of", "any", "work", "person", "under", "terms", "and", "to", "copy", "notice", "house", "year", "without"]
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            for before, after in ((60, 0), (300, 0), (120, 120), (0, 300)):
+                line = [" ".join(rng.choice(plain) for _ in range(n)) for n in (before, after)]
+                found = scanner(f"{line[0]}. {text} {line[1]}")
+                assert [(n.license, n.differences, n.start) for n in found] == [(name, 0, len(line[0]) + 2)]
+
+
 def test_spread_rank_is_a_dense_rank(spark):
     df = spark.range(500).select("id", (F.col("id") % 3).alias("p")).cache()
     rows = spread_rank(df, ["p"], F.xxhash64("id"), ["id"], "r", buckets=7).collect()

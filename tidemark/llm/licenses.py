@@ -1,8 +1,9 @@
-"""License scans by conditional compression, confirmed by exact wording differences."""
+"""License scans by exact wording differences around cues, ranked by conditional compression."""
 
 from __future__ import annotations
 
-import difflib
+import bisect
+import heapq
 import re
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
@@ -45,7 +46,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "all-rights-reserved": ("All rights reserved.",),
 }
-#: Lower-case stems of which every template has one in its first words.
+#: Lower-case stems of the words that templates are looked for by, the rarest first.
+STEMS = ("mozilla", "unencumbered", "domain", "reserved", "redistribut", "permission", "permit", "sublicen", "furnish", "merge", "restriction", "gnu", "foundation", "distribut", "copyright", "binary", "licen")
 CUES = ("licen", "public domain", "rights reserved", "permission", "redistribut", "mozilla")
 TOKEN = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
@@ -63,77 +65,97 @@ def tokens(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in TOKEN.finditer(text)]
 
 
-def differences(template: Sequence[str], words: Sequence[str]) -> tuple[int, int, int]:
-    """Words to insert, delete or replace so that a stretch of ``words`` reads as the template, and that stretch."""
-    blocks = [b for b in difflib.SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if b.size]
-    if not blocks:
-        return len(template), 0, 0
-    first, last = blocks[0], blocks[-1]
-    missing = first.a + len(template) - last.a - last.size
-    gaps = sum(max(b.a - a.a - a.size, b.b - a.b - a.size) for a, b in zip(blocks, blocks[1:]))
-    return missing + gaps, first.b, last.b + last.size
+def reading(template: Sequence[str], words: Sequence[str], most: int) -> tuple[int, int]:
+    """Least number of words to insert, delete or replace so that some first words of ``words`` read as the template, and how many these are.
+
+    Exact up to ``most``; anything above stands for more.
+    """
+    n = len(template)
+    if list(words[:n]) == list(template):
+        return 0, n
+    words, never = words[: n + most], most + 1
+    row = [min(j, never) for j in range(len(words) + 1)]
+    for i, own in enumerate(template, 1):
+        last, row = row, [never] * len(row)
+        for j in range(max(0, i - most), min(len(words), i + most) + 1):
+            cost = last[j] + 1
+            if j:
+                cost = min(cost, row[j - 1] + 1, last[j - 1] + (own != words[j - 1]))
+            row[j] = min(cost, never)
+        if min(row) > most:
+            return never, 0
+    cost = min(row)
+    return cost, row.index(cost)
 
 
 class Scanner:
-    """Notices of a text: blocks that begin at a line with a cue or one before it, ranked by compression, confirmed by wording."""
+    """Notices of a text: stretches around a cue that read as a template, within ``tolerance`` of its words.
+
+    Up to d words of a template may differ, so one of any d + 1 of them is in the text as it is: each template has d + 1
+    cues, and a window of its own length around each of them in the text is aligned with it, so no notice within the tolerance is missed.
+    """
 
-    def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, *, tolerance: float = 0.1, ranked: int = 4) -> None:
-        self.tolerance, self.ranked = tolerance, ranked
+    def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, *, tolerance: float = 0.1) -> None:
         self.known = [(name, [w for w, _, _ in tokens(text)], self._packer(text)) for name, texts in templates.items() for text in texts]
+        self.most = [int(tolerance * len(words)) for _, words, _ in self.known]
         self.plain = self._packer("")
+        self.anchors: dict[str, list[tuple[int, int]]] = {}
+        for k, (_, words, _) in enumerate(self.known):
+            rare = sorted(range(len(words)), key=lambda t: (next((i for i, s in enumerate(STEMS) if s in words[t]), len(STEMS)), -len(words[t])))
+            for t in rare[: self.most[k] + 1]:
+                self.anchors.setdefault(words[t], []).append((k, t))
 
     @staticmethod
     def _packer(text: str) -> zstandard.ZstdCompressor:
         raw = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) if text else None
         return zstandard.ZstdCompressor(level=19, dict_data=raw, write_content_size=False, write_dict_id=False)
 
-    def block(self, line: str, rest: list[str], n_words: int) -> str:
-        """The line, and the lines after it as far as a template of ``n_words`` words may reach."""
-        parts, size = [line], len(line.split())
-        for more in rest:
-            if size >= n_words * (1 + self.tolerance) + 1:
-                break
-            parts.append(more)
-            size += len(more.split())
-        return "\n".join(parts)
+    def around(self, words: list[str], p: int, k: int, t: int, low: int, high: int) -> tuple[int, int, int] | None:
+        """Differences and stretch, within ``low`` and ``high``, of template ``k`` read with its word ``t`` at ``p``; None beyond the tolerance."""
+        own, most = self.known[k][1], self.most[k]
+        ahead, a = reading(own[:t][::-1], words[max(low, p - t - most) : p][::-1], most)
+        if ahead > most:
+            return None
+        after, b = reading(own[t + 1 :], words[p + 1 : min(high, p + len(own) - t + most)], most - ahead)
+        return (ahead + after, p - a, p + 1 + b) if ahead + after <= most else None
 
     def __call__(self, text: str) -> list[Notice]:
-        lines, found, at = text.split("\n"), [], 0
-        for i, line in enumerate(lines):
-            done = found and found[-1].start + found[-1].length > at
-            if not done and any(cue in line.lower() for cue in CUES):
-                here = self.match(line, lines[i + 1 : i + 60], i, at)
-                if not here and i:  # a notice that was broken before its cue
-                    here = self.match(lines[i - 1], lines[i : i + 60], i - 1, at - len(lines[i - 1]) - 1)
-                found += here
-            at += len(line) + 1
-        return found
-
-    def match(self, line: str, rest: list[str], number: int, at: int) -> list[Notice]:
-        scored, cache = [], {}
-        for k, (_, words, packer) in enumerate(self.known):
-            block = self.block(line, rest, len(words))
-            if block not in cache:
-                data = block.lower().encode()
-                cache[block] = data, len(self.plain.compress(data)), tokens(block)
-            data, alone, _ = cache[block]
-            scored.append((alone - len(packer.compress(data)), -k, block))
-        best: Notice | None = None
-        for saved, k, block in sorted(scored, reverse=True)[: self.ranked]:
-            name, words, _ = self.known[-k]
-            own = cache[block][2]
-            differ, a, b = differences(words, [w for w, _, _ in own])
-            if saved > 0 and differ <= self.tolerance * len(words) and (best is None or (differ, -(own[b - 1][2] - own[a][1])) < (best.differences, -best.length)):
-                best = Notice(number, at + own[a][1], own[b - 1][2] - own[a][1], name, differ, saved)
-        return [best] if best else []
-
-
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.1, ranked: int = 4) -> DataFrame:
+        own = tokens(text)
+        words = [w for w, _, _ in own]
+        queue: list[tuple] = []
+
+        def offer(p: int, k: int, t: int, low: int, high: int) -> None:
+            here = self.around(words, p, k, t, low, high)
+            if here:
+                differ, a, b = here
+                data = text[own[a][1] : own[b - 1][2]].lower().encode()
+                saved = len(self.plain.compress(data)) - len(self.known[k][2].compress(data))
+                heapq.heappush(queue, (differ, own[a][1] - own[b - 1][2], -saved, a, b, k, p, t))
+
+        for p, word in enumerate(words):
+            for k, t in self.anchors.get(word, ()):
+                offer(p, k, t, 0, len(words))
+        taken: list[tuple[int, int, Notice]] = []
+        while queue:
+            differ, length, saved, a, b, k, p, t = heapq.heappop(queue)
+            i = bisect.bisect_right(taken, p, key=lambda n: n[0])
+            low = taken[i - 1][1] if i else 0
+            high = taken[i][0] if i < len(taken) else len(words)
+            if p >= low and (a < low or b > high):  # reaches into a closer notice: what is left beside that
+                offer(p, k, t, low, high)
+            elif p >= low:
+                line = text.count("\n", 0, own[a][1])
+                if all(n.line != line for *_, n in taken):
+                    taken.insert(i, (a, b, Notice(line, own[a][1], -length, self.known[k][0], differ, -saved)))
+        return [n for *_, n in taken]
+
+
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.1) -> DataFrame:
     """One row per notice: id, line (from 0), start, length (code points), license, differences (words), saved (bytes).
 
-    Lines with a cue, or else the lines before them, begin a block as long as the template needs. Each template, as a raw zstandard
-    dictionary, compresses the block; the ``ranked`` templates that save most are compared with it word by word,
-    and the closest one is confirmed if at most ``tolerance`` of its words differ. Cues are looked for in
+    Every template is aligned word by word with windows of its own length around its cues, and confirmed if at most
+    ``tolerance`` of its words differ. Of notices that overlap, the one with the fewest differences stays, then the longest one, then the one
+    whose template, as a raw zstandard dictionary, saves most bytes of it. Cues are looked for in
     the JVM, so only texts that have one reach Python.
 
     Null or empty text: no rows. Null ids pass through. Repeated rows: their notices repeat. A line
@@ -142,7 +164,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tol
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(tolerance=tolerance, ranked=ranked)
+        scanner = Scanner(tolerance=tolerance)
         for batch in batches:
             found = [(i, n) for i, text in enumerate(batch.column(1).to_pylist()) for n in scanner(text)]
             columns = [pa.array([n[k] for _, n in found], pa.string() if k == 3 else pa.int64()) for k in range(6)]
