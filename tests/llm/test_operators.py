@@ -428,6 +428,18 @@ def test_licenses_are_found_anywhere_in_a_long_line():
                 assert [(n.license, n.differences, n.start) for n in found] == [(name, 0, len(line[0]) + 2)]
 
 
+def test_licenses_of_one_line_are_all_found():
+    scanner = licenses.Scanner()
+    every = [(name, text) for name, texts in licenses.TEMPLATES.items() for text in texts]
+    for name, text in every:
+        for other, more in every:
+            found = scanner(f"{text} {more}")
+            assert [(n.license, n.differences, n.line, n.start) for n in found] == [(name, 0, 0, 0), (other, 0, 0, len(text) + 1)]
+    assert [(n.line, n.license) for n in scanner("x Released under the\nMIT License. All rights\nreserved.")] == [(0, "MIT"), (1, "all-rights-reserved")]
+    whole = scanner(" ".join(text for _, text in every))
+    assert [n.license for n in whole] == [name for name, _ in every]
+
+
 def test_spread_rank_is_a_dense_rank(spark):
     df = spark.range(500).select("id", (F.col("id") % 3).alias("p")).cache()
     rows = spread_rank(df, ["p"], F.xxhash64("id"), ["id"], "r", buckets=7).collect()

@@ -144,9 +144,7 @@ class Scanner:
             if p >= low and (a < low or b > high):  # reaches into a closer notice: what is left beside that
                 offer(p, k, t, low, high)
             elif p >= low:
-                line = text.count("\n", 0, own[a][1])
-                if all(n.line != line for *_, n in taken):
-                    taken.insert(i, (a, b, Notice(line, own[a][1], -length, self.known[k][0], differ, -saved)))
+                taken.insert(i, (a, b, Notice(text.count("\n", 0, own[a][1]), own[a][1], -length, self.known[k][0], differ, -saved)))
         return [n for *_, n in taken]
 
 
@@ -159,8 +157,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tol
     the JVM, so only texts that have one reach Python.
 
     Null or empty text: no rows. Null ids pass through. Repeated rows: their notices repeat. A line
-    with several notices yields the closest. Very long texts are read line by line. Empty table:
-    empty result. Other columns are not read.
+    with several notices yields all of them. Empty table: empty result. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
