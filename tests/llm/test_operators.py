@@ -440,6 +440,16 @@ def test_licenses_of_one_line_are_all_found():
     assert [n.license for n in whole] == [name for name, _ in every]
 
 
+@pytest.mark.parametrize("mark", ["\n", "  ", "\n# ", "\r\n * "])
+def test_licenses_broken_at_any_word(spark, mark):
+    rows = []
+    for name, texts in licenses.TEMPLATES.items():
+        for words in (text.split() for text in texts):
+            rows += [(f"{name} {len(rows) + i}", " ".join(words[:i]) + mark + " ".join(words[i:])) for i in range(1, len(words))]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id, r.license, r.differences) for r in found) == sorted((i, i.split()[0], 0) for i, _ in rows)
+
+
 def test_spread_rank_is_a_dense_rank(spark):
     df = spark.range(500).select("id", (F.col("id") % 3).alias("p")).cache()
     rows = spread_rank(df, ["p"], F.xxhash64("id"), ["id"], "r", buckets=7).collect()

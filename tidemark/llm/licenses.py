@@ -48,7 +48,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 #: Lower-case stems of the words that templates are looked for by, the rarest first.
 STEMS = ("mozilla", "unencumbered", "domain", "reserved", "redistribut", "permission", "permit", "sublicen", "furnish", "merge", "restriction", "gnu", "foundation", "distribut", "copyright", "binary", "licen")
-CUES = ("licen", "public domain", "rights reserved", "permission", "redistribut", "mozilla")
 TOKEN = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
@@ -153,8 +152,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tol
 
     Every template is aligned word by word with windows of its own length around its cues, and confirmed if at most
     ``tolerance`` of its words differ. Of notices that overlap, the one with the fewest differences stays, then the longest one, then the one
-    whose template, as a raw zstandard dictionary, saves most bytes of it. Cues are looked for in
-    the JVM, so only texts that have one reach Python.
+    whose template, as a raw zstandard dictionary, saves most bytes of it. Cues are single words, so white space, line ends and
+    comment marks between words don't hide a notice; they are looked for in the JVM, so only texts that have one reach Python.
 
     Null or empty text: no rows. Null ids pass through. Repeated rows: their notices repeat. A line
     with several notices yields all of them. Empty table: empty result. Other columns are not read.
@@ -169,7 +168,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tol
 
     low = F.lower(text_col)
     cued = F.lit(False)
-    for cue in CUES:
+    for cue in sorted({next((s for s in STEMS if s in word), word) for word in Scanner(tolerance=tolerance).anchors}):
         cued = cued | F.contains(low, F.lit(cue))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return docs.where(cued).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, line long, start long, length long, license string, differences long, saved long").withColumnRenamed("id", id_col)
