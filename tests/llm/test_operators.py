@@ -316,6 +316,18 @@ def test_quality_estimates_resist_outliers(spark):
     assert abs(quality.chi2_quantile(0.95) - 9.487729) < 1e-5
 
 
+def test_each_quality_statistic_rejects_on_its_own(spark):
+    plain = lambda i, n: [f"word{i}x{k}"[-7:] for k in range(n)]
+    rows = [(i, " ".join(plain(i, 200))) for i in range(60)]
+    rows.append((60, " ".join(plain(60, 760) + 30 * plain(61, 8))))  # 24 % in repeated windows
+    rows.append((61, "\n".join(w for k, own in enumerate(plain(61, 140)) for w in ([own, "again22"] if k < 61 else [own]))))  # 60 duplicate lines
+    rows.append((62, " ".join(w + "#" * (k % 3 == 0) for k, w in enumerate(plain(62, 200)))))
+    rows.append((63, " ".join(w * 4 for w in plain(63, 200))))
+    judged = {r.id: r for r in quality.judge(spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert all(judged[i].kept for i in range(60))
+    assert not any(judged[i].base_failed or judged[i].kept for i in (60, 61, 62, 63))
+
+
 def test_quality_keeps_labelled_good_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -11,8 +11,8 @@ from .common import WS, WS_RUN, materialize, small, text_of, word_count
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-#: Standard deviations below which no dimension's spread is trusted, in the order of ``vector``.
-FLOORS = (0.04, 0.35, 0.6, 0.6)
+#: Standard deviations below which no dimension's spread is trusted, in the order of ``vector``; small enough that each dimension alone can reject.
+FLOORS = (0.04, 0.35, 0.5, 0.5)
 DIMS = range(len(FLOORS))
 SCALE = 1000  # statistics are kept as integers of 1/1000, so that sums are exact in any order
 STEPS_PER_OCTAVE = 64
