@@ -167,6 +167,22 @@ def test_reservations_hold_the_limit(spark):
     assert all(r.reserved + abs(r.inventory) <= 12 for r in catalogue.reservation_ledger(spark, SF).collect())
 
 
+def test_sweeps_walk_all_levels(spark):
+    rng = random.Random(3)
+    levels = [(s, side, tick, rng.randrange(1, 9)) for s in ("a", "b") for side, ticks in (("bid", range(1, 201)), ("ask", range(301, 501))) for tick in ticks]
+    orders = [(rng.choice("ab"), i, rng.choice(("bid", "ask")), rng.randrange(600), rng.choice((0, 1, 7, 64, 500, 2000))) for i in range(200)]
+    wanted = []
+    for symbol, i, side, limit, rest in orders:
+        for _, _, tick, lots in sorted((x for x in levels if x[0] == symbol and x[1] != side), key=lambda x: x[2], reverse=side == "ask"):
+            if rest <= 0 or (tick > limit if side == "bid" else tick < limit):
+                break
+            wanted.append((symbol, i, side, tick, min(rest, lots)))
+            rest -= min(rest, lots)
+    df = spark.createDataFrame(orders, "symbol string, order_id long, side string, limit_tick long, lots long")
+    found = book.sweep(df, spark.createDataFrame(levels, "symbol string, side string, tick long, lots long")).collect()
+    assert sorted(map(tuple, found)) == sorted(wanted) and max(n for n in np.bincount([r.order_id for r in found])) > 50
+
+
 def test_queue_fills_equal_a_queue(spark):
     rng = random.Random(9)
     rows = [(1, "bid", rng.randrange(3), rng.randrange(10**14), i, rng.randrange(1, 6), rng.random() < 0.5) for i in range(200)]

@@ -70,19 +70,21 @@ def queue_fills(orders: DataFrame, consumption: DataFrame) -> DataFrame:
     return met.select(*keys, "seq", "lots", "ahead", F.greatest(F.lit(0), F.least(F.col("lots"), F.col("later") - F.col("ahead"))).alias("filled"))
 
 
-def sweep(orders: DataFrame, levels: DataFrame, per_side: int = 50) -> DataFrame:
+def sweep(orders: DataFrame, levels: DataFrame) -> DataFrame:
     """Fills (order, level) of takers against a frozen book: each walks the opposite levels from the best to its limit.
 
     ``orders``: symbol, order_id, side, limit_tick, lots; ``levels``: symbol, side, tick, lots. Prefix sums
-    of the levels stand in for the walk. Takers don't see each other. At most ``per_side`` levels a side are walked.
+    of the levels stand in for the walk, however many levels it takes. Takers don't see each other. Orders meet levels by the
+    number of binary digits of the lots ahead of these, so an order meets only levels within about twice its lots.
     """
     way = F.when(F.col("side") == "bid", -F.col("tick")).otherwise(F.col("tick"))
     up = Window.partitionBy("symbol", "side").orderBy(way)
     ahead = F.coalesce(F.sum("lots").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    opposite = levels.withColumns({"ahead": ahead, "n": F.row_number().over(up)}).where(F.col("n") <= per_side)
-    opposite = opposite.select("symbol", F.when(F.col("side") == "bid", "ask").otherwise("bid").alias("side"), "tick", F.col("lots").alias("level_lots"), "ahead")
+    digits = lambda c: F.length(F.bin(c))
+    opposite = levels.withColumn("ahead", ahead).select("symbol", F.when(F.col("side") == "bid", "ask").otherwise("bid").alias("side"), "tick", F.col("lots").alias("level_lots"), "ahead", digits(F.col("ahead")).alias("reach"))
     in_limit = F.when(F.col("side") == "bid", F.col("tick") <= F.col("limit_tick")).otherwise(F.col("tick") >= F.col("limit_tick"))
-    met = orders.join(opposite, ["symbol", "side"]).where(in_limit & (F.col("ahead") < F.col("lots")))
+    takers = orders.where("lots > 0").withColumn("reach", F.explode(F.sequence(F.lit(1), digits(F.col("lots") - 1))))
+    met = takers.join(opposite, ["symbol", "side", "reach"]).where(in_limit & (F.col("ahead") < F.col("lots")))
     return met.select("symbol", "order_id", "side", "tick", F.least("level_lots", F.col("lots") - F.col("ahead")).alias("fill_lots"))
 
 
