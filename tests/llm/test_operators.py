@@ -185,6 +185,21 @@ def test_shards_are_even_and_keep_copies_together(spark, edge, docs):
         assert r.size == len(texts[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode())
 
 
+def test_pairs_stay_together_where_every_document_has_a_copy(spark):
+    rows = sharding.shard(spark.createDataFrame([(i, f"pair {i // 2}") for i in range(4800)], "doc_id long, text string")).collect()
+    assert set(collections.Counter(r.shard for r in rows).values()) == {200}
+    where = {r.doc_id: r.shard for r in rows}
+    split = sum(where[i] != where[i + 1] for i in range(0, 4800, 2))
+    assert split <= 120, "at most a twentieth"
+
+
+def test_grants_count_what_leaves():
+    assert sharding.grants([(0, 1, 0, 5), (1, 0, 0, 5)], [0, 0]) == {(1, 0): 1.0, (0, 0): 1.0}
+    part = sharding.grants([(0, 1, 0, 8), (1, 0, 0, 2), (1, 0, 2, 4)], [0, 2])
+    assert part == {(1, 0): 1.0, (0, 0): 1.0, (0, 2): 1.0}
+    assert sharding.grants([(0, 1, 0, 8)], [0, -1]) == {(1, 0): 0.0}
+
+
 def components(texts, words, percent):
     sets = []
     for t in texts:

@@ -10,35 +10,58 @@ from .common import materialize, spread_rank, text_of
 GROUP = ["g1", "g2"]
 
 
-def propagate(state: DataFrame, room: dict[int, int], rounds: int = 4) -> DataFrame:
-    """Move linked documents towards the shard that most of their neighbours are in.
+def grants(wished: list[tuple[int, int, int, int]], free: list[int]) -> dict[tuple[int, int], float]:
+    """Part granted of the wishes for each (shard, class), given (from, to, class, n) and each shard's free room.
+
+    What leaves a shard makes room in it. All wishes are granted at first and parts are taken back until no shard
+    gets more than its room and what leaves it, so moves in a circle stay. Within a shard classes are served from small to large.
+    """
+    sums: dict[tuple[int, int], int] = {}
+    for _, to, kind, n in wished:
+        sums[to, kind] = sums.get((to, kind), 0) + n
+    part = dict.fromkeys(sums, 1.0)
+    while True:
+        left = [float(x) for x in free]
+        for start, to, kind, n in wished:
+            left[start] += n * part[to, kind]
+        after = {}
+        for to, kind in sorted(sums):
+            after[to, kind] = max(0.0, min(part[to, kind], left[to] / sums[to, kind]))
+            left[to] -= sums[to, kind] * after[to, kind]
+        moved = sum((part[k] - after[k]) * sums[k] for k in sums)
+        part = after
+        if moved < 0.5:
+            return part
+
+
+def propagate(state: DataFrame, room: dict[int, int]) -> DataFrame:
+    """Move linked documents towards the shard that most of their neighbours are in, until none moves.
 
     ``state`` has a row (g1, g2, shard, n) for the n documents of a link group in a shard: they have
     the same neighbours, so they have the same wish. ``room`` is each shard's capacity. A round joins
-    the groups with their fullest shards, sums the wishes for each shard by size class, and grants
-    them from small to large until the shard's room is used; the class in which it runs out is
-    granted in proportion. A group too large for a shard fills it and stays spread otherwise.
+    the groups with their fullest shards, sums the wishes from and for each shard by size class, and :func:`grants`
+    them as far as the shards' room and what leaves them reach; a class in which it runs out is
+    granted in proportion. A group too large for a shard fills it and stays spread otherwise. Each move is to the
+    fullest shard of its group, so every round leaves fewer documents apart; ties are drawn anew in each round.
     """
-    shards = len(room)
-    for turn in range(rounds):
+    turn, shards = 0, len(room)
+    while True:
         counts = {r.shard: r.n for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # at most a row per shard
-        free = F.create_map(*[F.lit(x) for s in range(shards) for x in (s, float(max(0, room[s] - counts.get(s, 0))))])
-        best = state.groupBy(*GROUP).agg(F.max_by("shard", F.struct("n", F.xxhash64("g1", "g2", "shard"))).alias("to"))
+        best = state.groupBy(*GROUP).agg(F.max_by("shard", F.struct("n", F.xxhash64("g1", "g2", "shard", F.lit(turn)))).alias("to"))
         wishes = state.join(best, GROUP).where("shard <> to").withColumn("class", F.floor(F.log2("n")).cast("int"))
-        demand = wishes.groupBy("to", "class").agg(F.sum("n").alias("wished"))
-        ahead = F.coalesce(F.sum("wished").over(Window.partitionBy("to").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        granted = {(r.to, r["class"]): r.part for r in demand.select("to", "class", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (free[F.col("to")] - ahead) / F.col("wished"))).alias("part")).collect()}  # at most shards x 64 rows
-        if not any(granted.values()):
-            break
+        wished = [(r.shard, r.to, r["class"], r.n) for r in wishes.groupBy("shard", "to", "class").agg(F.sum("n").alias("n")).collect()]  # at most shards x shards x 64 rows
+        granted = {k: p for k, p in grants(wished, [room[s] - counts.get(s, 0) for s in range(shards)]).items() if p > 0}
+        if sum(n * granted.get((to, kind), 0.0) for _, to, kind, n in wished) < 1:
+            return state
         part = F.create_map(*[F.lit(x) for (to, kind), p in granted.items() for x in (to * 64 + kind, p)])[F.col("to") * 64 + F.col("class")]
         chance = F.pmod(F.xxhash64("g1", "g2", "shard", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
         moves = wishes.select(*GROUP, "shard", "to", F.least(F.col("n"), F.floor(F.col("n") * part + chance)).cast("long").alias("m")).where("m > 0")
         changes = moves.select(*GROUP, "shard", (-F.col("m")).alias("n")).union(moves.select(*GROUP, F.col("to").alias("shard"), F.col("m").alias("n")))
         state = materialize(state.select(*GROUP, "shard", "n").union(changes).groupBy(*GROUP, "shard").agg(F.sum("n").alias("n")).where("n > 0"))
-    return state
+        turn += 1
 
 
-def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, rounds: int = 4) -> DataFrame:
+def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 24) -> DataFrame:
     """One row per document: id, size, text_crc32, law (``rows``), shard, slot, grown_shard (null).
 
     Documents of equal text are linked and start in the shard of their id's hash; :func:`propagate`
@@ -63,7 +86,7 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
 
     start = rows.groupBy(*GROUP, F.pmod("u", F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
     linked = start.withColumn("all", F.sum("n").over(Window.partitionBy(*GROUP))).where("all > 1").drop("all")
-    state = propagate(materialize(linked), room, rounds)
+    state = propagate(materialize(linked), room)
 
     # which of a group's documents is in which shard: by rank in the group
     upto = F.sum("n").over(Window.partitionBy(*GROUP).orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
