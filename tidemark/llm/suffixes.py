@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import materialize, text_of
 
 LOWEST = -(2**63)
-SHALLOW = 32  # bytes that multikey quicksort looks at before blind tries take over
+SHALLOW = 32  # bytes beyond what all strings share that multikey quicksort looks at before blind tries take over
 WORD = 8  # its characters are words of so many bytes
 CHUNK = 1 << 20
 POS_BITS = 24
@@ -78,15 +78,20 @@ def blind_trie(strings: list[bytes], members: list[int], depth: int) -> tuple[li
 
 
 def deep_shallow(strings: list[bytes]) -> tuple[list[int], list[int]]:
-    """Sorted order of the strings, and the common prefix of each with the one before (0 for the first)."""
+    """Sorted order of the strings, and the common prefix of each with the one before (0 for the first).
+
+    The strings of a core share a gram and more: multikey quicksort starts at the first byte in which any two differ.
+    """
     order: list[int] = []
     shared: list[int] = []
-    todo = [(list(range(len(strings))), 0)]
+    start = min((common(strings[0], s) for s in strings[1:]), default=0)
+    deep = start + SHALLOW
+    todo = [(list(range(len(strings))), start)]
     while todo:
         members, depth = todo.pop()
-        if len(members) == 1 or depth >= SHALLOW:
+        if len(members) == 1 or depth >= deep:
             part, prefix = blind_trie(strings, members, depth) if len(members) > 1 else (members, [0])
-            prefix[0] = common(strings[order[-1]], strings[part[0]]) if order else 0
+            prefix[0] = common(strings[order[-1]], strings[part[0]], start) if order else 0
             order += part
             shared += prefix
             continue
@@ -96,7 +101,7 @@ def deep_shallow(strings: list[bytes]) -> tuple[list[int], list[int]]:
         for i in members:
             word = strings[i][depth : depth + WORD]
             (equal if word == pivot else less if word < pivot else more).append(i)
-        todo += [(part, at) for part, at in ((more, depth), (equal, depth + WORD if len(pivot) == WORD else SHALLOW), (less, depth)) if part]
+        todo += [(part, at) for part, at in ((more, depth), (equal, depth + WORD if len(pivot) == WORD else deep), (less, depth)) if part]
     return order, shared
 
 
@@ -300,15 +305,15 @@ def sort_cores(held: DataFrame, length: int) -> DataFrame:
     return held.repartition(F.col("core")).sortWithinPartitions("core").mapInArrow(spans, "kid long, mark long, start long, end long")
 
 
-def repeated_spans(docs: DataFrame, length: int, most: int = 8192) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, most: int = 2048) -> DataFrame:
     """Spans (kid, mark, start, end), overlapping, that cover exactly the bytes of repeated windows; ``docs`` has kid, mark and bytes.
 
     Equal windows have their least gram at the same place, so they meet under the same core (the
-    gram's hash). Anchors of equal hulls (all bytes that an anchor's windows cover) are settled by
-    counting, with partial aggregation; of each distinct hull one goes on to the suffix sort of its
-    core. A core with more than ``most`` distinct hulls is cut instead: its windows by halves of
+    gram's hash). Anchors of equal hulls (all bytes that an anchor's windows cover, by a 128-bit hash)
+    are one string with a count, with partial aggregation: a count above one settles all its windows,
+    and of each distinct hull one goes on to the suffix sort of its core. A core with more than ``most`` distinct hulls is cut instead: its windows by halves of
     their offsets, under the longer string that each half shares, again and again; at single
-    offsets a core is a whole window. So no task gets more than ``most`` hulls of a core.
+    offsets a core is a whole window. So no task gets more than ``most`` hulls of a core, and results don't depend on ``most``.
     """
     block = 1 << ((2 * length // 3).bit_length() - 1)
     hull, place = ["core", "h1", "h2"], ["kid", "mark", "pos", "low", "high"]
