@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -20,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder; a folder of our own only where none is named."""
+    """Reliable checkpoint in the cluster's shared folder; a folder of our own only where none is named and everything runs in one process."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint(eager=True)
 
 
@@ -55,13 +59,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread_rank(df: DataFrame, parts: list[str], spread: Column, order: list[str], out: str, buckets: int = 1024, amount: Column | None = None) -> DataFrame:
+def spread_rank(df: DataFrame, parts: list[str], spread: Column, order: list[str], out: str, buckets: int = 1024, amount: Column | None = None, rows_per_bucket: int = 20_000) -> DataFrame:
     """``out``: running count (or running sum of ``amount``), this row included, within ``parts``.
 
     The same numbers as one ordered window over each of ``parts``, by bucket of ``spread`` and then by
     ``order``, but no task orders more than a bucket: buckets are summed first, and each starts where
-    the ones before it end. ``df`` must be materialized, for it is read twice.
+    the ones before it end. There are ``buckets`` of them, or more so that each has ``rows_per_bucket`` rows at most on average.
+    ``df`` must be materialized, for it is read several times.
     """
+    buckets = max(buckets, df.count() // rows_per_bucket)
     amount = F.lit(1).cast("long") if amount is None else amount
     rows = df.withColumns({"_tm_b": F.pmod(spread, F.lit(buckets)).cast("int"), "_tm_a": amount})
     keys = [*parts, "_tm_b"]
