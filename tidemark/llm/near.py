@@ -54,11 +54,11 @@ def minhashes(shingles: np.ndarray, factors: np.ndarray, block: int = 1 << 14) -
 
 
 def signatures(docs: DataFrame, *, words: int, keys: int, seed: int = 7) -> DataFrame:
-    """(doc_id, rid, text) to (doc_id, rid, n, d1, d2, a, b): size and digest of the shingle set, and both collections of ``keys`` keys.
+    """(doc_id, rid, mark, text) to (doc_id, rid, mark, n, d1, d2, a, b): size and digest of the shingle set, and both collections of ``keys`` keys.
 
     2 * keys * BANDS minhashes stand for keys * keys tables.
     """
-    schema = "doc_id long, rid long, n long, d1 long, d2 long, a array<long>, b array<long>"
+    schema = "doc_id long, rid long, mark long, n long, d1 long, d2 long, a array<long>, b array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
@@ -67,7 +67,7 @@ def signatures(docs: DataFrame, *, words: int, keys: int, seed: int = 7) -> Data
         shingle = Shingler(words)
         for batch in batches:
             sizes, digests, sides = [], [], ([], [])
-            for text in batch.column(2):
+            for text in batch.column(3):
                 s = shingle(text.as_py())
                 sizes.append(len(s))
                 digests.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8"))
@@ -79,9 +79,9 @@ def signatures(docs: DataFrame, *, words: int, keys: int, seed: int = 7) -> Data
                     side.append(values)
             digests = np.array(digests, dtype=np.int64).reshape(-1, 2)
             lists = [pa.array(side, pa.list_(pa.int64())) for side in sides]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), *lists], names=["doc_id", "rid", "n", "d1", "d2", "a", "b"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), *lists], names=["doc_id", "rid", "mark", "n", "d1", "d2", "a", "b"])
 
-    return docs.select("doc_id", "rid", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "rid", "mark", "text").mapInArrow(run, schema)
 
 
 def tables(nodes: DataFrame) -> DataFrame:
@@ -171,11 +171,11 @@ def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
     return done.coalesce(max(1, min(done.rdd.getNumPartitions(), -(-done.count() // rows))))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, label) for every node of an edge, label the smallest node it is connected with: alternating large and small stars."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) for every node of an edge, label the smallest node it is connected with: alternating large and small stars, until a round changes nothing."""
     state, edges = None, compact(edges)
     parts = edges.rdd.getNumPartitions()
-    for _ in range(rounds):
+    while True:
         both = edges.select(F.col("x").alias("u"), F.col("y").alias("v")).union(edges.select("y", "x"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(parts)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts)
@@ -190,29 +190,16 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return labels.union(edges.select("y", "y").distinct().coalesce(parts))
 
 
-def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def rows_read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, rid, mark, text): the id, a stand-in for null ids by their text, and the text with its hash."""
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    return read.withColumn("rid", F.coalesce("doc_id", F.pmod("mark", F.lit(1 << 61)) + F.lit(STAND_IN)))
 
-    Documents are linked when 100 times the intersection of their shingle sets is at least ``percent``
-    times the union; a component's id is the smallest doc_id in it, and that document is kept. A
-    document of fewer than ``words`` words is one shingle; one without words is linked with nothing.
 
-    Equal sets are collapsed first. The others meet in tables whose keys combine one key of each of
-    two collections of minhashes; a pair at the threshold is missed with probability ``miss``. A table
-    is settled without emitting all its pairs: its members are compared with a pivot, and what that
-    connects needs no comparisons among itself. Where members stay apart, the one whose shingles
-    most others have, as a text has that others are copies of, is the next pivot. All that are apart still are joined exactly, by prefix and positional filters over their
-    full sets, so every link between two components has been looked at.
-
-    Null text: no words. Null ids: linked like others; component_id is null if no document with an
-    id is in reach, and they are kept then. Rows that share an id are one document, linked by any of its
-    texts. Empty table: empty result. Very long texts: one array of hashes in a task. Other columns are
-    not read.
-    """
+def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
+    """(doc_id, rid, mark, n, label) of each row: its set's size and the smallest rid that it is connected with, its own if it has no words; see :func:`link`."""
     keys = collection_size(percent / 100, miss)
-    text = text_of(text_col)
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    read = read.withColumn("rid", F.coalesce("doc_id", F.pmod(F.xxhash64("text"), F.lit(1 << 61)) + F.lit(STAND_IN)))
+    read = rows_read(docs, id_col, text_col)
     sigs = materialize(signatures(read, words=words, keys=keys))
     sets = sigs.where("n > 0")
     nodes = materialize(sets.groupBy("d1", "d2").agg(F.min("rid").alias("node"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")))
@@ -253,13 +240,49 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
         apart = compact(apart.join(ordered.select("node", "share"), "node", "left").select("key", "node", "n", "label", F.coalesce("share", F.lit(0.0)).alias("share")))
 
     homes = nodes.select("d1", "d2", "node").join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("node"))
-    out = sigs.select("doc_id", "rid", "n", "d1", "d2").join(homes, ["d1", "d2"], "left")
-    label = F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("rid"))
-    component = F.when(label < STAND_IN, label)
+    out = sigs.select("doc_id", "rid", "mark", "n", "d1", "d2").join(homes, ["d1", "d2"], "left")
+    return out.select("doc_id", "rid", "mark", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("rid")).alias("label"))
+
+
+def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked when 100 times the intersection of their shingle sets is at least ``percent``
+    times the union; a component's id is the smallest doc_id in it, and that document is kept. A
+    document of fewer than ``words`` words is one shingle; one without words is linked with nothing.
+
+    Equal sets are collapsed first. The others meet in tables whose keys combine one key of each of
+    two collections of minhashes; a pair at the threshold is missed with probability ``miss``. A table
+    is settled without emitting all its pairs: its members are compared with a pivot, and what that
+    connects needs no comparisons among itself. Where members stay apart, the one whose shingles
+    most others have, as a text has that others are copies of, is the next pivot. All that are apart still are joined exactly, by prefix and positional filters over their
+    full sets, so every link between two components has been looked at.
+
+    Null text: no words. Null ids: linked like others; component_id is null if no document with an
+    id is in reach, and they are kept then, each of them (:func:`near_filter` keeps one row of a component). Rows that share an id are one document, linked by any of its
+    texts. Empty table: empty result. Very long texts: one array of hashes in a task. Other columns are
+    not read.
+    """
+    out = grouped(docs, id_col=id_col, text_col=text_col, words=words, percent=percent, miss=miss)
+    component = F.when(F.col("label") < STAND_IN, F.col("label"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def near_filter(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` that :func:`link` keeps, one document of each component, all columns as they are."""
-    kept = link(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col(id_col).alias("_tm_id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_tm_id")), "left_semi")
+    """``docs`` with one row of each component of :func:`link`, and all rows without words; all columns as they are.
+
+    The row that stays has the smallest id of its component; null ids come after all others, in the
+    order of their texts' hashes. Rows that share that id: the one whose text has the smallest hash, and
+    of repeated rows any one. Null text: no words. Empty table: empty result. Extra columns pass through, whatever their names.
+    """
+    rows = materialize(grouped(docs, id_col=id_col, text_col=text_col, **options))
+    own = rows.where((F.col("n") > 0) & (F.col("rid") == F.col("label"))).groupBy("rid", "mark").agg(F.count("*").alias("n"))
+    least = own.groupBy("rid").agg(F.min_by(F.struct("mark", "n"), "mark").alias("k")).select("rid", "k.mark", F.col("k.n").alias("rows"))
+    wordless = rows.where("n = 0").select("rid", "mark", F.lit(1).cast("long").alias("rows")).distinct()
+    kept = materialize(least.unionByName(wordless).toDF("_tm_rid", "_tm_mark", "_tm_rows"))
+    mark = F.xxhash64(text_of(text_col))
+    rid = F.coalesce(F.col(id_col).cast("long"), F.pmod(mark, F.lit(1 << 61)) + F.lit(STAND_IN))
+    met = lambda which: docs.join(kept.where(which), (rid == F.col("_tm_rid")) & (mark == F.col("_tm_mark")), "left_semi")
+    out = met("_tm_rows = 1")
+    repeated = kept.where("_tm_rows > 1")
+    return out if repeated.isEmpty() else out.unionByName(met("_tm_rows > 1").dropDuplicates([id_col, text_col]))
