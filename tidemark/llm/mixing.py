@@ -11,7 +11,7 @@ from .common import WORD, materialize, small, word_count
 
 #: Size classes (upper bound in words, preference): a document of fewer words is wanted less often.
 PREFERENCE = ((64, 2), (512, 3), (None, 4))
-BUCKETS = 4096
+BUCKETS, ROWS_PER_BUCKET = 4096, 20_000
 
 
 def waterfill(parts: DataFrame, by: Sequence[str], total: Column, weight: Column, cap: Column, out: str) -> DataFrame:
@@ -74,35 +74,42 @@ def decide(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     u = (F.conv(F.substring("draw", 1, 13), 16, 10).cast("long") + 0.5) / float(2**52)
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     ranked = rows.join(small(plan), F.col("source").eqNullSafe(F.col("source2")) & (F.col("kind") == F.col("kind2"))).drop("source2", "kind2")
-    ranked = ranked.withColumn("rank", F.when(F.col("p") > 0, odds / (1 + odds))).withColumn("bucket", F.coalesce(F.least(F.floor(F.col("rank") * BUCKETS), F.lit(BUCKETS - 1)), F.lit(BUCKETS)).cast("int"))
-    filled = ranked.where("p > 0").groupBy("source", "bucket", "rest").agg(F.sum("size").alias("words"))
+    buckets = max(BUCKETS, rows.count() // ROWS_PER_BUCKET)
+    certain, drawn = ranked.where("p <= 0").withColumn("more", F.lit(0).cast("long")), ranked.where("p > 0")
+    drawn = drawn.withColumn("rank", odds / (1 + odds)).withColumn("bucket", F.least(F.floor(F.col("rank") * buckets), F.lit(buckets - 1)))
+    filled = drawn.groupBy("source", "bucket", "rest").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     # a row per source: the bucket in which its words are reached, and the words before it
     reached = filled.select("source", "bucket", "rest", "words", upto.alias("upto")).where("upto >= rest").groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")), "bucket").alias("at"))
     reached = materialize(reached.select(F.col("source").alias("source2"), F.col("at.bucket").alias("last"), F.col("at.before").alias("before")))
-    ranked = ranked.join(small(reached), F.col("source").eqNullSafe(F.col("source2")), "left")
+    drawn = drawn.join(small(reached), F.col("source").eqNullSafe(F.col("source2")), "left")
     inside = F.coalesce(F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("rank", "id", "draw").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - inside))
-    more = F.when(F.col("p") <= 0, 0).when(F.col("last").isNull() | (F.col("bucket") < F.col("last")), F.col("size")).when(F.col("bucket") > F.col("last"), 0).otherwise(part)
-    return ranked.select("id", "draw", "size", "source", "source_size", "target", "whole", (F.col("whole") * F.col("size") + more).cast("long").alias("taken"))
+    more = F.when(F.col("last").isNull() | (F.col("bucket") < F.col("last")), F.col("size")).when(F.col("bucket") > F.col("last"), 0).otherwise(part)
+    columns = ["id", "draw", "size", "source", "source_size", "target", "whole", "more"]
+    both = drawn.withColumn("more", more).select(*columns).unionByName(certain.select(*columns))
+    return both.select(*columns[:-1], (F.col("whole") * F.col("size") + F.col("more")).cast("long").alias("taken"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed: str = "mix-1", **options) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix-1", **options) -> DataFrame:
     """The mix itself: columns of ``docs``, a row per copy; a cut document keeps its first words.
 
     See :func:`decide`, also for nulls, ties and empty tables; documents of which nothing is taken are
-    left out. Rows that are equal in id and text get their copies by their ranks among themselves.
+    left out. Rows that are equal in id, text and source are numbered: the first ones take theirs whole, one
+    may be cut, and the others get no more than their whole copies.
     """
+    who = lambda draw, source: F.concat(draw, F.coalesce(F.concat(F.lit("="), source), F.lit("")))
     draw = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit(""))))
-    twin = F.row_number().over(Window.partitionBy("_tm_draw").orderBy(F.lit(1)))  # equal rows only
-    plan = decide(docs, id_col=id_col, text_col=text_col, seed=seed, **options).withColumnRenamed("draw", "_tm_draw")
-    plan = plan.select("_tm_draw", twin.alias("twin"), "size", F.col("whole").cast("int").alias("whole"), (F.col("taken") - F.col("whole") * F.col("size")).alias("more")).where("whole > 0 OR more > 0")
-    plan = plan.groupBy("_tm_draw").agg(F.collect_list(F.struct("twin", "size", "whole", "more")).alias("_tm_shares"))
-    # one shuffle of the texts, by draw: it serves the numbering of equal rows and the join
-    joined = docs.withColumn("_tm_draw", draw).withColumn("_tm_twin", twin).join(plan, "_tm_draw")
-    own = joined.withColumn("_tm_share", F.explode(F.filter("_tm_shares", lambda s: s["twin"] == F.col("_tm_twin"))))
-    parts = F.concat(F.array_repeat("_tm_share.size", F.col("_tm_share.whole")), F.array("_tm_share.more"))
-    copies = own.withColumn("_tm_words", F.explode(F.filter(parts, lambda n: n > 0)))
+    twin = F.row_number().over(Window.partitionBy("_tm_who").orderBy(F.lit(1)))  # equal rows only
+    plan = decide(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options).where("taken > 0")
+    plan = plan.select(who(F.col("draw"), F.col("source")).alias("_tm_who"), "size", F.col("whole").cast("int").alias("whole"), (F.col("taken") - F.col("whole") * F.col("size")).alias("more"))
+    # equal rows are of one size and have the same whole copies; at most one of them is cut
+    plan = plan.groupBy("_tm_who").agg(F.first("size").alias("_tm_size"), F.first("whole").alias("_tm_whole"), F.count_if(F.col("more") == F.col("size")).alias("_tm_full"), F.max(F.when(F.col("more") < F.col("size"), F.col("more"))).alias("_tm_part"))
+    # one shuffle of the texts, by who they are: it serves the numbering of equal rows and the join
+    joined = docs.withColumn("_tm_who", who(draw, F.col(source_col).cast("string"))).withColumn("_tm_twin", twin).join(plan, "_tm_who")
+    more = F.when(F.col("_tm_twin") <= F.col("_tm_full"), F.col("_tm_size")).when(F.col("_tm_twin") == F.col("_tm_full") + 1, F.coalesce("_tm_part", F.lit(0).cast("long"))).otherwise(0)
+    parts = F.concat(F.array_repeat("_tm_size", F.col("_tm_whole")), F.array(more))
+    copies = joined.withColumn("_tm_words", F.explode(F.filter(parts, lambda n: n > 0)))
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0))
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_tm_words").cast("int")), "")
-    return copies.withColumn(text_col, F.when(F.col("_tm_words") < F.col("_tm_share.size"), cut).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return copies.withColumn(text_col, F.when(F.col("_tm_words") < F.col("_tm_size"), cut).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])
