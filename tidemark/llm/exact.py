@@ -29,15 +29,15 @@ def _bucket(key: Column, splitters: list[str]) -> Column:
 def content_sort(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets_per_partition: int = 4, samples_per_bucket: int = 8, prefix: int = 64, seed: int = 11) -> DataFrame:
     """One row per input row: ``id_col``, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when identical after every run of white space became one space. Rows are
-    ordered by the first ``prefix`` characters of that text, its digest, and the id; splitters
-    sampled from these keys cut the order into buckets, each bucket is sorted on its own (Spark's
-    external sort), and every text is compared in full with its neighbour. Ids are part of the
-    order, so a text that a third of all rows share spans many buckets; runs that meet at a bucket's
-    edge are joined by comparing the edge texts, two per bucket.
+    Texts are equal when identical after every run of white space became one space. Splitters sampled
+    from all rows cut them into ranges; a range is sorted by the bytes of its texts and then by id (Spark's
+    external sort), so equal texts lie side by side, and every text is compared in full with its neighbour.
 
-    Only the sample reaches the driver: ``samples_per_bucket`` keys a bucket, each of ``prefix``
-    characters and 81 more.
+    Splitters are bounded keys: the first ``prefix`` characters of a text, its digest for texts that begin
+    alike, and the id, so that a text that a third of all rows share spans many ranges. A text that is cut by a
+    splitter is recognized by that splitter's prefix and digest; the parts of its run, one row a range, are brought
+    together by comparing the texts themselves. Only the sample reaches the driver: ``samples_per_bucket`` keys a range, of
+    ``prefix`` characters and 81 more.
 
     Null text counts as empty. Null ids come last: they are kept only if no copy has an id. Repeated
     rows: one of them is kept. Empty table: empty result. Other columns are not read.
@@ -46,52 +46,32 @@ def content_sort(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rank = F.coalesce(F.lpad(F.hex(F.col(id_col).cast("long").bitwiseXOR(F.lit(LOWEST))), 16, "0"), F.lit("~"))
 
     def with_keys(rows: DataFrame) -> DataFrame:
-        source = rows.select(F.col(id_col).alias("id"), norm.alias("norm"), rank.alias("rank"))
-        return source.withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256)).withColumn("key", F.concat(F.substring("norm", 1, prefix), F.lit("\x01"), "sha", "rank"))
+        source = rows.select(F.col(id_col).alias("id"), norm.alias("norm"), rank.alias("rank")).withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256))
+        return source.withColumn("head", F.concat(F.substring("norm", 1, prefix), F.lit("\x01"), "sha")).withColumn("key", F.concat("head", "rank"))
 
     buckets = buckets_per_partition * shuffle_partitions(docs.sparkSession)
     fraction = min(1.0, buckets * samples_per_bucket / max(1, docs.count()))
-    sample = sorted((r.key for r in with_keys(docs.select(id_col, text_col).sample(False, fraction, seed)).select("key").collect()), key=lambda k: k.encode())
-    cuts = sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)} if sample else (), key=lambda k: k.encode())
+    sample = sorted(((r.key, r.head) for r in with_keys(docs.select(id_col, text_col).sample(False, fraction, seed)).select("key", "head").collect()), key=lambda k: k[0].encode())
+    chosen = {sample[len(sample) * i // buckets] for i in range(1, buckets)} if sample else set()
+    cuts = sorted((key for key, _ in chosen), key=lambda k: k.encode())
+    spans = F.col("head").isin(sorted({head for _, head in chosen}))
 
-    order = Window.partitionBy("bucket").orderBy("key")
-    seen = with_keys(docs).withColumn("bucket", _bucket(F.col("key"), cuts)).select(
-        "*", F.lag("norm").over(order).alias("before"), F.lead("rank").over(order).isNull().alias("last")
-    )
-    rows = materialize(
-        seen.select(
-            "bucket", "id", "sha", "rank", "key", "last",
-            F.col("before").isNull().alias("first"),
-            F.coalesce(F.col("before") != F.col("norm"), F.lit(True)).alias("new"),
-            F.when(F.col("before").isNull() | F.col("last"), F.col("norm")).alias("edge"),
-        )
-        .withColumn("run", F.sum(F.col("new").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .drop("key")
-    )
-
-    # a row per bucket: does its first run go on from the bucket before, and where does that run start?
-    edges = rows.where("edge IS NOT NULL").groupBy("bucket").agg(F.max(F.when(F.col("first"), F.col("edge"))).alias("head"), F.max(F.when(F.col("last"), F.col("edge"))).alias("tail"), F.max("run").alias("runs"))
-    before = edges.select((F.col("bucket") + 1).alias("bucket"), F.col("tail").alias("tail_before"))
-    links = edges.join(before, "bucket", "left").select("bucket", "runs", F.coalesce(F.col("head") == F.col("tail_before"), F.lit(False)).alias("linked"))
-    over = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = links.select(
-        "bucket", "linked",
-        F.last(F.when(~(F.col("linked") & (F.col("runs") == 1)), F.struct("bucket", "runs")), ignorenulls=True).over(over).alias("start"),
-    )
-    goes_on = materialize(starts.where("linked").select("bucket", F.lit(1).cast("long").alias("run"), F.col("start.bucket").alias("to_bucket"), F.col("start.runs").alias("to_run")))
+    order = Window.partitionBy("bucket").orderBy("norm", "rank")
+    seen = with_keys(docs).select("id", "norm", "rank", "sha", _bucket(F.col("key"), cuts).alias("bucket"), spans.alias("spans"))
+    new = F.coalesce(F.lag("norm").over(order) != F.col("norm"), F.lit(True))
+    sorted_rows = seen.select("bucket", "id", "sha", "rank", "norm", new.alias("new"), F.when(new & F.col("spans"), F.col("norm")).alias("edge"))
+    rows = materialize(sorted_rows.select("bucket", "id", "sha", "new", "edge", F.sum(F.col("new").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run")))
 
     run = Window.partitionBy("bucket", "run")
-    counted = rows.drop("edge", "first", "last").select("*", F.count("*").over(run).alias("n"), F.min("id").over(run).alias("least"))
-    homes = counted.join(small(goes_on), ["bucket", "run"], "left").select(
-        "id", "sha", "n", "least", "new", F.col("to_bucket").isNotNull().alias("moved"), F.coalesce("to_bucket", "bucket").alias("bucket"), F.coalesce("to_run", "run").alias("run")
-    )
-    # runs that span buckets, at most one per bucket: their sums replace the local ones
-    spanning = goes_on.select(F.col("to_bucket").alias("bucket"), F.col("to_run").alias("run")).distinct()
-    sums = materialize(homes.where("new").join(small(spanning), ["bucket", "run"]).groupBy("bucket", "run").agg(F.sum("n").alias("n_all"), F.min("least").alias("least_all")))
-    return homes.join(small(sums), ["bucket", "run"], "left").select(
+    counted = materialize(rows.select("bucket", "run", "id", "sha", "new", "edge", F.count("*").over(run).alias("n"), F.min("id").over(run).alias("least")))
+    # of the texts that splitters cut, a row per range that has some: their sums replace the local ones
+    parts = counted.where("edge IS NOT NULL").select("bucket", "run", "edge", "n", "least")
+    whole = parts.groupBy("edge").agg(F.sum("n").alias("n_all"), F.min("least").alias("least_all"), F.min("bucket").alias("home"))
+    sums = materialize(parts.join(whole, "edge").select("bucket", "run", "n_all", "least_all", "home"))
+    return counted.join(small(sums), ["bucket", "run"], "left").select(
         F.col("id").alias(id_col),
         F.coalesce("least_all", "least").alias("keep_id"),
         F.coalesce("n_all", "n").alias("group_size"),
-        (F.col("new") & ~F.col("moved")).alias("kept"),
+        (F.col("new") & F.coalesce(F.col("home") == F.col("bucket"), F.lit(True))).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
