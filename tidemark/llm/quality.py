@@ -16,6 +16,9 @@ FLOORS = (0.04, 0.35, 0.5, 0.5)
 DIMS = range(len(FLOORS))
 SCALE = 1000  # statistics are kept as integers of 1/1000, so that sums are exact in any order
 STEPS_PER_OCTAVE = 64
+LEAST_FALL = 1e-6  # of a logarithm of a determinant
+KEYS = ["lang_key", "source_key"]
+MEANS, COVARIANCES, WEIGHTS = [f"m{i}" for i in DIMS], *([f"{c}{i}{j}" for i in DIMS for j in range(i + 1)] for c in "cw")
 
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -76,17 +79,19 @@ def consistency(share: float) -> float:
     return share / (1 - math.exp(-y) * (1 + y + y * y / 2))
 
 
-def _whitener(params: DataFrame) -> DataFrame:
-    """Adds the inverse of the Cholesky factor of c00 .. c33 as w00 .. w33."""
+def _whitener(params: DataFrame, factor: float = 1.0) -> DataFrame:
+    """Adds, for ``factor`` times the covariance c00 .. c33 with the floors on its diagonal, the inverse of its Cholesky factor, w00 .. w33, and the logarithm of its determinant, ``logdet``."""
     for i in DIMS:
         for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+            entry = factor * F.col(f"c{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
+            rest = entry - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
             params = params.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
     for j in DIMS:
         for i in range(j, len(DIMS)):
             part = F.lit(1.0) if i == j else -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0))
             params = params.withColumn(f"w{i}{j}", part / F.col(f"l{i}{i}"))
-    return params.select("lang_key", "source_key", *[f"m{i}" for i in DIMS], *[f"w{i}{j}" for i in DIMS for j in range(i + 1)])
+    logdet = 2 * sum((F.log(f"l{i}{i}") for i in DIMS), F.lit(0.0))
+    return params.withColumn("logdet", logdet).select(*KEYS, "start", *MEANS, *COVARIANCES, *WEIGHTS, "logdet")
 
 
 def _distance2() -> Column:
@@ -95,31 +100,65 @@ def _distance2() -> Column:
     return sum((F.pow(sum((F.col(f"w{i}{j}") * off[j] for j in range(i + 1)), F.lit(0.0)), 2) for i in DIMS), F.lit(0.0))
 
 
-def estimate(rows: DataFrame, *, share: float = 0.75, steps: int = 4) -> DataFrame:
-    """Minimum-covariance-determinant location and whitener of x0 .. x3 for each (lang_key, source_key).
+def _moments() -> tuple[dict[str, Column], dict[str, Column]]:
+    """Means and covariances from n, s0 .. s3 and p00 .. p33: sums of integers, so they don't depend on the order of rows."""
+    mean = lambda i: F.col(f"s{i}") / F.col("n") / SCALE
+    return {f"m{i}": mean(i) for i in DIMS}, {f"c{i}{j}": F.col(f"p{i}{j}") / F.col("n") / SCALE**2 - mean(i) * mean(j) for i in DIMS for j in range(i + 1)}
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three deterministic starts for each group: medians with the floors alone, medians with the spreads of the middle halves, and means with the whole covariance."""
+    half = lambda i, at: F.element_at(f"q{i}", at) / SCALE
+    n, sums = F.count("*"), [F.sum(f"x{i}").alias(f"s{i}") for i in DIMS]
+    products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in DIMS for j in range(i + 1)]
+    seen = rows.groupBy(*KEYS).agg(*[F.percentile(f"x{i}", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])).alias(f"q{i}") for i in DIMS], n.alias("n"), *sums, *products)
+    medians = {f"m{i}": half(i, 2) for i in DIMS}
+    diagonal = lambda entry: {f"c{i}{j}": entry(i) if i == j else F.lit(0.0) for i in DIMS for j in range(i + 1)}
+    flat = diagonal(lambda i: F.lit(0.0))
+    spread = diagonal(lambda i: F.pow((half(i, 3) - half(i, 1)) / 1.349, 2))  # the middle half of a normal distribution is 1.349 deviations wide
+    each = [(medians, flat), (medians, spread), _moments()]
+    made = [seen.select(*KEYS, F.lit(n).alias("start"), *[c.alias(k) for k, c in (means | covariances).items()]) for n, (means, covariances) in enumerate(each)]
+    return _whitener(made[0].unionByName(made[1]).unionByName(made[2]))
+
+
+def _concentrate(rows: DataFrame, params: DataFrame, share: float) -> DataFrame:
+    """A concentration step of every start: mean and covariance of the ``share`` of its group's rows nearest in Mahalanobis distance.
 
-    Deterministic start from medians and the floors, then ``steps`` concentration steps: the ``share``
-    of a group's rows nearest in Mahalanobis distance give the next mean and covariance. Distances
-    are cut into fine logarithmic steps; a step's counts and sums are aggregated, and the nearest rows'
+    Distances are cut into fine logarithmic steps; a step's counts and sums are aggregated, and the nearest rows'
     sums are running sums over these: one pass over the rows, no order of a group's rows.
     """
-    keys = ["lang_key", "source_key"]
-    start = rows.groupBy(*keys).agg(*[(F.percentile(f"x{i}", F.lit(0.5)) / SCALE).alias(f"m{i}") for i in DIMS])
-    flat = {f"c{i}{j}": F.lit(FLOORS[i] ** 2 if i == j else 0.0) for i in DIMS for j in range(i + 1)}
-    params = materialize(_whitener(start.withColumns(flat)))
+    keys = [*KEYS, "start"]
     sums = {f"s{i}": F.col(f"x{i}") for i in DIMS} | {f"p{i}{j}": F.col(f"x{i}") * F.col(f"x{j}") for i in DIMS for j in range(i + 1)}
-    for step in range(steps):
-        near = F.floor(F.log2(1 + _distance2()) * STEPS_PER_OCTAVE).cast("int")
-        cut = rows.join(small(params), keys).groupBy(*keys, near.alias("near")).agg(F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
-        upto = Window.partitionBy(*keys).orderBy("near").rowsBetween(Window.unboundedPreceding, 0)
-        total = F.sum("n").over(Window.partitionBy(*keys))
-        runs = cut.select(*keys, "near", total.alias("all"), *[F.sum(k).over(upto).alias(k) for k in ("n", *sums)])
-        best = runs.where(F.col("n") >= share * F.col("all")).groupBy(*keys).agg(F.min_by(F.struct("n", *sums), "near").alias("t")).select(*keys, "t.*")
-        factor = consistency(share) if step == steps - 1 else 1.0
-        means = {f"m{i}": F.col(f"s{i}") / F.col("n") / SCALE for i in DIMS}
-        cov = {f"c{i}{j}": factor * (F.col(f"p{i}{j}") / F.col("n") / SCALE**2 - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0) for i in DIMS for j in range(i + 1)}
-        params = materialize(_whitener(best.withColumns(means).withColumns(cov)))
-    return params
+    near = F.floor(F.log2(1 + _distance2()) * STEPS_PER_OCTAVE).cast("int")
+    cut = rows.join(small(params), KEYS).groupBy(*keys, near.alias("near")).agg(F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
+    upto = Window.partitionBy(*keys).orderBy("near").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    runs = cut.select(*keys, "near", total.alias("all"), *[F.sum(k).over(upto).alias(k) for k in ("n", *sums)])
+    best = runs.where(F.col("n") >= share * F.col("all")).groupBy(*keys).agg(F.min_by(F.struct("n", *sums), "near").alias("t")).select(*keys, "t.*")
+    means, covariances = _moments()
+    return _whitener(best.withColumns(means | covariances))
+
+
+def estimate(rows: DataFrame, *, share: float = 0.75, trial_steps: int = 2) -> DataFrame:
+    """Minimum-covariance-determinant location and whitener of x0 .. x3 for each (lang_key, source_key).
+
+    ``trial_steps`` concentration steps from each of the starts; of each group the start whose determinant is least
+    then goes on until no group's determinant falls any more. The floors are part of every covariance, so
+    determinants are those that distances are measured with, and none is 0. A step is one pass over the rows, and a row
+    a group and start is all that is kept of it.
+    """
+    params = _starts(rows)
+    for _ in range(trial_steps):
+        params = materialize(_concentrate(rows, materialize(params), share))
+    best = materialize(params.groupBy(*KEYS).agg(F.min_by(F.struct("start", *MEANS, *COVARIANCES, *WEIGHTS, "logdet"), F.struct("logdet", "start")).alias("b")).select(*KEYS, "b.*"))
+    while True:
+        before = best.select(*KEYS, F.col("logdet").alias("_before"))
+        after = materialize(_concentrate(rows, best, share).join(small(before), KEYS))
+        falls = F.col("logdet") < F.col("_before") - LEAST_FALL
+        if after.where(falls).isEmpty():
+            return materialize(_whitener(best.drop("logdet", *WEIGHTS), consistency(share)).drop("start", "logdet", *COVARIANCES))
+        stay = after.where(~falls).select(*KEYS)
+        best = materialize(after.where(falls).drop("_before").unionByName(best.join(small(materialize(stay)), KEYS, "left_semi")))
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 20, max_repeat: int = 30, min_rows: int = 30, tail: float = 1e-6) -> DataFrame:
