@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import collections
 import heapq
 import re
 from collections.abc import Iterator, Sequence
@@ -13,16 +14,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Public licence notices by identifier.
+#: Public licence notices by identifier, short ones, headers and whole bodies.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
@@ -32,18 +35,38 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Released under the BSD 3-Clause License."),
-    "BSD-2-Clause": ("Released under the BSD 2-Clause License.",),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.1": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
+    "BSD-2-Clause": (
+        "Released under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
+    "BSD-3-Clause": (
+        "Released under the BSD 3-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
     "CC0-1.0": ("This work has been dedicated to the public domain under the CC0 1.0 Universal License.",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
     "all-rights-reserved": ("All rights reserved.",),
 }
 #: Lower-case stems of the words that templates are looked for by, the rarest first.
@@ -90,10 +113,15 @@ def reading(template: Sequence[str], words: Sequence[str], most: int) -> tuple[i
 class Scanner:
     """Notices of a text: stretches around a cue that read as a template, within ``tolerance`` of its words.
 
+    Words by which a template differs from that of another licence, ``TELLING`` of them at most, and numbers
+    must be as they are in the template, so a notice isn't reported as one of a close relative.
+
     Up to d words of a template may differ, so one of any d + 1 of them is in the text as it is: each template has d + 1
     cues, and a window of its own length around each of them in the text is aligned with it, so no notice within the tolerance is missed.
     """
 
+    TELLING = 6
+
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, *, tolerance: float = 0.1) -> None:
         self.known = [(name, [w for w, _, _ in tokens(text)], self._packer(text)) for name, texts in templates.items() for text in texts]
         self.most = [int(tolerance * len(words)) for _, words, _ in self.known]
@@ -104,6 +132,23 @@ class Scanner:
             for t in rare[: self.most[k] + 1]:
                 self.anchors.setdefault(words[t], []).append((k, t))
 
+        counts = [collections.Counter(words) for _, words, _ in self.known]
+        self.needed: list[dict[str, int]] = []
+        self.barred: list[dict[str, int]] = []
+        for (name, *_), own in zip(self.known, counts, strict=True):
+            needed, barred = {w for w in own if w[0].isdigit()}, set()
+            for (other, *_), more in zip(self.known, counts, strict=True):
+                here, there = own - more, more - own
+                if name != other and (here + there).total() <= self.TELLING:
+                    needed |= set(here)
+                    barred |= set(there)
+            self.needed.append({w: own[w] for w in needed})
+            self.barred.append({w: own[w] for w in barred})
+
+    def tells(self, k: int, words: list[str]) -> bool:
+        """Whether these words have those that tell template ``k`` from its relatives."""
+        return all(words.count(w) >= n for w, n in self.needed[k].items()) and all(words.count(w) <= n for w, n in self.barred[k].items())
+
     @staticmethod
     def _packer(text: str) -> zstandard.ZstdCompressor:
         raw = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) if text else None
@@ -116,7 +161,7 @@ class Scanner:
         if ahead > most:
             return None
         after, b = reading(own[t + 1 :], words[p + 1 : min(high, p + len(own) - t + most)], most - ahead)
-        return (ahead + after, p - a, p + 1 + b) if ahead + after <= most else None
+        return (ahead + after, p - a, p + 1 + b) if ahead + after <= most and self.tells(k, words[p - a : p + 1 + b]) else None
 
     def __call__(self, text: str) -> list[Notice]:
         own = tokens(text)
@@ -129,21 +174,21 @@ class Scanner:
                 differ, a, b = here
                 data = text[own[a][1] : own[b - 1][2]].lower().encode()
                 saved = len(self.plain.compress(data)) - len(self.known[k][2].compress(data))
-                heapq.heappush(queue, (differ, own[a][1] - own[b - 1][2], -saved, a, b, k, p, t))
+                heapq.heappush(queue, (differ - len(self.known[k][1]), differ, -saved, a, b, k, p, t))
 
         for p, word in enumerate(words):
             for k, t in self.anchors.get(word, ()):
                 offer(p, k, t, 0, len(words))
         taken: list[tuple[int, int, Notice]] = []
         while queue:
-            differ, length, saved, a, b, k, p, t = heapq.heappop(queue)
+            _, differ, saved, a, b, k, p, t = heapq.heappop(queue)
             i = bisect.bisect_right(taken, p, key=lambda n: n[0])
             low = taken[i - 1][1] if i else 0
             high = taken[i][0] if i < len(taken) else len(words)
             if p >= low and (a < low or b > high):  # reaches into a closer notice: what is left beside that
                 offer(p, k, t, low, high)
             elif p >= low:
-                taken.insert(i, (a, b, Notice(text.count("\n", 0, own[a][1]), own[a][1], -length, self.known[k][0], differ, -saved)))
+                taken.insert(i, (a, b, Notice(text.count("\n", 0, own[a][1]), own[a][1], own[b - 1][2] - own[a][1], self.known[k][0], differ, -saved)))
         return [n for *_, n in taken]
 
 
@@ -151,7 +196,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tol
     """One row per notice: id, line (from 0), start, length (code points), license, differences (words), saved (bytes).
 
     Every template is aligned word by word with windows of its own length around its cues, and confirmed if at most
-    ``tolerance`` of its words differ. Of notices that overlap, the one with the fewest differences stays, then the longest one, then the one
+    ``tolerance`` of its words differ, none of them a number or a word that tells its licence from a close relative. Of notices that overlap, the one
+    stays of which most words are the template's, then the one with the fewest differences, then the one
     whose template, as a raw zstandard dictionary, saves most bytes of it. Cues are single words, so white space, line ends and
     comment marks between words don't hide a notice; they are looked for in the JVM, so only texts that have one reach Python.
 
