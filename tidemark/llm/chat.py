@@ -57,11 +57,16 @@ def render(messages: DataFrame, *, loss_roles: tuple[str, ...] = ("assistant",))
     """conv_id, formatted, loss_spans: the template's text and the character spans (start from 0, length) that bear loss.
 
     Control strings inside texts and roles are escaped reversibly, so no text can open or close a turn.
+
+    A conversation is one row, so its messages meet in one task, and its text must fit into it. Null conv_id: one
+    conversation. Null text or role: empty. Null message comes first; equal ones by their text. Repeated rows: each is a turn. Empty table:
+    empty result. Extra columns aren't read.
     """
+    messages = messages.select("conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     head = F.concat(F.lit(START), _escape_role(F.col("role")), F.lit("\n"))
     pieces = messages.select("conv_id", "message", "role", head.alias("head"), escape(F.col("text")).alias("body"))
     pieces = pieces.withColumn("piece", F.concat("head", "body", F.lit(END + "\n")))
-    before = Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id").orderBy("message", "piece").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)) + F.length("head")
     span = F.when(F.col("role").isin(*loss_roles), F.struct(start.cast("long").alias("start"), F.length("body").cast("long").alias("length")))
     turns = pieces.select("conv_id", F.struct("message", "piece", span.alias("span")).alias("turn")).groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
@@ -73,7 +78,7 @@ def render(messages: DataFrame, *, loss_roles: tuple[str, ...] = ("assistant",))
 
 
 def read_turns(formatted: Column) -> Column:
-    """Array of (role, text) read back from a formatted conversation."""
+    """Array of (role, text) read back from a formatted conversation; null for null, empty for an empty one."""
 
     def turn(piece):
         role = F.substring_index(piece, "\n", 1)
@@ -84,11 +89,26 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
-    """Unescaped text under the loss mask."""
+    """Unescaped text under the loss mask: that of the spans in their order, nothing between; null if text or spans are null, empty without spans."""
     return bind(formatted, lambda f: F.array_join(F.transform(spans, lambda s: unescape(F.substr(f, s["start"].cast("int") + 1, s["length"].cast("int")))), ""))
 
 
-def conversation_events(turns: DataFrame) -> DataFrame:
-    """A table of turns (conv_id, turn, role, text) as a log: each row, in turn order, is a message of its own."""
-    seq = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    return turns.select("conv_id", seq.alias("seq"), seq.alias("message"), F.lit("delta").alias("kind"), "role", "text")
+def conversation_events(turns: DataFrame, *, drafts: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """A table of turns (conv_id, turn, role, text) as the log of a client that streams: each row, in turn order, is a message of its own.
+
+    A message comes as a delta of its first half that an edit takes back, an edit that brings that half again, and a
+    delta of the rest; for roles in ``drafts`` a regeneration stands for the second edit. Folding the log gives the turns again.
+
+    Null conv_id: one conversation. Null turns come first, equal ones by role and text. Null text: empty. Null role: stays null.
+    Repeated rows: messages of their own. Empty table: empty log. Extra columns aren't read. A conversation is numbered in one task.
+    """
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    first, rest = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    steps = [("delta", first), ("edit", F.lit("")), (F.when(F.col("role").isin(*drafts), "regenerate").otherwise("edit"), first), ("delta", rest)]
+    kinds = [F.lit(k) if isinstance(k, str) else k for k, _ in steps]
+    events = F.array(*[F.struct(F.lit(i).alias("step"), k.alias("kind"), t.alias("text")) for i, (k, (_, t)) in enumerate(zip(kinds, steps, strict=True))])
+    numbered = turns.select("conv_id", place.alias("message"), "role", "text")
+    log = numbered.select("conv_id", "message", "role", F.explode(events).alias("e"))
+    return log.select("conv_id", (F.col("message") * len(steps) + F.col("e.step")).alias("seq"), "message", "e.kind", "role", "e.text")
