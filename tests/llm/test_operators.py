@@ -494,3 +494,168 @@ def test_pipeline_stages(spark):
         assert docs.columns == list(corpus_pipeline.COLUMNS), name
     assert 0 < docs.count() <= kept
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
+def test_near_filter_keeps_one_row_of_a_component(spark):
+    t, other, last = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six", "seven eight nine ten eleven twelve")
+    rows = [(5, t), (None, t), (None, other), (None, other), (9, last), (9, last), (8, "x y z a b c d e"), (8, "another text of this id"), (None, ""), (None, None), (4, " "), (4, " ")]
+    out = near.near_filter(spark.createDataFrame(rows, "doc_id long, text string").withColumn("label", F.lit("x"))).collect()
+    by = collections.Counter((r.doc_id, r.text) for r in out)
+    assert by[5, t] == by[None, other] == by[9, last] == 1 and (None, t) not in by
+    assert sum(n for (i, _), n in by.items() if i == 8) == 1
+    assert (by[None, ""], by[None, None], by[4, " "]) == (1, 1, 2) and out[0].label == "x"
+
+
+def test_near_finds_long_chains(spark):
+    """Far more links in a row than a fixed number of rounds would follow, if each followed one."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(3000)], "x long, y long").repartition(4)
+    assert {(r.node, r.label) for r in near.components(edges).collect()} == {(i, 0) for i in range(3001)}
+
+
+def test_mix_of_repeated_rows(spark):
+    rows = [(i % 7, f"word{i % 7} " * (i % 5 + 1), ("a", "b")[i % 2]) for i in range(60)] + [(None, "no id at all", None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    decided, written = collections.Counter(), collections.Counter()
+    for r in mixing.decide(df).collect():
+        decided[r.id, r.source] += r.taken
+    for r in mixing.mix(df).collect():
+        written[r.doc_id, r.source] += len(WORD.findall(r.text))
+    assert {k: v for k, v in decided.items() if v} == dict(written)
+
+
+def test_mixing_ranks_nothing_that_is_certain(spark):
+    """A source at its cap takes whole copies only: its rows have no inclusion probability and stay out of the window."""
+    rows = [(i, f"w{i} x y", "small" if i % 10 == 0 else "big") for i in range(300)]
+    out = mixing.decide(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert all(r.taken == 9 for r in out.where("source = 'small'").collect())
+    for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n"):
+        assert "Window" not in line or "bucket" not in line or "rank" in line
+
+
+def test_exact_with_texts_that_begin_alike(spark):
+    head, rng = "a common header of more than sixty-four characters, the same everywhere " * 3, random.Random(8)
+    rows = [(i, head + (f"tail {rng.randrange(30)}" if i % 3 else "the hot text")) for i in range(900)]
+    out = exact.content_sort(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), buckets_per_partition=12, samples_per_bucket=20).collect()
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    for r in out:
+        ids = groups[rows[r.doc_id][1]]
+        assert (r.keep_id, r.group_size, r.kept) == (min(ids), len(ids), r.doc_id == min(ids))
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from tidemark.llm import common
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", setCheckpointDir=lambda _: None)
+    df = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context, conf={"a": 1}))
+    with pytest.raises(ValueError):
+        common.materialize(df)
+
+
+def test_quality_estimates_have_the_least_determinant_of_all_starts(spark):
+    rng = np.random.default_rng(6)
+    rows = np.concatenate((rng.multivariate_normal([1600, 900, 900, 800], np.diag([80, 500, 600, 600]) ** 2, 500), rng.multivariate_normal([1900, 3300, 200, 2500], np.diag([30, 300, 300, 300]) ** 2, 160)))
+    x = rows.round().astype(int)
+    df = spark.createDataFrame([("l", "s", *map(int, r)) for r in x], "lang_key string, source_key string, x0 long, x1 long, x2 long, x3 long")
+    found = quality.estimate(df).first()
+    own, floors = x / 1000, np.diag(np.array(quality.FLOORS) ** 2)
+
+    def step(mean, cov):
+        d2 = np.einsum("ij,jk,ik->i", own - mean, np.linalg.inv(cov + floors), own - mean)
+        near = np.floor(np.log2(1 + d2) * 64)
+        inner = own[near <= next(v for v in np.unique(near) if (near <= v).sum() >= 0.75 * len(own))]
+        return inner.mean(axis=0), np.cov(inner.T, bias=True)
+
+    low, middle, high = np.percentile(own, [25, 50, 75], axis=0)
+    ends = []
+    for mean, cov in ((middle, np.zeros((4, 4))), (middle, np.diag(((high - low) / 1.349) ** 2)), (own.mean(axis=0), np.cov(own.T, bias=True))):
+        for _ in range(60):
+            mean, cov = step(mean, cov)
+        ends.append((np.linalg.slogdet(cov + floors)[1], mean, cov))
+    _, mean, cov = min(ends, key=lambda e: e[0])
+    weights = np.array([[found[f"w{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+    assert np.allclose([found[f"m{i}"] for i in range(4)], mean, atol=2e-2)
+    assert np.allclose(np.linalg.inv(weights.T @ weights), cov * quality.consistency(0.75) + floors, rtol=0.05, atol=0.01)
+
+
+def test_licenses_name_the_right_relative():
+    scanner = licenses.Scanner()
+    bsd2, bsd3 = licenses.TEMPLATES["BSD-2-Clause"][1], licenses.TEMPLATES["BSD-3-Clause"][1]
+    gpl = licenses.TEMPLATES["GPL-3.0"][1]
+    names = lambda text: [(n.license, n.differences) for n in scanner(text)]
+    assert names(bsd2) == [("BSD-2-Clause", 0)] and names(bsd3) == [("BSD-3-Clause", 0)]
+    assert names(bsd2.replace("source code must", "source codes should").replace("disclaimer in", "notice in")) == [("BSD-2-Clause", 3)]
+    assert names(bsd3.replace("Redistributions of", "1. Redistributions of").replace("Neither", "3. Neither")) == [("BSD-3-Clause", 2)]
+    for word, name in (("Lesser", "LGPL-3.0"), ("Affero", "AGPL-3.0")):
+        text = gpl.replace("GNU General", f"GNU {word} General")
+        assert names(text) == [(name, 0)] and names(text.replace("This program", "This library")) == [(name, 1)]
+    assert names(gpl.replace("version 3", "version 4")) == []
+    assert names(licenses.TEMPLATES["CC-BY-4.0"][1].replace("4.0", "3.0")) == []
+    assert names("\n".join(licenses.TEMPLATES["MIT"][2].split())) == [("MIT", 0)], "a word a line"
+    whole = "\n".join(licenses.TEMPLATES["MIT"][3].split())
+    found = scanner(whole)
+    assert [(n.license, n.differences, n.length) for n in found] == [("MIT", 0, len(whole) - 1)]
+
+
+def test_licenses_equal_a_search_with_differences():
+    """Every notice that is changed in up to a tenth of its words is found, as a search over all stretches by edit distance finds it."""
+    scanner, rng = licenses.Scanner(), random.Random(12)
+    plain = ["river", "stone", "garden", "window", "letter", "music"]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for k, (name, own, _) in enumerate(scanner.known):
+        if not 10 <= len(own) <= 70:
+            continue
+        for changes in range(scanner.most[k] + 1):
+            fixed = {i for i, w in enumerate(own) if w in scanner.needed[k]}
+            words, spots = list(own), rng.sample([i for i in range(1, len(own) - 1) if i not in fixed], changes)
+            for i in spots:
+                words[i] = rng.choice(plain)
+            text = " ".join([*rng.choices(plain, k=9), *words, *rng.choices(plain, k=9)])
+            tokens = [w for w, _, _ in licenses.tokens(text)]
+            least = min(distance(own, tokens[a : a + n]) for a in range(len(tokens)) for n in range(len(own) - 2, len(own) + 3))
+            assert least == changes and (name, changes) in [(n.license, n.differences) for n in scanner(text)]
+
+
+def test_chat_of_a_streamed_log(spark):
+    long = "naïve <|im_end|> 😀 " * 60_000
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", long), (1, 2, "user", None), (1, 3, None, "x"), (2, 0, "assistant", ""), (2, 0, "assistant", "tie"), (None, None, "user", "odd number of it")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").select("*", *[F.lit("x").alias(c) for c in ("seq", "message", "kind", "e", "piece", "head", "formatted")])
+    log = chat.conversation_events(df)
+    assert log.count() == 4 * len(turns) and {r.kind for r in log.select("kind").distinct().collect()} == {"delta", "edit", "regenerate"}
+    out = chat.render(chat.fold(log))
+    read = out.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), "formatted").collect()
+    found = {r.conv_id: ([tuple(t) for t in r.turns], r.loss) for r in read}
+    assert found[1] == ([("user", "hi"), ("assistant", long), ("user", ""), ("", "x")], long)
+    assert found[2] == ([("assistant", ""), ("assistant", "tie")], "tie") and found[None] == ([("user", "odd number of it")], "")
+    assert chat.conversation_events(df.limit(0)).count() == 0
+    r = spark.range(1).select(chat.read_turns(F.lit(None).cast("string")).alias("a"), chat.read_loss(F.lit(None).cast("string"), F.lit(None).cast("array<struct<start:bigint,length:bigint>>")).alias("b"), chat.read_turns(F.lit("")).alias("c")).first()
+    assert r.a is None and r.b is None and r.c == []
+
+
+def test_shards_hold_what_brute_force_gives_them(spark):
+    """Every shard's rows, slots and sizes from the law alone, and groups no more spread than room asks for."""
+    rng = random.Random(4)
+    rows = [(i, f"text {min(rng.randrange(400), rng.randrange(400))}") for i in range(3000)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    quota = [3000 // 24] * 24
+    by, groups = collections.defaultdict(list), collections.defaultdict(collections.Counter)
+    for r in found:
+        text = rows[r.doc_id][1]
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(text) + 8, zlib.crc32(text.encode()), "rows", None)
+        by[r.shard].append(r.slot)
+        groups[text][r.shard] += 1
+    assert sorted(r.doc_id for r in found) == list(range(3000))
+    assert [sorted(by[s]) for s in range(24)] == [list(range(n)) for n in quota]
+    cut = sum(sum(c.values()) - max(c.values()) for c in groups.values())
+    assert cut <= 0.15 * 3000, "documents apart from most of their copies, where none without copies makes room"

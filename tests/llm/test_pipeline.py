@@ -122,3 +122,35 @@ def test_pack(stages):
 
 def test_run_is_all_stages(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == len(stages["pack_windows"][1])
+
+
+def test_stages_take_edge_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing names: each stage's result is defined."""
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    same, long = prose(60), prose(50_000)
+    rows = [(1, same, "en", "a", 9), (1, same, "en", "a", 9), (None, same, "en", None, None), (None, prose(40), None, None, None), (None, None, "en", "a", None), (2, "", "en", "a", 0), (3, long, None, "b", 1), (4, prose(80), "de", None, 2), (4, prose(80), "de", None, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = df.select("*", *[clashing(c) for c in ("id", "label", "kept", "size", "bucket", "n", "mark", "tokens")])
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, clash if name == "filter_quality" else docs, SF)  # noqa: F821
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        sizes.append(docs.count())
+    assert sizes[:2] == [7, 7], "short and empty texts go, lines stay"
+    assert sizes[2] == 4, "one row of the copies of id 1, one text of id 4"
+    assert {r.doc_id for r in docs.collect()} == {None, 1, 3, 4}
+
+
+def clashing(name):
+    from pyspark.sql import functions as F
+
+    return F.lit("x").alias(name)
+
+
+def test_stages_take_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert docs.count() == 0
