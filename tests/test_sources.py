@@ -104,3 +104,57 @@ def test_bundles_are_audited(spark, tmp_path):
     bundle.write_jsonl(df, str(tmp_path / "json"), "gzip")
     bundle.discard(df)
     assert bundle.digest(df) == bundle.digest(df.repartition(3))
+
+
+def test_validation_knows_types(spark, tmp_path):
+    cap = lambda **c: {**DEPTH, "data": {**DEPTH["data"], "_capture": c}}
+    depth = lambda **d: {**DEPTH, "data": {"U": 4, "u": 5, "b": [], "a": [], **d}}
+    event = lambda **d: {"ts_local": 1, "symbol": "*", "type": "captureEvent", "data": {"event": "x", "route": "r", **d}}
+    cases = [
+        ({**TRADE, "data": {**TRADE["data"], "m": "true"}}, ["aggTrade"]),
+        ({**TRADE, "data": {**TRADE["data"], "p": "nan"}}, ["aggTrade"]),
+        ({**TRADE, "data": {**TRADE["data"], "p": "-1", "q": 0.5}}, []),
+        (depth(pu=-5), ["depthUpdate"]), (depth(pu="abc"), ["depthUpdate"]), (depth(pu=None), ["depthUpdate"]), (depth(U="4", pu="3"), []), (depth(U=True), ["depthUpdate"]), (depth(U=6), ["depthUpdate"]),
+        (depth(b=[["1"]]), ["depthUpdate"]), (depth(b=[["1", "2", "more"]]), []), (depth(b=[["1", "x"]]), ["depthUpdate"]), (depth(b={}), ["depthUpdate"]), (depth(a=[None]), ["depthUpdate"]),
+        (cap(route=""), ["route"]), (cap(recvSeq="7"), ["recvSeq"]), (cap(recvSeq=7.0), ["recvSeq"]), (cap(recvSeq=-7), ["recvSeq"]), (cap(syncEpoch=None), ["syncEpoch"]), (cap(recvWallNs=10**24), []),
+        (cap(snapshotAccepted="yes"), ["snapshotAccepted"]), (cap(snapshotAccepted=False, reason="", validationError="e"), []), (cap(reason=3), ["reason"]), ({**DEPTH, "data": {**DEPTH["data"], "_capture": 3}}, ["_capture"]),
+        ({**INFO, "data": {**INFO["data"], "other": {"recvSeq": "x"}, "_capture": {"recvSeq": 4}}}, []),
+        ({**INFO, "data": {**INFO["data"], "venue": 3}}, ["exchangeInfo"]), ({**INFO, "data": {"tickSize": "0.1"}}, ["exchangeInfo"]),
+        (event(), []), (event(event=""), ["captureEvent"]), (event(route=3), ["captureEvent"]), (event(reason=1), ["captureEvent"]),
+        ({**META, "data": {"schemaVersion": "3"}}, ["captureMeta"]), ({**META, "symbol": " "}, ["symbol"]), ({**META, "symbol": 3}, ["symbol"]), ({**META, "ts_local": "5.5"}, []), ({**META, "ts_local": "inf"}, ["ts_local"]), ({**META, "data": []}, ["data"]),
+    ]
+    path = write(tmp_path / "t.ndjson", [row for row, _ in cases])
+    found = {r.line: r.reasons for r in tape.validate(tape.read_lines(spark, path)).collect()}
+    assert [(i, found[i + 1]) for i in range(len(cases))] == [(i, wanted) for i, (_, wanted) in enumerate(cases)]
+
+
+def test_manifests_are_held_against_their_segments(spark, tmp_path):
+    paths = [segment(tmp_path, "s0.ndjson", [1, 2, 3]), segment(tmp_path, "s1.ndjson", [4, 6])]
+    report = tape.segment_report(tape.read_segments(spark, paths))
+    entries = [{"path": "s0.ndjson", "count": 3, "first_recv_seq": 1, "last_recv_seq": 3}, {"path": "s1.ndjson", "count": 2, "first_recv_seq": 4, "last_recv_seq": 6}]
+
+    def signed(**changes):
+        m = {"capture_id": "c", "segments": entries, "segment_count": 2, "event_count": 5, "first_recv_seq": 1, "last_recv_seq": 6, **changes}
+        return {**m, "manifest_sha256": hashlib.sha256(json.dumps(m, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()}
+
+    assert tape.manifest_issues(signed(), report) == []
+    assert tape.manifest_issues({**signed(), "event_count": 6}, report) == ["manifest_sha256", "event_count"]
+    assert tape.manifest_issues(signed(capture_id="", segment_count=3), report) == ["capture_id", "segment_count"]
+    assert tape.manifest_issues(signed(segments=entries[::-1], first_recv_seq=4, last_recv_seq=3), report) == ["order s0.ndjson"]
+    assert tape.manifest_issues(signed(segments=[entries[0], {**entries[1], "count": 9}], capture_runtime={"writer": {"complete": False}}), report) == ["writer", "segment s1.ndjson", "event_count", "recv_seq"]
+
+
+@pytest.mark.parametrize("kind", ["parquet", "csv", "jsonl"])
+def test_bundles_of_every_format_are_audited(spark, tmp_path, kind):
+    df = spark.createDataFrame([(1, "a", [1, 2], 0.5), (2, None, [], None)], "i long, s string, l array<long>, d double")
+    path = str(tmp_path / "bundle")
+    bundle.write_bundle(spark, path, {"t": df}, {"n": 2}, kind)
+    assert bundle.audit_bundle(spark, path) == []
+    {"parquet": bundle.write_parquet, "csv": bundle.write_csv, "jsonl": bundle.write_jsonl}[kind](df.limit(1), f"{path}/t/more")
+    import glob
+    import shutil
+
+    for file in glob.glob(f"{path}/t/more/part*"):
+        shutil.move(file, f"{path}/t/")
+    shutil.rmtree(f"{path}/t/more")
+    assert bundle.audit_bundle(spark, path) == ["t"]

@@ -14,11 +14,21 @@ def decimal(c: Column) -> Column:
 
 
 def to_units(value: Column, unit: Column, how: str = "exact") -> Column:
-    """Ticks of a price, or lots of a quantity: exact (null off the grid or below 0), round (half up), floor or ceil."""
-    ratio = (value.cast("decimal(28,10)") / unit.cast("decimal(28,10)")).cast("decimal(38,10)")
-    if how == "exact":
-        return F.when((value >= 0) & (ratio == F.floor(ratio)), F.floor(ratio).cast("long"))
-    return {"round": F.round(ratio, 0), "floor": F.floor(ratio), "ceil": F.ceil(ratio)}[how].cast("long")
+    """Ticks of a price, or lots of a quantity: exact (null off the grid or below 0), round (half away from 0), floor or ceil.
+
+    Both are taken to 18 decimals, and remainders are exact. Null, a unit that isn't positive, and what doesn't fit: null.
+    """
+    v, u = value.try_cast(EXACT), unit.try_cast("decimal(36,18)")
+    size, over = F.abs(v), F.pmod(F.abs(v), u).cast("decimal(36,18)")
+    whole = F.when(size.cast("double") / u.cast("double") < float(2**63 - 2**11), F.call_function("div", size, u))
+    negative = v < 0
+    units = {
+        "exact": F.when(~negative & (over == 0), whole),
+        "round": F.when(negative, -1).otherwise(1) * (whole + (over >= u - over).cast("long")),
+        "floor": F.when(negative, -(whole + (over > 0).cast("long"))).otherwise(whole),
+        "ceil": F.when(negative, -whole).otherwise(whole + (over > 0).cast("long")),
+    }
+    return F.when(u > 0, units[how]).cast("long")
 
 
 def from_units(units: Column, unit: Column) -> Column:
@@ -57,10 +67,74 @@ def gate(book_imbalance: Column, trade_imbalance: Column, threshold: float) -> C
     return F.when((book_imbalance >= threshold) & (trade_imbalance >= threshold), "buy_pressure").when((book_imbalance <= -threshold) & (trade_imbalance <= -threshold), "sell_pressure").otherwise("neutral")
 
 
+#: Outcomes of the pressure gate.
+GATE_REASONS = ("gate_size_zero", "book_and_trade_buy_pressure_agree", "book_and_trade_sell_pressure_agree", "only_one_signal_strong_or_signals_disagree", "below_threshold")
+
+
+def gate_details(book_imbalance: Column, trade_imbalance: Column, threshold: float, ticks: Column) -> tuple[Column, Column, Column]:
+    """Label (bullish, bearish, neutral), reason and active ticks of a gate of ``ticks`` that acts when both imbalances agree."""
+    zero, buy, sell, one, below = GATE_REASONS
+    up = (book_imbalance >= threshold) & (trade_imbalance >= threshold)
+    down = (book_imbalance <= -threshold) & (trade_imbalance <= -threshold)
+    strong = (F.abs(book_imbalance) >= threshold) | (F.abs(trade_imbalance) >= threshold)
+    label = F.when(ticks <= 0, "neutral").when(up, "bullish").when(down, "bearish").otherwise("neutral")
+    reason = F.when(ticks <= 0, zero).when(up, buy).when(down, sell).when(strong, one).otherwise(below)
+    return label, reason, F.when((ticks > 0) & (up | down), ticks).otherwise(0)
+
+
 def bps_to_ticks(mid: Column, bps: Column, tick_size: Column) -> Column:
     return mid * bps / 10_000 / tick_size
 
 
+def fee_floor_bps(maker_bps: Column, buffer_bps: Column) -> Column:
+    """Half spread that pays a maker's fee and a buffer; rebates don't lower it."""
+    return F.greatest(F.lit(0.0), maker_bps.cast("double")) + buffer_bps
+
+
+def ms_to_us(ms: Column) -> Column:
+    """Microseconds of a latency in milliseconds, halves to the even one; null unless finite and from 0."""
+    ok = (ms >= 0) & (ms < float("inf")) & ~F.isnan(ms.cast("double"))
+    return F.when(ok, F.bround(ms.cast("double") * 1000, 0).cast("long"))
+
+
+def diagnostic_score(capture: Column, markout: Column, adverse_rate: Column, inventory_stdev: Column, max_drawdown: Column, queue_ahead: Column, arrival_queue_ahead: Column) -> Column:
+    """Rank of a run for inspection. The weights."""
+    return capture + markout - 10.0 * adverse_rate - 0.25 * inventory_stdev - max_drawdown - 0.001 * queue_ahead - 0.0005 * arrival_queue_ahead
+
+
+def _nearest(ticks: Column) -> Column:
+    return F.floor(ticks + 0.5).cast("long")
+
+
+def quote_ladder(center: Column, half: Column, wide: Column, bid_extra: Column, ask_extra: Column) -> tuple[Column, ...]:
+    """Bid and ask ticks near and far: far ones at least a tick behind; all null where a pair would meet or cross."""
+    bid, ask = _nearest(center - half - bid_extra), _nearest(center + half + ask_extra)
+    far_bid, far_ask = F.least(_nearest(center - wide - bid_extra), bid - 1), F.greatest(_nearest(center + wide + ask_extra), ask + 1)
+    fit = (bid < ask) & (far_bid < far_ask)
+    return tuple(F.when(fit, c) for c in (bid, ask, far_bid, far_ask))
+
+
+def layered_quotes(mid_ticks: Column, skew_ticks: Column, volatility: Column, gate_label: Column, gate_ticks: Column, *, inner_bps: float, outer_bps: float, volatility_factor: float) -> tuple[Column, ...]:
+    """Inner and outer bid and ask ticks (bid, ask, outer bid, outer ask); the gate moves the side that pressure runs over."""
+    scale = 1 + volatility * volatility_factor
+    inner = F.greatest(F.lit(1.0), mid_ticks * inner_bps * scale / 10_000)
+    outer = F.greatest(inner, mid_ticks * outer_bps * scale / 10_000)
+    moved = lambda label: F.when(gate_label == label, gate_ticks).otherwise(0)
+    return quote_ladder(mid_ticks - skew_ticks, inner, outer, moved("bearish"), moved("bullish"))
+
+
+def research_quotes(
+    mid_ticks: Column, skew_ticks: Column, volatility: Column, combined_imbalance: Column, gate_label: Column, gate_ticks: Column, *,
+    half_bps: float, outer_bps: float, volatility_factor: float, toxicity_factor: float, floor_bps: float,
+) -> tuple[Column, ...]:
+    """Near and far bid and ask ticks around the reservation price: half a spread for volatility and toxicity, never below the fee floor."""
+    half_spread = F.greatest(F.lit(0.0), half_bps * (1 + volatility * volatility_factor) + F.abs(combined_imbalance) * toxicity_factor, F.lit(floor_bps))
+    half = F.greatest(F.lit(1.0), mid_ticks * half_spread / 10_000)
+    wide = F.greatest(half + 1, mid_ticks * F.greatest(F.lit(outer_bps), half_spread * 2) / 10_000)
+    moved = lambda label: F.when(gate_label == label, gate_ticks).otherwise(0)
+    return quote_ladder(mid_ticks - skew_ticks, half, wide, moved("bearish"), moved("bullish"))
+
+
 def baseline_quotes(mid_ticks: Column, inventory: Column, volatility: Column, *, half_spread_bps: float, skew_bps: float, volatility_factor: float) -> tuple[Column, Column]:
     """Bid and ask ticks: half spread scaled by volatility, at least a tick; inventory moves both away from the mid."""
     scale = 1 + volatility * volatility_factor

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tape import read_audit
+
 
 def cells(df: DataFrame) -> DataFrame:
     """Columns as CSV cells: nested values as JSON, null as empty."""
@@ -51,14 +53,25 @@ def digest(df: DataFrame) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def read_back(spark: SparkSession, path: str, schema: str, kind: str) -> DataFrame:
+    """A table as it was written, in any of the formats."""
+    if kind == "csv":
+        return read_audit(spark, path, schema)
+    return spark.read.schema(schema).json(path) if kind == "jsonl" else spark.read.parquet(path)
+
+
 def write_bundle(spark: SparkSession, path: str, tables: Mapping[str, DataFrame], summary: Mapping, kind: str = "parquet") -> dict:
-    """Tables under ``path``, then a manifest with their digests; a bundle without manifest is incomplete."""
+    """Tables under ``path``, then a manifest with the digests of what was written; a bundle without manifest is incomplete.
+
+    In CSV an empty text and null are the same cell, so its digest is that of null.
+    """
     writers = {"parquet": write_parquet, "csv": write_csv, "jsonl": write_jsonl}
-    manifest: dict = {"summary": dict(summary), "tables": {}}
+    manifest: dict = {"summary": dict(summary), "kind": kind, "tables": {}}
     for name, df in tables.items():
         writers[kind](df, f"{path}/{name}")
-        back = spark.read.parquet(f"{path}/{name}") if kind == "parquet" else df
-        manifest["tables"][name] = {"rows": back.count(), "digest": digest(back), "columns": back.columns}
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        back = read_back(spark, f"{path}/{name}", schema, kind)
+        manifest["tables"][name] = {"rows": back.count(), "digest": digest(back), "columns": back.columns, "schema": schema}
     manifest["self"] = hashlib.sha256(json.dumps(manifest, sort_keys=True).encode()).hexdigest()
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/_manifest")
     return manifest
@@ -70,7 +83,7 @@ def audit_bundle(spark: SparkSession, path: str) -> list[str]:
     own = manifest.pop("self")
     issues = [] if hashlib.sha256(json.dumps(manifest, sort_keys=True).encode()).hexdigest() == own else ["manifest"]
     for name, known in manifest["tables"].items():
-        df = spark.read.parquet(f"{path}/{name}")
+        df = read_back(spark, f"{path}/{name}", known["schema"], manifest["kind"])
         if df.count() != known["rows"] or digest(df) != known["digest"]:
             issues.append(name)
     return issues

@@ -6,11 +6,15 @@ is invalid, and callers choose to fail, to recover the valid prefix or to filter
 
 from __future__ import annotations
 
+import hashlib
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import previous
+
 #: The record types of a tape.
 RECORD_TYPES = ("captureMeta", "captureEvent", "exchangeInfo", "snapshot", "depthUpdate", "aggTrade")
 #: The columns of a normalized tape.
@@ -40,40 +44,78 @@ def _number(c: Column) -> Column:
     return F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d)
 
 
+def _kind(path: str, of: str = "_tm_json") -> Column:
+    """JSON type at a path: BOOLEAN, STRING, BIGINT, DECIMAL(p,s), DOUBLE, OBJECT<...>, ARRAY<...>, VOID for null; null if there is nothing."""
+    return F.schema_of_variant(F.try_variant_get(of, path, "variant"))
+
+
+def _text(path: str, of: str = "_tm_json") -> Column:
+    return F.try_variant_get(of, path, "string")
+
+
+def _whole(text: Column) -> Column:
+    """An integer from 0, as a number or as text."""
+    return F.coalesce(text.rlike(r"^\s*\+?[0-9]+\s*$"), F.lit(False))
+
+
+def _finite(text: Column) -> Column:
+    """A finite decimal of any sign, as a number or as text."""
+    return F.coalesce(text.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"), F.lit(False))
+
+
 def _levels_ok(path: str) -> Column:
-    """A list of [price, quantity] pairs of numeric strings, none negative."""
-    pairs = F.from_json(_get(path), "array<array<string>>")
-    good = F.forall(pairs, lambda p: (F.size(p) == 2) & F.forall(p, lambda x: F.coalesce(_number(x) >= 0, F.lit(False))))
-    return F.coalesce(good, F.lit(False))
+    """A list of levels, each a list that begins with a price and a quantity."""
+    levels = F.try_variant_get("_tm_json", path, "array<variant>")
+    pair = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    number = lambda v, i: _finite(F.try_variant_get(F.get(pair(v), i), "$", "string"))
+    good = F.forall(levels, lambda v: F.coalesce(number(v, F.lit(0)) & number(v, F.lit(1)), F.lit(False)))
+    return _kind(path).startswith("ARRAY") & good
 
 
 def validate(lines: DataFrame) -> DataFrame:
     """Adds ``reasons``: the rules a line breaks, empty if it is valid.
 
-    A record has ts_local (finite, from 0), symbol, type (one of RECORD_TYPES) and data; data is checked by
-    type, receipt metadata (`_capture`) must hold exact non-negative integers.
+    A record has ts_local (finite, from 0), symbol (not blank), type (one of RECORD_TYPES) and data, an object, which is checked by
+    type. Ids are integers from 0, prices, quantities and sizes finite decimals, as numbers or text and of any sign: whether they are on a
+    grid is for the conversion to ticks. Receipt metadata (`_capture`) must hold exact integers from 0, numbers and not text; its texts and flags must be of
+    their types. A field that is null is there, and wrong. A line in which an object has a key twice is no JSON here.
     """
-    kind, known = _get("type"), _get("type").isin(*RECORD_TYPES)
-    exact = r"^(0|[1-9][0-9]*)$"
-    ids = {k: _get(f"data.{k}").try_cast("long") for k in ("U", "u", "pu", "lastUpdateId")}
-    raw = lambda k: F.regexp_extract("value", rf'"{k}"\s*:\s*([^,}}\s]+)', 1)
-    capture = _get("data._capture")
+    kind = F.col("_tm_kind")
+    data, cap = "$.data", "$.data._capture"
+    is_a = lambda path, *names: F.coalesce(F.regexp_extract(_kind(path), "^[A-Z]+", 0).isin(*names), F.lit(False))
+    text, absent = lambda path: is_a(path, "STRING"), lambda path: _kind(path).isNull()
+    filled = lambda path: text(path) & (_text(path) != "")
+    exact = lambda path: F.coalesce(_kind(path).rlike("^(BIGINT|DECIMAL)") & F.get_json_object("value", path).rlike("^[0-9]+$"), F.lit(False))
+    whole = lambda path: _whole(_text(path)) & ~is_a(path, "BOOLEAN")
+    number = lambda path: _finite(_text(path))
+    optional = lambda path, rule: absent(path) | rule(path)
+    every = lambda *rules: reduce(lambda a, b: a & b, rules)
+    only = lambda name, *rules: (kind != name) | F.coalesce(every(*rules), F.lit(False))
+    no_capture = absent(cap) | is_a(cap, "VOID")
+    ids = lambda k: _text(f"{data}.{k}").try_cast("decimal(38,0)")
     rules: dict[str, Column] = {
-        "json": F.try_parse_json("value").isNotNull(),
-        "ts_local": F.coalesce(_number(_get("ts_local")) >= 0, F.lit(False)),
-        "symbol": F.coalesce(F.trim(_get("symbol")) != "", F.lit(False)),
-        "type": F.coalesce(known, F.lit(False)),
-        "data": F.coalesce(_get("data").startswith("{"), F.lit(False)),
-        "exchangeInfo": (kind != "exchangeInfo") | F.coalesce((_number(_get("data.tickSize")) > 0) & (_number(_get("data.stepSize")) > 0), F.lit(False)),
-        "snapshot": (kind != "snapshot") | (F.coalesce(ids["lastUpdateId"] >= 0, F.lit(False)) & _levels_ok("data.bids") & _levels_ok("data.asks")),
-        "depthUpdate": (kind != "depthUpdate") | (F.coalesce((ids["U"] >= 0) & (ids["U"] <= ids["u"]), F.lit(False)) & _levels_ok("data.b") & _levels_ok("data.a")),
-        "aggTrade": (kind != "aggTrade") | F.coalesce((_number(_get("data.p")) >= 0) & (_number(_get("data.q")) >= 0) & _get("data.m").isin("true", "false"), F.lit(False)),
-        "captureEvent": (kind != "captureEvent") | F.coalesce((_get("data.event") != "") & (_get("data.route") != ""), F.lit(False)),
+        "json": F.col("_tm_json").isNotNull(),
+        "ts_local": number("$.ts_local") & (F.coalesce(_text("$.ts_local").try_cast("double") >= 0, F.lit(False))),
+        "symbol": text("$.symbol") & (F.trim(_text("$.symbol")) != ""),
+        "type": text("$.type") & kind.isin(*RECORD_TYPES),
+        "data": is_a(data, "OBJECT"),
+        "captureMeta": only("captureMeta", optional(f"{data}.schemaVersion", exact), optional(f"{data}.clock", text)),
+        "captureEvent": only("captureEvent", filled(f"{data}.event"), filled(f"{data}.route"), optional(f"{data}.reason", text)),
+        "exchangeInfo": only("exchangeInfo", number(f"{data}.tickSize"), number(f"{data}.stepSize"), *[optional(f"{data}.{k}", text) for k in ("baseAsset", "quoteAsset", "venue")], optional(f"{data}.contractMultiplier", number)),
+        "snapshot": only("snapshot", whole(f"{data}.lastUpdateId"), _levels_ok(f"{data}.bids"), _levels_ok(f"{data}.asks")),
+        "depthUpdate": only("depthUpdate", whole(f"{data}.U"), whole(f"{data}.u"), ids("U") <= ids("u"), optional(f"{data}.pu", whole), _levels_ok(f"{data}.b"), _levels_ok(f"{data}.a")),
+        "aggTrade": only("aggTrade", number(f"{data}.p"), number(f"{data}.q"), is_a(f"{data}.m", "BOOLEAN")),
+        "_capture": no_capture | is_a(cap, "OBJECT"),
     }
     for k in ("recvSeq", "recvWallNs", "recvMonotonicNs", "streamEpoch", "syncEpoch"):
-        rules[k] = capture.isNull() | _get(f"data._capture.{k}").isNull() | raw(k).rlike(exact)
+        rules[k] = no_capture | optional(f"{cap}.{k}", exact)
+    rules["route"] = no_capture | optional(f"{cap}.route", filled)
+    for k in ("reason", "validationError"):
+        rules[k] = no_capture | optional(f"{cap}.{k}", text)
+    rules["snapshotAccepted"] = no_capture | optional(f"{cap}.snapshotAccepted", lambda path: is_a(path, "BOOLEAN"))
+    read = lines.withColumn("_tm_json", F.try_parse_json("value")).withColumn("_tm_kind", F.coalesce(_text("$.type"), F.lit("")))
     reasons = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
-    return lines.withColumn("reasons", reasons)
+    return read.withColumn("reasons", reasons).drop("_tm_json", "_tm_kind")
 
 
 def recover(validated: DataFrame) -> DataFrame:
@@ -153,8 +195,7 @@ def read_segments(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def segment_report(segments: DataFrame) -> DataFrame:
     """Per file: header and trailer present, counts and sequence range against the trailer's, order of sequences."""
-    ordered = Window.partitionBy("path").orderBy("line")
-    events = segments.where("record = 'event'").withColumn("_p", F.lag("recv_seq").over(ordered))
+    events = previous(segments.where("record = 'event'"), ["path"], F.floor(F.col("line") / 100_000), ["line"], {"_p": F.col("recv_seq")})
     seen = events.groupBy("path").agg(F.count("*").alias("events"), F.min("recv_seq").alias("first_seq"), F.max("recv_seq").alias("last_seq"), F.count_if(F.col("recv_seq") <= F.col("_p")).alias("regressions"))
     trailer = lambda k: F.max(F.when(F.col("record") == "segment_trailer", F.get_json_object("value", f"$.{k}").cast("long")))
     frame = segments.groupBy("path").agg(F.count_if(F.col("record") == "segment_header").alias("headers"), F.count_if(F.col("record") == "segment_trailer").alias("trailers"), trailer("count").alias("count"), trailer("first_recv_seq").alias("t_first"), trailer("last_recv_seq").alias("t_last"))
@@ -163,8 +204,45 @@ def segment_report(segments: DataFrame) -> DataFrame:
     return joined.withColumn("complete", ok)
 
 
+def manifest_issues(manifest: dict, report: DataFrame) -> list[str]:
+    """What a capture's manifest says otherwise than :func:`segment_report` of its segments; empty if nothing.
+
+    Its own hash, the capture's id, the number of segments and of events, each segment's count and range of sequences, and
+    their order from segment to segment. A row per segment reaches the driver.
+    """
+    unsigned = {k: v for k, v in manifest.items() if k != "manifest_sha256"}
+    own = hashlib.sha256(json.dumps(unsigned, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    entries = manifest.get("segments") if isinstance(manifest.get("segments"), list) else []
+    seen = {r.path.rpartition("/")[2]: r for r in report.collect()}
+    issues = [] if manifest.get("manifest_sha256") == own else ["manifest_sha256"]
+    if not isinstance(manifest.get("capture_id"), str) or not manifest["capture_id"]:
+        issues.append("capture_id")
+    if not isinstance(manifest.get("segments"), list) or manifest.get("segment_count") != len(entries):
+        issues.append("segment_count")
+    if (((manifest.get("capture_runtime") or {}).get("writer")) or {}).get("complete") is False:
+        issues.append("writer")
+    before, total, first = None, 0, None
+    for entry in entries:
+        found = seen.get(entry["path"])
+        told = (entry.get("count"), entry.get("first_recv_seq"), entry.get("last_recv_seq"))
+        if found is None or not found.complete or told != (found.events or 0, found.first_seq, found.last_seq):
+            issues.append(f"segment {entry['path']}")
+            continue
+        if before is not None and found.first_seq is not None and found.first_seq <= before:
+            issues.append(f"order {entry['path']}")
+        before, first, total = found.last_seq if found.last_seq is not None else before, found.first_seq if first is None else first, total + (found.events or 0)
+    if manifest.get("event_count") != total:
+        issues.append("event_count")
+    if (manifest.get("first_recv_seq"), manifest.get("last_recv_seq")) != (first, before):
+        issues.append("recv_seq")
+    return issues
+
+
 def read_manifest(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
-    """A capture's manifest and the rows of its segments; file hashes are checked by Spark, names may not leave the folder."""
+    """A capture's manifest and the rows of its segments; file hashes are checked by Spark, names may not leave the folder.
+
+    A segment is hashed whole in one task, so it may have 2 GB at most: captures rotate their segments well below that.
+    """
     folder = path.rpartition("/")[0]
     manifest = json.loads("\n".join(r.value for r in spark.read.text(path).collect()))  # one small file
     names = [s["path"] for s in manifest["segments"]]
