@@ -12,65 +12,92 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 UPDATES = "symbol string, seq long, kind string, first_id long, last_id long, previous_id long"
 OUTPUT = "symbol string, seq long, epoch long, gaps long, synced boolean, applied boolean, reason string"
-START = (0, 0, -1, -1, False)
-STATE = "epoch long, gaps long, last long, snapshot long, synced boolean"
+START = (0, 0, -1, -1, False, [])
+STATE = "epoch long, gaps long, last long, snapshot long, synced boolean, buffer array<long>"
+BUFFER = 20_000  # updates that wait for a snapshot
 
 
-def step(state: tuple, row: Any) -> tuple[tuple, bool, str]:
-    """One update against (epoch, gaps, last, snapshot, synced): the new state, whether it applies, and why not.
+def step(state: tuple, row: Any, most: int = BUFFER) -> tuple[tuple, list[tuple[int, bool, str]]]:
+    """One update against (epoch, gaps, last, snapshot, synced, buffer): the new state, and (seq, applied, reason) of the update and of what it releases.
 
-    A snapshot starts over. The first update after it must straddle its id, later ones must follow the
-    last applied; earlier ones are ignored. A break starts a new epoch, which waits for a snapshot.
+    Without a snapshot updates wait in the buffer (``no_snapshot``), four numbers each: seq, first, last and previous id. A snapshot drops
+    those that end before it; the first of the others must straddle its id, each later one follow the one before, and they are
+    ``replayed``. If the first one doesn't, the buffer stays and waits for another snapshot (``snapshot_gap``); a break in the buffer
+    starts a new epoch (``buffer_gap``). With a snapshot the first update must straddle its id and later ones follow the last applied; earlier ones are
+    ignored. A break starts a new epoch, and the update that broke it is the first in its buffer. Bad ids and a buffer beyond ``most`` start a new epoch with an empty buffer.
     """
-    epoch, gaps, last, snapshot, synced = state
+    epoch, gaps, last, snapshot, synced, buffer = state
+    fresh = lambda kept=(): (epoch + 1, gaps + 1, -1, -1, False, list(kept))
+    told = lambda applied, reason: [(row.seq, applied, reason)]
     if row.kind == "snapshot":
-        return (epoch + synced, gaps, -1, row.last_id, False), True, ""
-    if row.first_id < 0 or row.first_id > row.last_id:
-        return (epoch + 1, gaps + 1, -1, -1, False), False, "invalid_ids"
+        waiting = [buffer[i : i + 4] for i in range(0, len(buffer), 4) if buffer[i + 2] >= row.last_id]
+        if waiting and waiting[0][1] > row.last_id:
+            return (epoch, gaps + 1, -1, -1, False, buffer), told(False, "snapshot_gap")
+        at, released = -1, []
+        for seq, _, end, before in waiting:
+            if at >= 0 and end <= at:
+                continue
+            if at >= 0 and before != at:
+                return fresh(), told(False, "buffer_gap")
+            at = end
+            released.append((seq, True, "replayed"))
+        return (epoch, gaps, at, row.last_id, bool(waiting), []), told(True, "") + released
+    if row.first_id < 0 or row.previous_id < -1 or row.first_id > row.last_id:
+        return fresh(), told(False, "invalid_ids")
+    own = [row.seq, row.first_id, row.last_id, row.previous_id]
     if snapshot < 0:
-        return state, False, "no_snapshot"
+        if len(buffer) >= 4 * most:
+            return (epoch + 1, gaps, -1, -1, False, []), told(False, "buffer_overflow")
+        return (epoch, gaps, -1, -1, False, [*buffer, *own]), told(False, "no_snapshot")
     if not synced:
         if row.last_id < snapshot:
-            return state, False, "before_snapshot"
-        if row.first_id <= snapshot:
-            return (epoch, gaps, row.last_id, snapshot, True), True, ""
-        return (epoch + 1, gaps + 1, -1, -1, False), False, "no_bridge"
+            return state, told(False, "before_snapshot")
+        return (epoch, gaps, row.last_id, snapshot, True, []) if row.first_id <= snapshot else fresh(own), told(row.first_id <= snapshot, "" if row.first_id <= snapshot else "no_bridge")
     if row.last_id <= last:
-        return state, False, "stale"
+        return state, told(False, "stale")
     if row.previous_id != last:
-        return (epoch + 1, gaps + 1, -1, -1, False), False, "gap"
-    return (epoch, gaps, row.last_id, snapshot, True), True, ""
+        return fresh(own), told(False, "gap")
+    return (epoch, gaps, row.last_id, snapshot, True, []), told(True, "")
+
+
+def _rows(symbol: Any, state: tuple, told: list[tuple[int, bool, str]]) -> list[tuple]:
+    return [(symbol, seq, *state[:2], state[4], applied, reason) for seq, applied, reason in told]
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
 
 def _run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     now = state.get if state.exists else START
+    now = (*now[:5], list(now[5]))
     for rows in batches:
-        out = []
+        out: list[tuple] = []
         for row in rows.sort_values("seq").itertuples(index=False):
-            now, applied, reason = step(now, row)
-            out.append((row.symbol, row.seq, now[0], now[1], now[4], applied, reason))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-    state.update(tuple(now))
+            now, told = step(now, row)
+            out += _rows(row.symbol, now, told)
+        yield _frame(out)
+    state.update((*(int(x) for x in now[:4]), bool(now[4]), [int(x) for x in now[5]]))
 
 
 def synchronize(updates: DataFrame) -> DataFrame:
-    """Stream of UPDATES to OUTPUT: which updates apply, in which epoch; state by symbol."""
+    """Stream of UPDATES to OUTPUT: which updates apply, in which epoch; state by symbol. An update that waited has a second row when it is replayed."""
     return updates.groupBy("symbol").applyInPandasWithState(_run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def synchronize_table(updates: DataFrame) -> DataFrame:
-    """The same over a table: each symbol's updates pass in order, a batch at a time."""
+    """The same over a table: each symbol's updates pass in order, a batch at a time. Every update may change what the next one means, so a symbol is one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         symbol, now = None, START
         for rows in batches:
-            out = []
+            out: list[tuple] = []
             for row in rows.itertuples(index=False):
                 if row.symbol != symbol:
                     symbol, now = row.symbol, START
-                now, applied, reason = step(now, row)
-                out.append((row.symbol, row.seq, now[0], now[1], now[4], applied, reason))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+                now, told = step(now, row)
+                out += _rows(row.symbol, now, told)
+            yield _frame(out)
 
     typed = updates.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in UPDATES.split(", ")])
     return typed.repartition("symbol").sortWithinPartitions("symbol", "seq").mapInPandas(run, OUTPUT)
