@@ -214,3 +214,97 @@ def test_option_books_and_quotes(spark):
     r = options.portfolio(options.with_greeks(df), ["book"]).first()
     one = options.with_greeks(df).where("option_type = 'call'").first()
     assert abs(r.gamma - 4 * one.gamma) < 1e-12 and abs(r.delta - 2 * (2 * one.delta - 1)) < 1e-9
+
+
+def test_units_are_exact_to_18_decimals(spark):
+    rows = [("0.00000000004", "0.1"), ("0.000000000000000003", "0.000000000000000001"), ("12345678901234567.3", "0.1"), ("1", "0"), ("1", None), ("-0.25", "0.1"), ("0.25", "0.1"), ("x", "1")]
+    df = spark.createDataFrame(rows, "v string, u string")
+    out = [tuple(r) for r in df.select(*[ticks.to_units(F.col("v"), F.col("u"), how) for how in ("exact", "round", "floor", "ceil")]).collect()]
+    assert out == [(None, 0, 0, 1), (3, 3, 3, 3), (123456789012345673,) * 4, (None,) * 4, (None,) * 4, (None, -3, -3, -2), (None, 3, 2, 3), (None,) * 4]
+
+
+def test_framed_windows_equal_one_window(spark):
+    from pyspark.sql import Window
+
+    from tidemark.operators.ordered import framed
+
+    df = spark.createDataFrame([(0, ns, seq, v) for _, ns, seq, v in tape(400, 4)], "symbol long, ns long, seq long, v long")
+    f = {"s": lambda w: F.sum("v").over(w), "n": lambda w: F.count("*").over(w)}
+    found = framed(df, ["symbol"], F.floor(F.col("ns") / 20).cast("long"), ["ns", "seq"], 12, f, block=50)
+    plain = Window.partitionBy("symbol").orderBy("ns", "seq").rowsBetween(-11, 0)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, df.select("*", *[c(plain).alias(k) for k, c in f.items()]).collect()))
+
+
+def test_positions_are_cut_where_they_are_flat(spark):
+    rng = random.Random(11)
+    rows = [(s, i, i, rng.choice([-2, -1, 1, 2]), rng.randrange(90, 110)) for i in range(300) for s in (1,)]
+    df = spark.createDataFrame(rows, "symbol long, ns long, seq long, lots long, tick long")
+    lots = cost = realized = 0
+    for _, _, _, q, tick in rows:
+        closed = min(abs(lots), abs(q)) if lots * q < 0 else 0
+        sign = (lots > 0) - (lots < 0)
+        part = cost if closed == abs(lots) else int(abs(cost) * closed // abs(lots)) * (1 if cost > 0 else -1)
+        realized += sign * closed * tick - part
+        cost += (q + sign * closed) * tick - part
+        lots += q
+    r = fills.position(df).first()
+    assert (r.lots, r.cost, r.realized, r.fills) == (lots, cost, realized, 300)
+    marks = spark.createDataFrame([(1, 100.0)], "symbol long, mid double")
+    v = fills.pnl(fills.position(df), marks).first()
+    assert v.unrealized == (lots * 100.0 - cost if lots else 0) and v.total == realized + v.unrealized
+    assert fills.portfolio_pnl(fills.pnl(fills.position(df.where("seq < 1")), marks.limit(0))).first().total is None
+
+
+def test_one_symbol_of_all_rows_is_spread(spark):
+    """No task of a window gets more than a few chunks of a symbol that has all rows."""
+    from pyspark.sql import Window
+
+    from tidemark.operators.ordered import framed, numbered
+
+    df = spark.range(40_000).select(F.lit(1).alias("symbol"), (F.col("id") * 10**9).alias("ns"), F.col("id").alias("seq"))
+    rows = numbered(df, ["symbol"], F.floor(F.col("ns") / (3600 * 10**9)).cast("long"), ["ns", "seq"], "n")
+    assert rows.where("n <> seq + 1").count() == 0
+    out = framed(df, ["symbol"], F.floor(F.col("ns") / (3600 * 10**9)).cast("long"), ["ns", "seq"], 5, {"c": lambda w: F.count("*").over(w)}, block=1000)
+    sizes = {}
+    for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n"):
+        if "Window [" in line and "_tm_block" in line:
+            sizes["blocked"] = True
+    assert sizes and out.agg(F.sum("c")).first()[0] == 5 * 40_000 - 10
+
+
+def test_notional_ledger_equals_a_recount(spark):
+    from tidemark.plans import catalogue
+
+    rows = catalogue.notional_ledger(spark, SF).orderBy("portfolio", "ns", "seq").collect()
+    book, orders, held = None, {}, {}
+    for r in rows:
+        if r.portfolio != book:
+            book, orders, held = r.portfolio, {}, {}
+        live = lambda: sum(o["left"] for o in orders.values() if o["state"] in ("live", "pending"))  # noqa: B023, E731
+        o, why = orders.get(r.order_id), ""
+        if r.action == "reserve":
+            why = "duplicate_order_id" if o else "portfolio_notional_limit" if live() + sum(map(abs, held.values())) + r.units > 60 else ""
+            if not o:
+                orders[r.order_id] = {"symbol": r.symbol, "bid": r.is_bid, "left": r.units, "state": "refused" if why else "live"}
+        elif not o or o["state"] == "refused":
+            why = "unknown_order"
+        elif r.action == "cancel":
+            why = "" if o["state"] == "live" else "order_not_live"
+            o["state"] = o["state"] if why else "pending"
+        elif r.action == "ack":
+            why = "" if o["state"] == "pending" else "cancel_not_pending"
+            o["state"] = o["state"] if why else "cancelled"
+        else:
+            after = {**held, o["symbol"]: held.get(o["symbol"], 0) + (r.units if o["bid"] else -r.units)}
+            if o["state"] not in ("live", "pending"):
+                why = "order_not_fillable"
+            elif r.units > o["left"]:
+                why = "fill_exceeds_remaining"
+            elif sum(map(abs, after.values())) + live() - r.units > 60:
+                why = "portfolio_notional_limit"
+            else:
+                held = after
+                o["left"] -= r.units
+                o["state"] = o["state"] if o["left"] else "filled"
+        assert (r.reason, r.reserved, r.inventory) == (why, live(), sum(map(abs, held.values())))
+    assert {r.reason for r in rows} >= {"", "duplicate_order_id", "portfolio_notional_limit", "unknown_order"}

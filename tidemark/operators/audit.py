@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import chunk_of, numbered
+
 
 def violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """Rows that break a rule, with the names of the broken ones in ``reasons``; a null outcome breaks it."""
@@ -28,13 +30,15 @@ def reconcile(live: DataFrame, wanted: DataFrame, keys: Sequence[str], value: st
 
 def merge(left: DataFrame, right: DataFrame) -> DataFrame:
     """Lock-step comparison of two traces by row number within the symbol; extras of either side have nulls."""
-    number = F.row_number().over(Window.partitionBy("symbol").orderBy("ns", "seq")).cast("long").alias("n")
-    a, b = (df.select("symbol", number, F.col("seq").alias(name)) for df, name in ((left, "left_seq"), (right, "right_seq")))
+    a, b = (numbered(df, ["symbol"], chunk_of("ns"), ["ns", "seq"], "n").select("symbol", "n", F.col("seq").alias(name)) for df, name in ((left, "left_seq"), (right, "right_seq")))
     return a.join(b, ["symbol", "n"], "full_outer")
 
 
 def hash_chain(df: DataFrame, by: Sequence[str], order: Sequence[str], row: Column, domain: str) -> DataFrame:
-    """Ordered digest of each key: h = sha256(h, newline, row), from sha256(domain). Order matters, so a key is folded in one row."""
+    """Ordered digest of each key: h = sha256(h, newline, row), from sha256(domain).
+
+    Each link hashes the one before, so a key is folded in one row: its rows meet in a list, and a key of some ten million rows is what a task can hold.
+    """
     rows = F.transform(F.sort_array(F.collect_list(F.struct(*order, row.alias("_row")))), lambda r: r["_row"])
     start = F.sha2(F.lit(domain).cast("binary"), 256)
     grouped = df.groupBy(*by).agg(rows.alias("_rows"))
@@ -42,7 +46,7 @@ def hash_chain(df: DataFrame, by: Sequence[str], order: Sequence[str], row: Colu
 
 
 def list_hash(df: DataFrame, by: Sequence[str], order: Sequence[str], row: Column) -> DataFrame:
-    """SHA-256 of each key's rows as one ordered JSON list."""
+    """SHA-256 of each key's rows as one ordered JSON list, which is built in one row: 2 GB of text a key at most."""
     rows = F.transform(F.sort_array(F.collect_list(F.struct(*order, row.alias("_row")))), lambda r: r["_row"])
     text = F.concat(F.lit("["), F.array_join("_rows", ","), F.lit("]"))
     return df.groupBy(*by).agg(rows.alias("_rows")).select(*by, F.size("_rows").cast("long").alias("n"), F.sha2(text.cast("binary"), 256).alias("digest"))
@@ -66,3 +70,76 @@ def claims(summary: DataFrame) -> DataFrame:
     """Adds execution_valid and claim_ready of a validity summary (book, clock, capture, trade, trade_required, streams, invalidations)."""
     valid = F.col("book") & F.col("clock") & F.col("capture") & (F.col("trade") | ~F.col("trade_required"))
     return summary.withColumn("execution_valid", valid).withColumn("claim_ready", F.col("execution_valid") & (F.col("streams") > 0) & (F.col("invalidations") == 0))
+
+
+# -- rules of fills and markouts: names and outcomes for :func:`violations`
+
+#: Where a fill can come from, how a markout can end, what an order can be when it fills.
+FILL_SOURCES, MARKOUT_STATUSES, FILL_STATES = ("depth_update", "agg_trade", "taker_order"), ("resolved", "invalidated"), ("live", "pending_cancel")
+#: Fields of a passive fill's and of a taker's path through the queue.
+PASSIVE_PATH, TAKER_PATH = ("queue_ahead_before_trigger_lots", "queue_consumed_before_fill_lots", "queue_ahead_at_fill_lots"), ("visible_level_before_lots", "fill_lots", "visible_level_after_lots")
+
+
+def _positive(name: str) -> Column:
+    return F.col(name).try_cast("decimal(38,18)") > 0
+
+
+def fill_rules(schema_version: int = 1, fee_model: str = "static_config_bps") -> dict[str, Column]:
+    """Rules of a fill (fill_source, side, order_id, price, qty, notional, contract_multiplier, fee_bps, fee as decimal strings, provenance_schema_version, scenario_id,
+    expected_scenario_id, evidence_ids, validity struct, queue_trajectory map, latency_draws_ms map, latency_model struct, order_state_at_fill, fee_model_id)."""
+    v, path, draws, model = (F.col(c) for c in ("validity", "queue_trajectory", "latency_draws_ms", "latency_model"))
+    taker = F.col("fill_source") == "taker_order"
+    lots = lambda k: F.element_at(path, F.lit(k))
+    keys = lambda m, names: F.array_sort(F.map_keys(m)) == F.array_sort(F.array(*[F.lit(n) for n in names]))
+    passes = v["book_valid"] & v["clock_valid"] & v["capture_valid"] & (v["trade_stream_valid"] | ~v["trade_stream_required"])
+    before, at = lots(PASSIVE_PATH[0]), lots(PASSIVE_PATH[2])
+    rules = {
+        "fill_source": F.col("fill_source").isin(*FILL_SOURCES),
+        "side": F.col("side").isin("bid", "ask"),
+        "order_id": F.col("order_id") != "",
+        **{c: _positive(c) for c in ("price", "qty", "notional", "contract_multiplier")},
+        **{c: F.col(c).try_cast("decimal(38,18)").isNotNull() for c in ("fee_bps", "fee")},
+        "provenance_schema_version": F.col("provenance_schema_version") == schema_version,
+        "scenario_id": F.col("scenario_id") == F.col("expected_scenario_id"),
+        "evidence_ids": (F.size("evidence_ids") > 0) & F.forall("evidence_ids", lambda e: F.coalesce(e != "", F.lit(False))) & (F.size(F.array_distinct("evidence_ids")) == F.size("evidence_ids")),
+        "validity": F.coalesce(v["execution_valid"] == passes, F.lit(False)),
+        "validity_reason": v["reason"].isNull() | (v["reason"] != ""),
+        "trade_stream_required": (F.col("fill_source") != "agg_trade") | v["trade_stream_required"],
+        "queue_fields": F.when(taker, keys(path, TAKER_PATH)).otherwise(keys(path, PASSIVE_PATH)),
+        "queue_values": F.forall(F.map_values(path), lambda x: F.coalesce(x >= 0, F.lit(False))),
+        "queue_path": F.when(taker, lots(TAKER_PATH[2]) == lots(TAKER_PATH[0]) - lots(TAKER_PATH[1])).otherwise((at <= before) & (lots(PASSIVE_PATH[1]) == before - at)),
+        "latency_draws": keys(draws, ("new_order", "cancel")) & F.forall(F.map_values(draws), lambda x: x.isNull() | ((x >= 0) & (x < float("inf")))),
+        "latency_model": (model["mode"] != "") & model["seed"].isNotNull() & (model["source"] == "configured_scenario") & ~model["measured"],
+        "order_state": F.col("order_state_at_fill").isin(*FILL_STATES),
+        "fee_model": F.col("fee_model_id") == fee_model,
+    }
+    return rules
+
+
+def markout_rules() -> dict[str, Column]:
+    """Rules of a markout (fill_source, side, fill_price, qty, status, mid_after, markout, adverse, resolution_lag_seconds, invalid_reason): outcomes only where resolved, and in accord."""
+    status, reason = F.col("status"), F.col("invalid_reason")
+    resolved, invalidated = status == "resolved", status == "invalidated"
+    number = lambda c: F.col(c).try_cast("decimal(38,18)")
+    empty = F.lit(True)
+    for c in ("mid_after", "markout", "adverse", "resolution_lag_seconds"):
+        empty = empty & F.col(c).isNull()
+    return {
+        "fill_source": F.col("fill_source").isin(*FILL_SOURCES),
+        "side": F.col("side").isin("bid", "ask"),
+        "fill_price": number("fill_price").isNotNull() & number("qty").isNotNull(),
+        "status": status.isin(*MARKOUT_STATUSES),
+        "null_outcome": ~invalidated | empty,
+        "invalid_reason": F.when(invalidated, F.coalesce(reason != "", F.lit(False))).when(resolved, F.coalesce(reason == "", F.lit(True))).otherwise(True),
+        "outcome": ~resolved | (number("markout").isNotNull() & (number("qty") > 0) & F.col("adverse").isNotNull()),
+        "adverse": ~resolved | F.coalesce(F.col("adverse") == (number("markout") < 0), F.lit(True)),
+    }
+
+
+def summary_differences(summary: DataFrame, recounted: DataFrame, keys: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
+    """(keys, field, told, found) where a summary differs from what its details give, fields by name; a row that one side lacks differs in all of them."""
+    fields = [c for c in summary.columns if c not in keys]
+    cells = lambda df, name: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias(name)) for c in fields])).alias("c")).select(*keys, "c.*")
+    both = cells(summary, "told").join(cells(recounted, "found"), [*keys, "field"], "full_outer")
+    near = F.abs(F.col("told") - F.col("found")) <= tolerance * F.greatest(F.lit(1.0), F.abs("found"))
+    return both.where(~F.coalesce(near, F.col("told").isNull() & F.col("found").isNull()))

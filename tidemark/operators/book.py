@@ -40,6 +40,19 @@ def best(book_levels: DataFrame) -> DataFrame:
     return out.withColumn("mid", (F.col("best_bid") + F.col("best_ask")) / 2)
 
 
+def invariants(levels: DataFrame) -> DataFrame:
+    """Best prices of each symbol's levels (symbol, side, tick, lots) and what no book may be: crossed or locked, with ticks or lots that aren't positive."""
+    side = lambda s: F.when(F.col("side") == s, F.col("tick"))
+    out = levels.groupBy("symbol").agg(F.max(side("bid")).alias("bid"), F.min(side("ask")).alias("ask"), F.count_if(F.col("tick") <= 0).alias("bad_ticks"), F.count_if(F.col("lots") <= 0).alias("bad_lots"))
+    out = out.withColumn("crossed", F.coalesce(F.col("bid") >= F.col("ask"), F.lit(False)))
+    return out.withColumn("valid", (F.col("bad_ticks") == 0) & (F.col("bad_lots") == 0) & ~F.col("crossed"))
+
+
+def order_depth(orders: DataFrame) -> DataFrame:
+    """Levels of resting orders (symbol, side, tick, ns, seq, lots): lots, number of orders, and the one that is first in the queue."""
+    return orders.groupBy("symbol", "side", "tick").agg(F.sum("lots").alias("lots"), F.count("*").alias("orders"), F.min_by("seq", F.struct("ns", "seq")).alias("first_order"))
+
+
 def top_levels(book_levels: DataFrame, n: int) -> DataFrame:
     """The ``n`` best levels of each side, with their rank: bids from the highest, asks from the lowest."""
     way = F.when(F.col("side") == "bid", -F.col("tick")).otherwise(F.col("tick"))

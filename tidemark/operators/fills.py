@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .asof import asof
@@ -17,8 +17,9 @@ def position(fills: DataFrame) -> DataFrame:
     """Final (lots, cost, realized) of each symbol from fills (symbol, ns, seq, signed lots, tick).
 
     Integer cost basis: opening adds tick x lots; closing takes the share of the basis, rounded toward
-    zero, and realizes the difference; a reversal closes all and opens the rest. Order matters and the fold does
-    not merge, so a symbol's fills are folded in one row; symbols are what spreads the work.
+    zero, and realizes the difference; a reversal closes all and opens the rest. Order matters, and the fold
+    starts anew wherever a position is flat: a symbol's fills are cut there, each stretch is folded in a row of its own, and
+    what stretches realize adds up. A stretch that is never flat is one row.
     """
     state = F.struct(F.lit(0).cast("long").alias("lots"), F.lit(0).cast("long").alias("cost"), F.lit(0).cast("long").alias("realized"))
 
@@ -32,8 +33,32 @@ def position(fills: DataFrame) -> DataFrame:
         gain = F.signum(lots).cast("long") * closed * tick - part
         return F.struct((lots + q).cast("long").alias("lots"), (cost - part + opened * tick).cast("long").alias("cost"), (realized + gain).cast("long").alias("realized"))
 
+    held = inventory(fills)
+    keys = ["symbol", "_stretch"]
+    cut = running(held, ["symbol"], chunk_of("ns"), ["ns", "seq"], {"_stretch": ("sum", (F.col("position") == 0).cast("long"))}, before=True)
     ordered = F.sort_array(F.collect_list(F.struct("ns", "seq", "lots", "tick")))
-    return fills.groupBy("symbol").agg(ordered.alias("f")).select("symbol", F.size("f").cast("long").alias("fills"), F.aggregate("f", state, step).alias("s")).select("symbol", "fills", "s.*")
+    folded = cut.groupBy(*keys).agg(ordered.alias("f")).select(*keys, F.size("f").cast("long").alias("fills"), F.aggregate("f", state, step).alias("s"))
+    last = F.max_by("s", "_stretch")
+    return folded.groupBy("symbol").agg(F.sum("fills").alias("fills"), last["lots"].alias("lots"), last["cost"].alias("cost"), F.sum("s.realized").alias("realized"))
+
+
+def pnl(positions: DataFrame, marks: DataFrame) -> DataFrame:
+    """Positions (symbol, lots, cost, realized) with mid, unrealized and total; both are null where an open position has no mark (symbol, mid)."""
+    priced = positions.join(marks.select("symbol", "mid"), "symbol", "left")
+    unrealized = F.when(F.col("lots") == 0, 0.0).otherwise(F.col("lots") * F.col("mid") - F.col("cost"))
+    return priced.withColumn("unrealized", unrealized).withColumn("total", F.col("realized") + F.col("unrealized"))
+
+
+def portfolio_pnl(valued: DataFrame) -> DataFrame:
+    """Sums of :func:`pnl`: realized, and unrealized and total unless an open position is unpriced; and how many are."""
+    missing = F.count_if(F.col("unrealized").isNull())
+    whole = lambda c: F.when(missing == 0, F.sum(c))
+    return valued.agg(F.sum("realized").alias("realized"), whole("unrealized").alias("unrealized"), whole("total").alias("total"), missing.alias("unpriced"))
+
+
+def inventory_stats(series: DataFrame, value: str) -> DataFrame:
+    """Mean, sample deviation (null for one row) and largest size of a value per symbol, a sample a row."""
+    return series.groupBy("symbol").agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdev"), F.max(F.abs(value)).alias("largest"))
 
 
 def inventory(fills: DataFrame) -> DataFrame:
@@ -70,17 +95,23 @@ def halts(series: DataFrame, equity: str, limit: int) -> DataFrame:
     return peaks.where(F.col("_peak") - F.col(equity) > limit).groupBy("symbol").agg(F.min(F.struct("ns", "seq")).alias("h")).select("symbol", F.col("h.ns").alias("halt_ns"), F.col("h.seq").alias("halt_seq"))
 
 
-def markouts(fills: DataFrame, marks: DataFrame, horizons_ns: Sequence[int]) -> DataFrame:
+def markouts(fills: DataFrame, marks: DataFrame, horizons_ns: Sequence[int], last_epochs: DataFrame | None = None) -> DataFrame:
     """Fills x horizons with the first mark at or after ns + horizon: status, signed markout, lag.
 
     ``fills``: symbol, ns, seq, side, tick; ``marks``: symbol, ns, seq, mark. Bids gain when the mark is higher.
+    With ``last_epochs`` (symbol, last_epoch) both sides have an epoch: a horizon takes a mark of its fill's epoch only, and
+    one that is open when its epoch ends is invalidated.
     """
+    by = ["symbol"] if last_epochs is None else ["symbol", "epoch"]
     due = fills.withColumn("horizon_ns", F.explode(F.array(*[F.lit(h).cast("long") for h in horizons_ns])))
-    found = asof(due, marks, ["symbol"], F.col("ns") + F.col("horizon_ns"), F.col("ns"), ["mark"], forward=True)
+    found = asof(due, marks, by, F.col("ns") + F.col("horizon_ns"), F.col("ns"), ["mark"], forward=True)
+    status = F.when(F.col("mark_asof").isNotNull(), "resolved")
+    if last_epochs is not None:
+        found = found.join(last_epochs, "symbol", "left")
+        status = status.when(F.col("epoch") < F.col("last_epoch"), "invalidated")
     signed = F.when(F.col("side") == "bid", F.col("mark_asof") - F.col("tick")).otherwise(F.col("tick") - F.col("mark_asof"))
     return found.select(
-        "symbol", "seq", "side", "lots", "horizon_ns",
-        F.when(F.col("mark_asof").isNull(), "unresolved").otherwise("resolved").alias("status"),
+        *by, "seq", "side", "lots", "horizon_ns", status.otherwise("unresolved").alias("status"),
         signed.alias("markout"), (signed < 0).alias("adverse"), (F.col("at_asof") - F.col("ns") - F.col("horizon_ns")).alias("lag_ns"),
     )
 
@@ -94,8 +125,3 @@ def zero_filled(df: DataFrame, key: str, values: Sequence[str], aggregates: dict
 def weighted(x: Column, q: Column) -> Column:
     """Quantity-weighted average, 0 if there is no quantity."""
     return F.when(F.sum(q) > 0, F.sum(x * q).cast("double") / F.sum(q).cast("double")).otherwise(0.0)
-
-
-def rolling(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int):
-    """Frame of the last ``n`` rows of a key."""
-    return Window.partitionBy(*by).orderBy(*order).rowsBetween(-(n - 1), 0)

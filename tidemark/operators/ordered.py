@@ -8,9 +8,9 @@ window over one row per key and chunk.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 HOUR_NS = 3_600_000_000_000
@@ -68,3 +68,23 @@ def previous(df: DataFrame, by: Sequence[str], chunk: Column, order: Sequence[st
     """Adds, for each entry, the column's value in the row before; null in a key's first row."""
     out = running(df, by, chunk, order, {"_prev": ("last", F.struct(*[c.alias(k) for k, c in columns.items()]))}, before=True)
     return out.select(*df.columns, *[F.col(f"_prev.{k}").alias(k) for k in columns])
+
+
+def numbered(df: DataFrame, by: Sequence[str], chunk: Column, order: Sequence[str], name: str) -> DataFrame:
+    """Adds ``name``: the row's number within its key, from 1."""
+    return running(df, by, chunk, order, {name: ("sum", F.lit(1).cast("long"))})
+
+
+def framed(df: DataFrame, by: Sequence[str], chunk: Column, order: Sequence[str], n: int, values: Mapping[str, Callable[[WindowSpec], Column]], *, block: int = 50_000) -> DataFrame:
+    """Adds window values over the last ``n`` rows of a key, the row itself included.
+
+    Rows are numbered and dealt into blocks of ``block`` numbers; the n - 1 rows before a block come along and are
+    left out of the result, so no task orders more than a block of a key.
+    """
+    place = F.col("_tm_place") - 1
+    home, into = F.floor(place / block), place % block
+    blocks = F.when(into >= block - (n - 1), F.array(home, home + 1)).otherwise(F.array(home))
+    rows = numbered(df, by, chunk, order, "_tm_place").withColumn("_tm_home", home).withColumn("_tm_block", F.explode(blocks))
+    frame = Window.partitionBy(*by, "_tm_block").orderBy("_tm_place").rowsBetween(-(n - 1), 0)
+    out = rows.select(*df.columns, (F.col("_tm_block") == F.col("_tm_home")).alias("_tm_own"), *[f(frame).alias(k) for k, f in values.items()])
+    return out.where("_tm_own").drop("_tm_own")

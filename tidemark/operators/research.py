@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 #: SplitMix64.
 GAMMA, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -40,13 +42,16 @@ def splitmix64(states: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def bootstrap(df: DataFrame, order: str, value: str, *, block: int, replicates: int, seed: int, confidence: float = 0.95) -> DataFrame:
+def bootstrap(df: DataFrame, order: str, value: str, *, block: int, replicates: int, seed: int, confidence: float = 0.95, largest: int = 100_000) -> DataFrame:
     """Mean with a moving-block bootstrap interval of an ordered sample (a day's or a run's statistics: few rows).
 
     Replicates are spread over tasks; each computes its own draws of the one SplitMix64 stream. Their means
-    are ordered by Spark, whose exact percentile interpolates linearly.
+    are ordered by Spark, whose exact percentile interpolates linearly. The sample goes to every task, so it must be of ``largest``
+    rows at most; more raise an error.
     """
     spark = df.sparkSession
+    if df.limit(largest + 1).count() > largest:
+        raise ValueError(f"a bootstrap takes statistics of days or runs, {largest} rows at most")
     sample = np.array([r[0] for r in df.select(order, value).orderBy(order).select(value).collect()], dtype=float)
     if not len(sample) or not np.isfinite(sample).all() or block > len(sample):
         raise ValueError("a bootstrap needs finite values, at least a block of them")
@@ -64,10 +69,18 @@ def bootstrap(df: DataFrame, order: str, value: str, *, block: int, replicates:
     return means.agg(F.lit(float(sample.mean())).alias("estimate"), F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high"), F.count("*").alias("replicates"))
 
 
-def step_markouts(fills: DataFrame, horizon: int) -> DataFrame:
+def step_markouts(fills: DataFrame, horizon: int, block: int = 50_000) -> DataFrame:
     """Markout of each fill against its symbol's row ``horizon`` steps on, or the last one, and the running sum."""
-    last = F.max("step").over(Window.partitionBy("symbol"))
-    due = fills.select("symbol", "step", "tick", "lots", F.least(F.col("step") + horizon, last).alias("due"))
+    last = fills.groupBy("symbol").agg(F.max("step").alias("_last"))
+    due = fills.join(last, "symbol").select("symbol", "step", "tick", "lots", F.least(F.col("step") + horizon, F.col("_last")).alias("due"))
     later = fills.select("symbol", F.col("step").alias("due"), F.col("tick").alias("later"))
     marked = due.join(later, ["symbol", "due"]).select("symbol", "step", ((F.col("later") - F.col("tick")) * F.col("lots")).alias("markout"))
-    return marked.withColumn("cumulative", F.sum("markout").over(Window.partitionBy("symbol").orderBy("step")))
+    return running(marked, ["symbol"], F.floor(F.col("step") / block).cast("long"), ["step"], {"cumulative": ("sum", F.col("markout"))})
+
+
+def profile_pivot(runs: DataFrame, metrics: Sequence[str], baseline: str, candidate: str) -> DataFrame:
+    """A row per metric of a baseline's and a candidate's run (profile and metrics), and the candidate's less the baseline's; null where a run is missing."""
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("c")
+    long = runs.select("profile", cells).select("profile", "c.*")
+    wide = long.groupBy("metric").pivot("profile", [baseline, candidate]).agg(F.first("value"))
+    return wide.withColumn("difference", F.col(candidate) - F.col(baseline))

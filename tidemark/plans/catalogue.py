@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, ticks
 from ..functions import options as opt
 from ..operators import audit, book, fills, ledger, research
 from ..operators.asof import asof
-from ..operators.ordered import chunk_of, previous, running
+from ..operators.ordered import chunk_of, framed, numbered, previous, running
 from ..streaming import book as stream_book
 from ..streaming import windows
 from .tape import MINUTE_NS, TAPE_SQL, levels, tape
@@ -194,27 +194,29 @@ def snapshot_bridge(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT symbol, seq, sum(CASE WHEN side = 'ask' THEN -lots ELSE lots END) OVER w::BIGINT AS signed_lots, sum(lots) OVER w::BIGINT AS total_lots,
   round(sum(CASE WHEN side = 'ask' THEN -lots ELSE lots END) OVER w / sum(lots) OVER w::DOUBLE, 9) AS imbalance FROM t WINDOW w AS (PARTITION BY symbol ORDER BY ns, seq ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""")
 def imbalance_window(spark: SparkSession, sf: str) -> DataFrame:
-    w = fills.rolling(None, ["symbol"], ["ns", "seq"], 12)
-    signed, total = F.sum(ticks.signed_lots(F.col("lots"), F.col("side") == "ask")).over(w), F.sum("lots").over(w)
-    return tape(spark, sf).select("symbol", "seq", signed.alias("signed_lots"), total.alias("total_lots"), F.round(signed / total, 9).alias("imbalance"))
+    lots = ticks.signed_lots(F.col("lots"), F.col("side") == "ask")
+    out = framed(tape(spark, sf), ["symbol"], chunk_of("ns", 24 * HOUR), ["ns", "seq"], 12, {"signed_lots": lambda w: F.sum(lots).over(w), "total_lots": lambda w: F.sum("lots").over(w)})
+    return out.select("symbol", "seq", "signed_lots", "total_lots", F.round(F.col("signed_lots") / F.col("total_lots"), 9).alias("imbalance"))
 
 
 @query("""WITH r AS (SELECT *, abs(tick - lag(tick) OVER p) / lag(tick) OVER p::DOUBLE AS ret FROM t WHERE kind = 'view' WINDOW p AS (PARTITION BY symbol ORDER BY ns, seq))
 SELECT symbol, seq, round(coalesce(avg(ret) OVER (PARTITION BY symbol ORDER BY ns, seq ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 0), 9) AS volatility FROM r""")
 def rolling_vol(spark: SparkSession, sf: str) -> DataFrame:
-    p = Window.partitionBy("symbol").orderBy("ns", "seq")
-    views = tape(spark, sf).where("kind = 'view'").withColumn("before", F.lag("tick").over(p))
+    day = chunk_of("ns", 24 * HOUR)
+    views = previous(tape(spark, sf).where("kind = 'view'"), ["symbol"], day, ["ns", "seq"], {"before": F.col("tick")})
     ret = views.withColumn("ret", F.abs(F.col("tick") - F.col("before")) / F.col("before"))
-    return ret.select("symbol", "seq", F.round(F.coalesce(F.avg("ret").over(fills.rolling(None, ["symbol"], ["ns", "seq"], 30)), F.lit(0.0)), 9).alias("volatility"))
+    out = framed(ret, ["symbol"], day, ["ns", "seq"], 30, {"mean": lambda w: F.avg("ret").over(w)})
+    return out.select("symbol", "seq", F.round(F.coalesce("mean", F.lit(0.0)), 9).alias("volatility"))
 
 
 @query("""WITH r AS (SELECT *, ln(tick / lag(tick) OVER p::DOUBLE) AS ret FROM t WHERE kind = 'view' WINDOW p AS (PARTITION BY symbol ORDER BY ns, seq))
 SELECT symbol, seq, round(greatest(0.01, coalesce(stddev_samp(ret) OVER (PARTITION BY symbol ORDER BY ns, seq ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 0) * sqrt(252)), 6) AS realized_vol FROM r""")
 def realized_vol(spark: SparkSession, sf: str) -> DataFrame:
-    p = Window.partitionBy("symbol").orderBy("ns", "seq")
-    views = tape(spark, sf).where("kind = 'view'").withColumn("ret", F.log(F.col("tick") / F.lag("tick").over(p)))
-    dev = F.stddev_samp("ret").over(fills.rolling(None, ["symbol"], ["ns", "seq"], 30))
-    return views.select("symbol", "seq", F.round(F.greatest(F.lit(0.01), F.coalesce(dev, F.lit(0.0)) * 252**0.5), 6).alias("realized_vol"))
+    day = chunk_of("ns", 24 * HOUR)
+    views = previous(tape(spark, sf).where("kind = 'view'"), ["symbol"], day, ["ns", "seq"], {"before": F.col("tick")})
+    ret = views.withColumn("ret", F.log(F.col("tick") / F.col("before")))
+    out = framed(ret, ["symbol"], day, ["ns", "seq"], 30, {"dev": lambda w: F.stddev_samp("ret").over(w)})
+    return out.select("symbol", "seq", F.round(F.greatest(F.lit(0.01), F.coalesce("dev", F.lit(0.0)) * 252**0.5), 6).alias("realized_vol"))
 
 
 REGIME_SQL = """r AS (SELECT *, k % 5 AS spread, (lots - 4) / 4.0 AS lean FROM t),
@@ -236,6 +238,53 @@ def quotes(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("seq", ticks.gate((F.col("k") - 50) / 50.0, (F.col("lots") - 4) / 4.0, 0.3).alias("gate"), bid.alias("bid_tick"), ask.alias("ask_tick"))
 
 
+GATED_SQL = """g AS (SELECT seq, tick::DOUBLE AS mid, (lots - 4) * 0.5::DOUBLE AS skew, k / 100.0::DOUBLE AS vol, (k - 50) / 50.0::DOUBLE AS book, (lots - 4) / 4.0::DOUBLE AS trade, k % 4 AS gate FROM t),
+q AS (SELECT *, (book + trade) / 2 AS combined, CASE WHEN gate <= 0 THEN 'neutral' WHEN book >= 0.3::DOUBLE AND trade >= 0.3::DOUBLE THEN 'bullish' WHEN book <= -0.3::DOUBLE AND trade <= -0.3::DOUBLE THEN 'bearish' ELSE 'neutral' END AS label,
+  CASE WHEN gate <= 0 THEN 'gate_size_zero' WHEN book >= 0.3::DOUBLE AND trade >= 0.3::DOUBLE THEN 'book_and_trade_buy_pressure_agree' WHEN book <= -0.3::DOUBLE AND trade <= -0.3::DOUBLE THEN 'book_and_trade_sell_pressure_agree'
+    WHEN abs(book) >= 0.3::DOUBLE OR abs(trade) >= 0.3::DOUBLE THEN 'only_one_signal_strong_or_signals_disagree' ELSE 'below_threshold' END AS reason FROM g),
+x AS (SELECT *, CASE label WHEN 'bearish' THEN gate ELSE 0 END AS down, CASE label WHEN 'bullish' THEN gate ELSE 0 END AS up FROM q)"""
+
+
+def _gated(spark: SparkSession, sf: str) -> DataFrame:
+    d = lambda c: F.col(c).cast("double")
+    t = tape(spark, sf).select("seq", d("tick").alias("mid"), ((d("lots") - 4) * 0.5).alias("skew"), (d("k") / 100).alias("vol"), ((d("k") - 50) / 50).alias("book"), ((d("lots") - 4) / 4).alias("trade"), (F.col("k") % 4).alias("ticks"))
+    label, reason, active = ticks.gate_details(F.col("book"), F.col("trade"), 0.3, F.col("ticks"))
+    return t.withColumns({"label": label, "reason": reason, "gate": active})
+
+
+_LADDER = """n AS (SELECT *, floor(mid - skew - near - down + 0.5)::BIGINT AS bid, floor(mid - skew + near + up + 0.5)::BIGINT AS ask FROM h),
+w AS (SELECT *, least(floor(mid - skew - wide - down + 0.5)::BIGINT, bid - 1) AS far_bid, greatest(floor(mid - skew + wide + up + 0.5)::BIGINT, ask + 1) AS far_ask FROM n)
+SELECT seq, label, reason, CASE WHEN bid < ask THEN bid END AS bid, CASE WHEN bid < ask THEN ask END AS ask, CASE WHEN bid < ask THEN far_bid END AS far_bid, CASE WHEN bid < ask THEN far_ask END AS far_ask FROM w"""
+
+
+@query(f"WITH {GATED_SQL}, h AS (SELECT *, greatest(1.0::DOUBLE, mid * 5.0::DOUBLE * (1 + vol * 2.0::DOUBLE) / 10000) AS near, greatest(greatest(1.0::DOUBLE, mid * 5.0::DOUBLE * (1 + vol * 2.0::DOUBLE) / 10000), mid * 12.0::DOUBLE * (1 + vol * 2.0::DOUBLE) / 10000) AS wide FROM x), {_LADDER}")
+def layered_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    g = _gated(spark, sf)
+    found = ticks.layered_quotes(*[F.col(c) for c in ("mid", "skew", "vol", "label", "gate")], inner_bps=5.0, outer_bps=12.0, volatility_factor=2.0)
+    return g.select("seq", "label", "reason", *[c.alias(k) for k, c in zip(("bid", "ask", "far_bid", "far_ask"), found, strict=True)])
+
+
+@query(f"""WITH {GATED_SQL}, s AS (SELECT *, greatest(0.0::DOUBLE, 5.0::DOUBLE * (1 + vol * 2.0::DOUBLE) + abs(combined) * 4.0::DOUBLE, 6.0::DOUBLE) AS half FROM x), y AS (SELECT *, greatest(1.0::DOUBLE, mid * half / 10000) AS near FROM s),
+h AS (SELECT *, greatest(near + 1, mid * greatest(12.0::DOUBLE, half * 2) / 10000) AS wide FROM y), {_LADDER}""")
+def research_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    g = _gated(spark, sf).withColumn("combined", (F.col("book") + F.col("trade")) / 2)
+    found = ticks.research_quotes(*[F.col(c) for c in ("mid", "skew", "vol", "combined", "label", "gate")], half_bps=5.0, outer_bps=12.0, volatility_factor=2.0, toxicity_factor=4.0, floor_bps=6.0)
+    return g.select("seq", "label", "reason", *[c.alias(k) for k, c in zip(("bid", "ask", "far_bid", "far_ask"), found, strict=True)])
+
+
+@query("""SELECT seq, round(CASE WHEN side = 'bid' THEN k * 30 - tick ELSE tick - k * 30 END * lots, 6)::BIGINT AS capture, round(tick * lots * (k % 7 - 2) / 10000.0::DOUBLE, 9) AS fee, round((k - lots) / (k + lots)::DOUBLE, 9) AS imbalance, round(tick / 100.0::DOUBLE, 2) AS price,
+  CASE WHEN k % 2 = 0 THEN k || 's' ELSE (k * 1000 + 1) || 'ms' END AS horizon, greatest(0.0::DOUBLE, k % 7 - 2) + 0.5::DOUBLE AS floor_bps, round_even(k * 62.5::DOUBLE, 0)::BIGINT AS latency_us FROM t""")
+def fill_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Scalar rules of fills: capture, fees and rebates, imbalance, prices of ticks, labels of horizons, fee floors, and microseconds rounded half to even."""
+    c = F.col
+    bps = c("k") % 7 - 2
+    return tape(spark, sf).select(
+        "seq", ticks.spread_capture(c("side"), c("k") * 30, c("tick"), c("lots")).alias("capture"), F.round(ticks.fee(c("tick"), c("lots"), F.lit(1), bps).cast("double"), 9).alias("fee"),
+        F.round(ticks.imbalance(c("k"), c("lots")), 9).alias("imbalance"), ticks.from_units(c("tick"), F.lit("0.01").cast("decimal(18,2)")).cast("double").alias("price"),
+        ticks.horizon_label(F.when(c("k") % 2 == 0, c("k") * 1000).otherwise(c("k") * 1000 + 1)).alias("horizon"), ticks.fee_floor_bps(bps, F.lit(0.5)).alias("floor_bps"), ticks.ms_to_us(c("k") * 0.0625).alias("latency_us"),
+    )
+
+
 # -- as-of joins and markouts
 
 
@@ -283,10 +332,27 @@ def zero_filled_sources(spark: SparkSession, sf: str) -> DataFrame:
 m AS (SELECT s.symbol, s.step, (r.tick - s.tick) * s.lots AS markout FROM s JOIN n USING (symbol) JOIN s r ON r.symbol = s.symbol AND r.step = least(s.step + 5, n.last))
 SELECT symbol, step, markout::BIGINT AS markout, sum(markout) OVER (PARTITION BY symbol ORDER BY step)::BIGINT AS cumulative FROM m""")
 def step_markouts(spark: SparkSession, sf: str) -> DataFrame:
-    s = fill_rows(spark, sf).withColumn("step", F.row_number().over(Window.partitionBy("symbol").orderBy("ns", "seq")).cast("long"))
+    s = numbered(fill_rows(spark, sf), ["symbol"], chunk_of("ns"), ["ns", "seq"], "step")
     return research.step_markouts(s, 5)
 
 
+@query("""WITH e AS (SELECT *, sum(CASE WHEN kind = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ns, seq)::BIGINT AS epoch FROM t), n AS (SELECT symbol, max(epoch) AS last_epoch FROM e GROUP BY symbol),
+h AS (SELECT unnest([3600000000000, 21600000000000, 86400000000000]) AS horizon_ns), d AS (SELECT e.*, horizon_ns, e.ns + horizon_ns AS due FROM e, h WHERE kind = 'purchase'), v AS (SELECT * FROM e WHERE kind = 'view'),
+m AS (SELECT d.*, v.tick AS mark, v.ns AS mark_ns, n.last_epoch, CASE WHEN d.side = 'bid' THEN v.tick - d.tick ELSE d.tick - v.tick END AS markout FROM d JOIN n ON d.symbol = n.symbol ASOF LEFT JOIN v ON d.symbol = v.symbol AND d.epoch = v.epoch AND v.ns >= d.due)
+SELECT horizon_ns, count(mark) AS resolved, count(*) FILTER (mark IS NULL AND epoch < last_epoch) AS invalidated, count(*) - count(mark) AS unresolved, count(*) FILTER (markout < 0) AS adverse,
+  round(count(mark) / count(*)::DOUBLE, 9) AS coverage, max(mark_ns - due) AS max_lag_ns, round(sum(markout * lots) / sum(lots) FILTER (mark IS NOT NULL)::DOUBLE, 9) AS markout FROM m GROUP BY horizon_ns""")
+def markout_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    """Horizons take marks of their fill's epoch only; what is open at its end is invalidated and stays unresolved."""
+    e = book.epochs(tape(spark, sf), F.col("kind") == "error")
+    views = e.where("kind = 'view'").select("symbol", "epoch", "ns", "seq", F.col("tick").alias("mark"))
+    m = fills.markouts(e.where("kind = 'purchase'"), views, HORIZONS, e.groupBy("symbol").agg(F.max("epoch").alias("last_epoch")))
+    is_, qty = lambda status: F.col("status") == status, F.when(F.col("status") == "resolved", F.col("lots"))
+    return m.groupBy("horizon_ns").agg(
+        F.count_if(is_("resolved")).alias("resolved"), F.count_if(is_("invalidated")).alias("invalidated"), F.count_if(~is_("resolved")).alias("unresolved"), F.count_if(F.col("adverse")).alias("adverse"),
+        F.round(F.count_if(is_("resolved")) / F.count("*"), 9).alias("coverage"), F.max("lag_ns").alias("max_lag_ns"), F.round(F.sum(F.col("markout") * qty) / F.sum(qty), 9).alias("markout"),
+    )
+
+
 # -- accounting
 
 
@@ -294,14 +360,44 @@ _CLOSED = "CASE WHEN sign(s.lots) * sign(x.lots) < 0 THEN least(abs(s.lots), abs
 _PART = f"CASE WHEN ({_CLOSED}) = abs(s.lots) THEN s.cost ELSE (abs(s.cost) * ({_CLOSED}) // greatest(abs(s.lots), 1)) * sign(s.cost) END"
 
 
-@query(f"""WITH c AS (SELECT symbol, list({{'lots': lots::BIGINT, 'cost': 0::BIGINT, 'realized': 0::BIGINT, 'tick': tick}} ORDER BY ns, seq) AS r FROM f GROUP BY symbol),
+FOLD_SQL = f"""c AS (SELECT symbol, list({{'lots': lots::BIGINT, 'cost': 0::BIGINT, 'realized': 0::BIGINT, 'tick': tick}} ORDER BY ns, seq) AS r FROM f GROUP BY symbol),
 z AS (SELECT symbol, len(r) AS fills, list_reduce(list_prepend({{'lots': 0::BIGINT, 'cost': 0::BIGINT, 'realized': 0::BIGINT, 'tick': 0::BIGINT}}, r),
-  lambda s, x: {{'lots': (s.lots + x.lots)::BIGINT, 'cost': (s.cost - ({_PART}) + (x.lots + sign(s.lots) * ({_CLOSED})) * x.tick)::BIGINT, 'realized': (s.realized + sign(s.lots) * ({_CLOSED}) * x.tick - ({_PART}))::BIGINT, 'tick': 0::BIGINT}}) AS v FROM c)
+  lambda s, x: {{'lots': (s.lots + x.lots)::BIGINT, 'cost': (s.cost - ({_PART}) + (x.lots + sign(s.lots) * ({_CLOSED})) * x.tick)::BIGINT, 'realized': (s.realized + sign(s.lots) * ({_CLOSED}) * x.tick - ({_PART}))::BIGINT, 'tick': 0::BIGINT}}) AS v FROM c)"""
+
+
+@query(f"""WITH {FOLD_SQL}
 SELECT symbol, fills, v.lots AS lots, v.cost AS cost, v.realized AS realized FROM z""")
 def position_fold(spark: SparkSession, sf: str) -> DataFrame:
     return fills.position(fill_rows(spark, sf))
 
 
+MARKED_SQL = f"""{BOOK_SQL}, {FOLD_SQL}, m AS (SELECT symbol, (max(tick) FILTER (side = 'bid') + min(tick) FILTER (side = 'ask')) / 2.0::DOUBLE * 100 AS mid FROM b GROUP BY symbol),
+u AS (SELECT z.symbol, z.v.lots AS lots, z.v.realized AS realized, CASE WHEN z.v.lots = 0 THEN 0.0::DOUBLE ELSE z.v.lots * m.mid - z.v.cost END AS unrealized FROM z LEFT JOIN m ON z.symbol = m.symbol)"""
+
+
+def _valued(spark: SparkSession, sf: str) -> DataFrame:
+    marks = book.best(book.book(levels(spark, sf))).select("symbol", (F.col("mid") * 100).alias("mid"))
+    return fills.pnl(fills.position(fill_rows(spark, sf)), marks)
+
+
+@query(f"WITH {MARKED_SQL} SELECT symbol, lots, realized, unrealized, realized + unrealized AS total FROM u")
+def pnl(spark: SparkSession, sf: str) -> DataFrame:
+    return _valued(spark, sf).select("symbol", "lots", "realized", "unrealized", "total")
+
+
+@query(f"""WITH {MARKED_SQL} SELECT sum(realized)::BIGINT AS realized, CASE WHEN count(*) = count(unrealized) THEN sum(unrealized) END::DOUBLE AS unrealized,
+  CASE WHEN count(*) = count(unrealized) THEN sum(realized + unrealized) END::DOUBLE AS total, count(*) - count(unrealized) AS unpriced FROM u""")
+def portfolio_pnl(spark: SparkSession, sf: str) -> DataFrame:
+    return fills.portfolio_pnl(_valued(spark, sf))
+
+
+@query("""WITH p AS (SELECT *, sum(lots) OVER (PARTITION BY symbol ORDER BY ns, seq) AS position FROM f)
+SELECT symbol, round(avg(position), 9) AS mean, round(stddev_samp(position), 9) AS stdev, max(abs(position))::BIGINT AS largest FROM p GROUP BY symbol""")
+def inventory_stats(spark: SparkSession, sf: str) -> DataFrame:
+    out = fills.inventory_stats(fills.inventory(fill_rows(spark, sf)), "position")
+    return out.select("symbol", F.round("mean", 9).alias("mean"), F.round("stdev", 9).alias("stdev"), "largest")
+
+
 @query("""WITH p AS (SELECT *, sum(lots) OVER (PARTITION BY symbol ORDER BY ns, seq) AS position FROM f),
 g AS (SELECT *, lag(position) OVER w AS v, ns - lag(ns) OVER w AS d FROM p WINDOW w AS (PARTITION BY symbol ORDER BY ns, seq))
 SELECT symbol, sum(v * d)::DOUBLE / sum(d)::DOUBLE AS mean, sum(abs(v) * d)::DOUBLE / sum(d)::DOUBLE AS mean_absolute FROM g WHERE d IS NOT NULL GROUP BY symbol""")
@@ -580,7 +676,15 @@ def checksums(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(F.col("event_id").alias("seq"), hashing.crc32c(F.col("props")).alias("crc32c"), F.sha2(F.col("props").cast("binary"), 256).alias("sha256"))
 
 
-@query()
+def _mixed(z: str, shift: int, factor: str) -> str:
+    return f"((xor({z}, {z} // {1 << shift}::UHUGEINT) * {factor}::UHUGEINT) % {1 << 64}::UHUGEINT)"
+
+
+_STATE = f"((11 + (seq + 1)::UHUGEINT * {research.GAMMA}::UHUGEINT) % {1 << 64}::UHUGEINT)"
+
+
+@query(f"""WITH z0 AS (SELECT seq, {_STATE} AS z FROM f), z1 AS (SELECT {_mixed("z", 30, str(research.MIX_1))} AS z FROM z0), z2 AS (SELECT {_mixed("z", 27, str(research.MIX_2))} AS z FROM z1), z3 AS (SELECT xor(z, z // {1 << 31}::UHUGEINT) AS z FROM z2)
+SELECT CASE WHEN z // {1 << 32}::UHUGEINT % 1000000 < 20000 THEN 50000 ELSE 100 * (1 << (z % 4)::INTEGER) END::BIGINT AS latency_us, count(*) AS n FROM z3 GROUP BY 1""")
 def latency(spark: SparkSession, sf: str) -> DataFrame:
     drawn = hashing.latency_draws(fill_rows(spark, sf).select("symbol", "seq"), "seq", seed=11, samples_us=[100, 200, 400, 800], tail_us=50_000, tail_per_million=20_000)
     return drawn.groupBy("latency_us").agg(F.count("*").alias("n"))
@@ -602,3 +706,111 @@ def book_sync(spark: SparkSession, sf: str) -> DataFrame:
     first = F.when(F.col("k") % 25 == 3, F.col("seq") + 1).otherwise(F.greatest(F.lit(0), F.col("seq") - 200))
     updates = before.select("symbol", "seq", kind.alias("kind"), first.alias("first_id"), F.col("seq").alias("last_id"), F.when(F.col("k") % 10 == 1, F.lit(-1)).otherwise(F.coalesce("p", F.lit(-1))).alias("previous_id"))
     return stream_book.synchronize_table(updates)
+
+
+# -- audit of fills and markouts
+
+
+RULED = "k % 11 = 0 AS r_side, k % 13 = 0 AS r_price, k % 17 = 0 AS r_evidence, k % 19 = 0 AS r_validity, k % 23 = 0 AS r_path, k % 29 = 0 AS r_draw"
+
+
+@query(f"""WITH x AS (SELECT {RULED} FROM f) SELECT reason, count(*) AS n FROM (SELECT unnest([CASE WHEN r_side THEN 'side' END, CASE WHEN r_price THEN 'price' END, CASE WHEN r_evidence THEN 'evidence_ids' END,
+  CASE WHEN r_validity THEN 'validity' END, CASE WHEN r_path THEN 'queue_path' END, CASE WHEN r_draw THEN 'latency_draws' END]) AS reason FROM x) WHERE reason IS NOT NULL GROUP BY reason""")
+def fill_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Fills with planted faults against the rules of fills."""
+    bad, ok = lambda n: F.col("k") % n == 0, F.lit(True)
+    text, lots = lambda v: F.lit(v).cast("string"), F.abs("lots")
+    path = [(audit.PASSIVE_PATH[0], lots + 5), (audit.PASSIVE_PATH[1], lots + F.when(bad(23), 1).otherwise(0)), (audit.PASSIVE_PATH[2], F.lit(5).cast("long"))]
+    validity = {"book_valid": ok, "clock_valid": ok, "capture_valid": ok, "trade_stream_valid": ok, "trade_stream_required": ok, "execution_valid": ~bad(19), "reason": F.lit(None).cast("string")}
+    rows = fill_rows(spark, sf).select(
+        F.lit("agg_trade").alias("fill_source"), F.when(bad(11), "middle").otherwise(F.col("side")).alias("side"), F.col("seq").cast("string").alias("order_id"), F.when(bad(13), "0").otherwise("1.5").alias("price"),
+        *[text("1").alias(c) for c in ("qty", "notional", "contract_multiplier", "fee")], text("-0.5").alias("fee_bps"), F.lit(1).alias("provenance_schema_version"), text("s").alias("scenario_id"), text("s").alias("expected_scenario_id"),
+        F.when(bad(17), F.array(F.lit("a"), F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("evidence_ids"), F.struct(*[c.alias(k) for k, c in validity.items()]).alias("validity"),
+        F.create_map(*[x for k, c in path for x in (F.lit(k), c)]).alias("queue_trajectory"), F.create_map(F.lit("new_order"), F.when(bad(29), -1.0).otherwise(2.0), F.lit("cancel"), F.lit(None).cast("double")).alias("latency_draws_ms"),
+        F.struct(text("fixed").alias("mode"), F.lit(7).alias("seed"), text("configured_scenario").alias("source"), F.lit(False).alias("measured")).alias("latency_model"), text("live").alias("order_state_at_fill"), text("static_config_bps").alias("fee_model_id"),
+    )
+    return audit.violations(rows, audit.fill_rules()).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("""WITH x AS (SELECT k, k % 4 = 0 AS gone, k % 7 = 0 AS odd FROM f) SELECT reason, count(*) AS n FROM (SELECT unnest([CASE WHEN gone AND odd THEN 'null_outcome' END, CASE WHEN gone AND k % 5 = 0 THEN 'invalid_reason' END,
+  CASE WHEN NOT gone AND k % 3 = 0 THEN 'adverse' END, CASE WHEN NOT gone AND odd THEN 'outcome' END]) AS reason FROM x) WHERE reason IS NOT NULL GROUP BY reason""")
+def markout_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Markouts with planted faults against the rules of markouts."""
+    k, gone, odd = F.col("k"), F.col("k") % 4 == 0, F.col("k") % 7 == 0
+    rows = fill_rows(spark, sf).select(
+        F.lit("depth_update").alias("fill_source"), "side", F.lit("1").alias("fill_price"), F.when(odd & ~gone, "0").otherwise("2").alias("qty"), F.when(gone, "invalidated").otherwise("resolved").alias("status"),
+        F.when(~gone | odd, "1").alias("mid_after"), F.when(~gone, "-0.5").alias("markout"), F.when(~gone, k % 3 != 0).alias("adverse"), F.lit(None).cast("double").alias("resolution_lag_seconds"), F.when(gone & (k % 5 != 0), "gap").alias("invalid_reason"),
+    )
+    return audit.violations(rows, audit.markout_rules()).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("""WITH d AS (SELECT symbol, count(*) AS n, sum(lots)::BIGINT AS lots FROM f GROUP BY symbol) SELECT symbol, 'lots' AS field, (lots + 1)::DOUBLE AS told, lots::DOUBLE AS found FROM d WHERE symbol % 5 = 0
+UNION ALL SELECT symbol, 'n', NULL, n::DOUBLE FROM d WHERE symbol % 7 = 0 UNION ALL SELECT symbol, 'lots', NULL, lots::DOUBLE FROM d WHERE symbol % 7 = 0 AND symbol % 5 <> 0""")
+def summary_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """A summary with planted faults against what its details give."""
+    found = fill_rows(spark, sf).groupBy("symbol").agg(F.count("*").alias("n"), F.sum("lots").alias("lots"))
+    gone = (F.col("symbol") % 7 == 0) & (F.col("symbol") % 5 != 0)
+    told = found.where(~gone).withColumn("lots", F.when(F.col("symbol") % 5 == 0, F.col("lots") + 1).otherwise(F.col("lots"))).withColumn("n", F.when(F.col("symbol") % 7 != 0, F.col("n")))
+    return audit.summary_differences(told, found, ["symbol"])
+
+
+# -- books of orders, sets and pivots
+
+
+@query("""WITH o AS (SELECT symbol, CASE WHEN k % 2 = 1 THEN 'ask' ELSE 'bid' END AS side, tick // 100 AS tick, lots FROM t WHERE kind = 'view'),
+b AS (SELECT symbol, max(tick) FILTER (side = 'bid') AS bid, min(tick) FILTER (side = 'ask') AS ask, count(*) FILTER (tick <= 0) AS bad_ticks, count(*) FILTER (lots <= 0) AS bad_lots FROM o GROUP BY symbol)
+SELECT symbol, bid, ask, bad_ticks, bad_lots, coalesce(bid >= ask, false) AS crossed, bad_ticks = 0 AND bad_lots = 0 AND NOT coalesce(bid >= ask, false) AS valid FROM b""")
+def book_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    o = tape(spark, sf).where("kind = 'view'").withColumn("tick", F.floor(F.col("tick") / 100))
+    return book.invariants(o)
+
+
+@query("""SELECT symbol, side, tick // 500 AS tick, sum(lots)::BIGINT AS lots, count(*) AS orders, arg_min(seq, (ns, seq)) AS first_order FROM t WHERE kind = 'view' GROUP BY ALL""")
+def order_depth(spark: SparkSession, sf: str) -> DataFrame:
+    return book.order_depth(tape(spark, sf).where("kind = 'view'").withColumn("tick", F.floor(F.col("tick") / 500)))
+
+
+@query("""WITH b AS (SELECT symbol, side, tick // 500 AS tick, sum(lots)::BIGINT AS lots FROM t WHERE kind = 'view' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY CASE side WHEN 'bid' THEN -tick ELSE tick END) AS n FROM b)
+SELECT symbol, side, count(*) AS total, count(*) FILTER (n <= 2) AS shown, string_agg(tick || 'x' || lots, ',' ORDER BY n) FILTER (n <= 2) AS best FROM r GROUP BY symbol, side""")
+def capped_depth(spark: SparkSession, sf: str) -> DataFrame:
+    """The two best levels of each side as text, with how many there are in all."""
+    depth = book.order_depth(tape(spark, sf).where("kind = 'view'").withColumn("tick", F.floor(F.col("tick") / 500))).select("symbol", "side", "tick", "lots")
+    shown = book.top_levels(depth, 2).groupBy("symbol", "side").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws("x", "tick", "lots").alias("cell")))).alias("c"))
+    total = depth.groupBy("symbol", "side").agg(F.count("*").alias("total"))
+    return total.join(shown, ["symbol", "side"]).select("symbol", "side", "total", F.size("c").cast("long").alias("shown"), F.array_join(F.transform("c", lambda x: x["cell"]), ",").alias("best"))
+
+
+@query("SELECT kind, string_agg(DISTINCT symbol::VARCHAR, ',' ORDER BY symbol::VARCHAR) AS symbols, count(DISTINCT symbol) AS n FROM t WHERE k < 3 GROUP BY kind")
+def symbol_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Sorted sets of the symbols that each kind of record has at a low k."""
+    sets = F.sort_array(F.collect_set(F.col("symbol").cast("string")))
+    return tape(spark, sf).where("k < 3").groupBy("kind").agg(F.array_join(sets, ",").alias("symbols"), F.size(sets).cast("long").alias("n"))
+
+
+@query("""WITH r AS (SELECT CASE WHEN k % 2 = 0 THEN 'base' ELSE 'candidate' END AS profile, count(*) AS fills, avg(tick) AS average_tick, sum(lots) AS lots FROM f GROUP BY 1),
+c AS (SELECT profile, unnest([{'metric': 'fills', 'value': fills::DOUBLE}, {'metric': 'average_tick', 'value': average_tick}, {'metric': 'lots', 'value': lots::DOUBLE}]) AS c FROM r)
+SELECT c.metric AS metric, round(max(c.value) FILTER (profile = 'base'), 6) AS base, round(max(c.value) FILTER (profile = 'candidate'), 6) AS candidate, round(max(c.value) FILTER (profile = 'candidate') - max(c.value) FILTER (profile = 'base'), 6) AS difference FROM c GROUP BY 1""")
+def profile_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    runs = fill_rows(spark, sf).groupBy(F.when(F.col("k") % 2 == 0, "base").otherwise("candidate").alias("profile")).agg(F.count("*").alias("fills"), F.avg("tick").alias("average_tick"), F.sum("lots").alias("lots"))
+    out = research.profile_pivot(runs, ["fills", "average_tick", "lots"], "base", "candidate")
+    return out.select("metric", *[F.round(c, 6).alias(c) for c in ("base", "candidate", "difference")])
+
+
+@query("""WITH s AS (SELECT symbol, avg(tick) AS spot FROM t GROUP BY symbol), d AS (SELECT unnest([7, 30, 90]) AS days),
+v AS (SELECT symbol, days, m, greatest(0.05::DOUBLE, 0.5::DOUBLE - 0.2::DOUBLE * ln(m) + 0.4::DOUBLE * ln(m) * ln(m) + 0.05::DOUBLE * sqrt(days / 365.0::DOUBLE)) AS vol FROM s, d, (SELECT unnest([0.9::DOUBLE, 1.0::DOUBLE, 1.1::DOUBLE]) AS m))
+SELECT symbol, days, round(max(vol) FILTER (m = 0.9::DOUBLE), 6) AS low, round(max(vol) FILTER (m = 1.0::DOUBLE), 6) AS middle, round(max(vol) FILTER (m = 1.1::DOUBLE), 6) AS high FROM v GROUP BY symbol, days""")
+def vol_surface(spark: SparkSession, sf: str) -> DataFrame:
+    """Volatilities of a small chain by tenor, a column per moneyness."""
+    chain = research.grid(spark, {"days": [7, 30, 90], "m": [0.9, 1.0, 1.1]})
+    spots = tape(spark, sf).groupBy("symbol").agg(F.avg("tick").alias("spot"))
+    priced = spots.join(F.broadcast(chain)).withColumn("vol", opt.implied_vol(F.col("spot"), F.col("spot") * F.col("m"), F.col("days") / 365.0, atm=0.5, skew=-0.2, convexity=0.4, term=0.05, floor=0.05))
+    wide = priced.groupBy("symbol", "days").pivot("m", [0.9, 1.0, 1.1]).agg(F.round(F.max("vol"), 6))
+    return wide.toDF("symbol", "days", "low", "middle", "high")
+
+
+@query()
+def notional_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """One limit over all symbols of a portfolio of ten."""
+    action = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "reserve", "view", "reserve", "click", "cancel", "purchase", "fill", "error", "ack")]), F.col("kind"))
+    events = tape(spark, sf).select((F.col("symbol") % 10).alias("portfolio"), "ns", "seq", action.alias("action"), "symbol", (F.col("k") % 40).alias("order_id"), (F.col("side") == "bid").alias("is_bid"), F.col("lots").alias("units"))
+    return ledger.notional_reservations(events, 60)
