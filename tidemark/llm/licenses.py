@@ -70,7 +70,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "all-rights-reserved": ("All rights reserved.",),
 }
 #: Lower-case stems of the words that templates are looked for by, the rarest first.
-STEMS = ("mozilla", "unencumbered", "domain", "reserved", "redistribut", "permission", "permit", "sublicen", "furnish", "merge", "restriction", "gnu", "foundation", "distribut", "copyright", "binary", "licen")
+STEMS = ("mozilla", "unencumbered", "domain", "reserved", "redistribut", "permission", "permit", "sublicen", "furnish", "merge", "restriction", "gnu", "foundation", "distribut", "copyright", "binary", "licen", "software", "warrant", "condition")
 TOKEN = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
@@ -214,7 +214,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tol
 
     low = F.lower(text_col)
     cued = F.lit(False)
-    for cue in sorted({next((s for s in STEMS if s in word), word) for word in Scanner(tolerance=tolerance).anchors}):
+    stems = {next((s for s in STEMS if s in word), word) for word in Scanner(tolerance=tolerance).anchors}
+    for cue in sorted(c for c in stems if not any(s != c and s in c for s in stems)):  # a word with a longer cue has the shorter one
         cued = cued | F.contains(low, F.lit(cue))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return docs.where(cued).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, line long, start long, length long, license string, differences long, saved long").withColumnRenamed("id", id_col)
