@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import chunk_of, previous, running
+from .ordered import chunk_of, numbered, previous, running
 
 
 def epochs(tape: DataFrame, boundary: Column) -> DataFrame:
@@ -153,3 +153,30 @@ def bridges(snapshots: DataFrame, depth: DataFrame) -> DataFrame:
     """First depth update of each snapshot whose ids straddle it: first_id <= snapshot_id <= last_id, in the snapshot's epoch."""
     met = snapshots.join(depth, ["symbol", "epoch"]).where((F.col("first_id") <= F.col("snapshot_id")) & (F.col("snapshot_id") <= F.col("last_id")))
     return met.groupBy("symbol", "epoch", "snapshot_id").agg(F.min(F.struct("ns", "seq", "first_id", "last_id")).alias("b")).select("symbol", "epoch", "snapshot_id", F.col("b.seq").alias("bridge_seq"), F.col("b.first_id").alias("first_id"), F.col("b.last_id").alias("last_id"))
+
+
+def order_ranks(orders: DataFrame) -> DataFrame:
+    """Adds ``rank`` within (symbol, side): asks by price, time and id, bids by all three reversed (symbol, side, tick, ns, seq).
+
+    Ranks run over chunks of prices, so that a side isn't ordered in one task.
+    """
+    sign = F.when(F.col("side") == "bid", -1).otherwise(1)
+    rows = orders.withColumns({f"_tm_{c}": sign * F.col(c) for c in ("tick", "ns", "seq")})
+    return numbered(rows, ["symbol", "side"], F.col("_tm_tick"), ["_tm_tick", "_tm_ns", "_tm_seq"], "rank").drop("_tm_tick", "_tm_ns", "_tm_seq")
+
+
+def self_crosses(orders: DataFrame, slot_ns: int) -> DataFrame:
+    """Adds ``crosses``: an earlier order of the other side that still rests would trade with this one (symbol, ns, seq, side, tick, end_ns).
+
+    Lives are cut into slots of ``slot_ns``: an arrival meets the orders that rest in its own slot, in a semi join. No end: rests until the last row's slot.
+    """
+    slot = lambda c: F.floor(F.col(c) / slot_ns)
+    last = orders.agg(F.max("ns")).first()[0]
+    end = F.least(F.coalesce("end_ns", F.lit(last)), F.lit(last))
+    resting = orders.where(end >= F.col("ns")).select("symbol", F.when(F.col("side") == "bid", "ask").otherwise("bid").alias("side"), F.explode(F.sequence(slot("ns"), F.floor(end / slot_ns))).alias("_tm_slot"), F.col("ns").alias("_tm_ns"), F.col("seq").alias("_tm_seq"), F.col("tick").alias("_tm_tick"), F.col("end_ns").alias("_tm_end"))
+    arrivals = orders.withColumn("_tm_slot", slot("ns"))
+    earlier = (F.col("_tm_ns") < F.col("ns")) | ((F.col("_tm_ns") == F.col("ns")) & (F.col("_tm_seq") < F.col("seq")))
+    price = F.when(F.col("a.side") == "bid", F.col("tick") >= F.col("_tm_tick")).otherwise(F.col("tick") <= F.col("_tm_tick"))
+    met = (F.col("a.symbol") == F.col("r.symbol")) & (F.col("a.side") == F.col("r.side")) & (F.col("a._tm_slot") == F.col("r._tm_slot"))
+    hit = arrivals.alias("a").join(resting.alias("r"), met & earlier & price & (F.col("_tm_end").isNull() | (F.col("_tm_end") > F.col("ns"))), "left_semi").select("symbol", "seq", F.lit(True).alias("_tm_hit"))
+    return orders.join(hit, ["symbol", "seq"], "left").select(*orders.columns, F.coalesce("_tm_hit", F.lit(False)).alias("crosses"))

@@ -125,3 +125,16 @@ def zero_filled(df: DataFrame, key: str, values: Sequence[str], aggregates: dict
 def weighted(x: Column, q: Column) -> Column:
     """Quantity-weighted average, 0 if there is no quantity."""
     return F.when(F.sum(q) > 0, F.sum(x * q).cast("double") / F.sum(q).cast("double")).otherwise(0.0)
+
+
+def pending_markouts(fills: DataFrame, horizons_ns: Sequence[int], capacity: int) -> DataFrame:
+    """Adds pending, the markouts that earlier fills still wait for, and refused: with its own the fill would exceed ``capacity`` (symbol, ns, seq).
+
+    Markouts that fall due at a fill's time are resolved before it. A run stops at its first refusal, so what comes after one is only counted.
+    """
+    each = len(horizons_ns)
+    due = fills.select("symbol", F.explode(F.array(*[F.col("ns") + h for h in horizons_ns])).alias("ns"), F.lit(0).alias("_kind"), "seq", F.lit(-1).alias("_change"))
+    rows = fills.select("symbol", "ns", F.lit(1).alias("_kind"), "seq", F.lit(each).alias("_change"))
+    both = running(rows.unionByName(due), ["symbol"], chunk_of("ns", 24 * HOUR_NS), ["ns", "_kind", "seq"], {"pending": ("sum", F.col("_change").cast("long"))})
+    own = both.where("_kind = 1").select("symbol", "seq", (F.col("pending") - each).alias("pending"))
+    return fills.join(own, ["symbol", "seq"]).select(*fills.columns, "pending", (F.col("pending") + each > capacity).alias("refused"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ordered import running
+from .ordered import numbered, running
 
 #: SplitMix64.
 GAMMA, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -84,3 +84,56 @@ def profile_pivot(runs: DataFrame, metrics: Sequence[str], baseline: str, candid
     long = runs.select("profile", cells).select("profile", "c.*")
     wide = long.groupBy("metric").pivot("profile", [baseline, candidate]).agg(F.first("value"))
     return wide.withColumn("difference", F.col(candidate) - F.col(baseline))
+
+
+def variant_id(name: Column, config: Column) -> Column:
+    """Content address of a variant: 16 digits of the SHA-256 of its name and configuration (a struct with fields in order of name) as JSON."""
+    return F.substring(F.sha2(F.to_json(F.struct(config.alias("config"), name.alias("name"))).cast("binary"), 256), 1, 16)
+
+
+def registry_issues(rows: DataFrame, variants: DataFrame, key: str) -> DataFrame:
+    """What keeps results from being one to one with the registered variants: key, rows, variants and issue (unregistered, missing, duplicate)."""
+    a, b = (df.groupBy(key).agg(F.count("*").alias(n)) for df, n in ((rows, "rows"), (variants, "variants")))
+    both = a.join(b, key, "full_outer").withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in ("rows", "variants")})
+    issue = F.when(F.col("variants") == 0, "unregistered").when(F.col("rows") == 0, "missing").when((F.col("rows") > 1) | (F.col("variants") > 1), "duplicate")
+    return both.withColumn("issue", issue).where("issue IS NOT NULL")
+
+
+def paired(left: DataFrame, right: DataFrame, by: Sequence[str], chunk: Column, order: Sequence[str], value: str) -> DataFrame:
+    """Two series side by side by position: by, position, left, right and delta; null where one series has ended."""
+    a, b = (numbered(df, by, chunk, order, "position").select(*by, "position", F.col(value).alias(n)) for df, n in ((left, "left"), (right, "right")))
+    return a.join(b, [*by, "position"], "full_outer").withColumn("delta", F.col("left") - F.col("right"))
+
+
+def checkpoint_sums(rows: DataFrame, checkpoints: DataFrame, by: Sequence[str], value: str, block: int = 50_000) -> DataFrame:
+    """Adds ``total`` to checkpoints (by, step): the sum of the rows' values up to that step, 0 before the first."""
+    steps = rows.groupBy(*by, "step").agg(F.sum(value).alias("_tm_value")).withColumn("_tm_at", F.lit(None).cast("struct<step:long>"))
+    marks = checkpoints.select(*by, "step", F.lit(None).cast(steps.schema["_tm_value"].dataType).alias("_tm_value"), F.struct(F.col("step").cast("long").alias("step")).alias("_tm_at"))
+    both = running(steps.unionByName(marks), by, F.floor(F.col("step") / block).cast("long"), ["step", F.col("_tm_at").isNotNull()], {"total": ("sum", F.col("_tm_value"))})
+    return both.where("_tm_at IS NOT NULL").select(*by, "step", "total")
+
+
+def worked_examples(fills: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A representative and a stress fill of each key, of those that were hedged (step, contract, markout, toxic, hedge_qty).
+
+    Representative: its markout's size is nearest the median size; stress: the worst markout among the toxic ones, among all if none is.
+    Ties: the lowest step, then contract. Null if nothing was hedged.
+    """
+    hedged = fills.where(F.abs("hedge_qty") > 0).withColumn("_tm_size", F.abs("markout"))
+    pick = F.struct("step", "contract", "markout")
+    middle = hedged.groupBy(*by).agg(F.percentile("_tm_size", F.lit(0.5)).alias("_tm_median"))
+    chosen = hedged.join(middle, list(by)).groupBy(*by).agg(
+        F.min_by(pick, F.struct(F.abs(F.col("_tm_size") - F.col("_tm_median")), "step", "contract")).alias("representative"),
+        F.min_by(pick, F.struct(~F.col("toxic"), "markout", "step", "contract")).alias("stress"),
+    )
+    return fills.select(*by).distinct().join(chosen, list(by), "left")
+
+
+def markout_summary(fills: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sums, counts, adverse share, best and worst of markouts, in all and by toxicity (markout, toxic)."""
+    m, toxic = F.col("markout"), F.col("toxic")
+    of = lambda which: F.coalesce(F.sum(F.when(which, m)), F.lit(0))
+    return fills.groupBy(*by).agg(
+        F.count("*").alias("fills"), F.sum(m).alias("markout"), of(toxic).alias("toxic_markout"), of(~toxic).alias("other_markout"), F.count_if(toxic).alias("toxic_fills"),
+        (F.count_if(m < 0) / F.count("*")).alias("adverse_rate"), F.max(m).alias("best"), F.min(m).alias("worst"),
+    )

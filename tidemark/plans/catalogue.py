@@ -170,7 +170,18 @@ def overlap_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return met.select("symbol", "side", "tick", "depth_seq", "trade_seq", (F.col("depth_ns") - F.col("trade_ns")).alias("age_ns"))
 
 
-@query()
+#: Signals of a level one after the other, each against the credits that are left when it comes.
+NETTING_SQL = """WITH RECURSIVE s AS (SELECT symbol, side, tick // 500 AS tick, ns, seq, CASE kind WHEN 'view' THEN 'depth' ELSE 'trade' END AS source, lots, row_number() OVER (PARTITION BY symbol, side, tick // 500 ORDER BY ns, seq) AS n
+  FROM t WHERE kind IN ('view', 'purchase')),
+r AS (SELECT symbol, side, tick, n, seq, source, lots, 0::BIGINT AS netted, [{'ns': ns, 'source': source, 'rest': lots}] AS credits FROM s WHERE n = 1
+UNION ALL
+SELECT symbol, side, tick, n, seq, source, lots, coalesce(list_sum(used), 0)::BIGINT AS netted,
+  list_concat(list_transform(live, lambda c, i: {'ns': c.ns, 'source': c.source, 'rest': c.rest - used[i]}), CASE WHEN lots > coalesce(list_sum(used), 0) THEN [{'ns': ns, 'source': source, 'rest': (lots - coalesce(list_sum(used), 0))::BIGINT}] ELSE [] END) AS credits
+FROM (SELECT *, list_transform(live, lambda c, i: CASE WHEN c.source = source THEN 0 ELSE greatest(0, least(c.rest, lots - coalesce(list_sum(list_transform(live[1:i - 1], lambda d: CASE WHEN d.source = source THEN 0 ELSE d.rest END)), 0)))::BIGINT END) AS used
+  FROM (SELECT s.*, list_filter(r.credits, lambda c: c.rest > 0 AND s.ns - c.ns <= 86400000000000) AS live FROM r JOIN s ON s.symbol = r.symbol AND s.side = r.side AND s.tick = r.tick AND s.n = r.n + 1)))"""
+
+
+@query(f"SELECT * FROM ({NETTING_SQL} SELECT symbol, side, tick, seq, source, lots, netted, lots - netted AS modeled FROM r)")
 def overlap_netting(spark: SparkSession, sf: str) -> DataFrame:
     t = tape(spark, sf).where("kind IN ('view', 'purchase')")
     signals = t.select("symbol", "side", F.floor(F.col("tick") / 500).alias("tick"), "ns", "seq", F.when(F.col("kind") == "view", "depth").otherwise("trade").alias("source"), "lots")
@@ -545,8 +556,22 @@ def bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return research.bootstrap(daily, "day", "value", block=3, replicates=2000, seed=7)
 
 
-@query()
-def options_greeks(spark: SparkSession, sf: str) -> DataFrame:
+def _cdf_sql(z: str) -> str:
+    """The normal distribution function: terms of the series from their logarithms."""
+    return f"0.5::DOUBLE + exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 80), lambda i: sign({z}) * exp((2 * i + 1) * ln(greatest(abs({z}), 1e-300::DOUBLE)) - lgamma(2 * i + 2) + i * ln(2) + lgamma(i + 1))))"
+
+
+GREEKS_SQL = f"""s AS (SELECT symbol, avg(tick) AS spot FROM t GROUP BY symbol), c AS (SELECT symbol, spot, days, moneyness, option_type, spot * moneyness AS strike, days / 365.0::DOUBLE AS years, 0.02::DOUBLE AS rate
+  FROM s, (SELECT unnest([7, 30, 90]) AS days), (SELECT unnest([0.9, 0.95, 1.0, 1.05, 1.1]::DOUBLE[]) AS moneyness), (SELECT unnest(['call', 'put']) AS option_type)),
+v AS (SELECT *, greatest(0.05::DOUBLE, 0.5::DOUBLE - 0.2::DOUBLE * ln(strike / spot) + 0.4::DOUBLE * ln(strike / spot) * ln(strike / spot) + 0.05::DOUBLE * sqrt(years)) AS vol FROM c),
+d AS (SELECT *, (ln(spot / strike) + (rate + vol * vol / 2) * years) / (vol * sqrt(years)) AS d1 FROM v), d2 AS (SELECT *, d1 - vol * sqrt(years) AS d2 FROM d),
+n AS (SELECT *, {_cdf_sql("d1")} AS n1, {_cdf_sql("d2")} AS n2, exp(-d1 * d1 / 2) / sqrt(2 * pi()) AS pdf, exp(-rate * years) AS disc, option_type = 'call' AS call FROM d2),
+g AS (SELECT symbol, spot, days, moneyness, option_type, strike, years, rate, vol, CASE WHEN call THEN spot * n1 - strike * disc * n2 ELSE strike * disc * (1 - n2) - spot * (1 - n1) END AS fair, CASE WHEN call THEN n1 ELSE n1 - 1 END AS delta, pdf / (spot * vol * sqrt(years)) AS gamma,
+  spot * pdf * sqrt(years) AS vega, -spot * pdf * vol / (2 * sqrt(years)) + CASE WHEN call THEN -rate * strike * disc * n2 ELSE rate * strike * disc * (1 - n2) END AS theta FROM n)"""
+GREEKS = ("fair", "delta", "gamma", "vega", "theta")
+
+
+def _greeks(spark: SparkSession, sf: str) -> DataFrame:
     chain = research.grid(spark, {"days": [7, 30, 90], "moneyness": [0.9, 0.95, 1.0, 1.05, 1.1], "option_type": ["call", "put"]})
     spots = tape(spark, sf).groupBy("symbol").agg(F.avg("tick").alias("spot"))
     priced = spots.join(F.broadcast(chain)).withColumns({"strike": F.col("spot") * F.col("moneyness"), "years": F.col("days") / 365.0, "rate": F.lit(0.02)})
@@ -554,12 +579,20 @@ def options_greeks(spark: SparkSession, sf: str) -> DataFrame:
     return opt.with_greeks(priced)
 
 
-@query()
+@query(f"""WITH {GREEKS_SQL} SELECT symbol, days, moneyness, option_type, round(spot, 4) AS spot, round(strike, 4) AS strike, round(vol, 9) AS vol, {", ".join(f"round({c}, {9 if c in ('delta', 'gamma') else 4}) AS {c}" for c in GREEKS)} FROM g""")
+def options_greeks(spark: SparkSession, sf: str) -> DataFrame:
+    digits = {"spot": 4, "strike": 4, "vol": 9} | {c: 9 if c in ("delta", "gamma") else 4 for c in GREEKS}
+    return _greeks(spark, sf).select("symbol", "days", "moneyness", "option_type", *[F.round(c, n).alias(c) for c, n in digits.items()])
+
+
+@query(f"""WITH {GREEKS_SQL}, z AS (SELECT *, CASE option_type WHEN 'call' THEN days % 4 ELSE -(days % 3) END AS size FROM g), p AS (SELECT symbol, sum(size * delta) AS pd, sum(size * gamma) AS pg, sum(size * vega) AS pv FROM z GROUP BY symbol),
+q AS (SELECT z.*, pd * delta * 0.02::DOUBLE + pv * vega * 0.00001::DOUBLE AS reservation, greatest(0.05::DOUBLE, 0.5::DOUBLE + vol * 2 + abs(pg) * 10) AS half FROM z JOIN p USING (symbol)), b AS (SELECT *, greatest(0.01::DOUBLE, fair - half - reservation) AS bid FROM q)
+SELECT symbol, days, moneyness, option_type, round(fair, 4) AS fair, round(bid, 4) AS bid, round(greatest(bid + 0.01::DOUBLE, fair + half - reservation), 4) AS ask FROM b""")
 def option_quotes(spark: SparkSession, sf: str) -> DataFrame:
-    greeks = options_greeks(spark, sf).withColumn("size", F.when(F.col("option_type") == "call", F.col("days") % 4).otherwise(-(F.col("days") % 3)))
+    greeks = _greeks(spark, sf).withColumn("size", F.when(F.col("option_type") == "call", F.col("days") % 4).otherwise(-(F.col("days") % 3)))
     risk = opt.portfolio(greeks, ["symbol"]).select("symbol", *[F.col(g).alias(f"book_{g}") for g in ("delta", "gamma", "vega")])
     bid, ask = opt.quotes(*[F.col(c) for c in ("fair", "delta", "vega", "book_delta", "book_vega", "book_gamma", "vol")], delta_weight=0.02, vega_weight=1e-5, base=0.5, vol_weight=2.0, gamma_weight=10.0, least=0.05)
-    return greeks.join(risk, "symbol").select("symbol", "days", "moneyness", "option_type", "fair", bid.alias("bid"), ask.alias("ask"))
+    return greeks.join(risk, "symbol").select("symbol", "days", "moneyness", "option_type", *[F.round(c, 4).alias(n) for n, c in (("fair", F.col("fair")), ("bid", bid), ("ask", ask))])
 
 
 @query("""WITH c AS (SELECT symbol, k % 3 AS tenor, k % 5 AS strike, sum(lots)::BIGINT AS lots FROM f GROUP BY ALL)
@@ -664,7 +697,14 @@ def scheduled_actions(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.scheduled(actions, t.where("kind = 'error'").select("symbol", "action_id", "ns")).select("symbol", "seq", "action_id", "position")
 
 
-@query()
+@query("""SELECT * FROM (WITH RECURSIVE e AS (SELECT symbol, ns, seq, CASE kind WHEN 'click' THEN 'release' WHEN 'purchase' THEN 'fill' ELSE 'reserve' END AS action, k % 4 AS order_id,
+  CASE kind WHEN 'purchase' THEN CASE side WHEN 'ask' THEN -(lots % 3 + 1) ELSE lots % 3 + 1 END ELSE lots END AS lots, row_number() OVER (PARTITION BY symbol ORDER BY ns, seq) AS n FROM t WHERE kind <> 'error'),
+r AS (SELECT symbol, NULL::BIGINT AS ns, NULL::BIGINT AS seq, NULL::VARCHAR AS action, NULL::BIGINT AS order_id, NULL::BIGINT AS lots, n - 1 AS n, false AS accepted, [0, 0, 0, 0]::BIGINT[] AS held, 0::BIGINT AS inventory FROM e WHERE n = 1
+UNION ALL
+SELECT symbol, ns, seq, action, order_id, lots, n, ok, list_transform(held, lambda h, i: CASE WHEN NOT ok OR i <> order_id + 1 THEN h WHEN action = 'reserve' THEN lots WHEN action = 'release' THEN 0 ELSE h - abs(lots) END), inventory + CASE WHEN ok AND action = 'fill' THEN lots ELSE 0 END
+FROM (SELECT e.*, r.held, r.inventory, CASE e.action WHEN 'reserve' THEN r.held[e.order_id + 1] = 0 AND list_sum(r.held) + abs(r.inventory) + e.lots <= 12 WHEN 'release' THEN r.held[e.order_id + 1] > 0 ELSE abs(e.lots) <= r.held[e.order_id + 1] END AS ok
+  FROM r JOIN (SELECT symbol, ns, seq, action, order_id, lots, n FROM e) e ON e.symbol = r.symbol AND e.n = r.n + 1))
+SELECT symbol, ns, seq, action, order_id, lots, accepted, list_sum(held)::BIGINT AS reserved, inventory FROM r WHERE seq IS NOT NULL)""")
 def reservation_ledger(spark: SparkSession, sf: str) -> DataFrame:
     action = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "reserve", "view", "reserve", "click", "release", "purchase", "fill")]), F.col("kind"))
     events = tape(spark, sf).where("kind <> 'error'").select("symbol", "ns", "seq", action.alias("action"), (F.col("k") % 4).alias("order_id"), F.when(F.col("kind") == "purchase", ticks.signed_lots(F.col("lots") % 3 + 1, F.col("side") == "ask")).otherwise(F.col("lots")).alias("lots"))

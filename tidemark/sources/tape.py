@@ -13,13 +13,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ordered import previous
+from ..operators.ordered import previous, running
 
 #: The record types of a tape.
 RECORD_TYPES = ("captureMeta", "captureEvent", "exchangeInfo", "snapshot", "depthUpdate", "aggTrade")
 #: The columns of a normalized tape.
 NORMALIZED = "source_row_seq long, symbol string, event_kind string, route string, recv_seq long, recv_wall_ns long, recv_monotonic_ns long, exchange_event_ns long, exchange_transaction_ns long, stream_epoch int, sync_epoch int, logical_time_source string, payload_checksum string, payload_json string, source_schema_version string"
 LINE = "path string, line long, value string"
+#: Fixed value: an event's line in a segment, fields in order of name.
+EVENT_LINE = r'^\{"event":(.*),"payload_checksum":"[^"]*","record":"event","recv_seq":[0-9]+\}$'
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -184,36 +186,109 @@ def trades(normalized: DataFrame, instruments: DataFrame) -> DataFrame:
     return rows.select("symbol", F.col("recv_monotonic_ns").alias("ns"), F.coalesce("recv_seq", "source_row_seq").alias("seq"), to_units(get("p").cast("decimal(28,10)"), F.col("tick_size")).alias("tick"), to_units(get("q").cast("decimal(28,10)"), F.col("step_size")).alias("lots"), get("m").cast("boolean").alias("buyer_is_maker"))
 
 
+# -- files and receipts
+
+#: The key of a tape's metadata among those of its first column.
+METADATA = "tape"
+
+
+def sniff(spark: SparkSession, path: str) -> str:
+    """What a file is: manifest (by its name or first line), segment (its first record is a header) or tape; an unfinished one raises an error."""
+    name = path.rpartition("/")[2]
+    if name.endswith(".partial"):
+        raise ValueError(f"{name} was never finished: recover it first")
+    if name.endswith(".manifest.json"):
+        return "manifest"
+    first = spark.read.text(path).limit(1).select(_get("record").alias("record"), _get("segments").alias("segments")).first()
+    if first is None:
+        return "tape"
+    return "segment" if first.record == "segment_header" else "manifest" if first.segments else "tape"
+
+
+def with_metadata(df: DataFrame, values: dict) -> DataFrame:
+    """``df`` with metadata that Parquet files keep, on its first column."""
+    first, *others = df.columns
+    return df.select(F.col(f"`{first}`").alias(first, metadata={METADATA: values}), *[F.col(f"`{c}`") for c in others])
+
+
+def metadata(df: DataFrame) -> dict:
+    """Metadata of :func:`with_metadata`, without reading rows; empty if there is none."""
+    return df.schema[0].metadata.get(METADATA, {}) if df.columns else {}
+
+
+def after(normalized: DataFrame, rows: int) -> DataFrame:
+    """A tape without its first ``rows`` rows, which a resumed run has seen."""
+    return normalized.where(F.col("source_row_seq") > rows)
+
+
+def receipts(rows: DataFrame) -> DataFrame:
+    """Receipts of each capture (path, source_row_seq, recv_seq, recv_monotonic_ns, schema_version, receive_clock, invalidation, trailer).
+
+    Rows without a receipt, gaps and regressions of its sequence and clock, invalidations, and whether a trailer is there. ``receipt_ok``: version 3 or
+    later, a receive clock, a trailer and no faults; ``valid``: and no invalidation. Older captures are valid by their schema alone.
+    """
+    width = 100_000
+    seen = F.col("recv_seq").isNotNull()
+    held = {"_before": F.when(seen, F.struct("recv_seq", "recv_monotonic_ns"))}
+    ran = running(rows, ["path"], F.floor(F.col("source_row_seq") / width).cast("long"), ["source_row_seq"], {k: ("last", c) for k, c in held.items()}, before=True)
+    seq, clock = F.col("_before.recv_seq"), F.col("_before.recv_monotonic_ns")
+    out = ran.groupBy("path").agg(
+        F.count_if(~seen).alias("missing"), F.count_if(F.col("recv_seq") > seq + 1).alias("gaps"), F.count_if(F.col("recv_seq") <= seq).alias("regressions"), F.count_if(seen & (F.col("recv_monotonic_ns") < clock)).alias("clock_regressions"),
+        F.count_if("invalidation").alias("invalidations"), F.bool_or("trailer").alias("trailer"), F.min("schema_version").alias("schema_version"), F.bool_or("receive_clock").alias("receive_clock"),
+    )
+    clean = (F.col("missing") == 0) & (F.col("gaps") == 0) & (F.col("regressions") == 0) & (F.col("clock_regressions") == 0)
+    out = out.withColumn("receipt_ok", F.coalesce((F.col("schema_version") >= 3) & F.col("receive_clock"), F.lit(False)) & clean & F.col("trailer"))
+    return out.withColumn("valid", (F.coalesce("schema_version", F.lit(1)) < 3) | (F.col("receipt_ok") & (F.col("invalidations") == 0)))
+
+
+def rejected_snapshots(normalized: DataFrame) -> DataFrame:
+    """Snapshots that the capture itself did not accept: their symbols' books are invalid from there on."""
+    told = F.get_json_object("payload_json", "$._capture.snapshotAccepted") == "false"
+    return normalized.where((F.col("event_kind") == "snapshot") & told)
+
+
 # -- segmented captures
 
 
 def read_segments(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows of segment files: path, line, record (segment_header, event, segment_trailer), recv_seq, payload_checksum, event (JSON)."""
+    """Rows of segment files: path, line, record (segment_header, event, segment_trailer), recv_seq, payload_checksum, event (JSON).
+
+    The event is its own text if the line's fields are in order of name, as writers leave them.
+    """
     rows = read_lines(spark, paths)
-    return rows.select("path", "line", _get("record").alias("record"), _get("recv_seq").cast("long").alias("recv_seq"), _get("payload_checksum").alias("payload_checksum"), _get("event").alias("event"), "value")
+    own = F.regexp_extract("value", EVENT_LINE, 1)
+    event = F.when(own != "", own).otherwise(_get("event"))
+    return rows.select("path", "line", _get("record").alias("record"), _get("recv_seq").cast("long").alias("recv_seq"), _get("payload_checksum").alias("payload_checksum"), event.alias("event"), "value")
 
 
 def segment_report(segments: DataFrame) -> DataFrame:
-    """Per file: header and trailer present, counts and sequence range against the trailer's, order of sequences."""
+    """Per file: header and trailer present, counts, sequence range and digest of the events against the trailer's, order of sequences.
+
+    The digest is that of all events' texts in order, so a segment's events meet in one row: captures rotate their segments well below 2 GB.
+    A trailer without a digest isn't held against one.
+    """
     events = previous(segments.where("record = 'event'"), ["path"], F.floor(F.col("line") / 100_000), ["line"], {"_p": F.col("recv_seq")})
-    seen = events.groupBy("path").agg(F.count("*").alias("events"), F.min("recv_seq").alias("first_seq"), F.max("recv_seq").alias("last_seq"), F.count_if(F.col("recv_seq") <= F.col("_p")).alias("regressions"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("line", "event"))), lambda r: r["event"])
+    seen = events.groupBy("path").agg(F.sha2(F.array_join(texts, "").cast("binary"), 256).alias("content_sha256"), F.count("*").alias("events"), F.min("recv_seq").alias("first_seq"), F.max("recv_seq").alias("last_seq"), F.count_if(F.col("recv_seq") <= F.col("_p")).alias("regressions"))
     trailer = lambda k: F.max(F.when(F.col("record") == "segment_trailer", F.get_json_object("value", f"$.{k}").cast("long")))
-    frame = segments.groupBy("path").agg(F.count_if(F.col("record") == "segment_header").alias("headers"), F.count_if(F.col("record") == "segment_trailer").alias("trailers"), trailer("count").alias("count"), trailer("first_recv_seq").alias("t_first"), trailer("last_recv_seq").alias("t_last"))
+    frame = segments.groupBy("path").agg(F.count_if(F.col("record") == "segment_header").alias("headers"), F.count_if(F.col("record") == "segment_trailer").alias("trailers"), trailer("count").alias("count"), trailer("first_recv_seq").alias("t_first"), trailer("last_recv_seq").alias("t_last"), F.max(F.when(F.col("record") == "segment_trailer", _get("content_sha256"))).alias("t_content"))
     joined = frame.join(seen, "path", "left")
     ok = (F.col("headers") == 1) & (F.col("trailers") == 1) & (F.col("count") == F.coalesce("events", F.lit(0))) & F.col("t_first").eqNullSafe(F.col("first_seq")) & F.col("t_last").eqNullSafe(F.col("last_seq")) & (F.coalesce("regressions", F.lit(0)) == 0)
+    ok = ok & (F.col("t_content").isNull() | (F.col("t_content") == F.coalesce("content_sha256", F.sha2(F.lit("").cast("binary"), 256))))
     return joined.withColumn("complete", ok)
 
 
 def manifest_issues(manifest: dict, report: DataFrame) -> list[str]:
     """What a capture's manifest says otherwise than :func:`segment_report` of its segments; empty if nothing.
 
-    Its own hash, the capture's id, the number of segments and of events, each segment's count and range of sequences, and
+    Its own hash, the capture's id, the number of segments and of events, each segment's count, range of sequences and digest of its events, if it has one, and
     their order from segment to segment. A row per segment reaches the driver.
     """
     unsigned = {k: v for k, v in manifest.items() if k != "manifest_sha256"}
     own = hashlib.sha256(json.dumps(unsigned, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
     entries = manifest.get("segments") if isinstance(manifest.get("segments"), list) else []
-    seen = {r.path.rpartition("/")[2]: r for r in report.collect()}
+    depth = 1 + max((e["path"].count("/") for e in entries), default=0)
+    seen = {"/".join(r.path.split("/")[-depth:]): r for r in report.collect()}
     issues = [] if manifest.get("manifest_sha256") == own else ["manifest_sha256"]
     if not isinstance(manifest.get("capture_id"), str) or not manifest["capture_id"]:
         issues.append("capture_id")
@@ -225,6 +300,9 @@ def manifest_issues(manifest: dict, report: DataFrame) -> list[str]:
     for entry in entries:
         found = seen.get(entry["path"])
         told = (entry.get("count"), entry.get("first_recv_seq"), entry.get("last_recv_seq"))
+        digest = entry.get("content_sha256")
+        if digest and found is not None and found.content_sha256 != digest:
+            issues.append(f"content {entry['path']}")
         if found is None or not found.complete or told != (found.events or 0, found.first_seq, found.last_seq):
             issues.append(f"segment {entry['path']}")
             continue
@@ -238,6 +316,11 @@ def manifest_issues(manifest: dict, report: DataFrame) -> list[str]:
     return issues
 
 
+def tail_of(path: Column, depth: int) -> Column:
+    """The last ``depth`` parts of a path."""
+    return F.array_join(F.slice(F.split(path, "/"), -depth, depth), "/")
+
+
 def read_manifest(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     """A capture's manifest and the rows of its segments; file hashes are checked by Spark, names may not leave the folder.
 
@@ -246,10 +329,11 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     folder = path.rpartition("/")[0]
     manifest = json.loads("\n".join(r.value for r in spark.read.text(path).collect()))  # one small file
     names = [s["path"] for s in manifest["segments"]]
-    if any("/" in n or n.startswith("..") for n in names):
+    if any(n.startswith("/") or ":" in n or ".." in n.split("/") for n in names):
         raise ValueError("a segment lies outside the capture's folder")
     hashes = {s["path"]: s["file_sha256"] for s in manifest["segments"]}
-    files = spark.read.format("binaryFile").load([f"{folder}/{n}" for n in names]).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha"))
+    depth = 1 + max((n.count("/") for n in names), default=0)
+    files = spark.read.format("binaryFile").load([f"{folder}/{n}" for n in names]).select(tail_of(F.col("path"), depth).alias("name"), F.sha2("content", 256).alias("sha"))
     wrong = [r.name for r in files.collect() if hashes[r.name] != r.sha]
     if wrong:
         raise ValueError(f"segments with another hash than the manifest's: {sorted(wrong)}")
