@@ -1,7 +1,7 @@
 import pytest
 
 from tests.conftest import SF, same
-from tidemark.plans import catalogue, studies  # noqa: F401 (studies registers more queries)
+from tidemark.plans import catalogue, evidence, studies  # noqa: F401 (the others register more queries)
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))

@@ -59,3 +59,20 @@ def quotes(fair: Column, delta: Column, vega: Column, book_delta: Column, book_v
 def portfolio(positions: DataFrame, by: list[str], size: str = "size") -> DataFrame:
     """Sums of positions x Greeks (after :func:`with_greeks`) and of their value, per key."""
     return positions.groupBy(*by).agg(*[F.sum(F.col(size) * F.col(g)).alias(g) for g in ("delta", "gamma", "vega", "theta")], F.sum(F.col(size) * F.col("fair")).alias("value"))
+
+
+def positions(contracts: DataFrame, underlying: DataFrame, multiplier: int) -> DataFrame:
+    """What is held, marked: contracts (symbol, contract, quantity, price, delta, vega) times ``multiplier``, and the underlying (symbol, quantity, price).
+
+    Quantities of zero or null are left out. The underlying has a delta of one and no vega.
+    """
+    held = contracts.where("quantity <> 0").withColumn("_tm_size", F.col("quantity") * multiplier)
+    marked = held.select(
+        "symbol", F.lit("option").alias("instrument"), "contract", "quantity", "price",
+        *[(F.col("_tm_size") * F.col(c)).alias(n) for c, n in (("price", "mark_value"), ("delta", "net_delta"), ("vega", "net_vega"))],
+    )
+    stock = underlying.where("quantity <> 0").select(
+        "symbol", F.lit("underlying").alias("instrument"), F.lit(None).cast("string").alias("contract"), "quantity", "price",
+        (F.col("quantity") * F.col("price")).alias("mark_value"), F.col("quantity").alias("net_delta"), F.lit(0).alias("net_vega"),
+    )
+    return marked.unionByName(stock)

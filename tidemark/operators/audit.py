@@ -143,3 +143,22 @@ def summary_differences(summary: DataFrame, recounted: DataFrame, keys: Sequence
     both = cells(summary, "told").join(cells(recounted, "found"), [*keys, "field"], "full_outer")
     near = F.abs(F.col("told") - F.col("found")) <= tolerance * F.greatest(F.lit(1.0), F.abs("found"))
     return both.where(~F.coalesce(near, F.col("told").isNull() & F.col("found").isNull()))
+
+
+def lifecycle(trace: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Counters of orders' lives, recounted from a trace (event_type, resting, ahead, immediate, remaining, prevented).
+
+    ``ahead`` counts for arrivals that rest; one that is missing or below zero is a ``bad_queue``.
+    """
+    is_ = lambda name: F.col("event_type") == name
+    arrived = is_("order_arrival")
+    rested = arrived & F.col("resting")
+    queued = F.when(rested & (F.col("ahead") >= 0), F.col("ahead"))
+    counts = {
+        "arrival_scheduled": is_("order_arrival_scheduled"), "arrived": arrived, "rested_after_arrival": rested,
+        "immediate_fill_arrivals": arrived & (F.col("immediate") > 0), "expired_unfilled_arrivals": arrived & ~F.col("resting") & (F.col("remaining") > 0),
+        "self_trade_prevented": arrived & F.col("prevented"), "cancel_requested": is_("cancel_requested"), "cancel_acknowledged": is_("cancel_ack"),
+        "fills": is_("fill"), "markouts": is_("markout"), "queue_samples": queued.isNotNull(), "with_queue": queued > 0, "bad_queues": rested & queued.isNull(),
+    }
+    sums = [F.coalesce(F.sum(queued), F.lit(0)).alias("queue_sum"), F.coalesce(F.max(queued), F.lit(0)).alias("queue_max")]
+    return trace.groupBy(*by).agg(*[F.count_if(c).alias(k) for k, c in counts.items()], *sums)

@@ -180,3 +180,18 @@ def self_crosses(orders: DataFrame, slot_ns: int) -> DataFrame:
     met = (F.col("a.symbol") == F.col("r.symbol")) & (F.col("a.side") == F.col("r.side")) & (F.col("a._tm_slot") == F.col("r._tm_slot"))
     hit = arrivals.alias("a").join(resting.alias("r"), met & earlier & price & (F.col("_tm_end").isNull() | (F.col("_tm_end") > F.col("ns"))), "left_semi").select("symbol", "seq", F.lit(True).alias("_tm_hit"))
     return orders.join(hit, ["symbol", "seq"], "left").select(*orders.columns, F.coalesce("_tm_hit", F.lit(False)).alias("crosses"))
+
+
+# fixed values: which sources consume queues under each set of assumptions, and whether they are netted
+PROFILES = {"conservative": (("trade",), True), "base": (("depth", "trade"), True), "aggressive": (("depth", "trade"), False)}
+
+
+def profile_consumption(signals: DataFrame, window_ns: int) -> DataFrame:
+    """(profile, source, observed, consumed): lots of the signals that each profile lets queues lose."""
+    runs = []
+    for name, (sources, netted) in PROFILES.items():
+        modeled = overlap_netting(signals, window_ns, sources) if netted else signals.withColumn("modeled", F.col("lots"))
+        consumed = F.when(F.col("source").isin(*sources), F.col("modeled")).otherwise(0)
+        sums = modeled.groupBy("source").agg(F.sum("lots").alias("observed"), F.sum(consumed).alias("consumed"))
+        runs.append(sums.select(F.lit(name).alias("profile"), "source", "observed", "consumed"))
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])

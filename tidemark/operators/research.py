@@ -137,3 +137,24 @@ def markout_summary(fills: DataFrame, by: Sequence[str]) -> DataFrame:
         F.count("*").alias("fills"), F.sum(m).alias("markout"), of(toxic).alias("toxic_markout"), of(~toxic).alias("other_markout"), F.count_if(toxic).alias("toxic_fills"),
         (F.count_if(m < 0) / F.count("*")).alias("adverse_rate"), F.max(m).alias("best"), F.min(m).alias("worst"),
     )
+
+
+def markout_path(path: DataFrame, fills: DataFrame, by: Sequence[str], block: int = 50_000) -> DataFrame:
+    """Each step of a path (by, step) with the markouts of its fills (by, step, markout, toxic), and their sums so far; 0 where none are.
+
+    Fills at steps that the path doesn't have count nowhere. A path is summed in blocks of ``block`` steps.
+    """
+    toxic = F.when(F.col("toxic"), F.col("markout")).otherwise(0)
+    sums = fills.groupBy(*by, "step").agg(F.sum("markout").alias("_tm_all"), F.sum(toxic).alias("_tm_toxic"))
+    met = path.select(*by, "step").join(sums, [*by, "step"], "left")
+    met = met.select(*by, "step", F.coalesce("_tm_all", F.lit(0)).alias("markout"), F.coalesce("_tm_toxic", F.lit(0)).alias("toxic_markout"))
+    return running(met, by, F.floor(F.col("step") / block).cast("long"), ["step"], {"total": ("sum", F.col("markout")), "toxic_total": ("sum", F.col("toxic_markout"))})
+
+
+def split_verdict(days: DataFrame, by: Sequence[str], minimum: int = 10) -> DataFrame:
+    """Whether each key has days enough for claims: distinct ``day`` values, ``claim_ready`` from ``minimum`` on, and the reason if not."""
+    if minimum < 3:
+        raise ValueError("a split needs three days")
+    out = days.groupBy(*by).agg(F.countDistinct("day").alias("days"))
+    few = F.when(F.col("days") < 3, "three days are needed to split").when(F.col("days") < minimum, F.concat(F.lit("only "), "days", F.lit(f" days; need {minimum}")))
+    return out.select(*by, "days", (F.col("days") >= minimum).alias("claim_ready"), few.alias("reason"))
