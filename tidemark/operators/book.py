@@ -195,3 +195,75 @@ def profile_consumption(signals: DataFrame, window_ns: int) -> DataFrame:
         sums = modeled.groupBy("source").agg(F.sum("lots").alias("observed"), F.sum(consumed).alias("consumed"))
         runs.append(sums.select(F.lit(name).alias("profile"), "source", "observed", "consumed"))
     return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
+def queue_lives(events: DataFrame) -> DataFrame:
+    """Decides on each event of single-price queues: accepted, reason, fills (order_id, lots) and unused lots of consumption.
+
+    ``events``: symbol, side, tick, ns, seq, action (place, cancel, consume, invalidate), order_id, ahead, lots. An order waits for
+    the ``ahead`` lots before it, first come first served; cancels and invalidations take orders out without filling them. Other actions
+    and nulls in what an action needs are refused. A level is cut at its invalidations and each stretch is folded in order of (ns, seq),
+    with its live orders as state: a stretch is one task, its rows are streamed.
+    """
+    keys, day, place = ["symbol", "side", "tick"], chunk_of("ns", 24 * 3_600_000_000_000), ["ns", "seq"]
+    sound = (F.col("action") == "place") & (F.col("order_id") > 0) & (F.col("ahead") >= 0) & (F.col("lots") > 0)
+    known = running(events, [*keys, "order_id"], day, place, {"_known": ("sum", F.coalesce(sound, F.lit(False)).cast("long"))}, before=True)
+    cut = running(known, keys, day, place, {"_stretch": ("sum", F.coalesce(F.col("action") == "invalidate", F.lit(False)).cast("long"))})
+    wanted = ["_stretch", "action", "order_id", "ahead", "lots", "_known"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, queue = None, {}
+        for rows in batches:
+            told = []
+            for *at, action, order, ahead, lots, seen in rows[[*keys, *wanted]].astype(object).where(rows[[*keys, *wanted]].notna(), None).itertuples(index=False):
+                if at != key:
+                    key, queue = at, {}
+                told.append(_decide(queue, action, order, ahead, lots, bool(seen)))
+            out = rows.drop(columns=["_stretch", "_known"])
+            for i, name in enumerate(("accepted", "reason", "filled", "unused")):
+                out[name] = pd.Series([t[i] for t in told], index=rows.index, dtype=object)
+            yield out
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
+    schema += ", accepted boolean, reason string, filled array<struct<order_id: bigint, lots: bigint>>, unused bigint"
+    return cut.repartition(*[F.col(c) for c in (*keys, "_stretch")]).sortWithinPartitions(*keys, "_stretch", *place).mapInPandas(fold, schema)
+
+
+def _decide(queue: dict[int, list[int]], action: str | None, order: int | None, ahead: int | None, lots: int | None, seen: bool) -> tuple:
+    """One event against the live orders of a queue, id -> [lots ahead, lots left] in order of arrival, which it changes."""
+    refused = lambda reason: (False, reason, [], 0)
+    if action == "place":
+        if order is None or order <= 0:
+            return refused("invalid_order_id")
+        if seen:
+            return refused("duplicate_order_id")
+        if ahead is None or ahead < 0:
+            return refused("invalid_queue_ahead")
+        if lots is None or lots <= 0:
+            return refused("invalid_quantity")
+        queue[int(order)] = [int(ahead), int(lots)]
+        return True, None, [], 0
+    if action == "cancel":
+        if not seen:
+            return refused("unknown_order")
+        return (True, None, [], 0) if queue.pop(int(order), None) else refused("order_not_live")
+    if action == "invalidate":
+        return True, None, [], 0
+    if action != "consume":
+        return refused("unknown_action")
+    if lots is None or lots <= 0:
+        return refused("invalid_consumption")
+    fills, rest = [], int(lots)
+    for order_id in list(queue):
+        waits, left = queue[order_id]
+        passed = min(rest, waits)
+        taken = min(rest - passed, left)
+        rest -= passed + taken
+        queue[order_id] = [waits - passed, left - taken]
+        if taken:
+            fills.append({"order_id": order_id, "lots": taken})
+        if left == taken:
+            del queue[order_id]
+        if not rest:
+            break
+    return True, None, fills, rest

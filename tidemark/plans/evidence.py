@@ -136,3 +136,24 @@ SELECT key, count(DISTINCT day) AS days, count(DISTINCT day) >= 10 AS claim_read
 def split_verdict(spark: SparkSession, sf: str) -> DataFrame:
     day = F.expr("date_add(DATE '2024-01-01', CAST(c_custkey % (c_nationkey + 1) AS INT))")
     return research.split_verdict(table(spark, sf, "customer").select(F.col("c_nationkey").alias("key"), day.alias("day")), ["key"])
+
+
+# -- queues with an end
+
+
+@query("""WITH e AS (SELECT symbol, side, tick // 500 AS tick, ns, seq, kind, lots, count(*) FILTER (kind = 'error') OVER (PARTITION BY symbol, side, tick // 500 ORDER BY ns, seq) AS stretch FROM t WHERE kind IN ('view', 'purchase', 'error')),
+x AS (SELECT *, CASE kind WHEN 'view' THEN lots ELSE -lots END AS delta FROM e WHERE kind <> 'error'),
+y AS (SELECT *, sum(delta) OVER w AS free, coalesce(sum(CASE WHEN delta < 0 THEN -delta END) OVER w, 0) AS before, coalesce(sum(CASE WHEN delta < 0 THEN -delta END) OVER (PARTITION BY symbol, side, tick, stretch), 0) AS total FROM x
+  WINDOW w AS (PARTITION BY symbol, side, tick, stretch ORDER BY ns, seq)),
+q AS (SELECT *, free - delta - least(0, coalesce(min(free) OVER (PARTITION BY symbol, side, tick, stretch ORDER BY ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS ahead FROM y)
+SELECT seq + 1 AS order_id, greatest(0, least(delta, total - before - ahead))::BIGINT AS filled FROM q WHERE delta > 0 AND least(delta, total - before - ahead) > 0""")
+def queue_lives(spark: SparkSession, sf: str) -> DataFrame:
+    """Lots that each order gets of its level's consumption before the next error there ends all that rest."""
+    kind = F.col("kind")
+    action = F.when(kind == "view", "place").when(kind == "purchase", "consume").otherwise("invalidate")
+    rests = lambda c: F.when(kind == "view", c)
+    events = tape(spark, sf).where("kind IN ('view', 'purchase', 'error')").select(
+        "symbol", "side", F.floor(F.col("tick") / 500).alias("tick"), "ns", "seq", action.alias("action"), rests(F.col("seq") + 1).alias("order_id"), rests(F.lit(0).cast("long")).alias("ahead"), "lots",
+    )
+    taken = book.queue_lives(events).select(F.explode("filled").alias("fill"))
+    return taken.groupBy(F.col("fill.order_id").alias("order_id")).agg(F.sum("fill.lots").alias("filled"))

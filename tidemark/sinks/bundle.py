@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,3 +87,20 @@ def audit_bundle(spark: SparkSession, path: str) -> list[str]:
         if df.count() != known["rows"] or digest(df) != known["digest"]:
             issues.append(name)
     return issues
+
+
+def summary_issues(spark: SparkSession, path: str, summary: Mapping, *, texts: Sequence[str], counts: Sequence[str], documents: Sequence[str]) -> list[str]:
+    """What differs between a summary and its CSV of one row: ``texts`` as written, ``counts`` as integers, ``documents`` as JSON."""
+    rows = spark.read.csv(path, header=True, escape='"', multiLine=True).limit(2).collect()
+    if len(rows) != 1:
+        return ["rows"]
+    row = rows[0].asDict()
+
+    def same(name: str, parse: Callable[[str], object]) -> bool:
+        try:
+            return name in summary and row.get(name) is not None and parse(row[name]) == summary[name]
+        except ValueError:
+            return False
+
+    wrong = [n for n in texts if row.get(n) != str(summary.get(n))]
+    return wrong + [n for n in counts if not same(n, int)] + [n for n in documents if not same(n, json.loads)]
