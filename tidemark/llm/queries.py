@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, licenses, lines, mixing, near, packing, quality, sharding, suffixes
+from . import centroids, chat, exact, fim, labeller, licenses, lines, mixing, near, packing, quality, sharding, suffixes
 from .common import table
 
 
@@ -68,4 +68,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scans, op2_line_dedup, op3_exact_dedup, op4_mixing, op5_chat_formatting, op6_sharding, op7_minhash_near_dedup, op8_suffix_array_dedup, op9_quality_rules, op10_packing)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = fim.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labeller.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scans, op2_line_dedup, op3_exact_dedup, op4_mixing, op5_chat_formatting, op6_sharding, op7_minhash_near_dedup, op8_suffix_array_dedup, op9_quality_rules, op10_packing, op11_fill_in_middle, op12_html_extraction, op13_centroids)}

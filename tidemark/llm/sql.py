@@ -72,4 +72,39 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM
 SELECT s.doc_id, len(s.sh) AS n_shingles, min(r.y) AS component_id, s.doc_id = min(r.y) AS kept FROM s JOIN r ON r.x = s.doc_id GROUP BY s.doc_id, s.sh
 """
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op3_exact_dedup": OP3, "op4_mixing": OP4, "op5_chat_formatting": OP5, "op7_minhash_near_dedup": OP7}
+# units joined again by position; the cut's ends are code points of what stands before
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS us, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+  ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(us) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(us[1:a], '') AS pre, array_to_string(us[a + 1:b], '') AS mid, array_to_string(us[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+_SEEDS = """
+WITH k AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM k QUALIFY c < 40)"""
+# the distances of every vector to every centroid, in full
+_NEAREST = """
+a{i} AS MATERIALIZED (SELECT vec_id, v, min_by(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT k.rowid AS r, k.vec_id, k.v, q.c, list_sum(list_transform(list_zip(k.v, q.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM (SELECT *, row_number() OVER () AS rowid FROM k) k, c{i} q)
+  GROUP BY r, vec_id, v)"""
+_MOVED = """
+m{i} AS (SELECT c, j, floor_div FROM (SELECT c, j, (sum(v[j]) - ((sum(v[j]) % count(*) + count(*)) % count(*))) // count(*) AS floor_div FROM a{i}, range(1, 65) t(j) GROUP BY c, j)),
+c{n} AS MATERIALIZED (SELECT q.c, coalesce(w.v, q.v) AS v FROM c{i} q LEFT JOIN (SELECT c, list(floor_div::BIGINT ORDER BY j) AS v FROM m{i} GROUP BY c) w ON q.c = w.c)"""
+OP13 = (
+    ",".join([_SEEDS, *[step.format(i=i, n=i + 1) for i in range(5) for step in (_NEAREST, _MOVED)], _NEAREST.format(i=5)])
+    + """
+SELECT vec_id, a5.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a5.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c5.v, ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON a5.c = c5.c
+"""
+)
+
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op3_exact_dedup": OP3, "op4_mixing": OP4, "op5_chat_formatting": OP5, "op7_minhash_near_dedup": OP7, "op11_fill_in_middle": OP11, "op13_centroids": OP13}
