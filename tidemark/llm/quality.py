@@ -162,7 +162,7 @@ def estimate(rows: DataFrame, *, share: float = 0.75, trial_steps: int = 2) -> D
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 20, max_repeat: int = 30, min_rows: int = 30, tail: float = 1e-6) -> DataFrame:
-    """One row per document: id, mark (hash of its text), the base statistics, base_failed, distance2, kept.
+    """One row per document: id, mark (hash of its text, language and source), the base statistics, base_failed, distance2, kept.
 
     A document fails the base rules with fewer than ``min_words`` words or more than ``max_repeat``
     percent of them in repeated windows. The others are held against the robust estimate of their
@@ -176,7 +176,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """
     text = text_of(text_col)
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
-    read = with_statistics(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), key(lang_col).alias("lang_key"), key(source_col).alias("source_key"), text.alias("text")))
+    read = with_statistics(docs.select(F.col(id_col).alias("id"), _mark(text_col, lang_col, source_col).alias("mark"), key(lang_col).alias("lang_key"), key(source_col).alias("source_key"), text.alias("text")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     stats = materialize(read.select("*", failed.alias("base_failed"), *[c.alias(f"x{i}") for i, c in enumerate(vector())]))
 
@@ -191,7 +191,17 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return judged.select("id", "mark", *STATISTICS, "base_failed", "distance2", (~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= chi2_quantile(1 - tail))).alias("kept"))
 
 
-def quality_filter(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` that :func:`judge` keeps, all columns as they are."""
-    kept = judge(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("id").alias("_tm_id"), F.col("mark").alias("_tm_mark"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_tm_id")) & (F.xxhash64(text_of(text_col)) == F.col("_tm_mark")), "left_semi")
+def _mark(text_col: str, lang_col: str, source_col: str) -> Column:
+    """Hash of all that a verdict depends on."""
+    return F.xxhash64(text_of(text_col), F.struct(lang_col, source_col))
+
+
+def quality_filter(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
+    """Rows of ``docs`` that :func:`judge` keeps, all columns as they are.
+
+    Rows that are equal in id and text but not in language or source are judged each on their own; rows equal in all four
+    stay or go together. Nulls, empty texts and an empty table: as in :func:`judge`. Extra columns pass through, whatever their names.
+    """
+    judged = judge(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col, **options)
+    kept = judged.where("kept").select(F.col("id").alias("_tm_id"), F.col("mark").alias("_tm_mark"))
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_tm_id")) & (_mark(text_col, lang_col, source_col) == F.col("_tm_mark")), "left_semi")
