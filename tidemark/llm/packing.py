@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -115,20 +118,100 @@ def repeat_counts(lengths: np.ndarray, patterns: list[tuple[int, ...]], sweeps:
     return whole
 
 
-def places(patterns: list[tuple[int, ...]], uses: list[int]) -> tuple[dict[int, tuple[np.ndarray, ...]], int]:
-    """For each length, its places by rank: (first rank of a range, sequence of the range's first, offset), and the number of sequences."""
-    by_length: dict[int, list[tuple[int, int, int]]] = {}
-    ends: dict[int, int] = {}
+class Windows(NamedTuple):
+    """A kind of window: lengths of whole documents, sizes of pieces of others behind them, and how often it is used."""
+
+    docs: tuple[int, ...]
+    pieces: tuple[int, ...]
+    uses: int
+
+
+def first_fit(stock: list[int], window: int) -> list[Windows]:
+    """Greedy windows over a histogram of lengths: the longest that is left, then the longest that still fits, and so on, as often as there are such."""
+    there, stock = [n for n, k in enumerate(stock) if n and k], list(stock)
+    found = []
+    while there:
+        docs, room = [], window
+        used: Counter[int] = Counter()
+        i = len(there) - 1
+        while i >= 0:
+            n = there[i]
+            if n <= room and used[n] < stock[n]:
+                docs.append(n)
+                used[n] += 1
+                room -= n
+            i = min(bisect.bisect_right(there, room) - 1, i if used[n] < stock[n] else i - 1)
+        uses = min(stock[n] // k for n, k in used.items())
+        for n, k in used.items():
+            stock[n] -= k * uses
+            if not stock[n]:
+                there.remove(n)
+        found.append(Windows(tuple(docs), (), uses))
+    return found
+
+
+def filled(greedy: list[Windows], window: int) -> list[Windows]:
+    """The windows that can be filled to the brim: the fullest first, with pieces of the documents of the emptiest, which are cut for it.
+
+    Pieces are powers of two, so taking the largest that fit finds a filling if there is one. Documents that
+    are in no window of the result are those to be cut.
+    """
+    left = sorted(greedy, key=lambda w: (window - sum(w.docs), w.docs))
+    supply: Counter[int] = Counter()
+    done = []
+    while left:
+        best = left[0]
+        room, pieces = window - sum(best.docs), []
+        for size in sorted(supply, reverse=True):
+            n = min(room // size, supply[size])
+            pieces += [size] * n
+            room -= n * size
+        if not room:
+            uses = min([best.uses, *(supply[size] // n for size, n in Counter(pieces).items())])
+            done.append(Windows(best.docs, tuple(pieces), uses))
+            for size in pieces:
+                supply[size] -= uses
+            left[:1] = [best._replace(uses=best.uses - uses)] if uses < best.uses else []
+        else:
+            worst = left.pop()
+            cut = min(worst.uses, -(-(window - sum(best.docs)) * best.uses // sum(worst.docs)))
+            for n in worst.docs:
+                for size in bit_sizes(n):
+                    supply[size] += cut
+            if cut < worst.uses:
+                left.append(worst._replace(uses=worst.uses - cut))
+    return done
+
+
+Places = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, int]]
+
+
+def places(windows: list[Windows]) -> tuple[Places, Places, int]:
+    """For each length of documents, and each size of pieces, its places by rank: (first ranks of ranges, sequences of the ranges' first, offsets, number of places); and the number of sequences."""
+    found: tuple[dict, dict] = ({}, {})
     sequence = 0
-    for pattern, n in zip(patterns, uses, strict=True):
-        if n:
-            offset = 0
-            for length in pattern:
-                by_length.setdefault(length, []).append((ends.get(length, 0), sequence, offset))
-                ends[length] = ends.get(length, 0) + n
-                offset += length
-            sequence += n
-    return {n: (*(np.array(c) for c in zip(*v, strict=True)), ends[n]) for n, v in by_length.items()}, sequence
+    for w in windows:
+        offset = 0
+        for kind, sizes in zip(found, (w.docs, w.pieces), strict=True):
+            for size in sizes:
+                ranges = kind.setdefault(size, [])
+                ranges.append((ranges[-1][3] if ranges else 0, sequence, offset, (ranges[-1][3] if ranges else 0) + w.uses))
+                offset += size
+        sequence += w.uses
+    docs, pieces = ({n: (*(np.array(c) for c in zip(*v, strict=True)),)[:3] + (v[-1][3],) for n, v in kind.items()} for kind in found)
+    return docs, pieces, sequence
+
+
+def seats(sizes: np.ndarray, ranks: np.ndarray, places: Places) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset by size and rank (from 0); -1 and 0 for those beyond all places."""
+    sequence, offset = np.full(len(sizes), -1), np.zeros(len(sizes), dtype="int64")
+    for size in np.unique(sizes):
+        if size in places:
+            first, start, at, end = places[size]
+            own = np.nonzero((sizes == size) & (ranks < end))[0]
+            k = np.searchsorted(first, ranks[own], side="right") - 1
+            sequence[own], offset[own] = start[k] + ranks[own] - first[k], at[k]
+    return sequence, offset
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, path: str | None = None) -> DataFrame:
@@ -136,10 +219,12 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", win
 
     A document's whole windows are sequences of their own. The histogram of what is left of each
     (below ``window``, so bounded) goes to the driver, which solves for the number of times to use
-    each combination of lengths that fills a window; documents take the places by their rank among
-    those of the same length, uncut. Those beyond every combination are cut into powers of two and
-    packed largest first, which fills windows exactly; the last window is split at powers of two,
-    so no sequence needs padding.
+    each combination of lengths that fills a window. Lengths beyond every combination are packed
+    greedily, the longest that fits first; what such windows lack is filled with pieces of the documents
+    of the emptiest of them, which are cut into powers of two. Documents take the places by their rank
+    among those of the same length, uncut, and pieces by their rank among those of the same size. Pieces that
+    no window lacks are laid end to end, largest first, which fills windows exactly; the last window is split
+    at powers of two, so no sequence needs padding.
 
     Null or empty text: the end id alone. Null ids and repeated rows: packed like others. A text of
     any length: one list of ids in a task. Empty table: empty result. Other columns are not read.
@@ -149,22 +234,23 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", win
     for row in tokens.where(F.col("left") > 0).groupBy("left").count().collect():  # fewer than `window` rows
         lengths[row["left"]] = row["count"]
     patterns = combinations(lengths, window)
-    by_length, n_combined = places(patterns, repeat_counts(lengths, patterns))
+    solved = [Windows(pattern, (), uses) for pattern, uses in zip(patterns, repeat_counts(lengths, patterns), strict=True) if uses]
+    rest = lengths.tolist()
+    for w in solved:
+        for n in w.docs:
+            rest[n] -= w.uses
+    by_length, by_size, n_combined = places(solved + filled(first_fit(rest, window), window))
     ranked = spread_rank(tokens.where(F.col("left") > 0).select("id", "tokens", "rest", "bits", "left", "u"), ["left"], F.col("u"), ["id", "u"], "rank")
 
-    def seat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            sequence, offset = np.full(len(rows), -1), np.zeros(len(rows), dtype="int64")
-            left, rank = rows["left"].to_numpy(), rows["rank"].to_numpy() - 1
-            for length in np.unique(left):
-                if length in by_length:
-                    first, start, at, end = by_length[length]
-                    own = np.nonzero((left == length) & (rank < end))[0]
-                    k = np.searchsorted(first, rank[own], side="right") - 1
-                    sequence[own], offset[own] = start[k] + rank[own] - first[k], at[k]
-            yield rows.assign(sequence_id=sequence, offset=offset)
-
-    seated = materialize(ranked.mapInPandas(seat, "id long, tokens long, rest long, bits array<long>, left int, u long, rank long, sequence_id long, offset long"))
+    def seat(size: str, where: Places) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                sequence, offset = seats(rows[size].to_numpy(), rows["rank"].to_numpy() - 1, where)
+                yield rows.assign(sequence_id=sequence, offset=offset)
+
+        return run
+
+    seated = materialize(ranked.mapInPandas(seat("left", by_length), "id long, tokens long, rest long, bits array<long>, left int, u long, rank long, sequence_id long, offset long"))
     columns = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     combined = seated.where("sequence_id >= 0").select("id", (F.col("tokens") - F.col("left")).alias("start"), F.col("left").cast("long").alias("length"), F.col("rest").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), "sequence_id", "offset")
 
@@ -174,20 +260,27 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", win
         seated.where("sequence_id < 0").select("id", "tokens", "left", "u", F.explode(F.arrays_zip(sizes.alias("size"), F.col("bits").alias("crc"))).alias("piece"))
         .select("id", "tokens", "u", F.col("piece.size").alias("size"), F.col("piece.crc").alias("crc"), (F.col("tokens") - F.col("left") + F.col("left") - F.pmod(F.col("left"), F.col("piece.size") * 2)).alias("start"))
     )
-    counts = {row["size"]: row["count"] for row in cut.groupBy("size").count().collect()}  # a row per power of two
+    ends = {size: p[3] for size, p in by_size.items()}
+    counts = {row["size"]: row["count"] - ends.get(row["size"], 0) for row in cut.groupBy("size").count().collect()}  # a row per power of two
     base, at = {}, 0
     for size in sorted(counts, reverse=True):
-        base[size] = at
+        base[size] = at - size * ends.get(size, 0)
         at += size * counts[size]
     tail = at // window * window
-    spot = spread_rank(cut, ["size"], F.col("u"), ["id", "u", "start"], "rank")
-    first = F.create_map(*[F.lit(x) for size, b in (base or {1: 0}).items() for x in (size, b)])[F.col("size")]
+    spot = spread_rank(cut, ["size"], F.col("u"), ["id", "u", "start"], "rank").select("id", "tokens", F.col("size").cast("long").alias("size"), "crc", F.col("start").cast("long").alias("start"), "rank")
+    spot = spot.mapInPandas(seat("size", by_size), "id long, tokens long, size long, crc long, start long, rank long, sequence_id long, offset long")
+    first = F.create_map(*[F.lit(x).cast("long") for size, b in (base or {1: 0}).items() for x in (size, b)])[F.col("size")]
     blocks = [tail + sum(bit_sizes(at - tail)[:k]) for k in range(len(bit_sizes(at - tail)))]
-    spot = spot.withColumn("at", first.cast("long") + (F.col("rank") - 1) * F.col("size"))
-    block = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in blocks or [tail]]), lambda b: b <= F.col("at")))
-    begin = F.when(F.col("at") < tail, F.col("at") - F.col("at") % window).otherwise(F.element_at(F.array(*[F.lit(b).cast("long") for b in blocks or [tail]]), F.greatest(block, F.lit(1))))
+    starts = F.array(*[F.lit(b).cast("long") for b in blocks or [tail]])
+    spot = spot.withColumn("at", first + (F.col("rank") - 1) * F.col("size"))
+    block = F.size(F.filter(starts, lambda b: b <= F.col("at")))
+    begin = F.when(F.col("at") < tail, F.col("at") - F.col("at") % window).otherwise(F.element_at(starts, F.greatest(block, F.lit(1))))
     number = F.when(F.col("at") < tail, F.floor(F.col("at") / window)).otherwise(tail // window + block - 1)
-    pieces = spot.select("id", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("length"), F.col("crc").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), (number + n_combined).cast("long").alias("sequence_id"), (F.col("at") - begin).alias("offset"))
+    placed = F.col("sequence_id") >= 0
+    pieces = spot.select(
+        "id", "start", F.col("size").alias("length"), F.col("crc").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"),
+        F.when(placed, F.col("sequence_id")).otherwise(number + n_combined).cast("long").alias("sequence_id"), F.when(placed, F.col("offset")).otherwise(F.col("at") - begin).alias("offset"),
+    )
 
     n_cut = n_combined + tail // window + len(blocks)
     long = spread_rank(tokens.where("size(full) > 0").select("id", "tokens", "full", "u"), [], F.col("u"), ["id", "u"], "upto", amount=F.size("full").cast("long"))
