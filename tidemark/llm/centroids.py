@@ -65,9 +65,20 @@ def quantized(vectors: DataFrame, *, id_col: str, vector_col: str, size: int, sc
 
 
 def seeds(vectors: DataFrame, *, clusters: int, seed: str) -> np.ndarray:
-    """First centroids: the vectors with the smallest digests of seed and id; equal ids by their components, null ids last."""
-    first = vectors.select(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256).alias("draw"), "whole").orderBy(F.col("draw").asc_nulls_last(), "whole").limit(clusters)
-    return np.array([r["whole"] for r in first.collect()], np.int64)
+    """First centroids: the vectors with the smallest digests of seed and id; equal ids by their components, null ids last.
+
+    Only digests below a bound are ordered, one that some more than ``clusters`` vectors fall below on average; it rises until as many
+    do. Equal vectors of an id are counted before that, so what reaches the driver doesn't grow with the table.
+    """
+    drawn = vectors.select(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256).alias("draw"), "whole")
+    share = (4 * clusters + 100) / max(1, vectors.count())
+    while True:
+        below = drawn if share >= 1 else drawn.where(F.col("draw") < f"{int(share * 2**32):08x}")
+        rows = below.groupBy("draw", "whole").agg(F.count("*").alias("n")).orderBy(F.col("draw").asc_nulls_last(), "whole").limit(clusters).collect()
+        first = [r["whole"] for r in rows for _ in range(min(clusters, r["n"]))][:clusters]
+        if len(first) == clusters or share >= 1:
+            return np.array(first, np.int64)
+        share *= 8
 
 
 def assigned(vectors: DataFrame, centroids: np.ndarray, blocks: int) -> DataFrame:

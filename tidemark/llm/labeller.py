@@ -416,17 +416,21 @@ def extracted(labeller: Labeller, pages: Sequence[str]) -> list[str]:
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", sample: int = 512, sample_chars: int = 200_000, made: int = 800) -> DataFrame:
     """One row per page: id, url, text (main text, empty if none), n_chars.
 
-    The labeller is trained here, on ``sample`` pages of the table at most (those of the smallest digests of their id,
+    The labeller is trained here, on those of ``sample`` different pages of the table at most (the smallest hashes of their html,
     of up to ``sample_chars`` code points) that declare their main text by an article or main element, and on ``made``
-    pages of other layouts that are put together from their words. It then reads every page whole.
+    pages of other layouts that are put together from their words. It then reads every page whole. Only pages with a hash
+    below a bound, some more than ``sample``, are ordered to find these.
 
     Null or empty html, or a page without text: empty text. Null ids and urls pass through. Repeated rows: a row each.
     Broken markup is read as far as it goes. Long pages: a state and a vector per block. Empty table: empty result.
     Other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text_of(html_col).alias("html"))
-    short = rows.where(F.length("html").between(1, sample_chars)).select(F.sha2(F.concat(F.lit("page:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256).alias("draw"), "html")
-    labeller = trained([r["html"] for r in short.orderBy("draw", "html").limit(sample).collect()], made=made)
+    fit = F.length("html").between(1, sample_chars)
+    share = (4 * sample + 100) / max(1, rows.where(fit).count())
+    draw = F.pmod(F.xxhash64("html"), F.lit(1 << 32))
+    drawn = rows.where(fit & (draw < int(min(1.0, share) * 2**32))).select(draw.alias("draw"), "html").distinct()
+    labeller = trained([r["html"] for r in drawn.orderBy("draw", "html").limit(sample).collect()], made=made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
