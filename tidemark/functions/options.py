@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TERMS = 60
+#: Coefficients of the rational form of the normal tail up to 7.07 deviations, from the highest power down.
+TAIL_OVER = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+TAIL_UNDER = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
 
 
 def normal_pdf(x: Column) -> Column:
@@ -15,10 +18,12 @@ def normal_pdf(x: Column) -> Column:
 
 
 def normal_cdf(x: Column) -> Column:
-    """Normal distribution function to about 1e-15 within 6 standard deviations: the series x + x^3/3 + x^5/15 + ... times the density; 0 and 1 beyond 8.5."""
-    z = F.greatest(F.lit(-8.5), F.least(F.lit(8.5), x))
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS * 3)), F.struct(z.alias("term"), z.alias("total")), lambda s, k: F.struct((s["term"] * z * z / (2 * k + 1)).alias("term"), (s["total"] + s["term"] * z * z / (2 * k + 1)).alias("total")))["total"]
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + normal_pdf(z) * series))
+    """Normal distribution function to about 1e-15: a ratio of polynomials times the density near the middle, a continued fraction beyond; plain arithmetic, so it is compiled with its stage."""
+    y = F.abs(x)
+    horner = lambda c: functools.reduce(lambda total, next_: total * y + next_, c[1:], F.lit(c[0]))
+    fraction = functools.reduce(lambda below, k: y + k / below, (4.0, 3.0, 2.0, 1.0), y + 0.65)
+    tail = F.exp(-y * y / 2) * F.when(y < 7.07106781186547, horner(TAIL_OVER) / horner(TAIL_UNDER)).otherwise(1 / (fraction * math.sqrt(2 * math.pi)))
+    return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
 def implied_vol(spot: Column, strike: Column, years: Column, *, atm: float, skew: float, convexity: float, term: float, floor: float) -> Column:

@@ -32,8 +32,22 @@ def to_units(value: Column, unit: Column, how: str = "exact") -> Column:
 
 
 def from_units(units: Column, unit: Column) -> Column:
-    """Price of ticks, or quantity of lots."""
-    return (units * unit.cast("decimal(28,10)")).cast("decimal(38,10)")
+    """Price of ticks, or quantity of lots, exact to 18 decimals; null where it doesn't fit."""
+    u, n = unit.try_cast(EXACT), units.cast("decimal(19,0)")
+    whole = F.floor(u).try_cast("decimal(18,0)")
+    part = F.pmod(u, F.lit(1)).try_cast("decimal(18,18)")
+    wide = "decimal(37,18)"  # so that the sum has 18 decimals, too
+    return F.try_add((n * whole).try_cast(wide), (n * part).try_cast(wide))
+
+
+def absolute_return(before: Column, now: Column) -> Column:
+    """Size of the relative change; null unless the earlier price is above 0."""
+    return F.when(before > 0, F.abs(now - before) / before)
+
+
+def log_return(before: Column, now: Column) -> Column:
+    """Logarithm of the ratio of prices; null unless both are above 0."""
+    return F.when((before > 0) & (now > 0), F.log(now / before))
 
 
 def signed_lots(lots: Column, buyer_is_maker: Column) -> Column:
@@ -86,6 +100,11 @@ def bps_to_ticks(mid: Column, bps: Column, tick_size: Column) -> Column:
     return mid * bps / 10_000 / tick_size
 
 
+def needs_refresh(layered: Column, quoted_key: Column, target_key: Column, queue_ahead: Column, most_ahead: int) -> Column:
+    """Whether a quote that rests (its key isn't null) is to be placed anew: a layered one was made under another key than its target has, or too many lots wait before it."""
+    return quoted_key.isNotNull() & (F.coalesce(layered & ~quoted_key.eqNullSafe(target_key), F.lit(False)) | F.coalesce(queue_ahead > most_ahead, F.lit(False)))
+
+
 def fee_floor_bps(maker_bps: Column, buffer_bps: Column) -> Column:
     """Half spread that pays a maker's fee and a buffer; rebates don't lower it."""
     return F.greatest(F.lit(0.0), maker_bps.cast("double")) + buffer_bps

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .levels import Book
 from .ordered import chunk_of, numbered, previous, running
 
 
@@ -40,6 +41,60 @@ def best(book_levels: DataFrame) -> DataFrame:
     return out.withColumn("mid", (F.col("best_bid") + F.col("best_ask")) / 2)
 
 
+PATH = "symbol {}, ns long, seq long, best_bid long, best_ask long, bid_lots long, ask_lots long, levels long"
+
+
+def path(levels: DataFrame, *, slot_rows: int = 50_000) -> DataFrame:
+    """Best prices, mid (null if a side is empty), lots on each side and number of levels after each event of level updates (symbol, side, tick, ns, seq, lots).
+
+    A maximum from which levels go again can't be a running value. A symbol's events are numbered and cut into slots of
+    ``slot_rows``; each slot starts from the levels that live at its border, carried from the slot of their last update up to
+    that of their next, and is swept with heaps of its live prices. So a task gets one slot and its live levels, whatever a
+    symbol's share of the rows. An event may update several levels (each once), and its row tells what all of them leave.
+    Null lots: no update. Rows of a null symbol, side or tick are left out. Empty table: empty result.
+    """
+    day, keys = chunk_of("ns", 24 * 3_600_000_000_000), ["symbol", "side", "tick"]
+    sound = levels.where("symbol IS NOT NULL AND side IN ('bid', 'ask') AND tick IS NOT NULL AND lots IS NOT NULL").select(*keys, "ns", "seq", F.col("lots").cast("long").alias("lots"))
+    events = sound.groupBy("symbol", "ns", "seq").agg(F.collect_list(F.struct("side", "tick", "lots")).alias("l"))
+    slots = numbered(events, ["symbol"], day, ["ns", "seq"], "_n").withColumn("_slot", F.floor((F.col("_n") - 1) / slot_rows))
+    own = slots.select("symbol", "_slot", F.lit(True).alias("_own"), "ns", "seq", F.inline("l"))
+    last = own.groupBy(*keys, "_slot").agg(F.max_by("lots", F.struct("ns", "seq")).alias("lots"))
+    ends = slots.groupBy("symbol").agg(F.max("_slot").alias("_end"))
+    until = F.coalesce(F.lead("_slot").over(Window.partitionBy(*keys).orderBy("_slot")), F.col("_end"))
+    lives = last.join(ends, "symbol").withColumn("_until", until).where("lots > 0 AND _until > _slot")
+    carried = lives.select("symbol", F.explode(F.sequence(F.col("_slot") + 1, F.col("_until"))).alias("_slot"), F.lit(False).alias("_own"), F.lit(None).cast("long").alias("ns"), F.lit(None).cast("long").alias("seq"), "side", "tick", "lots")
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in PATH.split(", ")]
+        slot, at, now = None, None, Book()
+
+        def row() -> tuple:
+            return slot[0], *at, now.best("bid"), now.best("ask"), now.totals["bid"], now.totals["ask"], len(now.lots)
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=names).astype({"best_bid": "Int64", "best_ask": "Int64"})
+
+        for batch in batches:
+            out = []
+            for symbol, number, mine, ns, seq, side, tick, lots in batch.itertuples(index=False):
+                here = (symbol, number)
+                if at is not None and (here != slot or (ns, seq) != at):
+                    out.append(row())
+                    at = None
+                if here != slot:
+                    slot, now = here, Book()
+                now.put(side, int(tick), int(lots))
+                if mine:
+                    at = (int(ns), int(seq))
+            yield frame(out)
+        if at is not None:
+            yield frame([row()])
+
+    kind = levels.schema["symbol"].dataType.simpleString()
+    dealt = own.unionByName(carried).select("symbol", "_slot", "_own", "ns", "seq", "side", "tick", "lots").repartition("symbol", "_slot").sortWithinPartitions("symbol", "_slot", "_own", "ns", "seq")
+    return dealt.mapInPandas(sweep, PATH.format(kind)).withColumn("mid", (F.col("best_bid") + F.col("best_ask")) / 2)
+
+
 def invariants(levels: DataFrame) -> DataFrame:
     """Best prices of each symbol's levels (symbol, side, tick, lots) and what no book may be: crossed or locked, with ticks or lots that aren't positive."""
     side = lambda s: F.when(F.col("side") == s, F.col("tick"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,53 @@ def position(fills: DataFrame) -> DataFrame:
     return folded.groupBy("symbol").agg(F.sum("fills").alias("fills"), last["lots"].alias("lots"), last["cost"].alias("cost"), F.sum("s.realized").alias("realized"))
 
 
+def position_path(fills: DataFrame) -> DataFrame:
+    """Fills (symbol, ns, seq, signed lots, tick) with the position, its cost and what is realized up to and with each of them.
+
+    The fold of :func:`position`, with every state it passes. It starts anew wherever a position is flat, so the stretches between are
+    tasks' groups, streamed in order with one state; what a fill realizes is summed over stretches by a running sum. A
+    stretch that is never flat is one task. Lots of zero change nothing. Null lots or ticks: left out.
+    """
+    sound = fills.where("lots IS NOT NULL AND tick IS NOT NULL").select("symbol", "ns", "seq", F.col("lots").cast("long").alias("lots"), F.col("tick").cast("long").alias("tick"))
+    cut = running(inventory(sound), ["symbol"], chunk_of("ns"), ["ns", "seq"], {"_stretch": ("sum", (F.col("position") == 0).cast("long"))}, before=True)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stretch, held, basis = None, 0, 0
+        for rows in batches:
+            costs, gains = [], []
+            for symbol, number, q, tick in zip(rows["symbol"], rows["_stretch"], rows["lots"].tolist(), rows["tick"].tolist(), strict=True):
+                if (symbol, number) != stretch:
+                    stretch, held, basis = (symbol, number), 0, 0
+                closed = min(abs(held), abs(q)) if held * q < 0 else 0
+                sign = (held > 0) - (held < 0)
+                part = basis if closed == abs(held) else abs(basis) * closed // abs(held) * ((basis > 0) - (basis < 0))
+                gains.append(sign * closed * tick - part)
+                basis += (q + sign * closed) * tick - part
+                held += q
+                costs.append(basis)
+            yield rows.drop(columns="_stretch").assign(cost=costs, gain=gains)
+
+    kind = fills.schema["symbol"].dataType.simpleString()
+    dealt = cut.repartition("symbol", "_stretch").sortWithinPartitions("symbol", "_stretch", "ns", "seq")
+    folded = dealt.mapInPandas(fold, f"symbol {kind}, ns long, seq long, lots long, tick long, position long, cost long, gain long")
+    return running(folded, ["symbol"], chunk_of("ns"), ["ns", "seq"], {"realized": ("sum", F.col("gain"))})
+
+
+def equity_path(path: DataFrame, marks: DataFrame) -> DataFrame:
+    """Marks (symbol, ns, seq, mid) with the position that was held then, realized, unrealized and equity, its peak (at least 0) and the drop below it.
+
+    ``path``: of :func:`position_path`; fills of a mark's own time count. Before the first fill all is 0. An open
+    position without a mid has no unrealized value or equity; such a mark moves no peak.
+    """
+    held = asof(marks.select("symbol", "ns", "seq", "mid"), path, ["symbol"], F.col("ns"), F.col("ns"), ["position", "cost", "realized"])
+    columns = {c: F.coalesce(f"{c}_asof", F.lit(0).cast("long")) for c in ("position", "cost", "realized")}
+    valued = held.select("symbol", "ns", "seq", "mid", *[c.alias(k) for k, c in columns.items()])
+    valued = valued.withColumn("unrealized", F.when(F.col("position") == 0, 0.0).otherwise(F.col("position") * F.col("mid") - F.col("cost")))
+    valued = valued.withColumn("equity", F.col("realized") + F.col("unrealized"))
+    peaks = running(valued, ["symbol"], chunk_of("ns"), ["ns", "seq"], {"peak": ("max", F.greatest(F.col("equity"), F.lit(0.0)))})
+    return peaks.withColumn("drawdown", F.col("peak") - F.col("equity"))
+
+
 def pnl(positions: DataFrame, marks: DataFrame) -> DataFrame:
     """Positions (symbol, lots, cost, realized) with mid, unrealized and total; both are null where an open position has no mark (symbol, mid)."""
     priced = positions.join(marks.select("symbol", "mid"), "symbol", "left")

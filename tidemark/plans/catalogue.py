@@ -210,22 +210,22 @@ def imbalance_window(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("symbol", "seq", "signed_lots", "total_lots", F.round(F.col("signed_lots") / F.col("total_lots"), 9).alias("imbalance"))
 
 
-@query("""WITH r AS (SELECT *, abs(tick - lag(tick) OVER p) / lag(tick) OVER p::DOUBLE AS ret FROM t WHERE kind = 'view' WINDOW p AS (PARTITION BY symbol ORDER BY ns, seq))
+@query("""WITH r AS (SELECT *, CASE WHEN lag(tick) OVER p > 0 THEN abs(tick - lag(tick) OVER p) / lag(tick) OVER p::DOUBLE END AS ret FROM t WHERE kind = 'view' WINDOW p AS (PARTITION BY symbol ORDER BY ns, seq))
 SELECT symbol, seq, round(coalesce(avg(ret) OVER (PARTITION BY symbol ORDER BY ns, seq ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 0), 9) AS volatility FROM r""")
 def rolling_vol(spark: SparkSession, sf: str) -> DataFrame:
     day = chunk_of("ns", 24 * HOUR)
     views = previous(tape(spark, sf).where("kind = 'view'"), ["symbol"], day, ["ns", "seq"], {"before": F.col("tick")})
-    ret = views.withColumn("ret", F.abs(F.col("tick") - F.col("before")) / F.col("before"))
+    ret = views.withColumn("ret", ticks.absolute_return(F.col("before"), F.col("tick")))
     out = framed(ret, ["symbol"], day, ["ns", "seq"], 30, {"mean": lambda w: F.avg("ret").over(w)})
     return out.select("symbol", "seq", F.round(F.coalesce("mean", F.lit(0.0)), 9).alias("volatility"))
 
 
-@query("""WITH r AS (SELECT *, ln(tick / lag(tick) OVER p::DOUBLE) AS ret FROM t WHERE kind = 'view' WINDOW p AS (PARTITION BY symbol ORDER BY ns, seq))
+@query("""WITH r AS (SELECT *, CASE WHEN lag(tick) OVER p > 0 AND tick > 0 THEN ln(tick / lag(tick) OVER p::DOUBLE) END AS ret FROM t WHERE kind = 'view' WINDOW p AS (PARTITION BY symbol ORDER BY ns, seq))
 SELECT symbol, seq, round(greatest(0.01, coalesce(stddev_samp(ret) OVER (PARTITION BY symbol ORDER BY ns, seq ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 0) * sqrt(252)), 6) AS realized_vol FROM r""")
 def realized_vol(spark: SparkSession, sf: str) -> DataFrame:
     day = chunk_of("ns", 24 * HOUR)
     views = previous(tape(spark, sf).where("kind = 'view'"), ["symbol"], day, ["ns", "seq"], {"before": F.col("tick")})
-    ret = views.withColumn("ret", F.log(F.col("tick") / F.col("before")))
+    ret = views.withColumn("ret", ticks.log_return(F.col("before"), F.col("tick")))
     out = framed(ret, ["symbol"], day, ["ns", "seq"], 30, {"dev": lambda w: F.stddev_samp("ret").over(w)})
     return out.select("symbol", "seq", F.round(F.greatest(F.lit(0.01), F.coalesce("dev", F.lit(0.0)) * 252**0.5), 6).alias("realized_vol"))
 
@@ -744,7 +744,7 @@ def book_sync(spark: SparkSession, sf: str) -> DataFrame:
     before = previous(t, ["symbol"], chunk_of("ns", 24 * HOUR), ["ns", "seq"], {"p": F.col("seq")})
     kind = F.when(F.col("kind") == "signup", "snapshot").otherwise("depth")
     first = F.when(F.col("k") % 25 == 3, F.col("seq") + 1).otherwise(F.greatest(F.lit(0), F.col("seq") - 200))
-    updates = before.select("symbol", "seq", kind.alias("kind"), first.alias("first_id"), F.col("seq").alias("last_id"), F.when(F.col("k") % 10 == 1, F.lit(-1)).otherwise(F.coalesce("p", F.lit(-1))).alias("previous_id"))
+    updates = before.select("symbol", "seq", kind.alias("kind"), first.alias("first_id"), F.col("seq").alias("last_id"), F.when(F.col("k") % 10 == 1, F.lit(0)).otherwise(F.coalesce("p", F.lit(0))).alias("previous_id"))
     return stream_book.synchronize_table(updates)
 
 

@@ -97,12 +97,17 @@ def write_capture(events: DataFrame, path: str, capture_id: str, *, rotate_ns: i
 
 
 def write_failure(spark: SparkSession, path: str, capture_id: str, error: BaseException, *, failed_wall_ns: int, writer: Mapping | None = None) -> dict:
-    """Why a capture is incomplete: types of the error and of its causes, without their texts, signed; an existing report is left alone."""
+    """Why a capture is incomplete: types of the error, of its members and of all causes, without their texts, signed; an existing report is left alone."""
     types: list[str] = []
-    seen: BaseException | None = error
-    while seen is not None and len(types) < 16:
+    waiting, known = [error], {id(error)}
+    while waiting:
+        seen = waiting.pop()
         types.append(type(seen).__name__)
-        seen = seen.__cause__ or seen.__context__
+        members = seen.exceptions if isinstance(seen, BaseExceptionGroup) else ()
+        for other in reversed([*members, seen.__cause__, seen.__context__]):
+            if other is not None and id(other) not in known:
+                known.add(id(other))
+                waiting.append(other)
     report = _signed({"schema_version": FAILURE, "capture_id": capture_id, "complete": False, "failed_wall_ns": failed_wall_ns, "failure_types": types, "writer": dict(writer) if writer else None}, "report_sha256")
     _write_json(spark, f"{path}/{capture_id}.failure.json", report)
     return report

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ticks import EXACT, decimal, to_units
 from ..operators.ordered import previous, running
 
 #: The record types of a tape.
@@ -153,14 +154,12 @@ def depth_levels(normalized: DataFrame, specs: DataFrame) -> DataFrame:
 
     ``specs``: symbol, tick_size, step_size — one row per instrument.
     """
-    from ..functions.ticks import to_units
-
     get = lambda k: F.get_json_object("payload_json", f"$.{k}")
     sides = {"bid": F.coalesce(get("bids"), get("b")), "ask": F.coalesce(get("asks"), get("a"))}
 
     def pairs(side: str) -> Column:
         found = F.coalesce(F.from_json(sides[side], "array<array<string>>"), F.array().cast("array<array<string>>"))
-        return F.transform(found, lambda p, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), p[0].cast("decimal(28,10)").alias("price"), p[1].cast("decimal(28,10)").alias("qty")))
+        return F.transform(found, lambda p, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), p[0].alias("price"), p[1].alias("qty")))
 
     tagged = F.concat(pairs("bid"), pairs("ask"))
     rows = normalized.where(F.col("event_kind").isin("snapshot", "depthUpdate")).select(
@@ -173,17 +172,15 @@ def depth_levels(normalized: DataFrame, specs: DataFrame) -> DataFrame:
 def specs(normalized: DataFrame) -> DataFrame:
     """The last complete instrument description of each symbol."""
     get = lambda k: F.get_json_object("payload_json", f"$.{k}")
-    info = normalized.where("event_kind = 'exchangeInfo'").select("symbol", F.struct("recv_monotonic_ns", "source_row_seq").alias("at"), get("tickSize").cast("decimal(28,10)").alias("tick_size"), get("stepSize").cast("decimal(28,10)").alias("step_size"), F.coalesce(get("contractMultiplier").cast("decimal(28,10)"), F.lit(1).cast("decimal(28,10)")).alias("contract_multiplier"), get("venue").alias("venue"))
+    info = normalized.where("event_kind = 'exchangeInfo'").select("symbol", F.struct("recv_monotonic_ns", "source_row_seq").alias("at"), decimal(get("tickSize")).alias("tick_size"), decimal(get("stepSize")).alias("step_size"), F.coalesce(decimal(get("contractMultiplier")), F.lit(1).cast(EXACT)).alias("contract_multiplier"), get("venue").alias("venue"))
     return info.where("tick_size IS NOT NULL AND step_size IS NOT NULL").groupBy("symbol").agg(F.max_by(F.struct("tick_size", "step_size", "contract_multiplier", "venue"), "at").alias("s")).select("symbol", "s.*")
 
 
 def trades(normalized: DataFrame, instruments: DataFrame) -> DataFrame:
     """Trades in ticks and lots."""
-    from ..functions.ticks import to_units
-
     get = lambda k: F.get_json_object("payload_json", f"$.{k}")
     rows = normalized.where("event_kind = 'aggTrade'").join(instruments, "symbol")
-    return rows.select("symbol", F.col("recv_monotonic_ns").alias("ns"), F.coalesce("recv_seq", "source_row_seq").alias("seq"), to_units(get("p").cast("decimal(28,10)"), F.col("tick_size")).alias("tick"), to_units(get("q").cast("decimal(28,10)"), F.col("step_size")).alias("lots"), get("m").cast("boolean").alias("buyer_is_maker"))
+    return rows.select("symbol", F.col("recv_monotonic_ns").alias("ns"), F.coalesce("recv_seq", "source_row_seq").alias("seq"), to_units(get("p"), F.col("tick_size")).alias("tick"), to_units(get("q"), F.col("step_size")).alias("lots"), get("m").cast("boolean").alias("buyer_is_maker"))
 
 
 # -- files and receipts

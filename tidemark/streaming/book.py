@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 UPDATES = "symbol string, seq long, kind string, first_id long, last_id long, previous_id long"
 OUTPUT = "symbol string, seq long, epoch long, gaps long, synced boolean, applied boolean, reason string"
-START = (0, 0, -1, -1, False, [])
+START = (0, 0, -1, -1, False, ())
 STATE = "epoch long, gaps long, last long, snapshot long, synced boolean, buffer array<long>"
 BUFFER = 20_000  # updates that wait for a snapshot
 
@@ -42,13 +42,15 @@ def step(state: tuple, row: Any, most: int = BUFFER) -> tuple[tuple, list[tuple[
             at = end
             released.append((seq, True, "replayed"))
         return (epoch, gaps, at, row.last_id, bool(waiting), []), told(True, "") + released
-    if row.first_id < 0 or row.previous_id < -1 or row.first_id > row.last_id:
+    if row.first_id < 0 or row.previous_id < 0 or row.first_id > row.last_id:
         return fresh(), told(False, "invalid_ids")
     own = [row.seq, row.first_id, row.last_id, row.previous_id]
     if snapshot < 0:
         if len(buffer) >= 4 * most:
             return (epoch + 1, gaps, -1, -1, False, []), told(False, "buffer_overflow")
-        return (epoch, gaps, -1, -1, False, [*buffer, *own]), told(False, "no_snapshot")
+        buffer = buffer if isinstance(buffer, list) else list(buffer)
+        buffer.extend(own)  # in place: a buffer isn't copied for each update
+        return (epoch, gaps, -1, -1, False, buffer), told(False, "no_snapshot")
     if not synced:
         if row.last_id < snapshot:
             return state, told(False, "before_snapshot")
