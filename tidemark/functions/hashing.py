@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -40,6 +41,35 @@ def crc32c(c: Column) -> Column:
     return run(c)
 
 
+def canonical_json(c: Column, field: str | None = None) -> Column:
+    """A JSON text as the canonical one of its value (or of that of its ``field``): names in order at every depth, no white space, numbers in their shortest form, other characters as they are.
+
+    Integers stay exact, other numbers are doubles, and of a name that is given twice the last one counts. Null for what isn't JSON, for NaN and
+    infinite numbers, and where a field is asked of what has none.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def run(values: pd.Series) -> pd.Series:
+        def refuse(name: str) -> None:
+            raise ValueError(name)
+
+        def one(text: str | None) -> str | None:
+            try:
+                value = json.loads(text, parse_constant=refuse) if text is not None else refuse("null")
+                return json.dumps(value if field is None else value[field], sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+            except (ValueError, LookupError, TypeError, RecursionError):
+                return None
+
+        return values.map(one)
+
+    return run(c)
+
+
+def payload_checksum(c: Column, field: str | None = None) -> Column:
+    """crc32c: and eight hexadecimal digits, of the canonical form of a JSON text or of its field; null where :func:`canonical_json` is."""
+    return F.concat(F.lit("crc32c:"), F.lpad(F.lower(F.hex(crc32c(canonical_json(c, field)))), 8, "0"))
+
+
 def latency_draws(df: DataFrame, number: str, *, seed: int, samples_us: Sequence[int], tail_us: int = 0, tail_per_million: int = 0) -> DataFrame:
     """Adds ``latency_us``: draw ``number`` (from 0) of one SplitMix64 stream, mapped to the samples; a share of draws is the tail value.
 

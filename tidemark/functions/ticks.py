@@ -162,6 +162,26 @@ def baseline_quotes(mid_ticks: Column, inventory: Column, volatility: Column, *,
     return F.floor(mid_ticks - half - skew + 0.5).cast("long"), F.floor(mid_ticks + half + skew + 0.5).cast("long")
 
 
+def time_key(seconds: Column) -> Column:
+    """Seconds as (ns, subns): whole nanoseconds, rounded down, and the billionths of one that are left; exact to 18 decimals. Null for what is no number or doesn't fit."""
+    exact = decimal(seconds)
+    whole = F.floor(exact).try_cast("long")
+    atto = (F.pmod(exact, F.lit(1)).cast("decimal(19,18)") * F.lit(10**18).cast("decimal(19,0)")).cast("long")
+    ns = F.try_add(F.try_multiply(whole, F.lit(1_000_000_000).cast("long")), F.call_function("div", atto, F.lit(1_000_000_000).cast("long")))
+    return F.when(ns.isNotNull(), F.struct(ns.alias("ns"), (atto % 1_000_000_000).alias("subns")))
+
+
+def whole_ns(seconds: Column) -> Column:
+    """Nanoseconds of seconds from 0 on; null if they aren't whole."""
+    key = time_key(seconds)
+    return F.when((key["subns"] == 0) & (key["ns"] >= 0), key["ns"])
+
+
+def time_of(ns: Column, subns: Column) -> Column:
+    """A time key as one number of nanoseconds, by which :func:`tidemark.operators.asof.asof` can match."""
+    return ns.cast("decimal(28,9)") + (subns.cast("decimal(10,0)") * F.lit("0.000000001").cast("decimal(10,9)")).cast("decimal(28,9)")
+
+
 def exchange_ns(value: Column) -> Column:
     """Nanoseconds of an exchange time in milliseconds (from 1e12 on) or seconds."""
     exact = value.cast("decimal(28,9)")

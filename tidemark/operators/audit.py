@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,22 +37,66 @@ def merge(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, ["symbol", "n"], "full_outer")
 
 
-def hash_chain(df: DataFrame, by: Sequence[str], order: Sequence[str], row: Column, domain: str) -> DataFrame:
-    """Ordered digest of each key: h = sha256(h, newline, row), from sha256(domain).
+def _streamed(df: DataFrame, by: Sequence[str], order: Sequence[str], row: Column, start: Callable[[], Any], step: Callable[[Any, str | None], Any], end: Callable[[Any], str | None]) -> DataFrame:
+    """(by, n, digest): each key's rows in order pass through one state, so a task holds a batch of rows and a state, however long a key is.
 
-    Each link hashes the one before, so a key is folded in one row: its rows meet in a list, and a key of some ten million rows is what a task can hold.
+    A key's rows still go to one task, one after the other: what a digest in order is.
     """
-    rows = F.transform(F.sort_array(F.collect_list(F.struct(*order, row.alias("_row")))), lambda r: r["_row"])
-    start = F.sha2(F.lit(domain).cast("binary"), 256)
-    grouped = df.groupBy(*by).agg(rows.alias("_rows"))
-    return grouped.select(*by, F.size("_rows").cast("long").alias("n"), F.aggregate("_rows", start, lambda h, r: F.sha2(F.concat(h, F.lit("\n"), r).cast("binary"), 256)).alias("digest"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
+    placed = df.select(*by, *[F.col(c).alias(f"_tm_{i}") for i, c in enumerate(order)], row.cast("string").alias("_tm_row"))
+    dealt = placed.repartition(*by).sortWithinPartitions(*by, *[f"_tm_{i}" for i in range(len(order))]).select(*by, "_tm_row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, n = None, None, 0
+
+        def told(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+            columns = [pa.array([r[0][i] for r in rows], f.type) for i, f in enumerate(schema) if f.name != "_tm_row"]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=[*by, "n", "digest"])
+
+        schema = None
+        for batch in batches:
+            out, schema = [], batch.schema
+            for *own, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if own != key:
+                    if key is not None:
+                        out.append((key, n, end(state)))
+                    key, state, n = own, start(), 0
+                state, n = step(state, text), n + 1
+            if out:
+                yield told(out, schema)
+        if key is not None:
+            yield told([(key, n, end(state))], schema)
+
+    return dealt.mapInArrow(run, f"{kinds}, n long, digest string")
+
+
+def hash_chain(df: DataFrame, by: Sequence[str], order: Sequence[str], row: Column, domain: str) -> DataFrame:
+    """Ordered digest of each key: h = sha256(h, newline, row), from sha256(domain); null if a row is. Each link hashes the one before."""
+    first = hashlib.sha256(domain.encode()).hexdigest()
+    link = lambda h, text: None if h is None or text is None else hashlib.sha256(f"{h}\n{text}".encode()).hexdigest()
+    return _streamed(df, by, order, row, lambda: first, link, lambda h: h)
+
+
+def joined_hash(df: DataFrame, by: Sequence[str], order: Sequence[str], row: Column, *, before: str = "", between: str = "", after: str = "") -> DataFrame:
+    """SHA-256 of each key's rows in order, as one text with what stands before, between and after them, which is never built; null rows are left out."""
+
+    def step(state: tuple[Any, bool], text: str | None) -> tuple[Any, bool]:
+        whole, begun = state
+        if text is None:
+            return state
+        whole.update(((between if begun else "") + text).encode())
+        return whole, True
+
+    def end(state: tuple[Any, bool]) -> str:
+        state[0].update(after.encode())
+        return state[0].hexdigest()
+
+    return _streamed(df, by, order, row, lambda: (hashlib.sha256(before.encode()), False), step, end)
 
 
 def list_hash(df: DataFrame, by: Sequence[str], order: Sequence[str], row: Column) -> DataFrame:
-    """SHA-256 of each key's rows as one ordered JSON list, which is built in one row: 2 GB of text a key at most."""
-    rows = F.transform(F.sort_array(F.collect_list(F.struct(*order, row.alias("_row")))), lambda r: r["_row"])
-    text = F.concat(F.lit("["), F.array_join("_rows", ","), F.lit("]"))
-    return df.groupBy(*by).agg(rows.alias("_rows")).select(*by, F.size("_rows").cast("long").alias("n"), F.sha2(text.cast("binary"), 256).alias("digest"))
+    """SHA-256 of each key's rows as one ordered JSON list."""
+    return joined_hash(df, by, order, row, before="[", between=",", after="]")
 
 
 def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:

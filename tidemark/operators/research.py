@@ -69,6 +69,13 @@ def bootstrap(df: DataFrame, order: str, value: str, *, block: int, replicates:
     return means.agg(F.lit(float(sample.mean())).alias("estimate"), F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high"), F.count("*").alias("replicates"))
 
 
+def paired_bootstrap(df: DataFrame, order: str, left: str, right: str, **options) -> DataFrame:
+    """Mean difference of two series that belong together row by row, with the interval of :func:`bootstrap`: both are drawn in the same blocks. A row that lacks one of them is refused."""
+    if not df.where(F.col(left).isNull() | F.col(right).isNull()).limit(1).isEmpty():
+        raise ValueError("a pair lacks one of its values")
+    return bootstrap(df.select(order, (F.col(left) - F.col(right)).alias("difference")), order, "difference", **options)
+
+
 def step_markouts(fills: DataFrame, horizon: int, block: int = 50_000) -> DataFrame:
     """Markout of each fill against its symbol's row ``horizon`` steps on, or the last one, and the running sum."""
     last = fills.groupBy("symbol").agg(F.max("step").alias("_last"))

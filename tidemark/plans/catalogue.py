@@ -446,7 +446,7 @@ def loss_streak(spark: SparkSession, sf: str) -> DataFrame:
 def fee_notional(spark: SparkSession, sf: str) -> DataFrame:
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     bps = F.when(F.col("l_returnflag") == "R", 4).otherwise(-1)
-    return table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linestatus").agg(F.sum(cents).alias("notional_cents"), F.round(F.sum(cents * bps) / 1_000_000.0, 6).alias("fees"))
+    return table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linestatus").agg(F.sum(cents).alias("notional_cents"), F.round(F.sum(ticks.fee(cents.cast("decimal(18,0)"), F.lit(1), F.lit(1), bps)).cast("double") / 100, 6).alias("fees"))
 
 
 @query("SELECT kind, round(sum(tick * lots) / sum(lots)::DOUBLE, 6) AS average_tick, round(count(*) FILTER (k < 50) / count(*)::DOUBLE, 9) AS low_rate, max(lots) AS max_lots, count(*) FILTER (lots > 3) AS queued FROM t GROUP BY kind")
@@ -661,11 +661,11 @@ def provenance_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return audit.coverage(fill_rows(spark, sf).select("seq", F.when(F.col("k") < 90, F.col("k")).alias("k")), ["seq", "k"])
 
 
-@query("""WITH v AS (SELECT symbol, bool_or(kind = 'signup') AS book, bool_and(tick > 0) AS clock, true AS capture, bool_or(kind = 'purchase') AS trade, symbol % 2 = 0 AS trade_required, count(DISTINCT kind) AS streams, count(*) FILTER (kind = 'error' AND k < 20) AS invalidations FROM t GROUP BY symbol)
+@query("""WITH v AS (SELECT symbol, bool_or(kind = 'signup') AS book, bool_and(tick > 0) AS clock, NOT bool_or(kind = 'error' AND k >= 90) AS capture, bool_or(kind = 'purchase') AS trade, symbol % 2 = 0 AS trade_required, count(DISTINCT kind) AS streams, count(*) FILTER (kind = 'error' AND k < 20) AS invalidations FROM t GROUP BY symbol)
 SELECT symbol, book AND clock AND capture AND (trade OR NOT trade_required) AS execution_valid, book AND clock AND capture AND (trade OR NOT trade_required) AND streams > 0 AND invalidations = 0 AS claim_ready FROM v""")
 def claim_gate(spark: SparkSession, sf: str) -> DataFrame:
     is_ = lambda kind: F.col("kind") == kind
-    v = tape(spark, sf).groupBy("symbol").agg(F.bool_or(is_("signup")).alias("book"), F.bool_and(F.col("tick") > 0).alias("clock"), F.bool_and(F.lit(True)).alias("capture"), F.bool_or(is_("purchase")).alias("trade"), F.countDistinct("kind").alias("streams"), F.count_if(is_("error") & (F.col("k") < 20)).alias("invalidations"))
+    v = tape(spark, sf).groupBy("symbol").agg(F.bool_or(is_("signup")).alias("book"), F.bool_and(F.col("tick") > 0).alias("clock"), (~F.bool_or(is_("error") & (F.col("k") >= 90))).alias("capture"), F.bool_or(is_("purchase")).alias("trade"), F.countDistinct("kind").alias("streams"), F.count_if(is_("error") & (F.col("k") < 20)).alias("invalidations"))
     return audit.claims(v.withColumn("trade_required", F.col("symbol") % 2 == 0)).select("symbol", "execution_valid", "claim_ready")
 
 
@@ -682,11 +682,11 @@ def adverse_drift(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy(F.when(F.col("tick") >= F.col("p"), "up").otherwise("down").alias("direction")).agg(F.count("*").alias("fills"), F.round(F.avg((F.col("k") < 50).cast("double")), 9).alias("adverse_rate"))
 
 
-@query("SELECT seq, list_distinct(['e' || (k % 5), 'e' || (seq % 5), 'e' || (k % 5)])::VARCHAR[] IS NOT NULL AS linked, len(list_distinct(['e' || (k % 5), 'e' || (seq % 5), 'e' || (k % 5)])) AS n, 'e' || (k % 5) || CASE WHEN k % 5 <> seq % 5 THEN ',e' || (seq % 5) ELSE '' END AS evidence FROM f")
+@query("SELECT seq, list_has_any(['e' || (k % 5), 'e' || (seq % 5)], ['e0', 'e3']) AS linked, len(list_distinct(['e' || (k % 5), 'e' || (seq % 5), 'e' || (k % 5)])) AS n, 'e' || (k % 5) || CASE WHEN k % 5 <> seq % 5 THEN ',e' || (seq % 5) ELSE '' END AS evidence FROM f")
 def combined_evidence(spark: SparkSession, sf: str) -> DataFrame:
     e = lambda c: F.concat(F.lit("e"), (F.col(c) % 5).cast("string"))
     ids = F.array_distinct(F.concat(F.array(e("k"), e("seq")), F.array(e("k"))))
-    return fill_rows(spark, sf).select("seq", ids.isNotNull().alias("linked"), F.size(ids).cast("long").alias("n"), F.array_join(ids, ",").alias("evidence"))
+    return fill_rows(spark, sf).select("seq", F.arrays_overlap(ids, F.array(F.lit("e0"), F.lit("e3"))).alias("linked"), F.size(ids).cast("long").alias("n"), F.array_join(ids, ",").alias("evidence"))
 
 
 @query("""WITH a AS (SELECT symbol, ns + 3600000000000 AS due_ns, seq, seq // 3 AS action_id FROM t WHERE kind = 'view'), c AS (SELECT symbol, seq // 3 AS action_id, min(ns) AS cancel_ns FROM t WHERE kind = 'error' GROUP BY ALL)

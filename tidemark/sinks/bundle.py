@@ -60,11 +60,19 @@ def read_back(spark: SparkSession, path: str, schema: str, kind: str) -> DataFra
     return spark.read.schema(schema).json(path) if kind == "jsonl" else spark.read.parquet(path)
 
 
-def write_bundle(spark: SparkSession, path: str, tables: Mapping[str, DataFrame], summary: Mapping, kind: str = "parquet") -> dict:
-    """Tables under ``path``, then a manifest with the digests of what was written; a bundle without manifest is incomplete.
+#: A bundle with this file isn't finished, whatever else is there.
+SENTINEL = "_INCOMPLETE"
 
-    In CSV an empty text and null are the same cell, so its digest is that of null.
-    """
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and a maker of its paths: renames and sentinels work in whatever store Spark writes to."""
+    jvm = spark.sparkContext._jvm
+    make = jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def _tables(spark: SparkSession, path: str, tables: Mapping[str, DataFrame], summary: Mapping, kind: str) -> dict:
+    """Writes tables and then their manifest, with the digests of what is read back."""
     writers = {"parquet": write_parquet, "csv": write_csv, "jsonl": write_jsonl}
     manifest: dict = {"summary": dict(summary), "kind": kind, "tables": {}}
     for name, df in tables.items():
@@ -77,8 +85,7 @@ def write_bundle(spark: SparkSession, path: str, tables: Mapping[str, DataFrame]
     return manifest
 
 
-def audit_bundle(spark: SparkSession, path: str) -> list[str]:
-    """What differs between a bundle and its manifest; empty if nothing does."""
+def _issues(spark: SparkSession, path: str) -> list[str]:
     manifest = json.loads(spark.read.text(f"{path}/_manifest").first()[0])
     own = manifest.pop("self")
     issues = [] if hashlib.sha256(json.dumps(manifest, sort_keys=True).encode()).hexdigest() == own else ["manifest"]
@@ -89,6 +96,50 @@ def audit_bundle(spark: SparkSession, path: str) -> list[str]:
     return issues
 
 
+def write_bundle(spark: SparkSession, path: str, tables: Mapping[str, DataFrame], summary: Mapping, kind: str = "parquet") -> dict:
+    """Tables and a manifest with the digests of what was written, at ``path`` as a whole or not at all.
+
+    All is written to a staging folder beside ``path`` that has a sentinel from the start, and held against the manifest
+    there. Then the folder is renamed, and the sentinel goes last: a write that dies at any step leaves a folder with a sentinel, which
+    readers refuse, and a later write clears its own staging folder and starts anew. A path that exists is never written to.
+    In CSV an empty text and null are the same cell, so its digest is that of null.
+    """
+    fs, make = _file_system(spark, path)
+    stage = f"{path.rstrip('/')}.staging"
+    if fs.exists(make(path)):
+        raise FileExistsError(path)
+    fs.delete(make(stage), True)
+    fs.mkdirs(make(stage))
+    fs.create(make(f"{stage}/{SENTINEL}"), True).close()
+    manifest = _tables(spark, stage, tables, summary, kind)
+    if issues := _issues(spark, stage):
+        raise ValueError(f"what was written differs from what was to be: {issues}")
+    if not fs.rename(make(stage), make(path)):
+        raise OSError(f"{stage} can't be renamed to {path}")
+    if not fs.delete(make(f"{path}/{SENTINEL}"), False):
+        raise OSError(f"the sentinel of {path} can't be removed")
+    return manifest
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a bundle is there and whole."""
+    fs, make = _file_system(spark, path)
+    return fs.exists(make(f"{path}/_manifest/_SUCCESS")) and not fs.exists(make(f"{path}/{SENTINEL}"))
+
+
+def read_bundle(spark: SparkSession, path: str) -> tuple[dict, dict[str, DataFrame]]:
+    """Manifest and tables of a finished bundle; an unfinished one is refused."""
+    if not finished(spark, path):
+        raise ValueError(f"{path} isn't a finished bundle")
+    manifest = json.loads(spark.read.text(f"{path}/_manifest").first()[0])
+    return manifest, {name: read_back(spark, f"{path}/{name}", known["schema"], manifest["kind"]) for name, known in manifest["tables"].items()}
+
+
+def audit_bundle(spark: SparkSession, path: str) -> list[str]:
+    """What differs between a bundle and its manifest; empty if nothing does, and ``unfinished`` if it was never committed."""
+    return _issues(spark, path) if finished(spark, path) else ["unfinished"]
+
+
 def summary_issues(spark: SparkSession, path: str, summary: Mapping, *, texts: Sequence[str], counts: Sequence[str], documents: Sequence[str]) -> list[str]:
     """What differs between a summary and its CSV of one row: ``texts`` as written, ``counts`` as integers, ``documents`` as JSON."""
     rows = spark.read.csv(path, header=True, escape='"', multiLine=True).limit(2).collect()

@@ -9,7 +9,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import crc32c
+from ..functions.hashing import payload_checksum
+from ..operators.audit import joined_hash
 from ..operators.ordered import running
 from ..sources.tape import tail_of
 
@@ -48,16 +49,15 @@ def with_segments(events: DataFrame, *, rotate_ns: int, most_bytes: int, block:
 def segment_lines(placed: DataFrame, capture_id: str) -> DataFrame:
     """(segment, place, value): the lines of each segment, a header, its events by sequence, and a trailer with their count, range and digest.
 
-    Fields are in order of name. The digest is of the segment's texts in order, which meet in one row, so ``most_bytes`` bounds it. An event without a checksum
-    (payload_checksum) gets the CRC-32C of its payload.
+    Fields are in order of name. The digest is of the segment's texts in order, which pass through one state. An event without a checksum
+    (payload_checksum) gets the CRC-32C of its payload's canonical form.
     """
-    payload = F.coalesce(F.get_json_object("event", "$.payload"), F.lit("null"))
     given = F.col("payload_checksum") if "payload_checksum" in placed.columns else F.lit(None).cast("string")
-    checksum = F.coalesce(given, F.concat(F.lit("crc32c:"), F.lpad(F.lower(F.hex(crc32c(payload))), 8, "0")))
+    checksum = F.coalesce(given, payload_checksum(F.col("event"), "payload"), payload_checksum(F.lit("null")))
     event = F.concat(F.lit('{"event":'), F.col("event"), F.lit(',"payload_checksum":"'), checksum, F.lit('","record":"event","recv_seq":'), F.col("recv_seq").cast("string"), F.lit("}"))
     rows = placed.select("segment", F.col("recv_seq").alias("place"), event.alias("value"))
-    texts = F.transform(F.sort_array(F.collect_list(F.struct("recv_seq", "event"))), lambda r: r["event"])
-    frame = placed.groupBy("segment").agg(F.sha2(F.array_join(texts, "").cast("binary"), 256).alias("content_sha256"), F.count("*").alias("count"), F.min("recv_seq").alias("first_recv_seq"), F.max("recv_seq").alias("last_recv_seq"), F.min_by("recv_wall_ns", "recv_seq").alias("started_wall_ns"))
+    contents = joined_hash(placed, ["segment"], ["recv_seq"], F.col("event")).select("segment", F.col("digest").alias("content_sha256"))
+    frame = placed.groupBy("segment").agg(F.count("*").alias("count"), F.min("recv_seq").alias("first_recv_seq"), F.max("recv_seq").alias("last_recv_seq"), F.min_by("recv_wall_ns", "recv_seq").alias("started_wall_ns")).join(contents, "segment")
     head = F.to_json(F.struct(F.lit(capture_id).alias("capture_id"), F.lit("segment_header").alias("record"), F.lit(CAPTURE).alias("schema_version"), F.col("segment").alias("segment_index"), "started_wall_ns"))
     tail = F.to_json(F.struct(F.lit(True).alias("complete"), "content_sha256", "count", "first_recv_seq", "last_recv_seq", F.lit("segment_trailer").alias("record")))
     ends = frame.select("segment", F.explode(F.array(F.struct((F.col("first_recv_seq") - 1).alias("place"), head.alias("value")), F.struct((F.col("last_recv_seq") + 1).alias("place"), tail.alias("value")))).alias("l")).select("segment", "l.*")

@@ -13,7 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ticks import EXACT, decimal, to_units
+from ..functions.hashing import payload_checksum
+from ..functions.ticks import EXACT, decimal, time_key, to_units
+from ..operators.audit import joined_hash
 from ..operators.ordered import previous, running
 
 #: The record types of a tape.
@@ -128,9 +130,14 @@ def recover(validated: DataFrame) -> DataFrame:
 
 
 def normalize(validated: DataFrame) -> DataFrame:
-    """Valid records with the columns NORMALIZED; receive times default to ts_local, routes to ``legacy``."""
+    """Valid records with the columns NORMALIZED; receive times default to ts_local, routes to ``legacy``.
+
+    ``logical_subns``: what ts_local has below a nanosecond, in billionths of it, where it is the logical time; (recv_monotonic_ns,
+    logical_subns, source_row_seq) is the order of a tape.
+    """
     cap = lambda k, kind="long": _get(f"data._capture.{k}").try_cast(kind)
-    local = (_get("ts_local").cast("decimal(28,9)") * 1_000_000_000).cast("long")
+    told = time_key(_get("ts_local"))
+    local = told["ns"]
     ms = lambda k: (_get(f"data.{k}").try_cast("decimal(28,6)") * 1_000_000).cast("long")
     receipt = cap("recvSeq").isNotNull() & cap("recvMonotonicNs").isNotNull()
     return validated.where(F.size("reasons") == 0).select(
@@ -141,7 +148,7 @@ def normalize(validated: DataFrame) -> DataFrame:
         cap("streamEpoch", "int").alias("stream_epoch"), cap("syncEpoch", "int").alias("sync_epoch"),
         F.when(receipt, "recv_monotonic").otherwise("ts_local").alias("logical_time_source"),
         _get("data._capture.payloadChecksum").alias("payload_checksum"), _get("data").alias("payload_json"),
-        F.when(capture_present(), "3").otherwise("1").alias("source_schema_version"), "path",
+        F.when(capture_present(), "3").otherwise("1").alias("source_schema_version"), "path", F.when(receipt, 0).otherwise(told["subns"]).cast("long").alias("logical_subns"),
     )
 
 
@@ -252,24 +259,74 @@ def read_segments(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     The event is its own text if the line's fields are in order of name, as writers leave them.
     """
-    rows = read_lines(spark, paths)
+    return segment_rows(read_lines(spark, paths))
+
+
+def segment_rows(rows: DataFrame) -> DataFrame:
+    """Lines of segments (path, line, value) in the columns of :func:`read_segments`."""
     own = F.regexp_extract("value", EVENT_LINE, 1)
     event = F.when(own != "", own).otherwise(_get("event"))
     return rows.select("path", "line", _get("record").alias("record"), _get("recv_seq").cast("long").alias("recv_seq"), _get("payload_checksum").alias("payload_checksum"), event.alias("event"), "value")
 
 
+#: Fields that an event of a segment must have as text, and as integers from 0.
+EVENT_TEXTS, EVENT_COUNTS = ("capture_id", "schema_version", "venue", "instrument", "event_kind", "route"), ("recv_seq", "recv_wall_ns", "recv_monotonic_ns")
+
+
+def verify_segments(segments: DataFrame, schema_version: str | None = None) -> DataFrame:
+    """Rows of :func:`read_segments` with ``reasons``: what makes each of them unfit, empty if nothing does.
+
+    not_json; header_missing before an event and header_repeated or header_without_id; event_fields missing or of another
+    kind; other_sequence, other_capture and other_version than the line, the header or ``schema_version`` (if it is given) say; checksum, if the canonical form of the
+    payload has another CRC-32C than the line or the event tells; and sequence, if it doesn't rise from event to event.
+    Rows of a path are held against their neighbours over chunks of lines, so a segment may have any length.
+    """
+    head, event = F.col("record") == "segment_header", F.col("record") == "event"
+    get = lambda k: F.get_json_object("event", f"$.{k}")
+    capture = F.when(head, F.get_json_object("value", "$.capture_id"))
+    named = {"_tm_headers": ("sum", F.coalesce(head, F.lit(False)).cast("long")), "_tm_capture": ("last", capture), "_tm_before": ("last", F.when(event, F.col("recv_seq")))}
+    rows = running(segments, ["path"], F.floor(F.col("line") / 100_000), ["line"], named, before=True)
+    own = rows.withColumn("_tm_sum", F.when(event, payload_checksum(F.col("event"), "payload")))
+    texts = F.lit(True)
+    for k in EVENT_TEXTS:
+        texts = texts & (F.coalesce(get(k), F.lit("")) != "")
+    for k in EVENT_COUNTS:
+        texts = texts & F.coalesce(get(k).try_cast("long") >= 0, F.lit(False))
+    told = F.coalesce(get("raw_payload_checksum"), F.col("payload_checksum"))
+    rules = {
+        "not_json": F.try_parse_json("value").isNull(),
+        "header_repeated": head & (F.col("_tm_headers") > 0),
+        "header_without_id": head & (F.coalesce(capture, F.lit("")) == ""),
+        "header_missing": event & (F.col("_tm_headers") == 0),
+        "event_fields": event & ~texts,
+        "other_sequence": event & ~F.col("recv_seq").eqNullSafe(get("recv_seq").try_cast("long")),
+        "other_capture": event & ~F.col("_tm_capture").eqNullSafe(get("capture_id")),
+        "other_version": event & ~F.coalesce(get("schema_version") == schema_version, F.lit(False)) if schema_version else F.lit(False),
+        "checksum": event & ~(F.coalesce(F.col("payload_checksum") == F.col("_tm_sum"), F.lit(False)) & F.coalesce(told == F.col("_tm_sum"), F.lit(False))),
+        "sequence": event & F.coalesce(F.col("recv_seq") <= F.col("_tm_before"), F.lit(False)),
+    }
+    reasons = F.array_compact(F.array(*[F.when(F.coalesce(wrong, F.lit(False)), F.lit(name)) for name, wrong in rules.items()]))
+    return own.select(*segments.columns, reasons.alias("reasons"))
+
+
+def recover_segments(verified: DataFrame) -> DataFrame:
+    """Events of each segment up to its first unfit row or its trailer, whichever is first: what a segment that was cut off or damaged still holds."""
+    stop = verified.where((F.size("reasons") > 0) | (F.col("record") == "segment_trailer")).groupBy("path").agg(F.min("line").alias("_tm_stop"))
+    rows = verified.where("record = 'event'").join(stop, "path", "left")
+    return rows.where(F.col("_tm_stop").isNull() | (F.col("line") < F.col("_tm_stop"))).drop("_tm_stop", "reasons")
+
+
 def segment_report(segments: DataFrame) -> DataFrame:
     """Per file: header and trailer present, counts, sequence range and digest of the events against the trailer's, order of sequences.
 
-    The digest is that of all events' texts in order, so a segment's events meet in one row: captures rotate their segments well below 2 GB.
-    A trailer without a digest isn't held against one.
+    The digest is that of all events' texts in order; they pass through one state a segment, a batch at a time. A trailer without a digest isn't held against one.
     """
     events = previous(segments.where("record = 'event'"), ["path"], F.floor(F.col("line") / 100_000), ["line"], {"_p": F.col("recv_seq")})
-    texts = F.transform(F.sort_array(F.collect_list(F.struct("line", "event"))), lambda r: r["event"])
-    seen = events.groupBy("path").agg(F.sha2(F.array_join(texts, "").cast("binary"), 256).alias("content_sha256"), F.count("*").alias("events"), F.min("recv_seq").alias("first_seq"), F.max("recv_seq").alias("last_seq"), F.count_if(F.col("recv_seq") <= F.col("_p")).alias("regressions"))
+    contents = joined_hash(segments.where("record = 'event'"), ["path"], ["line"], F.col("event")).select("path", F.col("digest").alias("content_sha256"))
+    seen = events.groupBy("path").agg(F.count("*").alias("events"), F.min("recv_seq").alias("first_seq"), F.max("recv_seq").alias("last_seq"), F.count_if(F.col("recv_seq") <= F.col("_p")).alias("regressions"))
     trailer = lambda k: F.max(F.when(F.col("record") == "segment_trailer", F.get_json_object("value", f"$.{k}").cast("long")))
     frame = segments.groupBy("path").agg(F.count_if(F.col("record") == "segment_header").alias("headers"), F.count_if(F.col("record") == "segment_trailer").alias("trailers"), trailer("count").alias("count"), trailer("first_recv_seq").alias("t_first"), trailer("last_recv_seq").alias("t_last"), F.max(F.when(F.col("record") == "segment_trailer", _get("content_sha256"))).alias("t_content"))
-    joined = frame.join(seen, "path", "left")
+    joined = frame.join(seen, "path", "left").join(contents, "path", "left")
     ok = (F.col("headers") == 1) & (F.col("trailers") == 1) & (F.col("count") == F.coalesce("events", F.lit(0))) & F.col("t_first").eqNullSafe(F.col("first_seq")) & F.col("t_last").eqNullSafe(F.col("last_seq")) & (F.coalesce("regressions", F.lit(0)) == 0)
     ok = ok & (F.col("t_content").isNull() | (F.col("t_content") == F.coalesce("content_sha256", F.sha2(F.lit("").cast("binary"), 256))))
     return joined.withColumn("complete", ok)
