@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import chunk_of, numbered
+from .ordered import chunk_of, numbered, previous, running
 
 
 def violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -209,3 +209,53 @@ def lifecycle(trace: DataFrame, by: Sequence[str]) -> DataFrame:
     }
     sums = [F.coalesce(F.sum(queued), F.lit(0)).alias("queue_sum"), F.coalesce(F.max(queued), F.lit(0)).alias("queue_max")]
     return trace.groupBy(*by).agg(*[F.count_if(c).alias(k) for k, c in counts.items()], *sums)
+
+
+#: Kinds of rows in a trace of orders.
+TRACE_KINDS = ("place", "queue", "fill", "cancel", "markout")
+
+
+def trace_faults(trace: DataFrame, horizons_ns: Sequence[int], *, chunk: int = 100_000) -> DataFrame:
+    """Rows of a merged trace that contradict the rows before them, with ``reasons``.
+
+    ``trace``: seq (of the whole trace, contiguous), kind (TRACE_KINDS), symbol, order_id, ns, lots (ordered, filled), ahead_before,
+    ahead_after, left_after, fill_seq and horizon_ns (markouts). One pass in order of seq, with each order's state carried over chunks:
+
+    - ``sequence``: seq doesn't follow the row before; ``clock``: ns runs back; ``unknown_kind``.
+    - ``unplaced``: before the order's placing; ``placed_twice``; ``after_end``: the order was filled or cancelled before.
+    - ``queue_path``: ahead_before isn't what the order's last row left; ``queue_grows``: ahead_after is above ahead_before or below 0.
+    - ``fill_in_queue``: a fill while lots are ahead; ``left``: left_after isn't what was left less what is filled, or below 0.
+    - ``unknown_fill``: a markout of a fill that isn't before it; ``horizon``: not one of those to be measured, or before it is due; ``markout_twice``.
+
+    Null in what a rule needs breaks it. An order's rows, and a fill's markouts, meet by chunk of seq, so no task gets all rows of one symbol or order.
+    """
+    place, kind = F.floor(F.col("seq") / chunk), lambda *names: F.col("kind").isin(*names)
+    end = kind("cancel") | (kind("fill") & (F.col("left_after") == 0))
+    own = ["order_id"]
+    rows = previous(trace.where("seq IS NOT NULL"), [], place, ["seq"], {"_tm_seq": F.col("seq"), "_tm_ns": F.col("ns")})
+    of_order = kind("place", "queue", "fill", "cancel")
+    state = {"_tm_placed": ("sum", kind("place").cast("long")), "_tm_ended": ("sum", F.coalesce(end, F.lit(False)).cast("long")), "_tm_ahead": ("last", F.when(of_order, F.col("ahead_after"))), "_tm_left": ("last", F.when(kind("place", "fill"), F.col("left_after")))}
+    rows = running(rows, own, place, ["seq"], state, before=True)
+    known = trace.where(kind("fill")).select(F.col("seq").alias("_tm_fill"), F.col("ns").alias("_tm_fill_ns"), F.col("order_id").alias("_tm_of")).distinct()
+    asked = F.coalesce(F.when(kind("markout"), F.col("fill_seq")), -1 - F.col("seq"))  # rows that ask for no fill don't meet under one null key
+    rows = rows.join(known, asked == F.col("_tm_fill"), "left")
+    told = running(rows.where(kind("markout")).select("seq", "fill_seq", "horizon_ns"), ["fill_seq", "horizon_ns"], place, ["seq"], {"_tm_told": ("sum", F.lit(1).cast("long"))}, before=True).select(F.col("seq").alias("_tm_at"), "_tm_told")
+    rows = rows.join(told, F.col("seq") == F.col("_tm_at"), "left")
+    wrong = lambda ok: ~F.coalesce(ok, F.lit(False))
+    rules = {
+        "sequence": F.col("_tm_seq").isNotNull() & wrong(F.col("seq") == F.col("_tm_seq") + 1),
+        "clock": F.col("_tm_seq").isNotNull() & wrong(F.col("ns") >= F.col("_tm_ns")),
+        "unknown_kind": wrong(kind(*TRACE_KINDS)),
+        "unplaced": kind("queue", "fill", "cancel") & (F.col("_tm_placed") == 0),
+        "placed_twice": kind("place") & (F.col("_tm_placed") > 0),
+        "after_end": of_order & (F.col("_tm_ended") > 0),
+        "queue_path": kind("queue", "fill") & (F.col("_tm_placed") > 0) & wrong(F.col("ahead_before") == F.col("_tm_ahead")),
+        "queue_grows": kind("queue", "fill") & wrong((F.col("ahead_after") <= F.col("ahead_before")) & (F.col("ahead_after") >= 0)),
+        "fill_in_queue": kind("fill") & wrong(F.col("ahead_after") == 0),
+        "left": (kind("place") & wrong((F.col("lots") > 0) & (F.col("left_after") == F.col("lots")))) | (kind("fill") & (F.col("_tm_placed") > 0) & wrong((F.col("lots") > 0) & (F.col("left_after") == F.col("_tm_left") - F.col("lots")) & (F.col("left_after") >= 0))),
+        "unknown_fill": kind("markout") & wrong((F.col("_tm_fill") < F.col("seq")) & F.col("_tm_of").eqNullSafe(F.col("order_id"))),
+        "horizon": kind("markout") & wrong(F.col("horizon_ns").isin(*horizons_ns) & (F.coalesce(F.col("ns") >= F.col("_tm_fill_ns") + F.col("horizon_ns"), F.col("_tm_fill").isNull()))),
+        "markout_twice": kind("markout") & (F.coalesce("_tm_told", F.lit(0)) > 0),
+    }
+    reasons = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]))
+    return rows.select(*trace.columns, reasons.alias("reasons")).where(F.size("reasons") > 0)

@@ -220,21 +220,23 @@ def order_ranks(orders: DataFrame) -> DataFrame:
     return numbered(rows, ["symbol", "side"], F.col("_tm_tick"), ["_tm_tick", "_tm_ns", "_tm_seq"], "rank").drop("_tm_tick", "_tm_ns", "_tm_seq")
 
 
-def self_crosses(orders: DataFrame, slot_ns: int) -> DataFrame:
+def self_crosses(orders: DataFrame, slot_rows: int = 50_000) -> DataFrame:
     """Adds ``crosses``: an earlier order of the other side that still rests would trade with this one (symbol, ns, seq, side, tick, end_ns).
 
-    Lives are cut into slots of ``slot_ns``: an arrival meets the orders that rest in its own slot, in a semi join. No end: rests until the last row's slot.
+    The own orders make a book: each adds one to its level when it arrives and takes it back when it ends (before what arrives at
+    that time; never, without an end), and an arrival crosses if the best price of the other side is as good as its own. So no
+    order is copied over the time it rests, and no pairs are formed; see :func:`path` for the slots. Orders that end when
+    they arrive never rest. Null symbol, side, tick or ns: never crosses.
     """
-    slot = lambda c: F.floor(F.col(c) / slot_ns)
-    last = orders.agg(F.max("ns")).first()[0]
-    end = F.least(F.coalesce("end_ns", F.lit(last)), F.lit(last))
-    resting = orders.where(end >= F.col("ns")).select("symbol", F.when(F.col("side") == "bid", "ask").otherwise("bid").alias("side"), F.explode(F.sequence(slot("ns"), F.floor(end / slot_ns))).alias("_tm_slot"), F.col("ns").alias("_tm_ns"), F.col("seq").alias("_tm_seq"), F.col("tick").alias("_tm_tick"), F.col("end_ns").alias("_tm_end"))
-    arrivals = orders.withColumn("_tm_slot", slot("ns"))
-    earlier = (F.col("_tm_ns") < F.col("ns")) | ((F.col("_tm_ns") == F.col("ns")) & (F.col("_tm_seq") < F.col("seq")))
-    price = F.when(F.col("a.side") == "bid", F.col("tick") >= F.col("_tm_tick")).otherwise(F.col("tick") <= F.col("_tm_tick"))
-    met = (F.col("a.symbol") == F.col("r.symbol")) & (F.col("a.side") == F.col("r.side")) & (F.col("a._tm_slot") == F.col("r._tm_slot"))
-    hit = arrivals.alias("a").join(resting.alias("r"), met & earlier & price & (F.col("_tm_end").isNull() | (F.col("_tm_end") > F.col("ns"))), "left_semi").select("symbol", "seq", F.lit(True).alias("_tm_hit"))
-    return orders.join(hit, ["symbol", "seq"], "left").select(*orders.columns, F.coalesce("_tm_hit", F.lit(False)).alias("crosses"))
+    first = -(1 << 62)  # ends sort before arrivals of their time
+    sound = orders.where("symbol IS NOT NULL AND side IN ('bid', 'ask') AND tick IS NOT NULL AND ns IS NOT NULL").select("symbol", "side", "tick", "ns", "seq", "end_ns")
+    rests = F.col("end_ns").isNull() | (F.col("end_ns") > F.col("ns"))
+    begun = sound.select("symbol", "side", "tick", "ns", "seq", F.when(rests, 1).otherwise(0).cast("long").alias("_tm_n"))
+    ended = sound.where("end_ns > ns").select("symbol", "side", "tick", F.col("end_ns").alias("ns"), (F.col("seq") + first).alias("seq"), F.lit(-1).cast("long").alias("_tm_n"))
+    counted = running(begun.unionByName(ended), ["symbol", "side", "tick"], chunk_of("ns", 24 * 3_600_000_000_000), ["ns", "seq"], {"lots": ("sum", F.col("_tm_n"))})
+    best = path(counted.select("symbol", "side", "tick", "ns", "seq", "lots"), slot_rows=slot_rows).select("symbol", "ns", "seq", "best_bid", "best_ask")
+    hit = F.when(F.col("side") == "bid", F.col("tick") >= F.col("best_ask")).when(F.col("side") == "ask", F.col("tick") <= F.col("best_bid"))
+    return orders.join(best, ["symbol", "ns", "seq"], "left").select(*orders.columns, F.coalesce(hit, F.lit(False)).alias("crosses"))
 
 
 # fixed values: which sources consume queues under each set of assumptions, and whether they are netted

@@ -122,3 +122,17 @@ def notional_reservations(events: DataFrame, limit: int) -> DataFrame:
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema) + ", reason string, reserved long, inventory long"
     return events.repartition("portfolio").sortWithinPartitions("portfolio", "ns", "seq").mapInPandas(run, schema)
+
+
+def gross_notional(inventory: DataFrame, marks: DataFrame, orders: DataFrame) -> DataFrame:
+    """One row: what a portfolio has at stake in inventory at its marks, in live and in pending orders at their prices, and in all; null where a held symbol has no mark.
+
+    ``inventory``: symbol, lots; ``marks``: symbol, mid; ``orders``: symbol, tick, lots, state (live, pending; others don't count). Sums of
+    parts, so no row but one a symbol is shuffled. Nothing held or ordered: zeros.
+    """
+    held = inventory.join(marks.select("symbol", "mid"), "symbol", "left").where("lots <> 0")
+    stake = held.agg(F.count_if(F.col("mid").isNull()).alias("unpriced"), F.coalesce(F.sum(F.abs("lots") * F.col("mid")), F.lit(0.0)).cast("double").alias("inventory"))
+    at = lambda state: F.coalesce(F.sum(F.when(F.col("state") == state, F.col("tick") * F.abs("lots"))), F.lit(0)).cast("long").alias(state)
+    both = stake.crossJoin(F.broadcast(orders.agg(at("live"), at("pending"))))  # a row each
+    whole = F.when(F.col("unpriced") == 0, F.col("inventory"))
+    return both.select(whole.alias("inventory"), "live", "pending", (whole + F.col("live") + F.col("pending")).alias("gross"), "unpriced")

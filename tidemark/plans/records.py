@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ticks
-from ..operators import research
+from ..operators import audit, book, ledger, research
 from ..operators.ordered import running
 from ..sinks import capture
 from ..sources import tape as records
-from .catalogue import query
-from .tape import MINUTE_NS, tape
+from .catalogue import BOOK_SQL, query
+from .tape import MINUTE_NS, levels, tape
+from .tape import fills as fill_rows
 
 
 @query("""WITH b AS (SELECT symbol, min(seq) FILTER (seq % 23 = 7) AS bad FROM t GROUP BY symbol)
@@ -55,3 +56,46 @@ def paired_days(spark: SparkSession, sf: str) -> DataFrame:
     mean = lambda kind: F.avg(F.when(F.col("kind") == kind, F.col("tick")))
     days = tape(spark, sf).groupBy(F.floor(F.col("ns") / (24 * 60 * MINUTE_NS)).alias("day")).agg(mean("view").alias("view"), mean("click").alias("click")).where("view IS NOT NULL AND click IS NOT NULL")
     return research.paired_bootstrap(days, "day", "view", "click", block=3, replicates=2000, seed=11)
+
+
+@query(f"""WITH {BOOK_SQL}, m AS (SELECT symbol, (max(tick) FILTER (side = 'bid') + min(tick) FILTER (side = 'ask')) / 2.0::DOUBLE * 100 AS mid FROM b GROUP BY symbol),
+i AS (SELECT symbol, sum(lots)::BIGINT AS lots FROM f GROUP BY symbol), h AS (SELECT coalesce(sum(abs(lots) * mid), 0)::DOUBLE AS inventory, count(*) - count(mid) AS unpriced FROM i LEFT JOIN m USING (symbol) WHERE lots <> 0),
+o AS (SELECT coalesce(sum(tick * lots) FILTER (kind = 'view'), 0)::BIGINT AS live, coalesce(sum(tick * lots) FILTER (kind = 'click'), 0)::BIGINT AS pending FROM t)
+SELECT CASE WHEN unpriced = 0 THEN inventory END AS inventory, live, pending, CASE WHEN unpriced = 0 THEN inventory + live + pending END AS gross, unpriced FROM h, o""")
+def gross_notional(spark: SparkSession, sf: str) -> DataFrame:
+    """Inventory at its marks, live and pending orders."""
+    inventory = fill_rows(spark, sf).groupBy("symbol").agg(F.sum("lots").alias("lots"))
+    marks = book.best(book.book(levels(spark, sf))).select("symbol", (F.col("mid") * 100).alias("mid"))
+    orders = tape(spark, sf).select("symbol", "tick", "lots", F.when(F.col("kind") == "view", "live").when(F.col("kind") == "click", "pending").otherwise("done").alias("state"))
+    return ledger.gross_notional(inventory, marks, orders)
+
+
+@query("SELECT f.seq, o.o_orderkey IS NOT NULL AS known, o.o_orderstatus AS status, o.o_orderpriority AS priority FROM f LEFT JOIN orders o ON o.o_orderkey = f.seq")
+def order_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The order of each fill by its id, whatever has become of it."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("seq"), F.lit(True).alias("_found"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    return fill_rows(spark, sf).select("seq").join(orders, "seq", "left").select("seq", F.coalesce("_found", F.lit(False)).alias("known"), "status", "priority")
+
+
+#: Each event's symbol and k name an order; its kind and numbers tell what the trace says of it, much of which can't be.
+TRACE_SQL = """a AS (SELECT seq + CASE WHEN k = 96 THEN 500000 ELSE 0 END AS seq, symbol * 10 + k % 5 AS order_id, ns,
+  CASE kind WHEN 'signup' THEN 'place' WHEN 'view' THEN 'queue' WHEN 'click' THEN 'queue' WHEN 'purchase' THEN 'fill' ELSE 'cancel' END AS kind, lots, k % 3 AS ahead_before, k % 2 AS ahead_after, CASE WHEN kind = 'signup' THEN lots ELSE k % 6 END AS left_after FROM t),
+e AS (SELECT *, coalesce(kind = 'cancel' OR (kind = 'fill' AND left_after = 0), false) AS ends FROM a),
+w AS (SELECT *, lag(seq) OVER g AS p, lag(ns) OVER g AS pn, coalesce(sum((kind = 'place')::INT) OVER o, 0) AS placed, coalesce(sum(ends::INT) OVER o, 0) AS ended, lag(ahead_after) OVER (PARTITION BY order_id ORDER BY seq) AS pa,
+  last_value(CASE WHEN kind IN ('place', 'fill') THEN left_after END IGNORE NULLS) OVER o AS pl FROM e WINDOW g AS (ORDER BY seq), o AS (PARTITION BY order_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT 'sequence' AS reason FROM w WHERE p IS NOT NULL AND seq <> p + 1 UNION ALL SELECT 'clock' FROM w WHERE p IS NOT NULL AND ns < pn
+  UNION ALL SELECT 'unplaced' FROM w WHERE kind <> 'place' AND placed = 0 UNION ALL SELECT 'placed_twice' FROM w WHERE kind = 'place' AND placed > 0 UNION ALL SELECT 'after_end' FROM w WHERE ended > 0
+  UNION ALL SELECT 'queue_path' FROM w WHERE kind IN ('queue', 'fill') AND placed > 0 AND ahead_before IS DISTINCT FROM pa UNION ALL SELECT 'queue_grows' FROM w WHERE kind IN ('queue', 'fill') AND ahead_after > ahead_before
+  UNION ALL SELECT 'fill_in_queue' FROM w WHERE kind = 'fill' AND ahead_after <> 0 UNION ALL SELECT 'left' FROM w WHERE kind = 'fill' AND placed > 0 AND left_after IS DISTINCT FROM pl - lots)"""
+
+
+@query(f"WITH {TRACE_SQL} SELECT reason, count(*) AS n FROM r GROUP BY reason")
+def trace_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each rule over the rows of a trace is broken."""
+    k, kind = F.col("k"), F.col("kind")
+    told = F.when(kind == "signup", "place").when(kind.isin("view", "click"), "queue").when(kind == "purchase", "fill").otherwise("cancel")
+    trace = tape(spark, sf).select(
+        (F.col("seq") + F.when(k == 96, 500_000).otherwise(0)).alias("seq"), told.alias("kind"), "symbol", (F.col("symbol") * 10 + k % 5).alias("order_id"), "ns", "lots", (k % 3).alias("ahead_before"), (k % 2).alias("ahead_after"),
+        F.when(kind == "signup", F.col("lots")).otherwise(k % 6).alias("left_after"), F.lit(None).cast("long").alias("fill_seq"), F.lit(None).cast("long").alias("horizon_ns"),
+    )
+    return audit.trace_faults(trace, [1000]).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))

@@ -33,7 +33,7 @@ def order_ranks(spark: SparkSession, sf: str) -> DataFrame:
   AND CASE o.side WHEN 'bid' THEN o.tick >= r.tick ELSE o.tick <= r.tick END) AS crosses FROM o""")
 def self_crosses(spark: SparkSession, sf: str) -> DataFrame:
     """Orders that would trade with an own one that still rests."""
-    return book.self_crosses(_orders(spark, sf), 24 * HOUR).select("symbol", "seq", "crosses")
+    return book.self_crosses(_orders(spark, sf)).select("symbol", "seq", "crosses")
 
 
 @query("""WITH h AS (SELECT unnest([3600000000000, 172800000000000]) AS h)
