@@ -103,6 +103,11 @@ def invariants(levels: DataFrame) -> DataFrame:
     return out.withColumn("valid", (F.col("bad_ticks") == 0) & (F.col("bad_lots") == 0) & ~F.col("crossed"))
 
 
+def uncrossed(best_bid: Column, best_ask: Column) -> Column:
+    """Whether a bid and an ask can stand in one book: the bid is lower, or one of them is missing."""
+    return F.coalesce(best_bid < best_ask, F.lit(True))
+
+
 def order_depth(orders: DataFrame) -> DataFrame:
     """Levels of resting orders (symbol, side, tick, ns, seq, lots): lots, number of orders, and the one that is first in the queue."""
     return orders.groupBy("symbol", "side", "tick").agg(F.sum("lots").alias("lots"), F.count("*").alias("orders"), F.min_by("seq", F.struct("ns", "seq")).alias("first_order"))

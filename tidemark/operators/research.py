@@ -93,6 +93,17 @@ def profile_pivot(runs: DataFrame, metrics: Sequence[str], baseline: str, candid
     return wide.withColumn("difference", F.col(candidate) - F.col(baseline))
 
 
+def run_id(input_sha256: Column, config: Column, adapter: Column, version: str) -> Column:
+    """Content address of a run: 16 digits of the SHA-256 of its input's digest, its configuration and feed adapter (structs with fields in order of name) and a version, as JSON."""
+    told = F.struct(config.alias("config"), adapter.alias("feed_adapter"), input_sha256.alias("input_sha256"), F.lit(version).alias("version"))
+    return F.substring(F.sha2(F.to_json(told).cast("binary"), 256), 1, 16)
+
+
+def capture_id(path: Column) -> Column:
+    """Name of a capture by its path alone: 16 digits of the path's SHA-256."""
+    return F.substring(F.sha2(path.cast("binary"), 256), 1, 16)
+
+
 def variant_id(name: Column, config: Column) -> Column:
     """Content address of a variant: 16 digits of the SHA-256 of its name and configuration (a struct with fields in order of name) as JSON."""
     return F.substring(F.sha2(F.to_json(F.struct(config.alias("config"), name.alias("name"))).cast("binary"), 256), 1, 16)

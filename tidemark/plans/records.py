@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ticks
 from ..operators import audit, book, ledger, research
-from ..operators.ordered import running
+from ..operators.ordered import chunk_of, previous, running
 from ..sinks import capture
 from ..sources import tape as records
 from .catalogue import BOOK_SQL, query
@@ -99,3 +99,22 @@ def trace_faults(spark: SparkSession, sf: str) -> DataFrame:
         F.when(kind == "signup", F.col("lots")).otherwise(k % 6).alias("left_after"), F.lit(None).cast("long").alias("fill_seq"), F.lit(None).cast("long").alias("horizon_ns"),
     )
     return audit.trace_faults(trace, [1000]).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT symbol, substr(sha256('tape/' || symbol), 1, 16) AS capture_id,
+  substr(sha256('{"config":{"lots":' || sum(lots) || ',"top":' || max(tick) || '},"feed_adapter":{"name":"tape"},"input_sha256":"' || sha256(string_agg(kind, ',' ORDER BY seq)) || '","version":"1"}'), 1, 16) AS run_id FROM t GROUP BY symbol""")
+def run_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Content addresses of each symbol's capture and run; the input's digest is of its kinds in order."""
+    t = tape(spark, sf)
+    inputs = audit.joined_hash(t, ["symbol"], ["seq"], F.col("kind"), between=",").select("symbol", F.col("digest").alias("input"))
+    runs = t.groupBy("symbol").agg(F.sum("lots").alias("lots"), F.max("tick").alias("top")).join(inputs, "symbol")
+    told = research.run_id(F.col("input"), F.struct("lots", "top"), F.struct(F.lit("tape").alias("name")), "1")
+    return runs.select("symbol", research.capture_id(F.concat(F.lit("tape/"), F.col("symbol").cast("string"))).alias("capture_id"), told.alias("run_id"))
+
+
+@query("""SELECT a.symbol, count(*) AS pairs, count(*) FILTER (bid IS NULL OR ask IS NULL OR bid < ask) AS uncrossed FROM (SELECT symbol, seq, CASE WHEN side = 'bid' THEN tick END AS bid, lag(CASE WHEN side = 'ask' THEN tick END) OVER (PARTITION BY symbol ORDER BY ns, seq) AS ask FROM t) a GROUP BY a.symbol""")
+def uncrossed_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """How many bids could stand beside the ask before them."""
+    side = lambda s: F.when(F.col("side") == s, F.col("tick"))
+    rows = previous(tape(spark, sf), ["symbol"], chunk_of("ns", 24 * 60 * MINUTE_NS), ["ns", "seq"], {"ask": side("ask")})
+    return rows.groupBy("symbol").agg(F.count("*").alias("pairs"), F.count_if(book.uncrossed(side("bid"), F.col("ask"))).alias("uncrossed"))
