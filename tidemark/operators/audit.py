@@ -163,6 +163,23 @@ def fill_rules(schema_version: int = 1, fee_model: str = "static_config_bps") ->
     return rules
 
 
+#: What a row of queue consumption counts.
+CONSUMPTION = ("observed_lots", "modeled_lots", "overlap_netted_lots", "queue_consumed_lots", "unmatched_lots")
+
+
+def consumption_rules(sources: Sequence[str] = ("depth_update", "agg_trade")) -> dict[str, Column]:
+    """Rules of a row of queue consumption (source and CONSUMPTION): a known source, whole lots from 0, and lots that add up from what is observed to what no queue takes."""
+    observed, modeled, netted, consumed, unmatched = (F.col(c) for c in CONSUMPTION)
+    return {
+        "source": F.col("source").isin(*sources),
+        **{c: F.col(c) >= 0 for c in CONSUMPTION},
+        "models_more_than_observed": modeled <= observed,
+        "netted": netted == observed - modeled,
+        "consumes_more_than_modeled": consumed <= modeled,
+        "unmatched": unmatched == modeled - consumed,
+    }
+
+
 def markout_rules() -> dict[str, Column]:
     """Rules of a markout (fill_source, side, fill_price, qty, status, mid_after, markout, adverse, resolution_lag_seconds, invalid_reason): outcomes only where resolved, and in accord."""
     status, reason = F.col("status"), F.col("invalid_reason")

@@ -118,3 +118,17 @@ def uncrossed_pairs(spark: SparkSession, sf: str) -> DataFrame:
     side = lambda s: F.when(F.col("side") == s, F.col("tick"))
     rows = previous(tape(spark, sf), ["symbol"], chunk_of("ns", 24 * 60 * MINUTE_NS), ["ns", "seq"], {"ask": side("ask")})
     return rows.groupBy("symbol").agg(F.count("*").alias("pairs"), F.count_if(book.uncrossed(side("bid"), F.col("ask"))).alias("uncrossed"))
+
+
+@query("""WITH c AS (SELECT CASE kind WHEN 'view' THEN 'depth_update' WHEN 'click' THEN 'agg_trade' WHEN 'purchase' THEN 'depth_update' ELSE 'other' END AS source, lots + 2 AS o, CASE WHEN k % 31 = 3 THEN NULL ELSE k % 8 END AS m, lots + 2 - k % 8 AS n, k % 5 AS q, k % 8 - k % 5 AS u FROM t),
+r AS (SELECT unnest(list_filter([CASE WHEN source = 'other' THEN 'source' END, CASE WHEN m IS NULL THEN 'modeled_lots' END, CASE WHEN n < 0 THEN 'overlap_netted_lots' END, CASE WHEN u < 0 THEN 'unmatched_lots' END, CASE WHEN m IS NULL OR m > o THEN 'models_more_than_observed' END,
+  CASE WHEN m IS NULL OR n <> o - m THEN 'netted' END, CASE WHEN m IS NULL OR q > m THEN 'consumes_more_than_modeled' END, CASE WHEN m IS NULL OR u <> m - q THEN 'unmatched' END], lambda x: x IS NOT NULL)) AS reason FROM c)
+SELECT reason, count(*) AS n FROM r GROUP BY reason""")
+def consumption_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """How often rows of queue consumption break a rule."""
+    k, kind = F.col("k"), F.col("kind")
+    source = F.when(kind.isin("view", "purchase"), "depth_update").when(kind == "click", "agg_trade").otherwise("other")
+    rows = tape(spark, sf).select(
+        source.alias("source"), (F.col("lots") + 2).alias("observed_lots"), F.when(k % 31 != 3, k % 8).alias("modeled_lots"), (F.col("lots") + 2 - k % 8).alias("overlap_netted_lots"), (k % 5).alias("queue_consumed_lots"), (k % 8 - k % 5).alias("unmatched_lots")
+    )
+    return audit.violations(rows, audit.consumption_rules()).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
