@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from tidemark.llm import packing, quality
+from tidemark.llm import mixing, packing, quality
 
 
 def test_greedy_windows_use_every_length_and_fill_or_cut(spark):
@@ -59,3 +59,13 @@ def test_rows_of_other_languages_and_sources_are_judged_on_their_own(spark):
     assert verdicts.count(True) == len(kept)
     assert ("en", "signs") in {(r.lang, r.source) for r in kept} and ("en", own.source.iloc[0]) not in {(r.lang, r.source) for r in kept}
     assert quality.quality_filter(docs.withColumn("mark", F.lit(1))).columns == ["doc_id", "text", "lang", "source", "mark"]
+
+
+def test_mixing_rows_that_differ_in_source_alone(spark):
+    text = " ".join(f"w{i}" for i in range(90))
+    rows = [(1, text, source) for source in ("a", "b", "c", None, "a")] + [(None, text, "a"), (None, text, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {(r.source,): r.n for r in mixing.decide(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    mixed = mixing.mix(docs).withColumn("n", F.size(F.split("text", " "))).groupBy("source").agg(F.sum("n").alias("n")).collect()
+    assert {(r.source,): r.n for r in mixed} == {k: n for k, n in taken.items() if n}
+    assert {r.source for r in mixed} >= {"a", "b", "c"}
