@@ -17,6 +17,8 @@ DIMS = range(len(FLOORS))
 SCALE = 1000  # statistics are kept as integers of 1/1000, so that sums are exact in any order
 STEPS_PER_OCTAVE = 64
 LEAST_FALL = 1e-6  # of a logarithm of a determinant
+#: Rows that the estimate above a group counts for: five for each of the 4 means and 10 covariances that are estimated.
+PRIOR_ROWS = 70.0
 KEYS = ["lang_key", "source_key"]
 MEANS, COVARIANCES, WEIGHTS = [f"m{i}" for i in DIMS], *([f"{c}{i}{j}" for i in DIMS for j in range(i + 1)] for c in "cw")
 
@@ -139,8 +141,8 @@ def _concentrate(rows: DataFrame, params: DataFrame, share: float) -> DataFrame:
     return _whitener(best.withColumns(means | covariances))
 
 
-def estimate(rows: DataFrame, *, share: float = 0.75, trial_steps: int = 2) -> DataFrame:
-    """Minimum-covariance-determinant location and whitener of x0 .. x3 for each (lang_key, source_key).
+def robust(rows: DataFrame, *, share: float = 0.75, trial_steps: int = 2) -> DataFrame:
+    """Minimum-covariance-determinant location m0 .. m3 and covariance c00 .. c33 (consistent, without floors) of x0 .. x3 and number of rows n for each (lang_key, source_key).
 
     ``trial_steps`` concentration steps from each of the starts; of each group the start whose determinant is least
     then goes on until no group's determinant falls any more. The floors are part of every covariance, so
@@ -156,20 +158,50 @@ def estimate(rows: DataFrame, *, share: float = 0.75, trial_steps: int = 2) -> D
         after = materialize(_concentrate(rows, best, share).join(small(before), KEYS))
         falls = F.col("logdet") < F.col("_before") - LEAST_FALL
         if after.where(falls).isEmpty():
-            return materialize(_whitener(best.drop("logdet", *WEIGHTS), consistency(share)).drop("start", "logdet", *COVARIANCES))
+            break
         stay = after.where(~falls).select(*KEYS)
         best = materialize(after.where(falls).drop("_before").unionByName(best.join(small(materialize(stay)), KEYS, "left_semi")))
+    factor = consistency(share)
+    return materialize(rows.groupBy(*KEYS).agg(F.count("*").alias("n")).join(best, KEYS).select(*KEYS, "n", *MEANS, *[(factor * F.col(c)).alias(c) for c in COVARIANCES]))
+
+
+def _weights(estimates: DataFrame) -> DataFrame:
+    return materialize(_whitener(estimates.withColumn("start", F.lit(0))).drop("start", "logdet", *COVARIANCES))
+
+
+def estimate(rows: DataFrame, *, share: float = 0.75, trial_steps: int = 2) -> DataFrame:
+    """Location and whitener of :func:`robust` for each (lang_key, source_key)."""
+    return _weights(robust(rows, share=share, trial_steps=trial_steps))
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 20, max_repeat: int = 30, min_rows: int = 30, tail: float = 1e-6) -> DataFrame:
+def estimate_shrunk(rows: DataFrame, *, prior_rows: float, share: float = 0.75, trial_steps: int = 2) -> DataFrame:
+    """As :func:`estimate`, each group's location and covariance drawn towards its language's, and a language's towards that of all rows.
+
+    What is above counts as ``prior_rows`` rows: n rows of a group weigh n / (n + prior_rows). So a group of any size has an estimate, and
+    none changes by a step as rows come in. Every row counts for three groups, its own, its language and the whole, in the same passes.
+    """
+    star = F.lit("*")  # no key: those begin with = or are empty
+    groups = F.array(*[F.struct(lang.alias("lang_key"), source.alias("source_key")) for lang, source in ((star, star), (F.col("lang_key"), star), (F.col("lang_key"), F.col("source_key")))])
+    xs = [f"x{i}" for i in DIMS]
+    levels = robust(rows.select(F.explode(groups).alias("g"), *xs).select("g.*", *xs), share=share, trial_steps=trial_steps)
+    own = F.col("n") / (F.col("n") + prior_rows)
+    whole = levels.where("lang_key = '*'").first()  # one row, or none of an empty table
+    if whole is None:
+        return _weights(levels)
+    blend = lambda above: [(own * F.col(c) + (1 - own) * above(c)).alias(c) for c in (*MEANS, *COVARIANCES)]
+    languages = levels.where("lang_key <> '*' AND source_key = '*'").select("lang_key", *blend(lambda c: F.lit(whole[c])))
+    languages = languages.withColumnsRenamed({c: f"_tm_{c}" for c in (*MEANS, *COVARIANCES)})
+    return _weights(levels.where("source_key <> '*'").join(small(materialize(languages)), "lang_key").select(*KEYS, *blend(lambda c: F.col(f"_tm_{c}"))))
+
+
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 20, max_repeat: int = 30, prior_rows: float = PRIOR_ROWS, tail: float = 1e-6) -> DataFrame:
     """One row per document: id, mark (hash of its text, language and source), the base statistics, base_failed, distance2, kept.
 
     A document fails the base rules with fewer than ``min_words`` words or more than ``max_repeat``
     percent of them in repeated windows. The others are held against the robust estimate of their
     language and source, and go if their squared distance is beyond the chi-square quantile of
-    1 - ``tail``. Groups of fewer than ``min_rows`` documents are pooled by language, and such pools
-    once more; documents of a pool that is still smaller are judged by the base rules alone
-    (distance2 null).
+    1 - ``tail``. Estimates are drawn towards those of the language and of all documents, as if these had
+    ``prior_rows`` more rows in the group, so groups of every size, also of one document, are judged alike.
 
     Null text: empty, so it fails. Null language or source: a group of its own. Null ids and repeated
     rows: documents like others. Empty table: empty result.
@@ -180,14 +212,8 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     stats = materialize(read.select("*", failed.alias("base_failed"), *[c.alias(f"x{i}") for i, c in enumerate(vector())]))
 
-    sizes = stats.where("NOT base_failed").groupBy("lang_key", "source_key").agg(F.count("*").alias("n"))
-    pooled = sizes.withColumn("source_pool", F.when(F.col("n") >= min_rows, F.col("source_key")).otherwise("*"))
-    pooled = pooled.withColumn("n_pool", F.sum("n").over(Window.partitionBy("lang_key", "source_pool"))).withColumn("lang_pool", F.when(F.col("n_pool") >= min_rows, F.col("lang_key")).otherwise("*"))
-    pooled = pooled.withColumn("n_pool", F.sum("n").over(Window.partitionBy("lang_pool", "source_pool"))).where(F.col("n_pool") >= min_rows)
-    pools = materialize(pooled.select("lang_key", "source_key", "lang_pool", "source_pool"))
-    homed = stats.join(small(pools), ["lang_key", "source_key"], "left").drop("lang_key", "source_key").withColumnsRenamed({"lang_pool": "lang_key", "source_pool": "source_key"})
-    params = estimate(homed.where("NOT base_failed AND lang_key IS NOT NULL"))
-    judged = homed.join(small(params), ["lang_key", "source_key"], "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance2()))
+    params = estimate_shrunk(stats.where("NOT base_failed"), prior_rows=prior_rows)
+    judged = stats.join(small(params), KEYS, "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance2()))
     return judged.select("id", "mark", *STATISTICS, "base_failed", "distance2", (~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= chi2_quantile(1 - tail))).alias("kept"))
 
 
