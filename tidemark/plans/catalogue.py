@@ -328,7 +328,7 @@ def markout_horizons(spark: SparkSession, sf: str) -> DataFrame:
     qty = F.when(resolved, F.abs("lots"))
     return m.groupBy("horizon_ns").agg(
         F.count_if(resolved).alias("resolved"), F.count_if(~resolved).alias("unresolved"), F.round(F.count_if(resolved) / F.count("*"), 9).alias("coverage"),
-        F.expr("sum(lag_ns) div count(lag_ns)").alias("mean_lag_ns"), F.max("lag_ns").alias("max_lag_ns"), F.round(F.sum(F.col("markout") * qty) / F.sum(qty), 9).alias("markout"),
+        F.expr("sum(cast(lag_ns AS decimal(19,0))) div count(lag_ns)").alias("mean_lag_ns"), F.max("lag_ns").alias("max_lag_ns"), F.round(F.sum(F.col("markout") * qty) / F.sum(qty), 9).alias("markout"),
     )
 
 
