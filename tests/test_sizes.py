@@ -28,3 +28,10 @@ def test_lags_whose_sum_is_beyond_64_bits(spark, tmp_path):
     found = catalogue.QUERIES["markout_horizons"](spark, str(tmp_path)).toPandas()
     same(found, con.execute(catalogue.ORACLES["markout_horizons"]).df())
     assert (found.mean_lag_ns > 8 * 10**18).all() and (found.resolved == 4).all()
+
+
+def test_sizes_on_either_side_of_the_median_in_any_order_of_rows(spark):
+    rows = [(38, "C1", m, False, 1) for m in (16116, 14296)]
+    for order in itertools.permutations(rows):
+        fills = spark.createDataFrame([("S", *r) for r in order], "symbol string, step long, contract string, markout long, toxic boolean, hedge_qty long").coalesce(1)
+        assert research.worked_examples(fills, ["symbol"]).first().representative.markout == 14296

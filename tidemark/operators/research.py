@@ -135,13 +135,13 @@ def worked_examples(fills: DataFrame, by: Sequence[str]) -> DataFrame:
     """A representative and a stress fill of each key, of those that were hedged (step, contract, markout, toxic, hedge_qty).
 
     Representative: its markout's size is nearest the median size; stress: the worst markout among the toxic ones, among all if none is.
-    Ties: the lowest step, then contract. Null if nothing was hedged.
+    Ties: the lowest step, then contract, then markout (two sizes may lie as far on either side of the median). Null if nothing was hedged.
     """
     hedged = fills.where(F.abs("hedge_qty") > 0).withColumn("_tm_size", F.abs("markout"))
     pick = F.struct("step", "contract", "markout")
     middle = hedged.groupBy(*by).agg(F.percentile("_tm_size", F.lit(0.5)).alias("_tm_median"))
     chosen = hedged.join(middle, list(by)).groupBy(*by).agg(
-        F.min_by(pick, F.struct(F.abs(F.col("_tm_size") - F.col("_tm_median")), "step", "contract")).alias("representative"),
+        F.min_by(pick, F.struct(F.abs(F.col("_tm_size") - F.col("_tm_median")), "step", "contract", "markout")).alias("representative"),
         F.min_by(pick, F.struct(~F.col("toxic"), "markout", "step", "contract")).alias("stress"),
     )
     return fills.select(*by).distinct().join(chosen, list(by), "left")
