@@ -4,11 +4,10 @@ import datetime
 import itertools
 
 import duckdb
-import pytest
 
-from tests.conftest import same
+from tests.conftest import SF, same
 from tidemark.operators import research
-from tidemark.plans import catalogue
+from tidemark.plans import catalogue, feeds
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -35,3 +34,8 @@ def test_sizes_on_either_side_of_the_median_in_any_order_of_rows(spark):
     for order in itertools.permutations(rows):
         fills = spark.createDataFrame([("S", *r) for r in order], "symbol string, step long, contract string, markout long, toxic boolean, hedge_qty long").coalesce(1)
         assert research.worked_examples(fills, ["symbol"]).first().representative.markout == 14296
+
+
+def test_a_filter_on_reasons_does_not_check_lines_again(spark):
+    plan = feeds.feed_rejections(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "variant" in x]

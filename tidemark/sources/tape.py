@@ -49,12 +49,12 @@ def _number(c: Column) -> Column:
     return F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d)
 
 
-def _kind(path: str, of: str = "_tm_json") -> Column:
+def _kind(path: str, of: Column | str) -> Column:
     """JSON type at a path: BOOLEAN, STRING, BIGINT, DECIMAL(p,s), DOUBLE, OBJECT<...>, ARRAY<...>, VOID for null; null if there is nothing."""
     return F.schema_of_variant(F.try_variant_get(of, path, "variant"))
 
 
-def _text(path: str, of: str = "_tm_json") -> Column:
+def _text(path: str, of: Column | str) -> Column:
     return F.try_variant_get(of, path, "string")
 
 
@@ -68,13 +68,13 @@ def _finite(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"), F.lit(False))
 
 
-def _levels_ok(path: str) -> Column:
+def _levels_ok(path: str, of: Column) -> Column:
     """A list of levels, each a list that begins with a price and a quantity."""
-    levels = F.try_variant_get("_tm_json", path, "array<variant>")
+    levels = F.try_variant_get(of, path, "array<variant>")
     pair = lambda v: F.try_variant_get(v, "$", "array<variant>")
     number = lambda v, i: _finite(F.try_variant_get(F.get(pair(v), i), "$", "string"))
     good = F.forall(levels, lambda v: F.coalesce(number(v, F.lit(0)) & number(v, F.lit(1)), F.lit(False)))
-    return _kind(path).startswith("ARRAY") & good
+    return _kind(path, of).startswith("ARRAY") & good
 
 
 def validate(lines: DataFrame) -> DataFrame:
@@ -85,30 +85,39 @@ def validate(lines: DataFrame) -> DataFrame:
     grid is for the conversion to ticks. Receipt metadata (`_capture`) must hold exact integers from 0, numbers and not text; its texts and flags must be of
     their types. A field that is null is there, and wrong. A line in which an object has a key twice is no JSON here.
     """
-    kind = F.col("_tm_kind")
+    # rows of generators, so that a filter on reasons doesn't read the line again; rules run over a variable, not as one method too long to compile
+    read = lines.select("*", F.explode(F.array(F.try_parse_json("value"))).alias("_tm_json"))
+    line = F.struct("value", F.col("_tm_json").alias("json"), F.coalesce(_text("$.type", "_tm_json"), F.lit("")).alias("kind"), _kind("$.data._capture", "_tm_json").alias("capture"))
+    return read.select(*lines.columns, F.explode(F.transform(F.array(line), _broken)).alias("reasons"))
+
+
+def _broken(line: Column) -> Column:
+    """Names of the rules that a line (value, json, kind, capture: JSON type of its receipt metadata) breaks."""
+    kind = line["kind"]
     data, cap = "$.data", "$.data._capture"
-    is_a = lambda path, *names: F.coalesce(F.regexp_extract(_kind(path), "^[A-Z]+", 0).isin(*names), F.lit(False))
-    text, absent = lambda path: is_a(path, "STRING"), lambda path: _kind(path).isNull()
-    filled = lambda path: text(path) & (_text(path) != "")
-    exact = lambda path: F.coalesce(_kind(path).rlike("^(BIGINT|DECIMAL)") & F.get_json_object("value", path).rlike("^[0-9]+$"), F.lit(False))
-    whole = lambda path: _whole(_text(path)) & ~is_a(path, "BOOLEAN")
-    number = lambda path: _finite(_text(path))
+    of_kind, told = lambda path: _kind(path, line["json"]), lambda path: _text(path, line["json"])
+    is_a = lambda path, *names: F.coalesce(F.regexp_extract(of_kind(path), "^[A-Z]+", 0).isin(*names), F.lit(False))
+    text, absent = lambda path: is_a(path, "STRING"), lambda path: of_kind(path).isNull()
+    filled = lambda path: text(path) & (told(path) != "")
+    exact = lambda path: F.coalesce(of_kind(path).rlike("^(BIGINT|DECIMAL)") & F.get_json_object(line["value"], path).rlike("^[0-9]+$"), F.lit(False))
+    whole = lambda path: _whole(told(path)) & ~is_a(path, "BOOLEAN")
+    number = lambda path: _finite(told(path))
     optional = lambda path, rule: absent(path) | rule(path)
     every = lambda *rules: reduce(lambda a, b: a & b, rules)
     only = lambda name, *rules: (kind != name) | F.coalesce(every(*rules), F.lit(False))
-    no_capture = absent(cap) | is_a(cap, "VOID")
-    ids = lambda k: _text(f"{data}.{k}").try_cast("decimal(38,0)")
+    no_capture = line["capture"].isNull() | (line["capture"] == "VOID")
+    ids = lambda k: told(f"{data}.{k}").try_cast("decimal(38,0)")
     rules: dict[str, Column] = {
-        "json": F.col("_tm_json").isNotNull(),
-        "ts_local": number("$.ts_local") & (F.coalesce(_text("$.ts_local").try_cast("double") >= 0, F.lit(False))),
-        "symbol": text("$.symbol") & (F.trim(_text("$.symbol")) != ""),
+        "json": line["json"].isNotNull(),
+        "ts_local": number("$.ts_local") & (F.coalesce(told("$.ts_local").try_cast("double") >= 0, F.lit(False))),
+        "symbol": text("$.symbol") & (F.trim(told("$.symbol")) != ""),
         "type": text("$.type") & kind.isin(*RECORD_TYPES),
         "data": is_a(data, "OBJECT"),
         "captureMeta": only("captureMeta", optional(f"{data}.schemaVersion", exact), optional(f"{data}.clock", text)),
         "captureEvent": only("captureEvent", filled(f"{data}.event"), filled(f"{data}.route"), optional(f"{data}.reason", text)),
         "exchangeInfo": only("exchangeInfo", number(f"{data}.tickSize"), number(f"{data}.stepSize"), *[optional(f"{data}.{k}", text) for k in ("baseAsset", "quoteAsset", "venue")], optional(f"{data}.contractMultiplier", number)),
-        "snapshot": only("snapshot", whole(f"{data}.lastUpdateId"), _levels_ok(f"{data}.bids"), _levels_ok(f"{data}.asks")),
-        "depthUpdate": only("depthUpdate", whole(f"{data}.U"), whole(f"{data}.u"), ids("U") <= ids("u"), optional(f"{data}.pu", whole), _levels_ok(f"{data}.b"), _levels_ok(f"{data}.a")),
+        "snapshot": only("snapshot", whole(f"{data}.lastUpdateId"), _levels_ok(f"{data}.bids", line["json"]), _levels_ok(f"{data}.asks", line["json"])),
+        "depthUpdate": only("depthUpdate", whole(f"{data}.U"), whole(f"{data}.u"), ids("U") <= ids("u"), optional(f"{data}.pu", whole), _levels_ok(f"{data}.b", line["json"]), _levels_ok(f"{data}.a", line["json"])),
         "aggTrade": only("aggTrade", number(f"{data}.p"), number(f"{data}.q"), is_a(f"{data}.m", "BOOLEAN")),
         "_capture": no_capture | is_a(cap, "OBJECT"),
     }
@@ -118,9 +127,7 @@ def validate(lines: DataFrame) -> DataFrame:
     for k in ("reason", "validationError"):
         rules[k] = no_capture | optional(f"{cap}.{k}", text)
     rules["snapshotAccepted"] = no_capture | optional(f"{cap}.snapshotAccepted", lambda path: is_a(path, "BOOLEAN"))
-    read = lines.withColumn("_tm_json", F.try_parse_json("value")).withColumn("_tm_kind", F.coalesce(_text("$.type"), F.lit("")))
-    reasons = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
-    return read.withColumn("reasons", reasons).drop("_tm_json", "_tm_kind")
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
 
 
 def recover(validated: DataFrame) -> DataFrame:
