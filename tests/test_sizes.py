@@ -6,6 +6,7 @@ import itertools
 import duckdb
 
 from tests.conftest import SF, same
+from tests.test_trace import faults
 from tidemark.operators import research
 from tidemark.plans import catalogue, feeds
 
@@ -36,6 +37,14 @@ def test_sizes_on_either_side_of_the_median_in_any_order_of_rows(spark):
         assert research.worked_examples(fills, ["symbol"]).first().representative.markout == 14296
 
 
+def test_rows_of_one_number_in_a_trace_are_taken_by_their_clock(spark):
+    row = lambda seq, ns, order: [seq, "cancel", "S", order, ns, None, None, None, None, None, None]
+    rows = [row(0, 0, 1), row(1, 10, 2), row(1, 5, 3), row(2, 12, 4)]
+    for order in itertools.permutations(rows):
+        found = faults(spark, order, 100_000)
+        assert (1, "clock") not in found and (1, "sequence") in found
+
+
 def test_a_filter_on_reasons_does_not_check_lines_again(spark):
     plan = feeds.feed_rejections(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Filter" in x and "variant" in x]

@@ -244,15 +244,15 @@ def trace_faults(trace: DataFrame, horizons_ns: Sequence[int], *, chunk: int = 1
     - ``fill_in_queue``: a fill while lots are ahead; ``left``: left_after isn't what was left less what is filled, or below 0.
     - ``unknown_fill``: a markout of a fill that isn't before it; ``horizon``: not one of those to be measured, or before it is due; ``markout_twice``.
 
-    Null in what a rule needs breaks it. An order's rows, and a fill's markouts, meet by chunk of seq, so no task gets all rows of one symbol or order.
+    Rows of one seq are taken in order of ns, order_id and kind, so that reruns agree. Null in what a rule needs breaks it. An order's rows, and a fill's markouts, meet by chunk of seq, so no task gets all rows of one symbol or order.
     """
     place, kind = F.floor(F.col("seq") / chunk), lambda *names: F.col("kind").isin(*names)
     end = kind("cancel") | (kind("fill") & (F.col("left_after") == 0))
-    own = ["order_id"]
-    rows = previous(trace.where("seq IS NOT NULL"), [], place, ["seq"], {"_tm_seq": F.col("seq"), "_tm_ns": F.col("ns")})
+    own, order = ["order_id"], ["seq", "ns", "order_id", "kind"]
+    rows = previous(trace.where("seq IS NOT NULL"), [], place, order, {"_tm_seq": F.col("seq"), "_tm_ns": F.col("ns")})
     of_order = kind("place", "queue", "fill", "cancel")
     state = {"_tm_placed": ("sum", kind("place").cast("long")), "_tm_ended": ("sum", F.coalesce(end, F.lit(False)).cast("long")), "_tm_ahead": ("last", F.when(of_order, F.col("ahead_after"))), "_tm_left": ("last", F.when(kind("place", "fill"), F.col("left_after")))}
-    rows = running(rows, own, place, ["seq"], state, before=True)
+    rows = running(rows, own, place, order, state, before=True)
     known = trace.where(kind("fill")).select(F.col("seq").alias("_tm_fill"), F.col("ns").alias("_tm_fill_ns"), F.col("order_id").alias("_tm_of")).distinct()
     asked = F.coalesce(F.when(kind("markout"), F.col("fill_seq")), -1 - F.col("seq"))  # rows that ask for no fill don't meet under one null key
     rows = rows.join(known, asked == F.col("_tm_fill"), "left")
