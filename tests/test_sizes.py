@@ -4,11 +4,17 @@ import datetime
 import itertools
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF, same
+from tests.test_records import canonical, event_of
 from tests.test_trace import faults
+from tidemark.functions import hashing
 from tidemark.operators import research
 from tidemark.plans import catalogue, feeds
+from tidemark.sinks import capture
+from tidemark.sources import tape
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -48,3 +54,39 @@ def test_rows_of_one_number_in_a_trace_are_taken_by_their_clock(spark):
 def test_a_filter_on_reasons_does_not_check_lines_again(spark):
     plan = feeds.feed_rejections(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Filter" in x and "variant" in x]
+
+
+def test_lines_of_segments_are_made_once_for_a_report_of_recovery(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for rows in batches:
+            made.add(len(rows))
+            yield rows
+
+    rows = [(p, i, i, canonical(event_of(i))) for p in range(3) for i in range(1, 21)]
+    lines = capture.segment_lines(spark.createDataFrame(rows, "segment long, recv_seq long, recv_wall_ns long, event string"), "c")
+    lines = spark.createDataFrame(lines.collect(), lines.schema).select(F.col("segment").cast("string").alias("path"), (F.col("place") + 1).alias("line"), "value")
+    verified = tape.verify_segments(tape.segment_rows(lines.mapInPandas(count, "path string, line long, value string")))
+    assert [r.recovered for r in tape.recovery_report(verified).collect()] == [20, 20, 20]
+    assert made.value == 66
+
+
+@pytest.mark.parametrize("stretch", [4, 100_000])
+def test_a_report_of_recovery_counts_what_recovery_keeps(spark, monkeypatch, stretch):
+    monkeypatch.setattr(tape, "STRETCH", stretch)
+    rows = [(f"p{p}", i, i, canonical(event_of(i))) for p in range(25) for i in range(1, 21)]
+    lines = capture.segment_lines(spark.createDataFrame(rows, "segment string, recv_seq long, recv_wall_ns long, event string"), "c").collect()
+    hurt = lambda p, i, v: v.replace('"a":', '"a":9') if i == p or (p == 3 and i > 9) else v[:40] if i == p + 2 and p % 4 == 0 else v
+    told = [(r.segment, r.place + 1, hurt(int(r.segment[1:]), r.place, r.value)) for r in lines if not (r.segment == "p7" and r.place == 0)]
+    told += [("p24", 9, told[5][2])]
+    verified = tape.verify_segments(tape.segment_rows(spark.createDataFrame(told, "path string, line long, value string")))
+    kept = {r.path: (r.n, r.last) for r in tape.recover_segments(verified).groupBy("path").agg(F.count("*").alias("n"), F.max("recv_seq").alias("last")).collect()}
+    wrong = {r.path: r.seq for r in verified.where(F.array_contains("reasons", "checksum")).groupBy("path").agg(F.min("recv_seq").alias("seq")).collect()}
+    found = {r.path: ((r.recovered, r.last_seq), r.broken_at) for r in tape.recovery_report(verified).collect()}
+    assert found == {p: (kept.get(p, (0, None)), wrong.get(p)) for p in {r[0] for r in told}}
+    assert found["p5"] == ((4, 4), 5) and found["p7"][0] == (0, None) and found["p24"][0][0] < 20
+
+
+def test_the_checksum_of_no_payload(spark):
+    assert spark.range(1).select(hashing.payload_checksum(F.lit("null")).alias("c")).first().c == hashing.NO_PAYLOAD

@@ -53,10 +53,13 @@ def canonical_json(c: Column, field: str | None = None) -> Column:
         def refuse(name: str) -> None:
             raise ValueError(name)
 
+        read = json.JSONDecoder(parse_constant=refuse).decode
+        write = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode
+
         def one(text: str | None) -> str | None:
             try:
-                value = json.loads(text, parse_constant=refuse) if text is not None else refuse("null")
-                return json.dumps(value if field is None else value[field], sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+                value = read(text) if text is not None else refuse("null")
+                return write(value if field is None else value[field])
             except (ValueError, LookupError, TypeError, RecursionError):
                 return None
 
@@ -65,6 +68,10 @@ def canonical_json(c: Column, field: str | None = None) -> Column:
     return run(c)
 
 
+#: Fixed value: the checksum of what has no payload, that of null.
+NO_PAYLOAD = "crc32c:147e9acc"
+
+
 def payload_checksum(c: Column, field: str | None = None) -> Column:
     """crc32c: and eight hexadecimal digits, of the canonical form of a JSON text or of its field; null where :func:`canonical_json` is."""
     return F.concat(F.lit("crc32c:"), F.lpad(F.lower(F.hex(crc32c(canonical_json(c, field)))), 8, "0"))

@@ -9,7 +9,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import payload_checksum
+from ..functions.hashing import NO_PAYLOAD, payload_checksum
 from ..operators.audit import joined_hash
 from ..operators.ordered import running
 from ..sources.tape import tail_of
@@ -53,7 +53,7 @@ def segment_lines(placed: DataFrame, capture_id: str) -> DataFrame:
     (payload_checksum) gets the CRC-32C of its payload's canonical form.
     """
     given = F.col("payload_checksum") if "payload_checksum" in placed.columns else F.lit(None).cast("string")
-    checksum = F.coalesce(given, payload_checksum(F.col("event"), "payload"), payload_checksum(F.lit("null")))
+    checksum = F.coalesce(given, payload_checksum(F.col("event"), "payload"), F.lit(NO_PAYLOAD))
     event = F.concat(F.lit('{"event":'), F.col("event"), F.lit(',"payload_checksum":"'), checksum, F.lit('","record":"event","recv_seq":'), F.col("recv_seq").cast("string"), F.lit("}"))
     rows = placed.select("segment", F.col("recv_seq").alias("place"), event.alias("value"))
     contents = joined_hash(placed, ["segment"], ["recv_seq"], F.col("event")).select("segment", F.col("digest").alias("content_sha256"))

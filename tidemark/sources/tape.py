@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,6 +26,8 @@ NORMALIZED = "source_row_seq long, symbol string, event_kind string, route strin
 LINE = "path string, line long, value string"
 #: Fixed value: an event's line in a segment, fields in order of name.
 EVENT_LINE = r'^\{"event":(.*),"payload_checksum":"[^"]*","record":"event","recv_seq":[0-9]+\}$'
+#: Lines of a segment that are held against each other in one task.
+STRETCH = 100_000
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -270,14 +273,29 @@ def read_segments(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def segment_rows(rows: DataFrame) -> DataFrame:
-    """Lines of segments (path, line, value) in the columns of :func:`read_segments`."""
+    """Lines of segments (path, line, value) in the columns of :func:`read_segments`.
+
+    Lines are dealt by path and stretch as they are, so that :func:`verify_segments`, which reads them twice, reads one shuffle, and what made them runs once.
+    """
+    dealt = rows.select("path", "line", "value").repartition("path", F.floor(F.col("line") / STRETCH))
+    read, get = _fields(dealt, "value", ("record", "recv_seq", "payload_checksum"))
     own = F.regexp_extract("value", EVENT_LINE, 1)
     event = F.when(own != "", own).otherwise(_get("event"))
-    return rows.select("path", "line", _get("record").alias("record"), _get("recv_seq").cast("long").alias("recv_seq"), _get("payload_checksum").alias("payload_checksum"), event.alias("event"), "value")
+    return read.select("path", "line", get("record").alias("record"), get("recv_seq").cast("long").alias("recv_seq"), get("payload_checksum").alias("payload_checksum"), event.alias("event"), "value")
+
+
+def _fields(rows: DataFrame, text: str, names: Sequence[str]) -> tuple[DataFrame, Callable[[str], Column]]:
+    """Rows with their JSON text read once, and what gives a field of it; a text that is broken somewhere is read for each field, up to there."""
+    found = {k: f"_tm_of_{text}_{k}" for k in names}
+    read = rows.select("*", F.json_tuple(text, *names).alias(*found.values()))
+    nothing = F.coalesce(*found.values()).isNull()
+    return read, lambda k: F.when(nothing, F.get_json_object(text, f"$.{k}")).otherwise(F.col(found[k]))
 
 
 #: Fields that an event of a segment must have as text, and as integers from 0.
 EVENT_TEXTS, EVENT_COUNTS = ("capture_id", "schema_version", "venue", "instrument", "event_kind", "route"), ("recv_seq", "recv_wall_ns", "recv_monotonic_ns")
+#: What can make a row of a segment unfit, in the order in which it is told.
+SEGMENT_RULES = ("not_json", "header_repeated", "header_without_id", "header_missing", "event_fields", "other_sequence", "other_capture", "other_version", "checksum", "sequence")
 
 
 def verify_segments(segments: DataFrame, schema_version: str | None = None) -> DataFrame:
@@ -289,31 +307,36 @@ def verify_segments(segments: DataFrame, schema_version: str | None = None) -> D
     Rows of a path are held against their neighbours over chunks of lines, so a segment may have any length.
     """
     head, event = F.col("record") == "segment_header", F.col("record") == "event"
-    get = lambda k: F.get_json_object("event", f"$.{k}")
+    read, get = _fields(segments, "event", (*EVENT_TEXTS, *EVENT_COUNTS, "raw_payload_checksum"))
     capture = F.when(head, F.get_json_object("value", "$.capture_id"))
-    named = {"_tm_headers": ("sum", F.coalesce(head, F.lit(False)).cast("long")), "_tm_capture": ("last", capture), "_tm_before": ("last", F.when(event, F.col("recv_seq")))}
-    rows = running(segments, ["path"], F.floor(F.col("line") / 100_000), ["line"], named, before=True)
-    own = rows.withColumn("_tm_sum", F.when(event, payload_checksum(F.col("event"), "payload")))
     texts = F.lit(True)
     for k in EVENT_TEXTS:
         texts = texts & (F.coalesce(get(k), F.lit("")) != "")
     for k in EVENT_COUNTS:
         texts = texts & F.coalesce(get(k).try_cast("long") >= 0, F.lit(False))
     told = F.coalesce(get("raw_payload_checksum"), F.col("payload_checksum"))
-    rules = {
+    summed = read.withColumn("_tm_sum", payload_checksum(F.col("event"), "payload"))
+    # what a row tells by itself comes first, so that its texts needn't go along to its neighbours
+    alone = {
         "not_json": F.try_parse_json("value").isNull(),
-        "header_repeated": head & (F.col("_tm_headers") > 0),
         "header_without_id": head & (F.coalesce(capture, F.lit("")) == ""),
-        "header_missing": event & (F.col("_tm_headers") == 0),
         "event_fields": event & ~texts,
         "other_sequence": event & ~F.col("recv_seq").eqNullSafe(get("recv_seq").try_cast("long")),
-        "other_capture": event & ~F.col("_tm_capture").eqNullSafe(get("capture_id")),
         "other_version": event & ~F.coalesce(get("schema_version") == schema_version, F.lit(False)) if schema_version else F.lit(False),
         "checksum": event & ~(F.coalesce(F.col("payload_checksum") == F.col("_tm_sum"), F.lit(False)) & F.coalesce(told == F.col("_tm_sum"), F.lit(False))),
+    }
+    own = summed.select(*segments.columns, capture.alias("_tm_named"), get("capture_id").alias("_tm_told"), *[wrong.alias(f"_tm_{name}") for name, wrong in alone.items()])
+    named = {"_tm_headers": ("sum", F.coalesce(head, F.lit(False)).cast("long")), "_tm_capture": ("last", F.col("_tm_named")), "_tm_before": ("last", F.when(event, F.col("recv_seq")))}
+    rows = running(own, ["path"], F.floor(F.col("line") / STRETCH), ["line"], named, before=True)
+    beside = {
+        "header_repeated": head & (F.col("_tm_headers") > 0),
+        "header_missing": event & (F.col("_tm_headers") == 0),
+        "other_capture": event & ~F.col("_tm_capture").eqNullSafe(F.col("_tm_told")),
         "sequence": event & F.coalesce(F.col("recv_seq") <= F.col("_tm_before"), F.lit(False)),
     }
+    rules = {name: beside.get(name, F.col(f"_tm_{name}")) for name in SEGMENT_RULES}
     reasons = F.array_compact(F.array(*[F.when(F.coalesce(wrong, F.lit(False)), F.lit(name)) for name, wrong in rules.items()]))
-    return own.select(*segments.columns, reasons.alias("reasons"))
+    return rows.select(*segments.columns, reasons.alias("reasons"))
 
 
 def recover_segments(verified: DataFrame) -> DataFrame:
@@ -323,6 +346,21 @@ def recover_segments(verified: DataFrame) -> DataFrame:
     return rows.where(F.col("_tm_stop").isNull() | (F.col("line") < F.col("_tm_stop"))).drop("_tm_stop", "reasons")
 
 
+def recovery_report(verified: DataFrame) -> DataFrame:
+    """Per path: how many events :func:`recover_segments` keeps of it, their highest sequence, and the least one of an event whose checksum is wrong, if there is one.
+
+    Rows are read once: each stretch of lines is counted up to its first stop, and counts if no earlier one has a stop.
+    """
+    stretch, stop = F.floor(F.col("line") / STRETCH), (F.size("reasons") > 0) | (F.col("record") == "segment_trailer")
+    rows = verified.select("path", "line", stretch.alias("_tm_stretch"), "record", "recv_seq", F.array_contains("reasons", "checksum").alias("_tm_wrong"), F.coalesce(stop, F.lit(False)).alias("_tm_stop"))
+    so_far = Window.partitionBy("path", "_tm_stretch").orderBy("line").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = (F.col("record") == "event") & ~F.col("_tm_stopped")
+    stretches = rows.withColumn("_tm_stopped", F.bool_or("_tm_stop").over(so_far)).groupBy("path", "_tm_stretch").agg(F.count_if(kept).alias("n"), F.max(F.when(kept, F.col("recv_seq"))).alias("last"), F.bool_or("_tm_stop").alias("stop"), F.min(F.when(F.col("_tm_wrong"), F.col("recv_seq"))).alias("wrong"))
+    before = Window.partitionBy("path").orderBy("_tm_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    reached = ~F.coalesce(F.bool_or("stop").over(before), F.lit(False))
+    return stretches.withColumn("_tm_reached", reached).groupBy("path").agg(F.coalesce(F.sum(F.when(F.col("_tm_reached"), F.col("n"))), F.lit(0)).cast("long").alias("recovered"), F.max(F.when(F.col("_tm_reached"), F.col("last"))).alias("last_seq"), F.min("wrong").alias("broken_at"))
+
+
 def segment_report(segments: DataFrame) -> DataFrame:
     """Per file: header and trailer present, counts, sequence range and digest of the events against the trailer's, order of sequences.
 
