@@ -273,6 +273,29 @@ def test_repeated_strings_equal_brute_force(spark, monkeypatch, most):
     assert [found[i] for i in range(len(texts))] == list(repeats([t.encode() for t in texts], 40))
 
 
+def test_repeated_strings_where_skewed_joins_are_split(spark, monkeypatch):
+    """Strings of one core stay together though the join on it deals a large core's rows to several tasks."""
+    skewed = {"autoBroadcastJoinThreshold": "-1", "shuffle.partitions": "16", "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "1k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in skewed}
+    rng = random.Random(6)
+    whole = suffixes.repeated_spans
+    monkeypatch.setattr(suffixes, "repeated_spans", lambda docs, length: whole(docs, length, 40))
+    line = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common = line(30)
+    # pairs of texts share what stands beside a line that all texts hold
+    pairs = [line(15) + common + line(15) for _ in range(300)]
+    texts = [line(20) + p + line(20) for p in pairs * 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    try:
+        for k, v in skewed.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove(df, length=40).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert [found[i] for i in range(len(texts))] == list(repeats([t.encode() for t in texts], 40))
+
+
 def test_repeated_strings_on_edge_rows(edge):
     rows = [(r.doc_id, r.text or "") for r in edge.select("doc_id", "text").collect()]
     wanted = sorted(zip([i for i, _ in rows], repeats([t.encode() for _, t in rows], 400)), key=repr)
